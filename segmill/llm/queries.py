@@ -13,6 +13,13 @@ from .pieces import vocabulary_path
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    ship(spark)
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import nearest
 
