@@ -62,6 +62,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
 
 
+def op8_pseudo_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudo_lm import score
+
+    ship(spark)
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 

@@ -26,43 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import utf8_column
+from .words import lower_table, word_hashes, word_spans
 
 LENGTH, STRIDE = 32, 16
 WORDS, CHARS, WIDE, HIDDEN, LOOK = 1 << 14, 1 << 13, 12, 8, 8
-#: Codes of bytes inside words; 0 parts words.
-_CODE = np.zeros(256, dtype=np.uint8)
-for _b in (*range(48, 58), *range(97, 123), *range(128, 256)):
-    _CODE[_b] = _b
-for _b in range(65, 91):
-    _CODE[_b] = _b + 32
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(1 << 12, 0x100000001B3, dtype=np.uint64))
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-def word_spans(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = np.concatenate([[False], code > 0, [False]])
-    change = np.flatnonzero(inside[1:] != inside[:-1])
-    return change[::2], change[1::2]
+#: Letters, digits and bytes above 127 make words.
+_CODE = lower_table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 
 
 def inputs(code: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets, and the buckets of all words' characters in a row with each word's first place."""
     wide = np.concatenate([[0], code, [0]]).astype(np.uint64)
     three = (wide[:-2] * np.uint64(65599) + wide[1:-1]) * np.uint64(65599) + wide[2:]
-    three = ((three * _ODD) >> np.uint64(64 - 13)).astype(np.int32)
-    inside = np.flatnonzero(code)
+    three = ((three * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)).astype(np.int32)
     sizes = stops - starts
-    first = np.cumsum(sizes) - sizes
-    place = np.minimum(np.arange(len(inside)) - np.repeat(first, sizes), len(_POWERS) - 1)
-    parts = code[inside].astype(np.uint64) * _POWERS[place]
-    whole = np.add.reduceat(parts, first) if len(first) else np.zeros(0, dtype=np.uint64)
-    return ((whole * _MIX) >> np.uint64(64 - 14)).astype(np.int32), three[inside], first
-
-
-def windows(n: int) -> np.ndarray:
-    """First words of the windows over ``n`` words: all of them are covered."""
-    return np.arange(0, max(1, n - STRIDE), STRIDE)
+    whole = word_hashes(code, starts, stops)
+    return (whole >> np.uint64(64 - 14)).astype(np.int32), three[code > 0], np.cumsum(sizes) - sizes
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
