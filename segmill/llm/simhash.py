@@ -73,7 +73,7 @@ def majority(h: np.ndarray) -> int:
 def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t or b"") for t in utf8_column(batch.column("text"))], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(prints.view(np.int64))], ["doc_id", "key", "fp"])
 
 
 @functools.lru_cache(maxsize=1)
@@ -225,14 +225,35 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = materialise(source.mapInArrow(fingerprint_batches, "doc_id long, fp long"), "fingerprints")
-    one = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    one = materialise(one, "distinct")
+def _grouped(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, fp), key being the text's hash; and per fp its component_id and the component's first (doc_id, key)."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    prints = materialise(source.mapInArrow(fingerprint_batches, "doc_id long, key long, fp long"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    one = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(first).alias("first")), "distinct")
     stars = components(links(one, threshold)).select(F.col("v").alias("fp"), "root")
     one = one.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = one.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = one.select("fp", "root").join(least, "root").select("fp", "component_id")
+    least = one.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    return prints, one.select("fp", "root").join(least, "root").select("fp", "component_id", "first")
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    prints, named = _grouped(docs, threshold)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, threshold: int = 4) -> DataFrame:
+    """One row of each component, all its columns: that of the smallest doc_id (null last), then of the smallest hash of the text."""
+    prints, named = _grouped(docs, threshold)
+    mine = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    gone = prints.join(named, "fp").filter(~mine.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__key") == F.col("gone_key")), "left_anti")
+    # Rows repeated as they are stand for themselves once; the others needn't be shuffled for it.
+    again = prints.groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
+    if again.isEmpty():
+        return kept.drop("__key")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__key") == F.col("gone_key"))
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return kept.join(again, same, "left_anti").unionByName(once).drop("__key")

@@ -311,3 +311,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: float = 0.7, sample: int
     net = fit(docs, labels, sample, max_chars)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return source.mapInArrow(lambda b: _batches(b, net, limit), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _keep(batches: Iterator[pa.RecordBatch], net: Network | float, limit: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t or b"" for t in utf8_column(batch.column("text"))]
+        scores = net.score(texts) if isinstance(net, Network) else np.full(len(texts), net)
+        yield batch.filter(pa.array(scores < limit))
+
+
+def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.7, sample: int = 2000, max_chars: int = 20_000) -> DataFrame:
+    """The documents, all their columns, that score below ``limit``."""
+    net = fit(docs, labels, sample, max_chars)
+    return docs.mapInArrow(lambda b: _keep(b, net, limit), docs.schema)
