@@ -108,14 +108,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, seed: int = 17) -> DataFrame:
-    """The documents, all their columns, each as many times as the mix takes it."""
+    """The documents, all their columns, each as many times as the mix takes it.
+
+    Rows repeated as they are share their turns: each gets their mean, rounded.
+    """
     found = mix(docs, weights, epochs, seed)
-    # Rows of one id and text share a hash; where rows are repeated, each gives their mean, rounded.
-    key = ["doc_id", "source", "shuffled"]
-    times = found.groupBy(*key).agg(F.sum("served").cast("int").alias("served"), F.count(F.lit(1)).alias("rows"))
-    times = times.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("shuffled").alias("mix_key"), "served", "rows")
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.lit(seed), F.xxhash64("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("__key") == F.col("mix_key"))
-    out = keyed.join(times, same)
-    out = out.withColumn("__times", F.expr("CASE WHEN rows = 1 THEN served ELSE CAST(round(served / rows) AS INT) END"))
-    return out.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    times = found.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("shuffled").alias("mix_key")).agg(
+        F.round(F.sum("served") / F.count(F.lit(1))).cast("int").alias("times")
+    )
+    shuffled = F.xxhash64("doc_id", F.lit(seed), F.xxhash64("text"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), "source", shuffled.alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("hash") == F.col("mix_key"))
+    out = packed.join(times, same).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    return out.select("row.*")

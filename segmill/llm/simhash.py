@@ -247,13 +247,16 @@ def representatives(docs: DataFrame, threshold: int = 4) -> DataFrame:
     """One row of each component, all its columns: that of the smallest doc_id (null last), then of the smallest hash of the text."""
     prints, named = _grouped(docs, threshold)
     mine = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
-    gone = prints.join(named, "fp").filter(~mine.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__key") == F.col("gone_key")), "left_anti")
+    gone = prints.join(named, "fp").filter(~mine.eqNullSafe(F.col("first"))).select("doc_id", "key").distinct()
     # Rows repeated as they are stand for themselves once; the others needn't be shuffled for it.
-    again = prints.groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
-    if again.isEmpty():
-        return kept.drop("__key")
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__key") == F.col("gone_key"))
-    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return kept.join(again, same, "left_anti").unionByName(once).drop("__key")
+    again = prints.groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+
+    def join(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        k = keys.select(F.col("doc_id").alias("key_id"), F.col("key").alias("key_hash"))
+        return left.join(k, F.col("id").eqNullSafe(F.col("key_id")) & (F.col("hash") == F.col("key_hash")), how)
+
+    kept = join(packed, gone, "left_anti")
+    if not again.isEmpty():
+        kept = join(kept, again, "left_anti").unionByName(join(kept, again, "left_semi").dropDuplicates(["id", "hash"]))
+    return kept.select("row.*")
