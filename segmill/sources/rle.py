@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def pack(counts: list[int]) -> str:
@@ -77,11 +78,11 @@ def decode_any(segmentation, height: int, width: int) -> np.ndarray:
     return m
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def pack_counts(counts: pd.Series) -> pd.Series:
     return counts.map(lambda c: None if c is None else pack(list(c)))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def unpack_counts(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unpack(t))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.readers import metric_points
 
@@ -14,4 +15,4 @@ def stream_points(spark: SparkSession, folder: str, metric: str = "total_loss")
 
 def running_summary(points: DataFrame) -> DataFrame:
     """Count, last iteration and least value so far; for the complete or update output mode."""
-    return points.selectExpr("iteration", "value").groupBy().agg({"iteration": "max", "value": "min", "*": "count"}).toDF("max_iteration", "min_value", "points")
+    return points.agg(F.max("iteration").alias("max_iteration"), F.min("value").alias("min_value"), F.count(F.lit(1)).alias("points"))
