@@ -131,9 +131,17 @@ def average_precision(gt: DataFrame, pred: DataFrame, at: float = 0.5) -> DataFr
     marked = ranked.join(hits, ["image_id", "pred_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
     # By distinct score, so that the running counts need no row order among equals.
     steps = marked.groupBy("score").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    # Running counts in two levels: over equal spans of the score, then inside each, so that no task holds all scores.
+    ends = steps.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("hi") - F.col("score")) / (F.col("hi") - F.col("lo")) * 1023)).otherwise(0)
+    steps = steps.crossJoin(ends).select("score", "tp", "n", place.alias("span"))
+    sums = steps.groupBy("span").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("span", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    w = Window.partitionBy("span").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     n_gt = gt.agg(F.count(F.lit(1)).alias("n_gt"))
-    curve = steps.select("score", F.sum("tp").over(w).alias("tp"), F.sum("n").over(w).alias("n")).crossJoin(n_gt)
+    curve = steps.select("span", F.sum("tp").over(w).alias("tp"), F.sum("n").over(w).alias("n")).join(sums, "span").crossJoin(n_gt)
+    curve = curve.select((F.col("tp") + F.col("tp0")).alias("tp"), (F.col("n") + F.col("n0")).alias("n"), "n_gt")
     curve = curve.select((F.col("tp") / F.col("n_gt")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
     best_at = curve.groupBy(F.floor(F.col("recall") * 100 + 1e-9).alias("step")).agg(F.max("precision").alias("p"))
     spine = gt.sparkSession.range(101).select(F.col("id").alias("step"))
