@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), shuffled.alias("shuffled"))
     sized = materialise(sized, "sizes")
     n = sized.count()
-    parts = int(min(1 << 20, max(16, n // 20_000)))
+    parts = int(min(1 << 20, max(64, n // 4_000)))
     sized = sized.withColumn("part", F.pmod(F.shiftright("shuffled", 32), F.lit(parts)).cast("int"))
     sums = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"), F.count(F.lit(1)).alias("part_rows"))
     # The sources' table, from which targets come; a row per source.
