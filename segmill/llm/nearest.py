@@ -75,7 +75,8 @@ def search_tile(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, y: np.nda
         edges = np.searchsorted(rows, np.arange(len(part) + 1))
         for r in range(len(part)):
             c = cols[edges[r] : edges[r + 1]]
-            exact = np.sqrt(((x[c] - part[r]) ** 2).sum(axis=1))
+            # Summed from the first component to the last, as the plain definition does.
+            exact = np.sqrt(np.cumsum((x[c] - part[r]) ** 2, axis=1)[:, -1])
             own, heap = int(query_ids[at + r]), []
             for d, j in sorted(zip(exact.tolist(), c.tolist())):
                 if len(heap) == k and d > -heap[0][0]:
