@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import masks as mk
 from ..functions import scoring as sc
+from ..operators import candidates as cd
 from ..operators import evaluate as ev
 from ..operators import graph as gr
 from ..operators import greedy as gd
@@ -352,7 +353,10 @@ def q_feature_contrast(spark, d):
     return _rounded(wn.feature_contrast(fx.patches(spark, d)))
 
 
-@query()
+@query(f"""WITH {_CONTRAST}, ed AS (SELECT image_id, unnest(feat) AS v, generate_subscripts(feat, 1) AS k FROM pt WHERE y IN (0, 4) OR x IN (0, 4)), mn AS (SELECT image_id, k, avg(v) AS v FROM ed GROUP BY 1, 2),
+pr AS (SELECT image_id, list(v ORDER BY k) AS p FROM mn GROUP BY 1), fa AS (SELECT pt.image_id, y, x, 1.0 - list_dot_product(feat, p) / sqrt(list_dot_product(p, p)) AS far FROM pt JOIN pr ON pt.image_id = pr.image_id),
+ds AS (SELECT image_id, y, x, (far - min(far) OVER w) / (max(far) OVER w - min(far) OVER w) AS d FROM fa WINDOW w AS (PARTITION BY image_id)), mx AS (SELECT image_id, y, x, 0.55::DOUBLE * contrast + 0.45::DOUBLE * d AS v FROM con JOIN ds USING (image_id, y, x))
+SELECT image_id, y, x, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w), 6) AS objectness FROM mx WINDOW w AS (PARTITION BY image_id)""")
 def q_objectness(spark, d):
     return _rounded(wn.objectness(fx.patches(spark, d)))
 
@@ -443,6 +447,35 @@ def q_conservative_merge(spark, d):
     return mg.conservative_merge(_scored_masks(spark, d), 8, max_ratio=0.8, iou=0.4, ios=0.7, expand=-0.2)
 
 
+@query(f"""WITH {fx.MASKS}, q AS (SELECT a.mask_id, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: z[1] * z[2])) AS i, list_sum(a.bits) AS na, list_sum(b.bits) AS nb FROM m a LEFT JOIN m b ON a.image_id = b.image_id AND b.mask_id % 25 < 3 WHERE a.mask_id % 25 >= 3)
+SELECT mask_id, round(coalesce(max(i / (na + nb - i)), 0), 6) AS normal_iou FROM q GROUP BY 1""")
+def q_max_iou(spark, d):
+    m = fx.masks(spark, d)
+    return _rounded(cd.max_iou(m.filter("mask_id % 25 >= 3"), m.filter("mask_id % 25 < 3")).select("mask_id", "normal_iou"))
+
+
+@query()
+def q_refine_candidates(spark, d):
+    m = fx.masks(spark, d)
+    cuts = m.select("image_id", (F.col("mask_id") % 5).alias("window_id"), "mask_id", F.col("bits").alias("raw"), F.transform("bits", lambda x, i: F.when(i % 9 == 4, 0).otherwise(x).cast("tinyint")).alias("refined"),
+                    (F.col("mask_id") % 3 * 8).cast("int").alias("left"), (F.floor(F.col("mask_id") / 3) % 3 * 8).cast("int").alias("top"), F.lit(2.0).alias("crop_score"))
+    return _rounded(cd.choose(cd.refine(cuts, 8, 24, 24), per_window=3, fill_at=1.01).drop("bits"))
+
+
+@query()
+def q_splits(spark, d):
+    ship(spark)
+    m = _scored_masks(spark, d)
+    return cd.splits(m.filter("NOT protected"), m.filter("protected"), 8, max_ratio=0.8, iou=0.4, ios=0.7, expand=-0.2)
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS stamp, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE replace(o_orderpriority, '_', ' ') END AS label FROM orders")
+def q_label_map(spark, d):
+    o = table(spark, d, "orders")
+    code = F.when(F.col("o_orderstatus") == "O", "O").otherwise(F.col("o_orderpriority"))
+    return o.select(F.col("o_orderkey").alias("id"), cd.iso_timestamp(F.col("o_orderdate")).alias("stamp"), cd.label_map(code, {"O": "open"}).alias("label"))
+
+
 def _gt_pred(spark, d):
     a = fx.annotations(spark, d)
     return a.filter("flag = 'N'"), a.filter("flag = 'R'")
