@@ -191,7 +191,7 @@ reach(image_id, v, c) AS (SELECT image_id, ann_id, ann_id FROM ann WHERE source
 SELECT image_id, v, min(c) AS component FROM reach GROUP BY 1, 2""")
 def q_components(spark, d):
     a = fx.annotations(spark, d).filter("source = 'crop'")
-    return gr.components(a.select("image_id", F.col("ann_id").alias("v")), gr.fragment_edges(a))
+    return gr.image_components(a.select("image_id", F.col("ann_id").alias("v")), gr.fragment_edges(a))
 
 
 def _greedy(candidates: str, hit: str, budget: str = "false") -> str:

@@ -99,6 +99,20 @@ def test_flood_and_holes():
     assert gr.flood(m, 0).sum() == 8 and gr.flood(m, 3).sum() == 0 and gr.fill_holes(m).sum() == 12
 
 
+def test_components_both_ways(spark):
+    r = np.random.default_rng(3)
+    vs = [(i, v) for i in range(5) for v in range(12)]
+    es = [(i, *sorted(r.choice(12, 2, replace=False).tolist())) for i in range(5) for _ in range(2 * i)] + [(7, 0, 1)]
+    vs += [(7, 0), (7, 1)]
+    v, e = spark.createDataFrame(vs, "image_id int, v long"), spark.createDataFrame(es, "image_id int, u long, v long")
+    label = {x: x[1] for x in vs}
+    for i, a, b in es * 12:
+        lo = min(label[i, a], label[i, b])
+        label[i, a] = label[i, b] = lo
+    for f in (gr.components, gr.image_components):
+        assert {(q.image_id, q.v): q.component for q in f(v, e).collect()} == label
+
+
 def test_scores(spark):
     r = one(spark, sc.area_prior(F.lit(0.004)), sc.area_prior(F.lit(0.0)), sc.shape_penalty(F.lit(0.875), F.lit(2)), sc.shape_penalty(F.lit(0.9), F.lit(1)), sc.merged_score(F.lit(2.0), F.lit(3)), sc.nice_max(F.lit(0.0)), sc.nice_max(F.lit(21.0)), sc.nice_max(F.lit(1000.0), whole=True), sc.proposal_alignment(F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(10.0)))
     assert [round(x, 6) for x in r] == [1.0, 0.0, 0.5, 0.0, 1.94, 1.0, 50.0, 1000, 1.0]
