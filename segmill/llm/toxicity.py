@@ -196,13 +196,25 @@ def _chunks(texts: list[bytes], size: int) -> Iterator[list[int]]:
         yield group
 
 
+def _all_inputs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """inputs() of all texts and their bounds in words, made part by part to keep the arrays between small."""
+    parts, sizes, chars = [], [np.zeros(1, dtype=np.int64)], 0
+    for group in _chunks(texts, 500_000):
+        some = [texts[i] for i in group]
+        code = _CODE[np.frombuffer(b" ".join(some), dtype=np.uint8)]
+        starts, stops = word_spans(code)
+        word, char, first = inputs(code, starts, stops)
+        parts.append((word, char, first + chars))
+        chars += len(char)
+        sizes.append(np.diff(np.r_[0, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in some]))]))
+    word, char, first = (np.concatenate(x) for x in zip(*parts))
+    return word, char, first, np.cumsum(np.concatenate(sizes))
+
+
 def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 256, rate: float = 0.02, seed: int = 3) -> Network:
     net, rng = Network(seed), np.random.default_rng(seed)
     y = np.array(labels, dtype=np.float32)
-    code = _CODE[np.frombuffer(b" ".join(texts), dtype=np.uint8)]
-    starts, stops = word_spans(code)
-    word, char, first = inputs(code, starts, stops)
-    bounds = np.r_[0, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))]
+    word, char, first, bounds = _all_inputs(texts)
     at, owner = place_windows(bounds, len(word))
     edges = np.searchsorted(owner, np.arange(len(texts) + 1))
     stop = np.append(first, len(char))
