@@ -79,7 +79,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3
         "size", F.posexplode(F.array(*[finish(k) for k in range(epochs)])).alias("turn", "finish"), "rank", "shuffled", "doc_id", "source_size"
     )
     turns = turns.withColumn("span", F.floor(F.least(F.col("finish"), F.lit(4.0)) * spans))
-    budget = F.sum("size").over(Window.partitionBy(F.lit(0)))
     filled = turns.groupBy("span").agg(F.sum("size").alias("tokens"))
     # At most 4 * spans + 1 rows; the budget is the sum of one turn.
     total = queued.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
