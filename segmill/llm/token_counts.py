@@ -122,7 +122,8 @@ def token_counts(docs: DataFrame, path: str, chunk_chars: int = 32768, overlap:
         rows = left.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), chunks.cast("long").alias("chunks"), "text")
         rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
         rows = rows.select("doc_id", "key", "n_bytes", "chunk", "chunks", F.expr(f"substring(text, CAST(chunk * {step} + 1 AS INT), {step + wide})").alias("text"))
-        rows = rows.repartition("key", "chunk")
+        # As many parts as the session deals out, which aren't put together again: encoding costs more than bytes tell.
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "chunk")
         parts = rows.mapInArrow(lambda b, s=step, w=wide: chunk_batches(b, path, s, w), _PART)
         found = materialise(_splice(parts), "token-counts")
         done.append(found.filter("n_tokens IS NOT NULL").select("doc_id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy"))
