@@ -261,6 +261,22 @@ def q_range_join_points(spark, d):
     return at.join(hit, ["image_id", "ord", "px", "py"], "left").groupBy("image_id", "ord").agg(F.count("h").alias("covered_points"))
 
 
+@query(f"""WITH {fx.ANN}, {_GRID}, pix AS (SELECT px.v AS x, py.v AS y FROM range(0, 160, 20) px(v), range(0, 160, 20) py(v)), base AS (SELECT * FROM ann WHERE source = 'baseline'),
+under AS (SELECT DISTINCT f.image_id, p.x, p.y FROM base f JOIN pix p ON p.x >= f.l AND p.x < f.r AND p.y >= f.t AND p.y < f.b),
+hit AS (SELECT u.image_id, w.ord, count(*) AS n FROM under u JOIN win w ON u.x >= w.x AND u.x < w.x + w.w AND u.y >= w.y AND u.y < w.y + w.w GROUP BY 1, 2)
+SELECT i.image_id, w.ord, coalesce(h.n, 0) AS covered_points FROM (SELECT DISTINCT image_id FROM base) i CROSS JOIN win w LEFT JOIN hit h ON h.image_id = i.image_id AND h.ord = w.ord""")
+def q_range_join_points_all(spark, d):
+    """The range join over every image with baseline boxes."""
+    base = fx.annotations(spark, d).filter("source = 'baseline'").select("image_id", "l", "t", "r", "b")
+    win = wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5])
+    pix = spark.range(64).select((F.col("id") % 8 * 20).alias("px"), (F.floor(F.col("id") / 8) * 20).alias("py"))
+    inside = win.join(F.broadcast(pix), (F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + F.col("h"))).select("ord", "px", "py")
+    under = base.join(F.broadcast(pix), (F.col("px") >= F.col("l")) & (F.col("px") < F.col("r")) & (F.col("py") >= F.col("t")) & (F.col("py") < F.col("b"))).select("image_id", "px", "py").distinct()
+    hit = under.join(F.broadcast(inside), ["px", "py"]).groupBy("image_id", "ord").agg(F.count("*").alias("n"))
+    every = base.select("image_id").distinct().crossJoin(F.broadcast(win.select("ord")))
+    return every.join(hit, ["image_id", "ord"], "left").select("image_id", "ord", F.coalesce("n", F.lit(0)).alias("covered_points"))
+
+
 @query()
 def q_coverage_skip(spark, d):
     a = fx.annotations(spark, d)

@@ -522,3 +522,19 @@ def test_metrics_stream(spark, tmp_path):
     q = running_summary(stream_points(spark, str(src))).writeStream.format("memory").queryName("points").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert tuple(spark.table("points").first()) == (5, 1.5, 2)
+
+
+def test_range_join_reaches_every_image(spark):
+    from segmill.plans import queries as qs
+
+    boxes = {}
+    for r in fx.annotations(spark, D).filter("source = 'baseline'").collect():
+        boxes.setdefault(r.image_id, []).append(r)
+    lattice = [(x, y) for x in range(0, 160, 20) for y in range(0, 160, 20)]
+    under = {i: {(x, y) for x, y in lattice if any(f.l <= x < f.r and f.t <= y < f.b for f in b)} for i, b in boxes.items()}
+    windows = wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5]).collect()
+    want = {(i, w.ord): sum(w.x <= x < w.x + w.w and w.y <= y < w.y + w.h for x, y in p) for i, p in under.items() for w in windows}
+    got = {(r.image_id, r.ord): r.covered_points for r in qs.q_range_join_points_all(spark, D).collect()}
+    assert got == want and len(boxes) > 100
+    few = {(r.image_id, r.ord): r.covered_points for r in qs.q_range_join_points(spark, D).collect()}
+    assert few == {k: n for k, n in got.items() if k[0] % 200 == 1}
