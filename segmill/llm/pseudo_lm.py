@@ -6,9 +6,9 @@ words between white space, ASCII lower case, in ``SLOTS`` slots by hash. P(slot)
 times P(slot | class) from the counts of all documents; classes are cut from the slots by
 falling count into equal shares of all tokens, as far as single slots allow.
 
-All documents take part in counting and training. Every task trains its own copy on one of each
-``SHARE`` positions of its documents; copies are averaged, weighted by their tokens, and go through a
-second round on other positions. What a task gives has a fixed size, so what is gathered grows with
+All documents take part in counting and training. Every task trains its own copy on the positions of its
+documents that are due in the round; copies are averaged, weighted by their tokens, and go through a
+second round on the other positions, so that the rounds together predict every token once. What a task gives has a fixed size, so what is gathered grows with
 the number of tasks, that is with the input, and the driver gets sums of fixed size.
 
 Defined results: null and empty texts have no tokens, a sum and mean of 0; a corpus without words trains on nothing;
@@ -28,7 +28,7 @@ from .pieces import utf8_column
 from .words import lower_table, word_hashes, word_spans
 
 SLOT_BITS, INPUT_BITS = 16, 13
-SLOTS, INPUTS, WIDE, CLASSES, SHARE = 1 << SLOT_BITS, 1 << INPUT_BITS, 16, 64, 16
+SLOTS, INPUTS, WIDE, CLASSES = 1 << SLOT_BITS, 1 << INPUT_BITS, 16, 64
 PLACES = (-2, -1, 1, 2)
 BLOCK = 4096
 _CODE = lower_table(b for b in range(256) if b != 32 and not 9 <= b <= 13)
@@ -55,6 +55,12 @@ def windows(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def due(bounds: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Positions to train in a round: every ``rounds``-th word of each text, another in each round."""
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
+    return np.flatnonzero(place % rounds == turn)
+
+
 def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each slot's class and log P(slot | class); unseen slots count as half a token."""
     mass = np.maximum(counts, 0.5)
@@ -146,7 +152,7 @@ def _count_batches(batches):
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["slot", "n"])
 
 
-def _train_batches(batches, v: np.ndarray, label: np.ndarray, turn: int, batch: int = 1024):
+def _train_batches(batches, v: np.ndarray, label: np.ndarray, turn: int, rounds: int = 2, batch: int = 1024):
     from pyspark import TaskContext
 
     p = shaped(v)
@@ -154,8 +160,7 @@ def _train_batches(batches, v: np.ndarray, label: np.ndarray, turn: int, batch:
     tokens, waiting = 0, []
     for _, texts in _groups(batches):
         found, bounds = slots(texts)
-        # Positions shift from group to group, so none is favoured.
-        some = np.arange((tokens * 7 + turn * SHARE // 2) % SHARE, len(found), SHARE)
+        some = due(bounds, turn, rounds)
         waiting.append((windows(found, bounds)[some], label[found[some]]))
         tokens += len(found)
         if sum(len(x) for x, _ in waiting) >= 8 * batch:
@@ -226,7 +231,7 @@ def fit(docs: DataFrame, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.nd
     v = flat(start())
     kind = "block int, part int, weight double, data binary"
     for turn in range(rounds):
-        copies = texts.mapInArrow(lambda b, v=v, t=turn: _train_batches(b, v, label, t), kind)
+        copies = texts.mapInArrow(lambda b, v=v, t=turn: _train_batches(b, v, label, t, rounds), kind)
         some = copies.groupBy("block", (F.col("part") % 64).alias("salt")).applyInArrow(_mean, kind)
         found = some.groupBy("block").applyInArrow(_mean, kind).orderBy("block").collect()
         if found:

@@ -139,3 +139,22 @@ def test_lm_query(spark):
     assert by[1].mean_log_likelihood > by[None].mean_log_likelihood
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, lm.score(docs).collect()), key=str)
     assert lm.score(docs.limit(0)).collect() == []
+
+
+def test_rounds_train_on_every_position(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(f"w{i}x{j}" for j in range(1 + i % 40)) for i in range(300)] + [""]
+    found, bounds = lm.slots([t.encode() for t in texts])
+    seen = []
+    monkeypatch.setattr(lm, "train_step", lambda p, memory, at, label, rate=0.08: seen.append(np.c_[at, label]))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for turn in range(2):
+        assert list(lm._train_batches(iter([batch]), lm.flat(lm.start()), np.arange(lm.SLOTS), turn))
+    want = np.c_[lm.windows(found, bounds), found]
+    assert sorted(map(tuple, np.concatenate(seen).tolist())) == sorted(map(tuple, want.tolist()))
+    for rounds in (1, 3):
+        assert sorted(np.concatenate([lm.due(bounds, t, rounds) for t in range(rounds)])) == list(range(len(found)))
