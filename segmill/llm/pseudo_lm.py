@@ -2,14 +2,19 @@
 
 A small network predicts every token from the two before and the two behind it, as if the token
 itself were masked; a document's score is the sum of these conditional log-probabilities. Tokens are the
-words between white space, ASCII lower case, in ``SLOTS`` slots by hash. P(slot) is P(class | window) from the network
-times P(slot | class) from the counts of all documents; classes are cut from the slots by
-falling count into equal shares of all tokens, as far as single slots allow.
+words between white space, ASCII lower case, told apart by 64-bit hashes. P(word) is P(class | window) from the network
+times P(slot | class) and P(word | slot), which make P(word | class), from the counts of all documents. Slots (``SLOTS``,
+by hash) only carry the classes, which are cut from them by falling count into equal shares of all tokens, as
+far as single slots allow.
+
+The counts are a distributed table of one row a word, so it grows with the vocabulary. At most ``HEAD`` of its most frequent
+words go along with the tasks; every other word's count is joined. The network reads hashed context words, and
+the number of these inputs follows the vocabulary, from ``INPUTS`` to ``SLOTS``.
 
 All documents take part in counting and training. Every task trains its own copy on the positions of its
 documents that are due in the round; copies are averaged, weighted by their tokens, and go through a
-second round on the other positions, so that the rounds together predict every token once. What a task gives has a fixed size, so what is gathered grows with
-the number of tasks, that is with the input, and the driver gets sums of fixed size.
+second round on the other positions, so that the rounds together predict every token once. The driver gets
+sums of bounded size.
 
 Defined results: null and empty texts have no tokens, a sum and mean of 0; a corpus without words trains on nothing;
 repeated rows give a row each; a null doc_id stays null; other columns are ignored.
@@ -24,34 +29,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .pieces import utf8_column
 from .words import lower_table, word_hashes, word_spans
 
 SLOT_BITS, INPUT_BITS = 16, 13
 SLOTS, INPUTS, WIDE, CLASSES = 1 << SLOT_BITS, 1 << INPUT_BITS, 16, 64
 PLACES = (-2, -1, 1, 2)
-BLOCK = 4096
+HEAD = 1 << 17
+BLOCK = 1 << 15
+#: Logarithms of counts are summed as integers, so that reruns agree.
+FINE = 1 << 30
 _CODE = lower_table(b for b in range(256) if b != 32 and not 9 <= b <= 13)
 
 
-def slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all texts' words, and the texts' bounds in them."""
+def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, and the texts' bounds in them."""
     code = _CODE[np.frombuffer(b" ".join(texts), dtype=np.uint8)]
     starts, stops = word_spans(code)
-    found = (word_hashes(code, starts, stops) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-    return found, np.r_[0, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))]
+    return word_hashes(code, starts, stops), np.r_[0, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))]
+
 
+def slot_of(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
 
-def windows(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Inputs around every token; ``INPUTS`` stands for a place outside the text."""
+
+def slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all texts' words, and the texts' bounds in them."""
+    words, bounds = hashes(texts)
+    return slot_of(words), bounds
+
+
+def inputs_for(words: int) -> int:
+    """Network inputs for a vocabulary: a power of two, eight words to one at most, as far as slots go."""
+    return min(SLOTS, max(INPUTS, 1 << max(0, (words - 1) // 8).bit_length()))
+
+
+def windows(found: np.ndarray, bounds: np.ndarray, size: int = INPUTS) -> np.ndarray:
+    """Inputs around every token; ``size`` stands for a place outside the text."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    n, out = len(found), np.full((len(found), len(PLACES)), INPUTS, dtype=np.int32)
-    inputs = found & (INPUTS - 1)
+    n, out = len(found), np.full((len(found), len(PLACES)), size, dtype=np.int32)
+    inputs = found & (size - 1)
     for k, d in enumerate(PLACES):
         lo, hi = max(0, -d), n - max(0, d)
         if hi > lo:
             same = owner[lo:hi] == owner[lo + d : hi + d]
-            out[lo:hi, k] = np.where(same, inputs[lo + d : hi + d], INPUTS)
+            out[lo:hi, k] = np.where(same, inputs[lo + d : hi + d], size)
     return out
 
 
@@ -75,10 +98,10 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SHAPES = {"E": (INPUTS, WIDE), "W": (len(PLACES), WIDE, WIDE), "b": (WIDE,), "O": (WIDE, CLASSES), "c": (CLASSES,)}
 
 
-def start(seed: int = 7) -> dict[str, np.ndarray]:
+def start(seed: int = 7, size: int = INPUTS) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     by = {"E": 0.3, "W": 0.25, "b": 0.0, "O": 0.1, "c": 0.0}
-    return {k: (r.standard_normal(s) * by[k]).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (r.standard_normal(s) * by[k]).astype(np.float32) for k, s in (SHAPES | {"E": (size, WIDE)}).items()}
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -87,7 +110,8 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 
 def shaped(v: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    size = (len(v) - sum(int(np.prod(s)) for k, s in SHAPES.items() if k != "E")) // WIDE
+    for k, s in (SHAPES | {"E": (size, WIDE)}).items():
         n = int(np.prod(s))
         out[k] = v[at : at + n].reshape(s).astype(np.float32)
         at += n
@@ -95,8 +119,9 @@ def shaped(v: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _hidden(p: dict[str, np.ndarray], at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    E = np.vstack([p["E"], np.zeros((1, WIDE), dtype=np.float32)])
-    x = [E[at[:, k]] for k in range(len(PLACES))]
+    x = [p["E"].take(at[:, k], axis=0, mode="clip") for k in range(len(PLACES))]
+    for k in range(len(PLACES)):
+        x[k][at[:, k] == len(p["E"])] = 0
     return x, np.tanh(sum(x[k] @ p["W"][k] for k in range(len(PLACES))) + p["b"])
 
 
@@ -119,11 +144,13 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], at: np.n
     g["W"] = np.stack([x[k].T @ d_h for k in range(len(PLACES))])
     index = at.T.ravel()
     d_x = np.concatenate([d_h @ p["W"][k].T for k in range(len(PLACES))])
-    order = np.argsort(index, kind="stable")
-    index, d_x = index[order], d_x[order]
+    # At most ``SLOTS`` inputs, which sixteen bits hold; a stable sort of those is linear.
+    there = np.flatnonzero(index < len(p["E"]))
+    index = index[there]
+    order = np.argsort(index.astype(np.uint16), kind="stable")
+    index, d_x = index[order], d_x[there[order]]
     first = np.flatnonzero(np.diff(index, prepend=-1))
-    rows, sums = index[first], np.add.reduceat(d_x, first, axis=0)
-    rows, sums = rows[rows < INPUTS], sums[rows < INPUTS]
+    rows, sums = index[first], np.add.reduceat(d_x, first, axis=0) if len(first) else d_x
     memory["E"][rows] += sums**2
     p["E"][rows] -= rate * sums / (np.sqrt(memory["E"][rows]) + 1e-6)
     for k, v in g.items():
@@ -144,24 +171,68 @@ def _groups(batches: Iterator[pa.RecordBatch], size: int = 1 << 20):
                 at, total = i + 1, 0
 
 
-def _count_batches(batches):
-    counts = np.zeros(SLOTS, dtype=np.int64)
+def _summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once, with the sum of its counts."""
+    found, n = np.concatenate(words), np.concatenate(counts)
+    order = np.argsort(found)
+    found = found[order]
+    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    return found[first], np.add.reduceat(n[order], first)
+
+
+def _count_batches(batches, most: int = 1 << 20):
+    """(word, n) of a task; a word comes again where more than ``most`` are at hand."""
+    words, counts, size = [], [], 0
     for _, texts in _groups(batches):
-        counts += np.bincount(slots(texts)[0], minlength=SLOTS)
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["slot", "n"])
+        found, n = np.unique(hashes(texts)[0], return_counts=True)
+        words.append(found)
+        counts.append(n)
+        size += len(found)
+        if size > most:
+            found, n = _summed(words, counts)
+            words, counts, size = [found], [n], len(found)
+            if size > most // 2:
+                yield _counted(found, n)
+                words, counts, size = [], [], 0
+    if size:
+        yield _counted(*_summed(words, counts))
+
+
+def _counted(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
+
+
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(word, n): the count of every word of the corpus, by hash."""
+    return materialise(texts.mapInArrow(_count_batches, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def head_of(words: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the most frequent words, ``most`` at most; equal counts stay together."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, None
+    # A few hundred rows.
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    t = words.filter(step >= least).toArrow()
+    found, n = t.column("word").to_numpy().astype(np.int64).view(np.uint64), t.column("n").to_numpy()
+    order = np.argsort(found)
+    return found[order], n[order]
 
 
 def _train_batches(batches, v: np.ndarray, label: np.ndarray, turn: int, rounds: int = 2, batch: int = 1024):
-    from pyspark import TaskContext
-
     p = shaped(v)
-    memory = {k: np.full(s, 0.01, dtype=np.float32) for k, s in SHAPES.items()}
+    memory = {k: np.full_like(x, 0.01) for k, x in p.items()}
     tokens, waiting = 0, []
     for _, texts in _groups(batches):
         found, bounds = slots(texts)
         some = due(bounds, turn, rounds)
-        waiting.append((windows(found, bounds)[some], label[found[some]]))
+        waiting.append((windows(found, bounds, len(p["E"]))[some], label[found[some]]))
         tokens += len(found)
         if sum(len(x) for x, _ in waiting) >= 8 * batch:
             _pass(p, memory, waiting, batch)
@@ -172,7 +243,7 @@ def _train_batches(batches, v: np.ndarray, label: np.ndarray, turn: int, rounds:
         edges = range(0, len(out), BLOCK)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(range(len(edges)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(edges), pa.int32()),
+                pa.array(range(len(edges)), pa.int32()), pa.array([_part()] * len(edges), pa.int32()),
                 pa.array([float(tokens)] * len(edges)), pa.array([(out[i : i + BLOCK] * np.float32(1)).astype("<f4").tobytes() for i in edges], pa.binary()),
             ],
             ["block", "part", "weight", "data"],
@@ -198,13 +269,21 @@ def _mean(t: pa.Table) -> pa.Table:
     })
 
 
-def _score_batches(batches, v: np.ndarray, label: np.ndarray, inside: np.ndarray):
+def _score_batches(batches, v: np.ndarray, label: np.ndarray, inside: np.ndarray, known=None):
+    """Scores of the slots; with ``known`` (head's hashes, its logarithms of counts, the slots') those of
+    the words, short of the logarithms of counts of words outside the head, which are listed."""
     p = shaped(v)
+    size = len(p["E"])
     E = np.vstack([p["E"], np.zeros((1, WIDE), dtype=np.float32)])
     given = [E @ p["W"][k] for k in range(len(PLACES))]
+    seen = 0
+    if known is not None:
+        head, log_n, log_slot = known
+        find, log_n = places(head), np.r_[log_n, 0.0]
     for part, texts in _groups(batches):
-        found, bounds = slots(texts)
-        at, logs = windows(found, bounds), np.zeros(len(found))
+        words, bounds = hashes(texts)
+        found = slot_of(words)
+        at, logs = windows(found, bounds, size), np.zeros(len(found))
         for i in range(0, len(found), 8192):
             h = p["b"] + given[0][at[i : i + 8192, 0]]
             for k in range(1, len(PLACES)):
@@ -212,23 +291,58 @@ def _score_batches(batches, v: np.ndarray, label: np.ndarray, inside: np.ndarray
             z = np.tanh(h) @ p["O"] + p["c"]
             s = found[i : i + 8192]
             logs[i : i + 8192] = z[np.arange(len(s)), label[s]] - np.log(np.exp(z).sum(axis=1)) + inside[s]
+        names, more = ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"], []
+        if known is not None:
+            place = find(words)
+            rare = place < 0
+            logs += np.where(rare, 0.0, log_n[place]) - log_slot[found]
+            upto = np.r_[0, np.cumsum(rare)][bounds]
+            names = ["doc_id", "n_tokens", "log_likelihood", "row", "rare"]
+            row = (_part() << 40) + seen + np.arange(len(texts))
+            more = [pa.array(row), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(words[rare].view(np.int64)))]
+            seen += len(texts)
         upto = np.r_[0.0, np.cumsum(logs)]
         sums, n = upto[bounds[1:]] - upto[bounds[:-1]], np.diff(bounds)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, sums, 0.0)), pa.array(np.where(n > 0, sums / np.maximum(n, 1), 0.0))],
-            ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
-        )
+        out = [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, sums, 0.0))]
+        yield pa.RecordBatch.from_arrays(out + (more or [pa.array(np.where(n > 0, sums / np.maximum(n, 1), 0.0))]), names)
+
+
+def places(head: np.ndarray, bits: int = 20):
+    """A function from hashes to their places in the sorted ``head``, -1 for others: by leading bits, then step by step."""
+    shift = np.uint64(64 - bits)
+    at = np.searchsorted(head >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+    deep = int(np.diff(at).max())
+
+    def find(words: np.ndarray) -> np.ndarray:
+        k = (words >> shift).astype(np.int32)
+        low, high, out = at[k], at[k + 1], np.full(len(words), -1, dtype=np.int32)
+        left = np.flatnonzero(low < high)
+        for d in range(deep):
+            left = left[low[left] + d < high[left]]
+            same = head[low[left] + d] == words[left]
+            out[left[same]] = low[left[same]] + d
+            left = left[~same]
+        return out
+
+    return find
+
+
+def _part() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
 
 
-def fit(docs: DataFrame, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parameters, classes and log P(slot | class), from all documents."""
+def fit(docs: DataFrame, words: DataFrame, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, classes, log P(slot | class) and the slots' counts, from all documents and their vocabulary."""
     texts = docs.select("text")
-    counts = np.zeros(SLOTS)
+    counts, size = np.zeros(SLOTS), 0
     # At most ``SLOTS`` rows.
-    for r in texts.mapInArrow(_count_batches, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+    for r in words.groupBy(F.shiftrightunsigned("word", 64 - SLOT_BITS).alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         counts[r["slot"]] = r["n"]
+        size += r["words"]
     label, inside = classes_of(counts)
-    v = flat(start())
+    v = flat(start(size=inputs_for(size)))
     kind = "block int, part int, weight double, data binary"
     for turn in range(rounds):
         copies = texts.mapInArrow(lambda b, v=v, t=turn: _train_batches(b, v, label, t, rounds), kind)
@@ -236,11 +350,20 @@ def fit(docs: DataFrame, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.nd
         found = some.groupBy("block").applyInArrow(_mean, kind).orderBy("block").collect()
         if found:
             v = np.concatenate([np.frombuffer(r["data"], dtype="<f4") for r in found])
-    return v, label, inside
+    return v, label, inside, counts
 
 
 def score(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum), mean_log_likelihood."""
-    v, label, inside = fit(docs, rounds)
+    words = vocabulary(docs.select("text"))
+    v, label, inside, counts = fit(docs, words, rounds)
+    head, n = head_of(words)
+    known = head, np.log(n), np.log(np.maximum(counts, 0.5))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(lambda b: _score_batches(b, v, label, inside), "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    kind = "doc_id long, n_tokens long, log_likelihood double, row long, rare array<long>"
+    scored = materialise(source.mapInArrow(lambda b: _score_batches(b, v, label, inside, known), kind), "scores")
+    rare = scored.select("row", F.explode("rare").alias("word")).join(words, "word")
+    more = rare.groupBy("row").agg(F.sum(F.round(F.log("n") * FINE).cast("long")).alias("more"))
+    total = F.col("log_likelihood") + F.coalesce(F.col("more") / FINE, F.lit(0.0))
+    out = scored.drop("rare").join(more, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).otherwise(0.0))

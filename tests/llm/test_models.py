@@ -158,3 +158,46 @@ def test_rounds_train_on_every_position(monkeypatch):
     assert sorted(map(tuple, np.concatenate(seen).tolist())) == sorted(map(tuple, want.tolist()))
     for rounds in (1, 3):
         assert sorted(np.concatenate([lm.due(bounds, t, rounds) for t in range(rounds)])) == list(range(len(found)))
+
+
+def test_words_of_one_slot_are_told_apart(spark, monkeypatch):
+    names, by = (f"w{i}" for i in range(10**6)), {}
+    while True:
+        w = next(names)
+        other = by.setdefault(int(lm.slots([w.encode()])[0][0]), w)
+        if other != w:
+            break
+    rows = [(i, " ".join([other] * 30 + ["plain"] * 5)) for i in range(40)] + [(100, other), (101, w), (102, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "head_of", lambda words, most=2, f=lm.head_of: f(words, most))
+    got = {r.doc_id: r for r in lm.score(docs).collect()}
+    assert got[100].log_likelihood == got[102].log_likelihood
+    # Windows and class are the same, so the counts alone part the two.
+    assert abs(got[100].log_likelihood - got[101].log_likelihood - np.log(1202)) < 1e-4
+    few = {r.word: r.n for r in lm.vocabulary(docs.select("text")).collect()}
+    assert sorted(few.values()) == [1, 200, 1202]
+
+
+def test_inputs_follow_the_vocabulary():
+    assert [lm.inputs_for(n) for n in (0, 60_000, 70_000, 300_000, 10**9)] == [8192, 8192, 16384, 65536, 65536]
+    v = lm.flat(lm.start(size=16384))
+    assert lm.shaped(v)["E"].shape == (16384, lm.WIDE) and (lm.flat(lm.shaped(v)) == v).all()
+
+
+def test_parts_of_counts_add_up():
+    texts = [" ".join(f"v{i * j % 97}" for j in range(50)) for i in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 20])], ["text"]) for i in range(0, 200, 20)]
+    total = {}
+    for b in lm._count_batches(iter(batches), most=100):
+        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            total[w] = total.get(w, 0) + n
+    found, n = np.unique(lm.hashes([t.encode() for t in texts])[0], return_counts=True)
+    assert total == dict(zip(found.view(np.int64).tolist(), n.tolist()))
+
+
+def test_places_in_the_head():
+    words = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1))
+    for head in (words[::3], words[:0]):
+        for bits in (4, 20):
+            got = lm.places(head, bits)(words)
+            assert got.tolist() == [{w: i for i, w in enumerate(head.tolist())}.get(w, -1) for w in words.tolist()]
