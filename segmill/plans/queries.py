@@ -308,6 +308,13 @@ def q_union_masks(spark, d):
     return m.select("image_id", mk.area(mk.union_of(F.col("all"))).alias("area"))
 
 
+@query(f"WITH {fx.PIXELS}, u AS (SELECT image_id, y, x, max(v) AS v FROM p GROUP BY 1, 2, 3) SELECT image_id, CAST(sum(v) AS INTEGER) AS area FROM u GROUP BY 1")
+def q_union_masks_all(spark, d):
+    """The union of every mask of an image."""
+    m = fx.masks(spark, d).groupBy("image_id").agg(F.collect_list("bits").alias("all"))
+    return m.select("image_id", mk.area(mk.union_of(F.col("all"))).alias("area"))
+
+
 @query(f"""WITH {fx.PIXELS}, s AS (SELECT mask_id, sum(v) AS area, sum(v) FILTER (y = 0) AS top, sum(v) FILTER (y = 7) AS bottom, sum(v) FILTER (x = 0) AS lft, sum(v) FILTER (x = 7) AS rgt FROM p GROUP BY 1)
 SELECT mask_id, round(CASE WHEN area > 0 THEN least(1.0, (top + bottom + lft + rgt) / greatest(1.0, sqrt(area))) ELSE 0 END, 6) AS touch, CAST(CASE WHEN area > 0 THEN (top > 0)::INT + (bottom > 0)::INT + (lft > 0)::INT + (rgt > 0)::INT ELSE 0 END AS INTEGER) AS sides,
   round(CASE WHEN area > 0 THEN least(1.0, (CASE WHEN mask_id % 3 = 0 THEN 0 ELSE top END + bottom + CASE WHEN mask_id % 2 = 0 THEN 0 ELSE lft END + rgt) / greatest(1.0, sqrt(area))) ELSE 0 END, 6) AS in_touch,

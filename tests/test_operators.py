@@ -538,3 +538,17 @@ def test_range_join_reaches_every_image(spark):
     assert got == want and len(boxes) > 100
     few = {(r.image_id, r.ord): r.covered_points for r in qs.q_range_join_points(spark, D).collect()}
     assert few == {k: n for k, n in got.items() if k[0] % 200 == 1}
+
+
+def test_union_takes_every_mask_of_an_image(spark, monkeypatch):
+    from segmill.plans import queries as qs
+
+    rows = fx.masks(spark, D).collect()
+    want = {}
+    for r in rows:
+        want[r.image_id] = [a | b for a, b in zip(want.get(r.image_id, [0] * 64), r.bits)]
+    assert {r.image_id: r.area for r in qs.q_union_masks_all(spark, D).collect()} == {i: sum(v) for i, v in want.items()}
+    # One pixel a mask, so that each mask left out is missed.
+    sparse = spark.createDataFrame([(i, i // 25, [int(k == i % 25) for k in range(64)]) for i in range(75)], "mask_id long, image_id long, bits array<tinyint>")
+    monkeypatch.setattr(fx, "masks", lambda spark, d: sparse)
+    assert {r.image_id: r.area for r in qs.q_union_masks_all(spark, D).collect()} == {0: 25, 1: 25, 2: 25}
