@@ -7,7 +7,8 @@ holds parts of it; they are trained here, on pages that a seeded generator compo
 common layouts, with the article known. Decoding chooses the likeliest set of blocks in which
 no block is kept below one that isn't.
 
-Defined results: a null or empty page and one without article have an empty text (null ids and urls stay);
+Defined results: a null or empty page and one without article have an empty text (null ids and urls stay), but
+text right below the root or body is taken where no block's text is;
 a page cut off in the middle is read as far as it goes; repeated rows give a row each; other columns are
 ignored.
 """
@@ -431,7 +432,7 @@ def extract(sources: list[str], odds: dict[str, float], trees: Trees) -> list[st
         kept = decode(page, margin[at : at + len(table)])
         at += len(table)
         # Text right below the root has no block of its own: it counts if nothing else does.
-        runs = [t for k, t in page.runs if k and kept[k]]
+        runs = [t for k, t in page.runs if k and kept[k]] or [t for k, t in page.runs if not k]
         out.append("\n".join(runs))
     return out
 

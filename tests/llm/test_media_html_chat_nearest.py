@@ -386,3 +386,11 @@ def test_quantised_bounds_hold():
     dot = nn.tile_product(qy, qx) * (sy[:, None] * sx[None])
     slack = ny[:, None] * ex + ey[:, None] * nx + ey[:, None] * ex
     assert (np.abs(dot - y @ x.T) <= slack + 1e-9).all() and qx.dtype == np.int8
+
+
+def test_text_below_the_root_counts_if_nothing_else_does():
+    odds, trees = ht.train()
+    bare = "<html><body>First line of <b>the story</b>.<br>Second &amp; last.<nav><a href=/>Menu</a></nav></body></html>"
+    full = "Stray words" + PAGE
+    assert ht.extract([bare, "", "<body></body>"], odds, trees) == ["First line of the story. Second & last.", "", ""]
+    assert ht.extract([full], odds, trees) == ht.extract([PAGE], odds, trees) != [""]
