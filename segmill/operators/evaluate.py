@@ -148,3 +148,58 @@ def average_precision(gt: DataFrame, pred: DataFrame, at: float = 0.5) -> DataFr
     joined = spine.join(best_at, "step", "left")
     envelope = F.coalesce(F.max("p").over(Window.orderBy("step").rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
     return joined.select(envelope.alias("p")).agg(F.avg("p").alias("ap"))
+
+
+#: COCO's IoU thresholds, and its size classes with both ends included.
+THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
+CLASSES = {"all": (0, 10**10), "small": (0, 32**2), "medium": (32**2, 96**2), "large": (96**2, 10**10)}
+
+
+def coco_ap(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """COCO's six figures: AP (mean over IoU .50 to .95), AP50, AP75, APs, APm and APl, by the 101-point envelope.
+
+    A size class ignores true objects of other sizes: a prediction takes one only if no free object of the class
+    reaches the IoU, and then counts neither way, as does one of another size that takes nothing. A class without
+    true objects has a null. All predictions of an image count, without COCO's cut at 100.
+    """
+    spark = gt.sparkSession
+    classes = spark.createDataFrame([(c, lo, hi) for c, (lo, hi) in CLASSES.items()], "size string, lo long, hi long")
+    variants = F.broadcast(classes.crossJoin(spark.createDataFrame([(x,) for x in THRESHOLDS], "at double")))
+    key = ["size", "at"]
+    outside = lambda area: ((F.col(area) < F.col("lo")) | (F.col(area) > F.col("hi"))).cast("int")
+    ranked = pred.select("image_id", F.col("ann_id").alias("pred_id"), "score", F.col("area").alias("pred_area"), F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "ord")).alias("rank"))
+    met = pairs(gt, pred).filter(F.col("iou") >= min(THRESHOLDS)).join(gt.select("image_id", F.col("ann_id").alias("gt_id"), F.col("area").alias("gt_area")), ["image_id", "gt_id"])
+    cand = met.join(ranked.select("image_id", "pred_id", "rank"), ["image_id", "pred_id"]).crossJoin(variants).filter("iou >= at")
+    option = F.struct(outside("gt_area").alias("x"), (-F.col("iou")).alias("i"), F.col("gt_id").alias("g"))
+    per = cand.groupBy("image_id", *key, "pred_id", "rank").agg(F.array_sort(F.collect_list(option)).alias("options"))
+    lists = per.groupBy("image_id", *key).agg(F.array_sort(F.collect_list(F.struct("rank", "pred_id", "options"))).alias("items"))
+    none = F.array().cast("array<struct<p:bigint,g:bigint,x:int>>")
+
+    def take(used, x):
+        free = F.filter(x["options"], lambda o: ~F.exists(used, lambda u: u["g"] == o["g"]))
+        first = F.get(free, F.lit(0))
+        return F.when(F.size(free) > 0, F.array_append(used, F.struct(x["pred_id"].cast("long").alias("p"), first["g"].cast("long").alias("g"), first["x"].alias("x")))).otherwise(used)
+
+    hits = lists.select("image_id", *key, F.explode(F.aggregate("items", none, take)).alias("m")).select("image_id", *key, F.col("m.p").alias("pred_id"), F.col("m.x").alias("x"))
+    marked = ranked.crossJoin(variants).join(hits, ["image_id", "pred_id", *key], "left").filter(F.coalesce("x", outside("pred_area")) == 0)
+    steps = marked.groupBy(*key, "score").agg(F.count("x").alias("tp"), F.count(F.lit(1)).alias("n"))
+    # Running counts in two levels, as in average_precision.
+    ends = steps.groupBy(*key).agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    place = F.when(F.col("high") > F.col("low"), F.floor((F.col("high") - F.col("score")) / (F.col("high") - F.col("low")) * 1023)).otherwise(0)
+    steps = steps.join(F.broadcast(ends), key).select(*key, "score", "tp", "n", place.alias("span"))
+    sums = steps.groupBy(*key, "span").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    before = Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*key, "span", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    w = Window.partitionBy(*key, "span").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    n_gt = gt.select("area").crossJoin(F.broadcast(classes)).filter(outside("area") == 0).groupBy("size").agg(F.count(F.lit(1)).alias("n_gt"))
+    curve = steps.select(*key, "span", F.sum("tp").over(w).alias("tp"), F.sum("n").over(w).alias("n")).join(sums, [*key, "span"]).join(n_gt, "size")
+    curve = curve.select(*key, ((F.col("tp") + F.col("tp0")) / F.col("n_gt")).alias("recall"), ((F.col("tp") + F.col("tp0")) / (F.col("n") + F.col("n0"))).alias("precision"))
+    best_at = curve.groupBy(*key, F.floor(F.col("recall") * 100 + 1e-9).alias("step")).agg(F.max("precision").alias("p"))
+    spine = variants.join(n_gt, "size").select(*key).crossJoin(spark.range(101).select(F.col("id").alias("step")))
+    envelope = F.coalesce(F.max("p").over(Window.partitionBy(*key).orderBy("step").rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
+    ap = spine.join(best_at, [*key, "step"], "left").select(*key, envelope.alias("p")).groupBy(*key).agg(F.avg("p").alias("ap"))
+    mean = lambda test: F.avg(F.when(F.expr(test), F.col("ap")))
+    return ap.agg(
+        mean("size = 'all'").alias("AP"), mean("size = 'all' AND at = 0.5D").alias("AP50"), mean("size = 'all' AND at = 0.75D").alias("AP75"),
+        mean("size = 'small'").alias("APs"), mean("size = 'medium'").alias("APm"), mean("size = 'large'").alias("APl"),
+    )

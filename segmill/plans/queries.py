@@ -541,7 +541,7 @@ def q_fragment_rate(spark, d):
 
 @query()
 def q_average_precision(spark, d):
-    return _rounded(ev.average_precision(*_gt_pred(spark, d)))
+    return _rounded(ev.coco_ap(*_gt_pred(spark, d)))
 
 
 @query(f"WITH {fx.ANN}, p AS (SELECT * FROM ann WHERE flag = 'R') SELECT round(count(*) / count(DISTINCT image_id), 6) AS masks_per_image, round(avg(area), 6) AS mean_area, round(median(area), 6) AS med_area, round(avg((area < 1024)::INT), 6) AS small_share, round(avg((l = 0 OR t = 0 OR r = 160 OR b = 160)::INT), 6) AS border_share FROM p")

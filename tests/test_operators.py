@@ -552,3 +552,57 @@ def test_union_takes_every_mask_of_an_image(spark, monkeypatch):
     sparse = spark.createDataFrame([(i, i // 25, [int(k == i % 25) for k in range(64)]) for i in range(75)], "mask_id long, image_id long, bits array<tinyint>")
     monkeypatch.setattr(fx, "masks", lambda spark, d: sparse)
     assert {r.image_id: r.area for r in qs.q_union_masks_all(spark, D).collect()} == {0: 25, 1: 25, 2: 25}
+
+
+def _plain_coco(gt, pred):
+    """COCO's matching and envelope, image by image."""
+    def iou(a, c):
+        i = max(0, min(a[4], c[4]) - max(a[2], c[2])) * max(0, min(a[5], c[5]) - max(a[3], c[3]))
+        return i / ((a[4] - a[2]) * (a[5] - a[3]) + (c[4] - c[2]) * (c[5] - c[3]) - i)
+
+    def one(lo, hi, at):
+        marks, n = [], sum(lo <= a[6] <= hi for a in gt)
+        for image in {p[0] for p in pred}:
+            own, used = [a for a in gt if a[0] == image], set()
+            for p in sorted((p for p in pred if p[0] == image), key=lambda p: (-p[7], p[8])):
+                free = sorted((not lo <= a[6] <= hi, -iou(a, p), a[1]) for a in own if a[1] not in used and iou(a, p) >= at)
+                if free:
+                    used.add(free[0][2])
+                if not (free[0][0] if free else not lo <= p[6] <= hi):
+                    marks.append((p[7], bool(free)))
+        curve = []
+        for s in sorted({m[0] for m in marks}, reverse=True):
+            upto = [m[1] for m in marks if m[0] >= s]
+            curve.append((sum(upto) / n if n else 0, sum(upto) / len(upto)))
+        return sum(max((p for r, p in curve if r >= k / 100 - 1e-9), default=0) for k in range(101)) / 101 if n else None
+
+    levels = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+    mean = lambda lo, hi: None if one(lo, hi, 0.5) is None else sum(one(lo, hi, t) for t in levels) / 10
+    return [mean(0, 1e10), one(0, 1e10, 0.5), one(0, 1e10, 0.75), mean(0, 1024), mean(1024, 9216), mean(9216, 1e10)]
+
+
+def test_coco_ap_equals_plain(spark):
+    rng = np.random.default_rng(11)
+    gt, pred = [], []
+    for i in range(160):
+        side = int(rng.choice([12, 31, 32, 33, 60, 96, 97, 120]))
+        gt.append((i // 8, i, x := int(rng.integers(0, 30)), y := int(rng.integers(0, 30)), x + side, y + side, side * side))
+        for k in range(2):
+            d = [int(v) for v in rng.integers(0, 1 + side // 6, 4)]
+            b = (x + d[0], y + d[1], x + side + d[2], y + side + d[3])
+            pred.append((i // 8, 1000 + 2 * i + k, *b, (b[2] - b[0]) * (b[3] - b[1]), float(rng.integers(0, 40)), 2 * i + k))
+    kind = "image_id long, ann_id long, l int, t int, r int, b int, area int"
+    for own in (gt, [a for a in gt if a[6] > 1024]):
+        got = ev.coco_ap(spark.createDataFrame(own, kind), spark.createDataFrame(pred, kind + ", score double, ord int")).first()
+        want = _plain_coco(own, pred)
+        assert list(got.asDict()) == ["AP", "AP50", "AP75", "APs", "APm", "APl"]
+        assert all(a is b is None or abs(a - b) < 1e-9 for a, b in zip(got, want)), (got, want)
+        assert (got.APs is None) == (own is not gt) and 0 < got.AP < got.AP50
+
+
+def test_average_precision_query_gives_six_figures(spark):
+    from segmill.plans import queries as qs
+
+    got = qs.q_average_precision(spark, D).first()
+    assert list(got.asDict()) == ["AP", "AP50", "AP75", "APs", "APm", "APl"]
+    assert abs(got.AP50 - ev.average_precision(*qs._gt_pred(spark, D)).first().ap) < 1e-6
