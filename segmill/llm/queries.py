@@ -31,8 +31,9 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_chats
 
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    probe = spark.createDataFrame([(-7, i, role, "\\### Assistant: </turn> ok") for i, role in enumerate(("user", "assistant"))], rows.schema)
-    return digests(format_chats(rows.unionByName(probe))).drop("valid")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return digests(format_chats(rows.unionByName(probe)))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,15 +102,19 @@ WITH t AS (
 ), m AS (
   SELECT *, CASE role WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 WHEN 'system' THEN 6
     ELSE 1 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c')) END AS label,
-    length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e')) AS body
-  FROM t
+    length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e')) AS body,
+    row_number() OVER w - 1 AS place, lag(role, 1, 'start') OVER w AS before
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), e AS (
+  SELECT *, (before || '>' || role) NOT IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS wrong FROM m
 )
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(4 + label + 2 + body + 8) AS BIGINT) AS formatted_chars
-FROM m GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + label + 2 + body + 8) AS BIGINT) AS formatted_chars,
+  NOT bool_or(wrong) AND arg_max(role, place) = 'assistant' AS valid, CAST(min(place) FILTER (wrong) AS INTEGER) AS error_turn
+FROM e GROUP BY conv_id
 """
 
 _NEAREST = """
