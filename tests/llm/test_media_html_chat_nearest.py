@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from segmill.llm import html_text as ht
 from segmill.llm import nearest as nn
 from segmill.llm import webp
+from segmill.llm import webp_write as ww
 from segmill.llm.chat import Template, digests, format_chats, read_back
 
 RNG = np.random.default_rng(0)
@@ -129,13 +130,13 @@ def argb(px):
 
 
 def stream(width, height, body, transforms=()):
-    w = webp.header(width, height)
+    w = ww.header(width, height)
     for t in transforms:
         w.put(1, 1)
         t(w)
     w.put(0, 1)
     body(w)
-    return webp.container(w.bytes())
+    return ww.container(w.bytes())
 
 
 def image(h=7, w=9, colours=None):
