@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .stats import median
 
 
 def pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -85,10 +86,11 @@ def overmerge_rate(gt: DataFrame, pred: DataFrame, at: float = 0.25) -> DataFram
 def pred_stats(pred: DataFrame, width: int, height: int) -> DataFrame:
     """Masks per image with any, mean and median area, share of small ones and of those at the image's border."""
     edge = (F.col("l") == 0) | (F.col("t") == 0) | (F.col("r") == width) | (F.col("b") == height)
+    mid = median(pred, "area").select(F.col("median").alias("med_area"))
     return pred.agg(
-        (F.count(F.lit(1)) / F.countDistinct("image_id")).alias("masks_per_image"), F.avg("area").alias("mean_area"), F.median("area").alias("med_area"),
+        (F.count(F.lit(1)) / F.countDistinct("image_id")).alias("masks_per_image"), F.avg("area").alias("mean_area"),
         F.avg((F.col("area") < g.MEDIUM_AREA).cast("double")).alias("small_share"), F.avg(edge.cast("double")).alias("border_share"),
-    )
+    ).crossJoin(mid)
 
 
 def id_remap(anns: DataFrame, images: DataFrame, real: DataFrame) -> DataFrame:

@@ -56,6 +56,18 @@ def fill_holes(mask: np.ndarray) -> np.ndarray:
     return ~flood(outside, 0)[1:-1, 1:-1]
 
 
+def filled(masks: DataFrame, width: int, column: str = "bits") -> DataFrame:
+    """masks with their holes filled, a batch of rows at a time."""
+    rest = [c for c in masks.columns if c != column]
+
+    def run(batches):
+        for df in batches:
+            df[column] = [None if b is None else fill_holes(np.asarray(b, dtype=bool).reshape(-1, width)).ravel().astype(np.int8) for b in df[column]]
+            yield df
+
+    return masks.select(*rest, column).mapInPandas(run, masks.select(*rest, column).schema)
+
+
 def oriented(v: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, int, int]:
     """(foreground, seed, corners): v above its mean, turned over when three corners or not the peak lie in it."""
     fg = (v > v.mean()).reshape(shape)

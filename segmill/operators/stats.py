@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import LARGE_AREA, MEDIUM_AREA, size_bin
@@ -15,6 +15,29 @@ def per_image(images: DataFrame, anns: DataFrame) -> DataFrame:
     return ids.join(counts, "image_id", "full_outer").select("image_id", F.coalesce("n", F.lit(0)).alias("n_masks"))
 
 
+def median(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """(by, median): the exact median of whole or rounded values through counts, so that no task holds all values.
+
+    Distinct values are counted (which combines before the shuffle), spans of values are summed, and only the spans that hold the middle are
+    looked into. Nulls don't count; a group without values has no row, and the whole without values a null.
+    """
+    keys = by or []
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ends = counts.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__all"))
+    join = lambda a, b: a.join(b, keys) if keys else a.crossJoin(b)
+    span = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 4095)).otherwise(0)
+    spans = join(counts, ends).withColumn("__span", span)
+    upto = Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spans.groupBy(*keys, "__span").agg(F.sum("__n").alias("__m"), F.first("__all").alias("__all")).withColumn("__before", F.coalesce(F.sum("__m").over(upto), F.lit(0)))
+    # The middle's places, from 0: one of an odd number, two of an even one.
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    held = sums.filter((F.col("__before") <= high) & (F.col("__before") + F.col("__m") > low)).select(*keys, "__span", "__before")
+    inner = Window.partitionBy(*keys, "__span").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    near = spans.join(held, [*keys, "__span"]).withColumn("__at", F.col("__before") + F.coalesce(F.sum("__n").over(inner), F.lit(0)))
+    at = lambda place: F.max(F.when((F.col("__at") <= place) & (F.col("__at") + F.col("__n") > place), F.col("__v")))
+    return near.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def label_stats(images: DataFrame, anns: DataFrame) -> DataFrame:
     """One row: counts, mean and median masks per image and area, and size classes."""
     area = F.coalesce(F.col("area").cast("double"), F.lit(0.0))
@@ -22,14 +45,17 @@ def label_stats(images: DataFrame, anns: DataFrame) -> DataFrame:
     share = lambda c: F.when(n > 0, 100.0 * F.count_if(c) / n).otherwise(0.0)
     small, large = area < MEDIUM_AREA, area >= LARGE_AREA
     a = anns.agg(
-        n.alias("total_anns"), F.coalesce(F.avg(area), F.lit(0.0)).alias("mean_area"), F.coalesce(F.median(area), F.lit(0.0)).alias("med_area"),
+        n.alias("total_anns"), F.coalesce(F.avg(area), F.lit(0.0)).alias("mean_area"),
         F.count_if(small).alias("small_count"), share(small).alias("small_pct"),
         F.count_if(~small & ~large).alias("medium_count"), share(~small & ~large).alias("medium_pct"),
         F.count_if(large).alias("large_count"), share(large).alias("large_pct"),
     )
-    m = per_image(images, anns).agg(F.coalesce(F.avg("n_masks"), F.lit(0.0)).alias("avg_masks"), F.coalesce(F.median("n_masks"), F.lit(0.0)).alias("med_masks"))
+    n_masks = per_image(images, anns)
+    m = n_masks.agg(F.coalesce(F.avg("n_masks"), F.lit(0.0)).alias("avg_masks"))
     i = images.agg(F.count(F.lit(1)).alias("total_images"))
-    return i.crossJoin(a).crossJoin(m)
+    med = lambda df, c, name: median(df, c).select(F.coalesce("median", F.lit(0.0)).alias(name))
+    out = i.crossJoin(a).crossJoin(m).crossJoin(med(anns.select(area.alias("area")), "area", "med_area")).crossJoin(med(n_masks, "n_masks", "med_masks"))
+    return out.select("total_images", "total_anns", "mean_area", "med_area", *[f"{k}_{x}" for k in ("small", "medium", "large") for x in ("count", "pct")], "avg_masks", "med_masks")
 
 
 def mask_histogram(images: DataFrame, anns: DataFrame, top: int = 5) -> DataFrame:

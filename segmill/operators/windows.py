@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import scoring as s
-from .greedy import fold, ordered_lists
+from .greedy import fold, ordered_lists, top_per_group
 
 
 def _half_even(x: float) -> int:
@@ -165,12 +165,43 @@ def rescue_cells(centres: DataFrame, images: DataFrame, cells: DataFrame | None
     return grid.withColumn("bonus", bonus).drop("centres")
 
 
-def heatmap_windows(cells: DataFrame, images: DataFrame, sizes: list[float], top_k: int = 12, nms_iou: float = 0.4, percentile: float = 85.0, rescue: int = 4, compat: bool = False) -> DataFrame:
+def box_terms(boxes: DataFrame, key: list[str], covered: DataFrame | None = None, pixels: DataFrame | None = None) -> DataFrame:
+    """boxes (image_id, ``key``, l, t, r, b) with ``cover``, their share under ``covered`` (image_id and box), and ``edge``, the mean
+    gradient of ``pixels`` (image_id, y, x, v) cut to the box; 0 where a table isn't given or has nothing of the image.
+    """
+    out = boxes.withColumns({"cover": F.lit(0.0), "edge": F.lit(0.0)})
+    if covered is not None:
+        found = coverage(boxes.select("image_id", *key, "l", "t", "r", "b"), covered.select("image_id", "l", "t", "r", "b"))
+        out = out.drop("cover").join(found.select("image_id", *key, F.col("covered").alias("cover")), ["image_id", *key])
+    if pixels is not None:
+        p = pixels.select(F.col("image_id").alias("__i"), F.col("y").alias("__y"), F.col("x").alias("__x"), F.col("v").alias("__v"))
+        inside = (F.col("__x") >= F.col("l")) & (F.col("__x") < F.col("r")) & (F.col("__y") >= F.col("t")) & (F.col("__y") < F.col("b"))
+        cut = boxes.join(p, (F.col("image_id") == F.col("__i")) & inside).select("image_id", *key, F.col("__y").alias("y"), F.col("__x").alias("x"), F.col("__v").alias("v"))
+        found = edge_density(cut, ["image_id", *key])
+        out = out.drop("edge").join(found, ["image_id", *key], "left").withColumn("edge", F.coalesce("edge", F.lit(0.0)))
+    return out
+
+
+def ranked_grid(windows: DataFrame, covered: DataFrame, pixels: DataFrame, width: int, height: int, top_k: int = 0, most: float = 0.9) -> DataFrame:
+    """(image_id, ord, box, cover, edge, score, rank): grid windows covered less than ``most``, by what is uncovered times edge detail;
+    the first ``top_k`` of each image (all for 0), ties in grid order.
+    """
+    whole = (F.col("l") == 0) & (F.col("t") == 0) & (F.col("r") == width) & (F.col("b") == height)
+    scored = box_terms(windows.filter(~whole), ["ord"], covered, pixels).filter(F.col("cover") < most)
+    scored = scored.withColumn("score", s.grid_crop_score(F.col("cover"), F.col("edge")))
+    return top_per_group(scored, ["image_id"], [F.desc("score"), F.col("ord")], top_k)
+
+
+def heatmap_windows(
+    cells: DataFrame, images: DataFrame, sizes: list[float], top_k: int = 12, nms_iou: float = 0.4, percentile: float = 85.0, rescue: int = 4, compat: bool = False,
+    covered: DataFrame | None = None, pixels: DataFrame | None = None,
+) -> DataFrame:
     """(image_id, ord, l, t, r, b, score, reason): windows on heat-map peaks, rescue cells, then a fill.
 
     ``cells``: image_id, y, x, heat on a full grid. The threshold is a linear percentile; a peak below it
     is used only while too few boxes are there. ``rescue`` below 0 means a quarter of top_k, at least 2. When rescue takes
     all slots, ``compat`` leaves the first pass unbounded as the published numbers do; otherwise it is skipped.
+    ``covered`` (boxes of full-image masks) and ``pixels`` (image_id, y, x, v) give the scores' coverage and edge terms.
     """
     if rescue < 0:
         rescue = max(2, _half_even(top_k * 0.25)) if top_k > 0 else 0
@@ -190,7 +221,7 @@ def heatmap_windows(cells: DataFrame, images: DataFrame, sizes: list[float], top
     raw = peak.select("image_id", "n", "gw", "gh", "width", "height", cx.alias("cx"), cy.alias("cy"), F.posexplode(px).alias("k", "size"))
     raw = raw.withColumn("box", g.clip_square(F.col("cx"), F.col("cy"), F.col("size"), F.col("width"), F.col("height")))
     raw = raw.select("image_id", (F.col("n") * 16 + F.col("k")).alias("seq"), "gw", "gh", "width", "height", "box.l", "box.t", "box.r", "box.b")
-    heat = score_boxes(raw, cells).select("image_id", "seq", "l", "t", "r", "b", "score")
+    heat = score_boxes(box_terms(raw, ["seq"], covered, pixels), cells, "cover", "edge").select("image_id", "seq", "l", "t", "r", "b", "score")
     lists = ordered_lists(heat, ["image_id"], [F.desc("score"), F.col("seq")], ["l", "t", "r", "b", "score"])
     hit = lambda a, b: g.box_iou(a, b) > nms_iou
     lists = lists.withColumn("items", F.transform("items", lambda x: F.struct(x["l"].alias("l"), x["t"].alias("t"), x["r"].alias("r"), x["b"].alias("b"), x["score"].alias("score"), F.lit("heatmap").alias("reason"))))
@@ -198,7 +229,7 @@ def heatmap_windows(cells: DataFrame, images: DataFrame, sizes: list[float], top
     chosen = lists.withColumn("kept", first)
     if rescue:
         centres = chosen.select("image_id", F.explode("kept").alias("k")).select("image_id", ((F.col("k.l") + F.col("k.r")) / 2.0).alias("cx"), ((F.col("k.t") + F.col("k.b")) / 2.0).alias("cy"))
-        spots = _rescue_boxes(rescue_cells(centres, images), cell, sizes)
+        spots = _rescue_boxes(rescue_cells(centres, images), cell, sizes, covered, pixels)
         extra = ordered_lists(spots, ["image_id"], [F.desc("score"), F.col("seq")], ["l", "t", "r", "b", "score"], "extra")
         extra = extra.withColumn("extra", F.transform("extra", lambda x: F.struct(x["l"].alias("l"), x["t"].alias("t"), x["r"].alias("r"), x["b"].alias("b"), x["score"].alias("score"), F.lit("spatial_rescue").alias("reason"))))
         chosen = chosen.join(extra, "image_id", "left").withColumn("extra", F.coalesce("extra", F.filter("items", lambda x: F.lit(False))))
@@ -225,7 +256,7 @@ def score_boxes(boxes: DataFrame, cells: DataFrame, coverage_column: str | None
     return b.withColumn("score", s.heatmap_box_score(F.col("mean_heat"), F.col("peak_heat"), cover, edge, touches)).drop("heats", "part", "p")
 
 
-def _rescue_boxes(cells: DataFrame, heat: DataFrame, sizes: list[float]) -> DataFrame:
+def _rescue_boxes(cells: DataFrame, heat: DataFrame, sizes: list[float], covered: DataFrame | None = None, pixels: DataFrame | None = None) -> DataFrame:
     """A box of each of the two smallest sizes about the highest heat in each rescue cell."""
     dims = heat.groupBy("image_id").agg(F.max("gw").alias("gw"), F.max("gh").alias("gh"))
     c = cells.join(dims, "image_id")
@@ -239,7 +270,8 @@ def _rescue_boxes(cells: DataFrame, heat: DataFrame, sizes: list[float]) -> Data
     tries = top.select("*", cx.alias("cx"), cy.alias("cy"), F.posexplode(small).alias("k", "size"))
     tries = tries.withColumn("box", g.clip_square(F.col("cx"), F.col("cy"), F.col("size"), F.col("width"), F.col("height")))
     tries = tries.select("image_id", "row", "col", "k", "bonus", "peak", "width", "height", "gw", "gh", "box.l", "box.t", "box.r", "box.b")
-    scored = score_boxes(tries, heat.select("image_id", "y", "x", "heat")).withColumnRenamed("score", "box_score")
+    tries = box_terms(tries, ["row", "col", "k"], covered, pixels)
+    scored = score_boxes(tries, heat.select("image_id", "y", "x", "heat"), "cover", "edge").withColumnRenamed("score", "box_score")
     edge_cell = F.col("col").isin(0, 2) | F.col("row").isin(0, 2)
-    score = s.rescue_score(F.col("box_score"), F.col("peak"), F.lit(0.0), F.lit(0.0), edge_cell, F.col("bonus"))
+    score = s.rescue_score(F.col("box_score"), F.col("peak"), F.col("cover"), F.col("edge"), edge_cell, F.col("bonus"))
     return scored.select("image_id", (F.col("row") * 100 + F.col("col") * 10 + F.col("k")).alias("seq"), "l", "t", "r", "b", score.alias("score"))

@@ -59,6 +59,15 @@ def class_head(files: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return files.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("place") <= n)
 
 
+#: The class list of the five-class subset.
+CLASSES_5 = ("n01443537", "n02123045", "n02281406", "n02410509", "n02906734")
+
+
+def class_subset(files: DataFrame, by: str, classes: list[str] | tuple[str, ...] = CLASSES_5) -> DataFrame:
+    """Files of the listed classes."""
+    return files.filter(F.col(by).isin(*classes))
+
+
 def equal_split(total: int, per_class: int, classes: int) -> None:
     if total != per_class * classes:
         raise ValueError(f"{total} isn't {classes} classes of {per_class}")

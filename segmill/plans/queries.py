@@ -246,27 +246,12 @@ def q_renumber(spark, d):
     return mg.renumber(fx.annotations(spark, d).select("source", "ann_id"), ["source", "ann_id"], parts=8).select("ann_id", F.col("new_id").cast("long").alias("new_id"))
 
 
-@query(f"""WITH {fx.ANN}, {_GRID}, pix AS (SELECT px.v AS x, py.v AS y FROM range(0, 160, 20) px(v), range(0, 160, 20) py(v)), few AS (SELECT * FROM ann WHERE source = 'baseline' AND image_id % 200 = 1)
-SELECT i.image_id, ord, count(*) FILTER (EXISTS (SELECT 1 FROM few f WHERE f.image_id = i.image_id AND p.x >= f.l AND p.x < f.r AND p.y >= f.t AND p.y < f.b)) AS covered_points
-FROM (SELECT DISTINCT image_id FROM few) i, win w JOIN pix p ON p.x >= w.x AND p.x < w.x + w.w AND p.y >= w.y AND p.y < w.y + w.w GROUP BY 1, 2""")
-def q_range_join_points(spark, d):
-    """A lattice's points under boxes, by window: the range join."""
-    few = fx.annotations(spark, d).filter("source = 'baseline' AND image_id % 200 = 1").select("image_id", "l", "t", "r", "b")
-    win = wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5])
-    pix = spark.range(64).select((F.col("id") % 8 * 20).alias("px"), (F.floor(F.col("id") / 8) * 20).alias("py"))
-    inside = win.join(F.broadcast(pix), (F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + F.col("h"))).select("ord", "px", "py")
-    at = few.select("image_id").distinct().crossJoin(F.broadcast(inside))
-    under = at.join(few.withColumnRenamed("image_id", "fi"), (F.col("image_id") == F.col("fi")) & (F.col("px") >= F.col("l")) & (F.col("px") < F.col("r")) & (F.col("py") >= F.col("t")) & (F.col("py") < F.col("b")), "left_semi")
-    hit = under.select("image_id", "ord", "px", "py", F.lit(1).alias("h"))
-    return at.join(hit, ["image_id", "ord", "px", "py"], "left").groupBy("image_id", "ord").agg(F.count("h").alias("covered_points"))
-
-
 @query(f"""WITH {fx.ANN}, {_GRID}, pix AS (SELECT px.v AS x, py.v AS y FROM range(0, 160, 20) px(v), range(0, 160, 20) py(v)), base AS (SELECT * FROM ann WHERE source = 'baseline'),
 under AS (SELECT DISTINCT f.image_id, p.x, p.y FROM base f JOIN pix p ON p.x >= f.l AND p.x < f.r AND p.y >= f.t AND p.y < f.b),
 hit AS (SELECT u.image_id, w.ord, count(*) AS n FROM under u JOIN win w ON u.x >= w.x AND u.x < w.x + w.w AND u.y >= w.y AND u.y < w.y + w.w GROUP BY 1, 2)
 SELECT i.image_id, w.ord, coalesce(h.n, 0) AS covered_points FROM (SELECT DISTINCT image_id FROM base) i CROSS JOIN win w LEFT JOIN hit h ON h.image_id = i.image_id AND h.ord = w.ord""")
-def q_range_join_points_all(spark, d):
-    """The range join over every image with baseline boxes."""
+def q_range_join_points(spark, d):
+    """A lattice's points under baseline boxes, by window, of every image: the range join."""
     base = fx.annotations(spark, d).filter("source = 'baseline'").select("image_id", "l", "t", "r", "b")
     win = wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5])
     pix = spark.range(64).select((F.col("id") % 8 * 20).alias("px"), (F.floor(F.col("id") / 8) * 20).alias("py"))
@@ -277,14 +262,6 @@ def q_range_join_points_all(spark, d):
     return every.join(hit, ["image_id", "ord"], "left").select("image_id", "ord", F.coalesce("n", F.lit(0)).alias("covered_points"))
 
 
-@query()
-def q_coverage_skip(spark, d):
-    a = fx.annotations(spark, d)
-    win = wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5]).select("ord", F.col("x").alias("l"), F.col("y").alias("t"), (F.col("x") + F.col("w")).alias("r"), (F.col("y") + F.col("h")).alias("b"))
-    every = fx.images(spark, d).select(F.col("id").alias("image_id")).crossJoin(F.broadcast(win))
-    return wn.coverage_skip(every, a.filter("source = 'baseline'"), fx.SIZE, fx.SIZE, 0.5).select("image_id", "ord", r6(F.col("covered")).alias("covered"))
-
-
 @query(f"""WITH {fx.PIXELS}, s AS (SELECT mask_id, sum(v) AS area, min(y) FILTER (v = 1) AS rmin, max(y) FILTER (v = 1) AS rmax, min(x) FILTER (v = 1) AS cmin, max(x) FILTER (v = 1) AS cmax, avg(x) FILTER (v = 1) AS mx, avg(y) FILTER (v = 1) AS my FROM p GROUP BY 1)
 SELECT mask_id, CAST(area AS INTEGER) AS area, round(area / 64, 6) AS area_ratio, CAST(rmin AS INTEGER) AS rmin, CAST(cmin AS INTEGER) AS cmin, CAST(rmax AS INTEGER) AS rmax, CAST(cmax AS INTEGER) AS cmax,
   round(coalesce(area / ((rmax - rmin + 1) * (cmax - cmin + 1)), 0), 6) AS compactness, round(coalesce(greatest(rmax - rmin + 1, cmax - cmin + 1) / least(rmax - rmin + 1, cmax - cmin + 1), 1), 6) AS aspect, round(mx, 6) AS mx, round(my, 6) AS my FROM s""")
@@ -302,14 +279,8 @@ def q_mask_iou_ios(spark, d):
     return _rounded(p.select("mask_id", "mask_id2", mk.iou(F.col("bits"), F.col("ob")).alias("iou"), mk.ios(F.col("bits"), F.col("ob")).alias("ios"), mk.inside(F.col("bits"), F.col("ob")).alias("inside")))
 
 
-@query(f"WITH {fx.PIXELS}, u AS (SELECT image_id, y, x, max(v) AS v FROM p WHERE mask_id % 25 < 3 GROUP BY 1, 2, 3) SELECT image_id, CAST(sum(v) AS INTEGER) AS area FROM u GROUP BY 1")
-def q_union_masks(spark, d):
-    m = fx.masks(spark, d).filter("mask_id % 25 < 3").groupBy("image_id").agg(F.collect_list("bits").alias("all"))
-    return m.select("image_id", mk.area(mk.union_of(F.col("all"))).alias("area"))
-
-
 @query(f"WITH {fx.PIXELS}, u AS (SELECT image_id, y, x, max(v) AS v FROM p GROUP BY 1, 2, 3) SELECT image_id, CAST(sum(v) AS INTEGER) AS area FROM u GROUP BY 1")
-def q_union_masks_all(spark, d):
+def q_union_masks(spark, d):
     """The union of every mask of an image."""
     m = fx.masks(spark, d).groupBy("image_id").agg(F.collect_list("bits").alias("all"))
     return m.select("image_id", mk.area(mk.union_of(F.col("all"))).alias("area"))
@@ -442,10 +413,17 @@ def q_bipartition(spark, d):
     return p.withColumn("fg", fg).groupBy("image_id").agg(F.count_if("fg").alias("n_fg"), F.count_if(F.col("fg") & F.col("y").isin(0, 4) & F.col("x").isin(0, 4)).alias("corners"))
 
 
+def _signed(v: str) -> Column:
+    """An eigenvector's entries, rounded, with its largest made positive."""
+    w = Window.partitionBy("image_id")
+    top = F.max_by(v, F.struct(F.round(F.abs(v), 9), -F.col("i"))).over(w)
+    return F.round(F.col(v) * F.signum(top), 6).alias("v")
+
+
 @query()
 def q_ncut(spark, d):
     ship(spark)
-    return gr.ncut(fx.patches(spark, d)).select("image_id", "i", (F.col("residual") < 1e-8).alias("solved"))
+    return gr.ncut(fx.patches(spark, d)).select("image_id", "i", _signed("v"), (F.col("residual") < 1e-8).alias("solved"))
 
 
 @query()
@@ -534,11 +512,6 @@ def q_overmerge_rate(spark, d):
     return _rounded(ev.overmerge_rate(*_gt_pred(spark, d)))
 
 
-@query()
-def q_fragment_rate(spark, d):
-    return _rounded(ev.fragment_rate(*_gt_pred(spark, d)))
-
-
 @query()
 def q_average_precision(spark, d):
     return _rounded(ev.coco_ap(*_gt_pred(spark, d)))
@@ -624,6 +597,9 @@ def q_rle_runs(spark, d):
     return fx.masks(spark, d).select("mask_id", F.array_join(F.transform(mk.rle_counts(F.col("bits"), 8), lambda x: x.cast("string")), ",").alias("counts"))
 
 
+from . import more_queries  # noqa: E402, F401  (adds its own)
+
+
 def queries():
     return dict(FOUND)
 

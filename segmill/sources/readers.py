@@ -33,6 +33,15 @@ def coco(spark: SparkSession, path: str, swap_wh: bool = False) -> dict[str, Dat
     return out
 
 
+def bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A bundle written a record to a line (``sinks.write_bundle``), read line by line: images, annotations, categories."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^,", "")).alias("value")).filter(F.startswith("value", F.lit('{"id"')))
+    kinds = {f.name: f.dataType.elementType for f in spark.range(0).select(F.from_json(F.lit("{}"), BUNDLE).alias("b")).schema["b"].dataType.fields if hasattr(f.dataType, "elementType")}
+    # What only one kind of record has.
+    marks = {"images": '"file_name":', "annotations": '"image_id":', "categories": '"supercategory":'}
+    return {k: lines.filter(F.contains("value", F.lit(m))).select(F.from_json("value", kinds[k]).alias("r")).select("r.*") for k, m in marks.items()}
+
+
 def image_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, class, name, length, modified) of root/class[/images]/file; the bytes aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
@@ -67,7 +76,7 @@ def metric_points(lines: DataFrame, metric: str = "total_loss", value: str = "va
 
 def log_lines(spark: SparkSession, root: str, name: str = "eval.log") -> DataFrame:
     """(run, line_no, line) of all files of a name below a folder. Each file is one row first, so lines keep their order."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
     lines = text.select(F.col("_metadata.file_path").alias("log"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "line"))
     return lines.select(F.element_at(F.split("log", "/"), -2).alias("run"), "log", F.col("line_no").cast("long").alias("line_no"), "line")
 
@@ -96,7 +105,7 @@ def eval_metrics(lines: DataFrame) -> DataFrame:
 
 
 def eval_metrics_regex(lines: DataFrame) -> DataFrame:
-    """Compatibility mode: any number after a metric's name, the last line wins, then blocks of header and values override.
+    """Compatibility mode, whose pattern is a fixed value: any number after a metric's name, the last line wins, then blocks of header and values override.
 
     It also reads the 50 of ``AP50`` as a value behind ``AP,``; use :func:`eval_metrics` unless that is wanted.
     """
@@ -138,6 +147,12 @@ def enum_list(text: str, allowed: list[str]) -> list[str]:
     return found
 
 
+def set_sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, side): the distinct ids of two sets, in both, left only or right only."""
+    sides = left.select("id", F.lit(1).alias("s")).unionByName(right.select("id", F.lit(2).alias("s"))).groupBy("id").agg(F.bit_or("s").alias("s"))
+    return sides.select("id", F.element_at(F.array(F.lit("left"), F.lit("right"), F.lit("both")), F.col("s").cast("int")).alias("side"))
+
+
 def resolve_paths(images: DataFrame, files: DataFrame) -> DataFrame:
     """file_name -> path: as it is below the root, or as class/images/file, or the first of its base name.
 

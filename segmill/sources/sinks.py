@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,28 @@ def write_coco(path: str, images: DataFrame, anns: DataFrame, categories: DataFr
     coco_document(images, anns, categories, info).write.mode("overwrite").text(path)
 
 
+def write_bundle(path: str, images: DataFrame, anns: DataFrame, categories: DataFrame, info: str = "", parts: int = 0) -> None:
+    """A bundle of any size as a folder of text parts, a record to a line; the parts in the order of their names are one JSON document.
+
+    Lines are sorted by ranges of (section, id), so no task holds more than its part.
+    """
+    spark = images.sparkSession
+    # Fixed values of the format: the sections' names in their order.
+    sections = (("images", images), ("annotations", anns), ("categories", categories))
+    out = None
+    for k, (name, df) in enumerate(sections):
+        lead = F.lit("{" + f'"info":{{"description":{json.dumps(info)}}},"licenses":[],"images":[' if not k else f'],"{name}":[')
+        open_ = spark.range(1).select(F.lit(k).alias("k"), F.lit(None).cast("long").alias("id"), lead.alias("value"))
+        first = df.agg(F.min("id").alias("__first"))
+        rows = df.select(F.lit(k).alias("k"), F.col("id").cast("long").alias("id"), F.to_json(F.struct(*df.columns)).alias("value")).crossJoin(F.broadcast(first))
+        rows = rows.select("k", "id", F.when(F.col("id") == F.col("__first"), F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))).alias("value"))
+        both = open_.unionByName(rows)
+        out = both if out is None else out.unionByName(both)
+    out = out.unionByName(spark.range(1).select(F.lit(len(sections)).alias("k"), F.lit(None).cast("long").alias("id"), F.lit("]}").alias("value")))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out.repartitionByRange(parts, F.asc_nulls_first("k"), F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("k"), F.asc_nulls_first("id")).select("value").write.mode("overwrite").text(path)
+
+
 def write_split(path: str, anns: DataFrame) -> None:
     """A folder of Parquet per split."""
     anns.write.mode("overwrite").partitionBy("split").parquet(path)
@@ -45,8 +69,8 @@ def number(c: Column, decimals: int = 2) -> Column:
     return F.format_number(c, decimals)
 
 
-def stats_table(base: DataFrame, hybrid: DataFrame) -> DataFrame:
-    """(n, line): the comparison of two label_stats rows as a markdown table."""
+def stats_table(base: DataFrame, hybrid: DataFrame, base_hist: DataFrame | None = None, hybrid_hist: DataFrame | None = None) -> DataFrame:
+    """(n, line): the comparison of two label_stats rows, and of two mask_histogram tables, as a markdown table."""
     b, h = (df.select(F.struct(*df.columns).alias(name)) for df, name in ((base, "b"), (hybrid, "h")))
     row = lambda label, col, d: F.concat(F.lit(f"| {label} | "), number(F.col(f"b.{col}"), d), F.lit(" | "), number(F.col(f"h.{col}"), d), F.lit(" |"))
 
@@ -54,13 +78,24 @@ def stats_table(base: DataFrame, hybrid: DataFrame) -> DataFrame:
         cell = lambda s: F.concat(number(F.col(f"{s}.{name}_count"), 0), F.lit(" ("), number(F.col(f"{s}.{name}_pct"), 1), F.lit("%)"))
         return F.concat(F.lit(f"| {label} | "), cell("b"), F.lit(" | "), cell("h"), F.lit(" |"))
 
+    # The published table's labels, headings and rules.
+    rule = F.lit("|--------|----------|--------|")
     lines = [
-        F.lit("| Metric | Baseline | Hybrid |"), F.lit("|--------|----------|--------|"), row("Total images", "total_images", 0),
+        F.lit("| Metric | Baseline | Hybrid |"), rule, row("Total images", "total_images", 0),
         row("Total annotations (masks)", "total_anns", 0), row("Avg masks / image", "avg_masks", 2), row("Median masks / image", "med_masks", 2),
         row("Mean mask area (px²)", "mean_area", 2), row("Median mask area (px²)", "med_area", 2),
-        share("Small (<32² px)", "small"), share("Medium (32²–96² px)", "medium"), share("Large (>96² px)", "large"),
+        rule, F.lit("| **Size bin** | | |"), share("Small (<32² px)", "small"), share("Medium (32²–96² px)", "medium"), share("Large (>96² px)", "large"),
     ]
-    return b.crossJoin(h).select(F.posexplode(F.array(*lines)).alias("n", "line"))
+    both = b.crossJoin(h)
+    if base_hist is not None and hybrid_hist is not None:
+        pack = lambda df, name: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_masks", "images")))).alias(name))
+        both = both.crossJoin(pack(base_hist, "bd")).crossJoin(pack(hybrid_hist, "hd"))
+        lines += [rule, F.lit("| **Masks-per-image distribution** | | |")]
+        cell = lambda m, k: number(F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0)), 0)
+        for k in range(6):
+            label = f"Images with {k} masks" if k < 5 else "Images with 5+ masks"
+            lines.append(F.concat(F.lit(f"| {label} | "), cell(F.col("bd"), k), F.lit(" | "), cell(F.col("hd"), k), F.lit(" |")))
+    return both.select(F.posexplode(F.array(*lines)).alias("n", "line"))
 
 
 def summary(pseudo: DataFrame, evals: DataFrame) -> dict[str, DataFrame]:

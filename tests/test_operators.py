@@ -289,7 +289,7 @@ def test_coverage_counts_pixels(spark):
         assert w.covered_pixels == canvas[w.t : w.b, w.l : w.r].sum()
 
 
-def _loop_windows(heat, sizes, w, h, top_k, nms, pct, rescue):
+def _loop_windows(heat, sizes, w, h, top_k, nms, pct, rescue, covered=None, pixels=None):
     """The windows of one image, step by step."""
     clip = lambda v, lo, hi: max(lo, min(v, hi))
     gh, gw = heat.shape
@@ -304,9 +304,15 @@ def _loop_windows(heat, sizes, w, h, top_k, nms, pct, rescue):
         x1, y1 = clip(math.floor(b[0] / w * gw), 0, gw - 1), clip(math.floor(b[1] / h * gh), 0, gh - 1)
         return heat[y1 : max(y1 + 1, min(gh, math.ceil(b[3] / h * gh))), x1 : max(x1 + 1, min(gw, math.ceil(b[2] / w * gw)))], x1, y1
 
+    def cover(b):
+        return 0.0 if covered is None else covered[b[1] : b[3], b[0] : b[2]].mean()
+
+    def edge(b):
+        return 0.0 if pixels is None else np.hypot(*np.gradient(pixels[b[1] : b[3], b[0] : b[2]])).mean()
+
     def score(b):
         p = cells(b)[0]
-        return 1.5 * p.mean() + p.max() + 2 * p.mean() - 0.1 * sum((b[0] == 0, b[1] == 0, b[2] == w, b[3] == h))
+        return 1.5 * p.mean() + p.max() + 2 * p.mean() * (1 - cover(b)) + 0.5 * edge(b) / 128 - 0.1 * sum((b[0] == 0, b[1] == 0, b[2] == w, b[3] == h))
 
     def iou(a, b):
         i = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
@@ -344,7 +350,7 @@ def _loop_windows(heat, sizes, w, h, top_k, nms, pct, rescue):
             y, x = np.unravel_index(p.argmax(), p.shape)
             for s in px[:2]:
                 q = square((x1 + x + 0.5) / gw * w, (y1 + y + 0.5) / gh * h, s)
-                spots.append((score(q) + 0.5 * p.max() + 0.4 + (0.15 if row != 1 or col != 1 else 0) + bonus, q))
+                spots.append((score(q) + 0.5 * p.max() + 0.4 * (1 - cover(q)) + 0.3 * edge(q) / 128 + (0.15 if row != 1 or col != 1 else 0) + bonus, q))
     spots.sort(key=lambda r: -round(r[0], 9))
     fill(spots, "spatial_rescue", len(out) + rescue)
     fill(raw, "heatmap_fill", top_k)
@@ -363,6 +369,49 @@ def test_heatmap_windows_loop(spark, top_k, rescue):
         assert got == _loop_windows(h, [0.25, 0.35, 0.5], 200, 150, top_k, 0.4, 85.0, rescue)
 
 
+def test_heatmap_windows_with_coverage_and_edges(spark):
+    r = np.random.default_rng(77)
+    heat, w, h = r.permutation(36).reshape(6, 6) / 35, 40, 30
+    pixels = np.zeros((h, w)) + r.integers(0, 256, (h, 1))
+    pixels[:, : w // 3] = r.integers(0, 256, (h, w // 3))
+    boxes = [(2, 3, 18, 20), (10, 1, 25, 9), (30, 20, 40, 30)]
+    covered = np.zeros((h, w), dtype=bool)
+    for left, top, right, bottom in boxes:
+        covered[top:bottom, left:right] = True
+    cells = spark.createDataFrame([(1, y, x, float(heat[y, x])) for y in range(6) for x in range(6)], "image_id int, y int, x int, heat double")
+    images = spark.createDataFrame([(1, w, h)], "image_id int, width int, height int")
+    painted = spark.createDataFrame([(1, *b) for b in boxes], "image_id int, l int, t int, r int, b int")
+    grey = spark.createDataFrame([(1, y, x, float(pixels[y, x])) for y in range(h) for x in range(w)], "image_id int, y int, x int, v double")
+    rows = wn.heatmap_windows(cells, images, [0.3, 0.5], 8, 0.4, 85.0, 3, covered=painted, pixels=grey).orderBy("ord").collect()
+    plain = _loop_windows(heat, [0.3, 0.5], w, h, 8, 0.4, 85.0, 3, covered, pixels)
+    assert [((q.l, q.t, q.r, q.b), q.reason) for q in rows] == plain
+    assert plain != _loop_windows(heat, [0.3, 0.5], w, h, 8, 0.4, 85.0, 3)
+
+
+def test_median_by_counts(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, float(v)) for k, n in ((1, 1), (2, 2), (3, 501), (4, 1000)) for v in r.choice([r.integers(0, 50, n), r.integers(0, 10**6, n)])]
+    rows += [(5, 1e9), (5, 1.0), (5, 2.0), (6, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {q.k: q.median for q in st.median(df, "v", ["k"]).collect()}
+    assert got == {k: float(np.median([v for i, v in rows if i == k])) for k in range(1, 6)}
+    assert st.median(df, "v").first().median == float(np.median([v for _, v in rows if v is not None]))
+    assert st.median(df.filter("k = 6"), "v").first().median is None and st.median(df.filter("k = 6"), "v", ["k"]).collect() == []
+
+
+def test_bundle_parts_are_one_document(spark, tmp_path):
+    images = spark.createDataFrame([(i, f"{i}.jpg") for i in range(40)], "id long, file_name string")
+    anns = spark.createDataFrame([(i, i % 7, float(i)) for i in range(200)], "id long, image_id long, area double")
+    cats = spark.createDataFrame([(1, "object", "object")], "id int, name string, supercategory string")
+    for name, a in (("all", anns), ("none", anns.limit(0))):
+        sinks.write_bundle(str(tmp_path / name), images, a, cats, 'with "quotes"', parts=5)
+        parts = sorted((tmp_path / name).glob("part-*"))
+        doc = json.loads("".join(p.read_text() for p in parts))
+        assert [x["id"] for x in doc["images"]] == list(range(40)) and doc["info"]["description"] == 'with "quotes"' and len(doc["annotations"]) == a.count()
+        back = rd.bundle(spark, str(tmp_path / name))
+        assert back["images"].count() == 40 and back["annotations"].count() == a.count() and back["categories"].count() == 1
+
+
 def test_rescue_that_takes_all_slots(spark):
     """Bounded by default; in compatibility mode the first pass has no end."""
     r = np.random.default_rng(9)
@@ -534,10 +583,8 @@ def test_range_join_reaches_every_image(spark):
     under = {i: {(x, y) for x, y in lattice if any(f.l <= x < f.r and f.t <= y < f.b for f in b)} for i, b in boxes.items()}
     windows = wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5]).collect()
     want = {(i, w.ord): sum(w.x <= x < w.x + w.w and w.y <= y < w.y + w.h for x, y in p) for i, p in under.items() for w in windows}
-    got = {(r.image_id, r.ord): r.covered_points for r in qs.q_range_join_points_all(spark, D).collect()}
+    got = {(r.image_id, r.ord): r.covered_points for r in qs.q_range_join_points(spark, D).collect()}
     assert got == want and len(boxes) > 100
-    few = {(r.image_id, r.ord): r.covered_points for r in qs.q_range_join_points(spark, D).collect()}
-    assert few == {k: n for k, n in got.items() if k[0] % 200 == 1}
 
 
 def test_union_takes_every_mask_of_an_image(spark, monkeypatch):
@@ -547,11 +594,11 @@ def test_union_takes_every_mask_of_an_image(spark, monkeypatch):
     want = {}
     for r in rows:
         want[r.image_id] = [a | b for a, b in zip(want.get(r.image_id, [0] * 64), r.bits)]
-    assert {r.image_id: r.area for r in qs.q_union_masks_all(spark, D).collect()} == {i: sum(v) for i, v in want.items()}
+    assert {r.image_id: r.area for r in qs.q_union_masks(spark, D).collect()} == {i: sum(v) for i, v in want.items()}
     # One pixel a mask, so that each mask left out is missed.
     sparse = spark.createDataFrame([(i, i // 25, [int(k == i % 25) for k in range(64)]) for i in range(75)], "mask_id long, image_id long, bits array<tinyint>")
     monkeypatch.setattr(fx, "masks", lambda spark, d: sparse)
-    assert {r.image_id: r.area for r in qs.q_union_masks_all(spark, D).collect()} == {0: 25, 1: 25, 2: 25}
+    assert {r.image_id: r.area for r in qs.q_union_masks(spark, D).collect()} == {0: 25, 1: 25, 2: 25}
 
 
 def _plain_coco(gt, pred):
