@@ -7,10 +7,11 @@ holds parts of it; they are trained here, on pages that a seeded generator compo
 common layouts, with the article known. Decoding chooses the likeliest set of blocks in which
 no block is kept below one that isn't.
 
+Text right below the root or body is a block of its own, from one block tag to the next.
+
 Defined results: a null or empty page and one without article have an empty text (null ids and urls stay), but
-text right below the root or body is taken where no block's text is;
-a page cut off in the middle is read as far as it goes; repeated rows give a row each; other columns are
-ignored.
+text right below the root or body is taken where nothing else is; a page cut off in the middle is read as far as it goes;
+very long pages are read whole, in time that grows with their length; repeated rows give a row each, an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/!?a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label output ruby rt rp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label output ruby rt rp math mi mn mo mrow msup msub mfrac msqrt object video audio canvas picture".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes xmp svg math object video audio canvas".split())
+RAW = frozenset("script style noscript template iframe noembed noframes svg".split())
 #: These never hold a page's text.
 UNSEEN = frozenset(("head", "title", "textarea", "select", "button", "datalist"))
 CONTROLS = frozenset("input textarea select button option label".split())
@@ -65,7 +66,17 @@ class Page:
                 joined = " ".join("".join(text).split())
                 text.clear()
                 if joined:
-                    self.runs.append((stack[-1][1], joined))
+                    if not stack[-1][1]:
+                        # What root gathered since the last block is this run's.
+                        self.tags.append("#text")
+                        self.parents.append(0)
+                        self.depths.append(1)
+                        self.tokens.append(("#text",))
+                        for x in (self.links, self.inner, self.controls):
+                            x.append(x[0])
+                    self.runs.append((stack[-1][1] or len(self.tags) - 1, joined))
+            if not stack[-1][1]:
+                self.links[0] = self.inner[0] = self.controls[0] = 0
 
         def pop(k: int) -> None:
             nonlocal links, unseen
@@ -156,7 +167,9 @@ class Page:
         flush()
 
 
-FEATURES = 20
+FEATURES = 22
+#: Features of a wide range, taken as logarithms.
+_LARGE = (1, 3, 18, 20, 21)
 
 
 def features(page: Page, odds: dict[str, float]) -> np.ndarray:
@@ -201,14 +214,16 @@ def features(page: Page, odds: dict[str, float]) -> np.ndarray:
         lo, hi = min(own_odds), max(own_odds)
         low[k], high[k] = min(low[p], lo, tag), max(high[p], hi, tag)
         size, many = chars[k], len(children[p])
+        # The siblings before and behind; none counts as an empty one.
+        a, b = children[p][place[k] - 1] if place[k] else 0, children[p][place[k] + 1] if place[k] + 1 < many else 0
         rows.append([
             page.depths[k], size, links[k] / size if size else 0.0, size / (1 + inner[k]), size / total if total else 0.0,
             own[k] / size if size else 0.0, begin[k] / total if total and begin[k] >= 0 else 1.0, place[k], many, kin[k],
             lo, hi, sum(own_odds), low[p], high[p], tag, points[k] / size if size else 0.0, controls[k],
-            chars[p] / many, get("<" + page.tags[p], 0.0),
+            chars[p] / many, get("<" + page.tags[p], 0.0), chars[a] if a else 0, chars[b] if b else 0,
         ])
     x = np.array(rows, dtype=np.float32)
-    x[:, (1, 3, 18)] = np.log1p(x[:, (1, 3, 18)])
+    x[:, _LARGE] = np.log1p(x[:, _LARGE])
     return x
 
 
@@ -231,7 +246,7 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> Trees:
     """Newton boosting of the logistic loss over quantile bins."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
@@ -286,8 +301,8 @@ def decode(page: Page, margin: list[float]) -> list[bool]:
 # Training pages
 
 
-def _page(rng: np.random.Generator) -> tuple[str, list[str]]:
-    """A page and its article's blocks."""
+def _page(rng: np.random.Generator, kinds: list[str] | None = None) -> tuple[str, list[str]]:
+    """A page and its article's blocks; ``kinds`` names the kinds of article to choose from (all by default)."""
     syllables = "ba ke lo mi nu ra se to vi za el or an ist ung tion que ment ado ing".split()
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
@@ -340,8 +355,25 @@ def _page(rng: np.random.Generator) -> tuple[str, list[str]]:
         inner = f"&copy; {phrase(1, 4)} &middot; {prose(1, 4)}" + pick(["", links(4), f"<p>{prose(1, 3)}</p>"])
         return pick([f"<footer>{inner}</footer>", f"<footer{attr('footer')}>{inner}</footer>", f'<div {pick(["class", "id"])}="{pick(["footer", "site-footer", "copyright", "bottom", "colophon"])}">{inner}</div>'])
 
+    def loose() -> str:
+        """Text without a block of its own, lines apart by breaks."""
+        text = prose(1, 6)
+        truth.append(text)
+        return pick([text, text.replace(". ", ".<br>"), f"<b>{text}</b>", f"<span>{text}</span>", re.sub(r"(\S+)$", r'<a href="/x">\1</a>', text)])
+
     def article() -> str:
         parts = []
+        # Pages by hand have no container, one without a name, or one whose name says nothing.
+        kind = pick(kinds or [*["named"] * 8, "bare", "bare", "plain", "plain", "odd", "odd", "loose", "loose", "loose"])
+        if kind == "loose":
+            for _ in range(int(rng.integers(1, 5))):
+                parts.append(loose())
+                if chance(0.5):
+                    parts.append(said(pick(["h2", "h3", "p"]), prose(1, 3)))
+                else:
+                    parts.append(said("h2", phrase(1, 5)) if chance(0.25) else pick(["<hr>", "<p></p>", "<div></div>"]))
+            body = "".join(parts)
+            return pick([body, f"<div>{body}</div>", f"<main>{body}</main>", f"<center>{body}</center>"])
         if chance(0.8):
             parts.append(pick([lambda: said("h1", phrase(1, 12)), lambda: "<header>" + said("h1", phrase(1, 12)) + "</header>"])())
         for _ in range(int(rng.integers(1, 16))):
@@ -373,6 +405,10 @@ def _page(rng: np.random.Generator) -> tuple[str, list[str]]:
             else:
                 parts.append(pick([sidebar, form])())
         inner = "".join(parts)
+        if kind != "named":
+            name = "" if kind == "plain" else f' class="{word()}-{word()}"' if chance(0.5) else f' id="{word()}"'
+            inner = inner if kind == "bare" else f"<div{name}>{inner}</div>"
+            return inner if chance(0.7) or kind == "bare" else f"<div>{inner}</div>"
         if chance(0.6):
             inner = f"<article{attr('post', 'article', 'story', 'entry', 'h-entry') if chance(0.4) else ''}>{inner}</article>"
         else:
@@ -386,14 +422,17 @@ def _page(rng: np.random.Generator) -> tuple[str, list[str]]:
     if chance(0.7):
         after.append(foot())
     rng.shuffle(before)
-    middle = [article()] if chance(0.96) else []
+    furnished = chance(0.88)
+    if not furnished:
+        before, after = [], []
+    middle = [article()] if chance(0.96) or not furnished else []
     if chance(0.2):
         middle = [f'<div class="{pick(["wrapper", "container", "page", "row", "columns"])}">', *middle, *([sidebar()] if chance(0.5) else []), "</div>"]
     return "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join([*before, *middle, *after]) + "</body></html>", truth
 
 
 @functools.lru_cache(maxsize=2)
-def train(pages: int = 600, seed: int = 5) -> tuple[dict[str, float], Trees]:
+def train(pages: int = 1200, seed: int = 5) -> tuple[dict[str, float], Trees]:
     """Tokens' log-odds and the trees, from generated pages."""
     rng = np.random.default_rng(seed)
     made = []
@@ -431,8 +470,8 @@ def extract(sources: list[str], odds: dict[str, float], trees: Trees) -> list[st
     for page, table in zip(pages, tables):
         kept = decode(page, margin[at : at + len(table)])
         at += len(table)
-        # Text right below the root has no block of its own: it counts if nothing else does.
-        runs = [t for k, t in page.runs if k and kept[k]] or [t for k, t in page.runs if not k]
+        # Text right below the root counts in any case if nothing else does.
+        runs = [t for k, t in page.runs if kept[k]] or [t for k, t in page.runs if page.tags[k] == "#text"]
         out.append("\n".join(runs))
     return out
 
@@ -447,7 +486,7 @@ def _batches(batches: Iterator[pa.RecordBatch], odds: dict[str, float], trees: T
             )
 
 
-def main_text(pages: DataFrame, training_pages: int = 600, seed: int = 5) -> DataFrame:
+def main_text(pages: DataFrame, training_pages: int = 1200, seed: int = 5) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     odds, trees = train(training_pages, seed)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
