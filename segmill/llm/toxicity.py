@@ -9,8 +9,10 @@ side, attention weighs the words, and the largest window gives the document's sc
 Training takes a bounded sample of labelled documents: at most ``sample`` of each class, chosen by a hash
 of their ids, of at most ``max_chars`` characters. A toxic document need not be toxic everywhere: after a first round
 on windows at random, it is its highest window that learns the label, and a clean document's highest that learns the opposite.
+Words of a single training text have no vector of their own, so that few labels teach words, not texts; a vector's first number starts
+from the word's share of toxic texts. Scores are probabilities for classes of equal weight; their scale comes from networks that haven't seen the texts.
 
-Defined results: null and empty texts have one empty window and get its score; a null doc_id isn't held out; labels that
+Defined results: null and empty texts have one empty window and get its score; very long texts are read whole, part by part; a null doc_id isn't held out; labels that
 disagree count as toxic; null labels don't count; without labelled documents of both classes every score is
 (toxic + 1) / (labelled + 2); repeated rows give a row each; other columns are ignored.
 """
@@ -154,24 +156,27 @@ class Network:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Scores of UTF-8 texts, over all their windows."""
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.highest(texts) + self.scale[1], -700, 700)))
+
+    def highest(self, texts: list[bytes]) -> np.ndarray:
+        """The highest window's logit of each text."""
         out = np.empty(len(texts))
         for group in _chunks(texts, 200_000):
-            x, at, owner = self._windows([texts[i] for i in group])
-            logit = np.concatenate([self.forward(x, at[i : i + 2048]) for i in range(0, len(at), 2048)])
-            edges = np.flatnonzero(np.diff(owner, prepend=-1))
-            top = np.maximum.reduceat(logit, edges)
-            out[group] = 1 / (1 + np.exp(-(self.scale[0] * top.astype(np.float64) + self.scale[1])))
+            word, char, first, bounds = _all_inputs([texts[i] for i in group])
+            at, owner = place_windows(bounds, len(word))
+            out[group] = np.maximum.reduceat(self.over_windows(word, char, first, at), np.flatnonzero(np.diff(owner, prepend=-1)))
         return out
 
-    def _windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs, windows and their owners of some texts."""
-        code = _CODE[np.frombuffer(b" ".join(texts), dtype=np.uint8)]
-        starts, stops = word_spans(code)
-        x = self.embed(*inputs(code, starts, stops))
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        bounds = np.searchsorted(starts, ends)
-        at, owner = place_windows(np.r_[0, bounds], len(starts))
-        return x, at, owner
+    def over_windows(self, word: np.ndarray, char: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Logits of windows in order; each part of them embeds its own words only, so time grows with the windows."""
+        stop, out = np.append(first, len(char)), []
+        for i in range(0, len(at), 2048):
+            part = at[i : i + 2048]
+            lo, hi = int(part.min()), int(part.max(where=part < len(word), initial=-1)) + 1
+            lo, hi = min(lo, len(word)), max(hi, min(lo, len(word)))
+            x = self.embed(word[lo:hi], char[stop[lo] : stop[hi]], first[lo:hi] - stop[lo])
+            out.append(self.forward(x, np.where(part == len(word), hi - lo, part - lo)))
+        return np.concatenate(out)
 
 
 def place_windows(bounds: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,10 +216,48 @@ def _all_inputs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return word, char, first, np.cumsum(np.concatenate(sizes))
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 256, rate: float = 0.02, seed: int = 3) -> Network:
-    net, rng = Network(seed), np.random.default_rng(seed)
+def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 256, rate: float = 0.02, seed: int = 3, folds: int = 2) -> Network:
+    """A network of all texts, whose scale comes from networks of the other folds' texts (its own texts for ``folds`` below 2)."""
     y = np.array(labels, dtype=np.float32)
+    net = _learn(texts, y, epochs, batch, rate, seed)
+    best, fold = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+    for k in (0, 1):
+        # Dealt within each class, so that every fold has both.
+        fold[y == k] = np.arange(int((y == k).sum())) % max(1, folds)
+    for k in range(folds if folds > 1 else 0):
+        mine, others = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(mine) and len({*y[others].tolist()}) == 2:
+            part = _learn([texts[i] for i in others], y[others], epochs, batch, rate, seed + 1 + k)
+            best[mine] = part.highest([texts[i] for i in mine])
+        else:
+            best[mine] = net.highest([texts[i] for i in mine])
+    net.scale = _scale(best if folds > 1 else net.highest(texts), y)
+    return net
+
+
+def _scale(best: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Two numbers that turn the highest logit into a probability, for classes of equal weight."""
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    middle, spread = float(np.average(best, weights=weight)), max(float(np.std(best)), 1e-6)
+    x, a, b = (best - middle) / spread, 1.0, 0.0
+    for _ in range(2000):
+        e = (1 / (1 + np.exp(-(a * x + b))) - y) * weight
+        a, b = max(1e-3, a - 0.5 * float((e * x).mean())), b - 0.5 * float(e.mean())
+    return np.array([a / spread, b - a * middle / spread], dtype=np.float32)
+
+
+def _learn(texts: list[bytes], y: np.ndarray, epochs: int, batch: int, rate: float, seed: int) -> Network:
+    net, rng = Network(seed), np.random.default_rng(seed)
     word, char, first, bounds = _all_inputs(texts)
+    # A word of a single text tells that text, not its label: only words of two or more have a vector.
+    pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * WORDS + word)
+    there, toxic = (np.bincount(pairs % WORDS, w, WORDS) for w in (None, y[pairs // WORDS]))
+    shared = (there > 1)[:, None]
+    net.p["word"] *= shared
+    # The first number of a vector starts from how far the word's toxic texts are from their expected number, in deviations beyond two.
+    expected = there * y.mean()
+    far = (toxic - expected) / np.sqrt(expected + 1)
+    net.p["word"][:, 0] = np.clip(np.sign(far) * np.maximum(np.abs(far) - 2, 0), -3, 3) * shared[:, 0]
     at, owner = place_windows(bounds, len(word))
     edges = np.searchsorted(owner, np.arange(len(texts) + 1))
     stop = np.append(first, len(char))
@@ -222,16 +265,6 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 2
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)).astype(np.float32)
     step = 0
 
-    def top() -> np.ndarray:
-        out = []
-        for i in range(0, len(at), 2048):
-            part = at[i : i + 2048]
-            lo, hi = int(part.min()), int(part.max(where=part < len(word), initial=-1)) + 1
-            lo, hi = min(lo, len(word)), max(hi, min(lo, len(word)))
-            x = net.embed(word[lo:hi], char[stop[lo] : stop[hi]], first[lo:hi] - stop[lo])
-            out.append(net.forward(x, np.where(part == len(word), hi - lo, part - lo)))
-        return np.concatenate(out)
-
     # Small samples go through more often, so that there are enough steps.
     epochs = max(epochs, min(40, -(-100 * batch // (2 * len(texts)))))
     for epoch in range(epochs):
@@ -239,7 +272,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 2
         if 3 * epoch < epochs:
             chosen = np.unique(some)
         else:
-            logit = top()
+            logit = net.over_windows(word, char, first, at)
             best = np.array([i + int(logit[i:j].argmax()) for i, j in zip(edges, edges[1:])])
             clean = some[y == 0][:, :1].ravel()
             chosen = np.unique(np.concatenate([best, clean]))
@@ -259,7 +292,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 2
             d = (1 / (1 + np.exp(-logit)) - y[who]) * weight[who] / len(who)
             g, d_x = net.gradient(x, local, d.astype(np.float32), kept)
             d_x = d_x[:-1]
-            g["word"] = scatter(word[rows], d_x, WORDS)
+            g["word"] = scatter(word[rows], d_x, WORDS) * shared
             g["char"] = scatter(chars, np.repeat(d_x / np.maximum(sizes, 1)[:, None], sizes, axis=0), CHARS)
             step += 1
             for k, v in net.p.items():
@@ -267,16 +300,6 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 2
                 m += 0.1 * (g[k] - m)
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
-    # Two numbers that turn the highest logit into a probability.
-    best = np.maximum.reduceat(top(), edges[:-1]).astype(np.float64)
-    prior = np.where(y > 0, 0.2 / y.mean(), 0.8 / (1 - y.mean()))
-    spread = max(float(np.std(best)), 1e-6)
-    a, b = 1.0 / spread, -float(np.mean(best)) / spread
-    for _ in range(300):
-        q = 1 / (1 + np.exp(-(a * best + b)))
-        e = (q - y) * prior
-        a, b = a - 0.5 * float((e * best / spread).mean()) / spread, b - 0.5 * float(e.mean())
-    net.scale = np.array([a, b], dtype=np.float32)
     return net
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
-_POWERS = np.cumprod(np.full(1 << 12, 0x100000001B3, dtype=np.uint64))
+_STEP = 12
+_POWERS = np.cumprod(np.full(1 << _STEP, 0x100000001B3, dtype=np.uint64))
+#: What a place of two and of three levels of ``_STEP`` bits adds.
+_FAR = [np.cumprod(np.r_[np.uint64(1), np.full((1 << _STEP) - 1, p, dtype=np.uint64)], dtype=np.uint64) for p in (_POWERS[-1], pow(int(_POWERS[-1]), 1 << _STEP, 1 << 64))]
 
 
 def lower_table(inside) -> np.ndarray:
@@ -30,5 +33,9 @@ def word_hashes(code: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     sizes = stops - starts
     first = np.cumsum(sizes) - sizes
     inside = np.flatnonzero(code)
-    place = np.minimum(np.arange(len(inside)) - np.repeat(first, sizes), len(_POWERS) - 1)
-    return np.add.reduceat(code[inside].astype(np.uint64) * _POWERS[place], first) * _ODD
+    place = np.arange(len(inside)) - np.repeat(first, sizes)
+    weight = _POWERS[place & (1 << _STEP) - 1]
+    for level, powers in enumerate(_FAR, 1):
+        if int(sizes.max()) > 1 << _STEP * level:
+            weight = weight * powers[place >> _STEP * level & (1 << _STEP) - 1]
+    return np.add.reduceat(code[inside].astype(np.uint64) * weight, first) * _ODD

@@ -80,6 +80,67 @@ def test_toxicity_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.score < 0.7 for r in got)
 
 
+def plain_score(net, text):
+    """The network's score of one text, window by window, word by word."""
+    import re
+
+    p, h, wide = net.p, tx.HIDDEN, tx.WIDE
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    data = tx._CODE[np.frombuffer(text, dtype=np.uint8)].tobytes() if text else b""
+    spans = [m.span() for m in re.finditer(rb"[^\x00]+", data)]
+    xs = []
+    for lo, hi in spans:
+        word, char, first = tx.inputs(np.frombuffer(data[lo:hi], dtype=np.uint8), np.array([0]), np.array([hi - lo]))
+        xs.append(p["word"][word[0]] + p["char"][char].mean(axis=0))
+    many, best = max(1, -(-(len(xs) - tx.STRIDE) // tx.STRIDE)), -np.inf
+    for k in range(many):
+        here = xs[k * tx.STRIDE : k * tx.STRIDE + tx.LENGTH]
+        # A window is full length; places behind the text read zeros and get next to no attention.
+        rows = here + [np.zeros(wide)] * (tx.LENGTH - len(here))
+        states = []
+        for side, order in (("f", range(tx.LENGTH)), ("b", range(tx.LENGTH - 1, -1, -1))):
+            s, found = np.zeros(h), [None] * tx.LENGTH
+            for t in order:
+                a, b = rows[t] @ p[f"W{side}"] + p[f"c{side}"], s @ p[f"U{side}"]
+                z, r = sig(a[:h] + b[:h]), sig(a[h : 2 * h] + b[h : 2 * h])
+                new = np.tanh(a[2 * h :] + r * b[2 * h :])
+                s = new + z * (s - new)
+                found[t] = s
+            states.append(found)
+        H = np.array([np.r_[f, b] for f, b in zip(*states)])
+        e = np.array([np.tanh(H[t] @ p["A"]) @ p["a"] if t < len(here) else -30.0 for t in range(tx.LENGTH)])
+        w = np.exp(e - e.max())
+        best = max(best, float((w / w.sum()) @ H @ p["u"] + p["o"][0]))
+    return sig(net.scale[0] * best + net.scale[1])
+
+
+def test_toxicity_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(2)
+    net = tx.Network(4)
+    for k, v in net.p.items():
+        v[...] = rng.normal(0, 0.4, v.shape)
+    net.scale = np.array([0.7, -0.2], dtype=np.float32)
+    words = ["alpha", "Beta", "gr\u00fc\u00dfe", "x1", "a-b", "omega", "\u65e5\u672c"]
+    texts = ["", "one", *(" ".join(rng.choice(words, n)) for n in (5, 31, 32, 33, 47, 48, 49, 200)), "  ,;  "]
+    # Many windows, more than a part holds.
+    texts.append(" ".join(rng.choice([w for w in words if w != "a-b"], 16 * 2100)))
+    data = [t.encode() for t in texts]
+    assert np.allclose(net.score(data)[:-1], [plain_score(net, t) for t in data[:-1]], atol=1e-5)
+    assert np.allclose(net.score(data[-1:]), net.score([b" ".join(data[-1].split()[i : i + 400]) for i in range(0, 16 * 2100, 16)]).max(), atol=1e-5)
+
+
+def test_word_hashes_keep_the_order_of_all_bytes():
+    from segmill.llm.words import word_hashes
+
+    def one(data):
+        return int(word_hashes(np.frombuffer(data, dtype=np.uint8), np.array([0]), np.array([len(data)]))[0])
+
+    for n in (10, 5000, 20_000):
+        data = bytes(np.random.default_rng(n).integers(97, 123, n, dtype=np.uint8))
+        want = sum(b * pow(0x100000001B3, i + 1, 1 << 64) for i, b in enumerate(data)) * 0xD6E8FEB86659FD93 % (1 << 64)
+        assert one(data) == want and one(data[:-2] + data[-1:] + data[-2:-1]) != want or data[-1] == data[-2]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
