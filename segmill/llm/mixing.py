@@ -10,11 +10,13 @@ span in which the budget ends, and only there the order is made out document by
 document gives then follows from its finish times alone.
 
 Running sums never gather a source in one task: a source is parted by the shuffle's hash,
-parts are summed first, and only a part is sorted.
+parts are summed first, and only a part is sorted. Rows that are equal in doc_id, source, text and size are counted first and queue as one,
+so that thousands of them aren't one part's; their own places in the queue follow from their number.
 
 Defined results: size is the number of words (null text: 0); documents of size 0 take part,
-give nothing and count as served when their time comes; repeated rows queue one behind the other; a
-table without words takes nothing; a null source is a source of its own, the last one.
+give nothing and count as served when their time comes; repeated rows queue one behind the other; very long texts count whole; a
+table without words takes nothing, an empty one gives no rows; a null source is a source of its own, the last one, and a null doc_id an id like
+others; other columns are ignored by ``mix`` and kept by ``repeated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,11 +57,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     shuffled = F.xxhash64("doc_id", F.lit(seed), F.xxhash64("text"))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), shuffled.alias("shuffled"))
-    sized = materialise(sized, "sizes")
+    sized = stored = materialise(sized, "sizes")
     n = sized.count()
     parts = int(min(1 << 20, max(64, n // 4_000)))
-    sized = sized.withColumn("part", F.pmod(F.shiftright("shuffled", 32), F.lit(parts)).cast("int"))
-    sums = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"), F.count(F.lit(1)).alias("part_rows"))
+    sized = sized.groupBy("source", "doc_id", "shuffled", "size").agg(F.count(F.lit(1)).alias("rows"))
+    sized = sized.withColumns({"part": F.pmod(F.shiftright("shuffled", 32), F.lit(parts)).cast("int"), "mass": F.col("size") * F.col("rows")})
+    sums = sized.groupBy("source", "part").agg(F.sum("mass").alias("part_size"))
     # The sources' table, from which targets come; a row per source.
     source = targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, epochs)
     sums = sums.withColumn("before", F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -67,13 +70,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3
         F.col("p.source").alias("source"), "part", "before", "rank", "source_size", "target"
     )
     inner = Window.partitionBy("source", "part").orderBy("shuffled", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = sized.withColumn("run", F.sum("size").over(inner))
+    queued = sized.withColumn("run", F.sum("mass").over(inner))
     queued = queued.alias("d").join(sums.alias("p"), F.expr("d.part = p.part AND d.source <=> p.source")).select(
-        "d.doc_id", "d.source", "d.size", "d.shuffled", "p.rank", "p.source_size", "p.target", (F.col("d.run") + F.col("p.before")).alias("upto")
+        "d.doc_id", "d.source", "d.size", "d.shuffled", "d.rows", "p.rank", "p.source_size", "p.target", (F.col("d.run") + F.col("p.before") - F.col("d.mass")).alias("ahead")
     )
+    queued = _each(queued).withColumn("upto", F.col("ahead") + (F.col("copy") + 1) * F.col("size")).drop("rows", "ahead", "copy")
     # A source without words has a target of zero: its documents finish at once.
     finish = lambda k: F.when(F.col("target") > 0, (F.col("upto") + k * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
     queued = materialise(queued, "queue")
+    release(stored)
     spans = int(max(16, min(1 << 20, n // 20_000)))
     turns = queued.filter("size > 0").select(
         "size", F.posexplode(F.array(*[finish(k) for k in range(epochs)])).alias("turn", "finish"), "rank", "shuffled", "doc_id", "source_size"
@@ -106,17 +111,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("served")).alias("taken"), "served", "source", "shuffled")
 
 
+def _each(groups: DataFrame, most: int = 4096) -> DataFrame:
+    """A row for each of a group's ``rows``, numbered from 0 in ``copy``; large groups are dealt out in runs of ``most``."""
+    few = groups.filter(F.col("rows") <= most).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    runs = groups.filter(F.col("rows") > most).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(most).cast("long"))))
+    many = runs.repartition("shuffled", "from").withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + most, F.col("rows")) - 1))).drop("from")
+    return few.unionByName(many)
+
+
 def repeated(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, seed: int = 17) -> DataFrame:
     """The documents, all their columns, each as many times as the mix takes it.
 
-    Rows repeated as they are share their turns: each gets their mean, rounded.
+    Rows of one doc_id, source and text share their turns: each gets the whole part of their mean, and what is left goes to them in the
+    order of all their columns, so that together they are there exactly as often as the mix takes them.
     """
     found = mix(docs, weights, epochs, seed)
-    times = found.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("shuffled").alias("mix_key")).agg(
-        F.round(F.sum("served") / F.count(F.lit(1))).cast("int").alias("times")
-    )
+    key = [F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("shuffled").alias("mix_key")]
+    times = found.groupBy(*key).agg(F.sum("served").alias("served"), F.count(F.lit(1)).alias("rows"))
+    times = materialise(times.select("mix_id", "mix_source", "mix_key", F.floor(F.col("served") / F.col("rows")).alias("times"), (F.col("served") % F.col("rows")).alias("more")), "times")
     shuffled = F.xxhash64("doc_id", F.lit(seed), F.xxhash64("text"))
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), "source", shuffled.alias("hash"))
     same = F.col("id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("hash") == F.col("mix_key"))
-    out = packed.join(times, same).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
-    return out.select("row.*")
+    out = packed.join(times, same).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("row.*")
+    # Equal rows are counted before they meet, so a large group of them is a row here.
+    left = packed.join(times.filter("more > 0"), same).groupBy("mix_id", "mix_source", "mix_key", "more", "row").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("mix_id", "mix_source", "mix_key").orderBy(F.xxhash64("row"), F.to_json("row")).rowsBetween(Window.unboundedPreceding, 0))
+    left = left.withColumn("upto", upto).withColumn("n", F.least(F.col("n"), F.col("more") - F.col("upto") + F.col("n"))).filter("n > 0")
+    return out.unionByName(left.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).select("row.*"))
