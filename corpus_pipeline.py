@@ -1,61 +1,8 @@
-"""The corpus pipeline: toxicity, near-duplicates, mixing, packing. Counted as part of segmill.llm.
+"""The corpus pipeline: toxicity, near-duplicates, mixing, packing. Its stages are in segmill.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept.
-"""
+from segmill.llm.pipeline import STAGES, drop_near_duplicates, drop_toxic, mix_sources, pack_sequences, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from segmill.llm.mixing import repeated
-from segmill.llm.packing import pack
-from segmill.llm.pieces import vocabulary_path
-from segmill.llm.simhash import representatives
-from segmill.llm.toxicity import clean
-from segmill.session import materialise, ship, table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the limit; a null doc_id's rows are judged by their own scores."""
-    ship(spark)
-    return clean(_documents(docs), table(spark, sf_dir, "labels"))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id; of its repeated rows, one."""
-    ship(spark)
-    return representatives(_documents(docs))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    return repeated(_documents(docs))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: a row per piece, as op6."""
-    ship(spark)
-    return pack(_documents(docs), vocabulary_path("word_bpe_49k.json"))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-#: The classifier and the tokens can't be expressed in SQL; tests hold the stages against plain versions.
+#: The classifier and the tokens can't be expressed in SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "drop_near_duplicates", "drop_toxic", "mix_sources", "pack_sequences", "run"]

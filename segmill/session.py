@@ -33,13 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (as in tests) a temporary one is set.
+    Only in local mode, where one machine holds all, a temporary one is set if none is named; a cluster must name it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = jdir.get() if jdir.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="segmill-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
