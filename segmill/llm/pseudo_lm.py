@@ -288,8 +288,10 @@ def _score_batches(batches, v: np.ndarray, label: np.ndarray, inside: np.ndarray
             h = p["b"] + given[0][at[i : i + 8192, 0]]
             for k in range(1, len(PLACES)):
                 h += given[k][at[i : i + 8192, k]]
-            z = np.tanh(h) @ p["O"] + p["c"]
             s = found[i : i + 8192]
+            # Full blocks of rows, so that a window's numbers don't depend on how many others come with it.
+            h = np.concatenate([h, np.zeros((-len(h) % 64, WIDE), dtype=np.float32)])
+            z = (np.tanh(h) @ p["O"] + p["c"])[: len(s)]
             logs[i : i + 8192] = z[np.arange(len(s)), label[s]] - np.log(np.exp(z).sum(axis=1)) + inside[s]
         names, more = ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"], []
         if known is not None:
