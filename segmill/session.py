@@ -47,15 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table into the shared folder and read it back.
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table into the shared folder, in a folder for each value of ``by`` if given, and read it back.
 
     This cuts lineage with files that survive lost executors, so that work which
     several later steps need runs once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/segmill/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._segmill_path = path
     return out
