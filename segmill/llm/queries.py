@@ -84,6 +84,13 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    ship(spark)
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ranked import ranked
 
