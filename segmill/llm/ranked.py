@@ -35,7 +35,7 @@ from .pieces import utf8_column
 from .words import lower_table, word_hashes, word_spans
 
 _CODE = lower_table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 #: Impacts are below 10**6; a level is a span of 4096 of them.
 _LEVEL_BITS = 12
 _HITS = "item int, row_id long, doc_id long, score long"
@@ -137,10 +137,10 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int, kind) -> pa.Array:
 
 def _forward(batches: Iterator[pa.RecordBatch], known: Dictionary) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
+        for at in range(0, whole.num_rows, 250):
+            batch = whole.slice(at, 250)
             n, owner, term, tf = term_counts([t or b"" for t in utf8_column(batch.column("text"))], known)
-            columns = [batch.column("row_id"), batch.column("doc_id"), pa.array(n), _lists(term, owner, len(n), pa.int32()), _lists(tf, owner, len(n), pa.int64())]
+            columns = [batch.column("row_id"), batch.column("doc_id"), pa.array(n), _lists(term, owner, len(n), pa.int32()), _lists(tf, owner, len(n), pa.int32())]
             out = pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "n", "terms", "tfs"])
             yield out.filter(pa.array(n > 0))
 
@@ -331,7 +331,7 @@ def _search_group(docs: DataFrame, items: list, k: int, capacities: tuple[int, .
     pairs = np.array([(i, place[t]) for i, (_, _, ts) in enumerate(items) for t in ts], dtype=np.int64).reshape(-1, 2)
     known = Dictionary(terms)
     source = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "row_id long, doc_id long, n long, terms array<int>, tfs array<long>"
+    schema = "row_id long, doc_id long, n long, terms array<int>, tfs array<int>"
     forward = materialise(source.mapInArrow(lambda b: _forward(b, known), schema), "ranked-forward")
     n_docs, total = forward.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = np.zeros(len(terms), dtype=np.int64)
