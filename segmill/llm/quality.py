@@ -107,6 +107,11 @@ def _means(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, row by row, so that equal passages get equal numbers in any company."""
+    return np.einsum("pi,ij->pj", x, w)
+
+
 def _spread(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of ``values``' rows by index."""
     return np.stack([np.bincount(index, values[:, j], size) for j in range(values.shape[1])], axis=1).astype(values.dtype)
@@ -147,8 +152,8 @@ class Network:
         """The representation of every passage, from the passage alone."""
         p = self.p
         given = np.concatenate([_means(p["word"][x.words], x.first_word), _means(p["gram"][x.grams], x.first_gram), (x.form - self.middle) / self.spread], axis=1)
-        one = np.tanh(given @ p["W"] + p["b"])
-        h = np.tanh(one @ p["H"] + p["d"])
+        one = np.tanh(_times(given, p["W"]) + p["b"])
+        h = np.tanh(_times(one, p["H"]) + p["d"])
         return (h, (given, one)) if keep else h
 
     def attend(self, h: np.ndarray, owner: np.ndarray, keep: bool = False):
@@ -156,12 +161,12 @@ class Network:
         p = self.p
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         run = np.cumsum(np.diff(owner, prepend=-1) != 0) - 1
-        t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        e = (t * s) @ p["a"]
+        t, s = np.tanh(_times(h, p["V"])), _sigmoid(_times(h, p["U"]))
+        e = (t * s * p["a"]).sum(axis=1)
         e = np.exp(e - np.maximum.reduceat(e, first)[run])
         w = e / np.add.reduceat(e, first)[run]
         z = np.add.reduceat(w[:, None] * h, first, axis=0)
-        logit = z @ p["c"] + p["o"]
+        logit = (z * p["c"]).sum(axis=1) + p["o"]
         return (logit, w, (t, s, z, first, run)) if keep else (logit, w)
 
     def gradient(self, x: Passages, d: np.ndarray, h, w, kept, inner) -> dict[str, np.ndarray]:
@@ -293,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, max_chars: int =
     """A network from the labelled documents that aren't held out, or the share of good ones."""
     marked = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("good"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= max_chars)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= max_chars)
     known = marked.join(rows.select("doc_id"), "doc_id", "left_semi")
     by = F.xxhash64("doc_id")
     chosen = known.filter("good = 1").orderBy(by, "doc_id").limit(sample).unionByName(known.filter("good = 0").orderBy(by, "doc_id").limit(sample))
