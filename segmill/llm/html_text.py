@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/!?a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label output ruby rt rp math mi mn mo mrow msup msub mfrac msqrt object video audio canvas picture".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label output ruby rt rp math mi mn mo mrow msup msub mfrac msqrt object video audio canvas picture button select option optgroup textarea datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes svg".split())
 #: These never hold a page's text.
@@ -146,6 +146,7 @@ class Page:
                 continue
             if tag in INLINE:
                 links += tag == "a"
+                unseen += tag in UNSEEN
                 stack.append((tag, stack[-1][1]))
                 continue
             flush()
@@ -153,7 +154,8 @@ class Page:
             found = [tag]
             if m[3]:
                 for a in ATTRIBUTE.finditer(m[3]):
-                    found += [x.lower() for x in PIECE.findall(a[2] or a[3] or a[4] or "")]
+                    # A name of several pieces stays together.
+                    found += [tuple(x.lower() for x in PIECE.findall(name)) for name in (a[2] or a[3] or a[4] or "").split()]
             unseen += tag in UNSEEN
             stack.append((tag, len(self.tags)))
             self.tags.append(tag)
@@ -209,7 +211,8 @@ def features(page: Page, odds: dict[str, float]) -> np.ndarray:
     get = odds.get
     for k in range(1, n):
         p = parents[k]
-        own_odds = [get(t, 0.0) for t in page.tokens[k][1:]] or [0.0]
+        # A name counts by the mean of its pieces.
+        own_odds = [sum(get(t, 0.0) for t in name) / len(name) for name in page.tokens[k][1:] if name] or [0.0]
         tag = get("<" + page.tags[k], 0.0)
         lo, hi = min(own_odds), max(own_odds)
         low[k], high[k] = min(low[p], lo, tag), max(high[p], hi, tag)
@@ -246,8 +249,9 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> Trees:
-    """Newton boosting of the logistic loss over quantile bins."""
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 5, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
+    """Newton boosting of the logistic loss over quantile bins; every tree finds its splits on half of the rows, at random."""
+    rng = np.random.default_rng(0)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
     splits = 2**depth - 1
@@ -258,15 +262,18 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: f
         g, h = y - p, p * (1 - p)
         at = np.zeros(len(x), dtype=np.int64)
         f, t = np.zeros(splits, dtype=np.int64), np.full(splits, np.inf, dtype=np.float32)
+        some = np.flatnonzero(rng.random(len(x)) < 1 / 2)
+        few, fg, fh = binned[some].T.copy(), g[some], h[some]
         for level in range(depth):
             first, count = 2**level - 1, 2**level
             best = np.zeros(count)
+            node_key = (at[some] - first) * bins
             for j, c in enumerate(cuts):
                 if not len(c):
                     continue
-                key = (at - first) * bins + binned[:, j]
-                gs = np.bincount(key, g, count * bins).reshape(count, bins).cumsum(axis=1)
-                hs = np.bincount(key, h, count * bins).reshape(count, bins).cumsum(axis=1)
+                key = node_key + few[j]
+                gs = np.bincount(key, fg, count * bins).reshape(count, bins).cumsum(axis=1)
+                hs = np.bincount(key, fh, count * bins).reshape(count, bins).cumsum(axis=1)
                 gain = gs**2 / (hs + ridge) + (gs[:, -1:] - gs) ** 2 / (hs[:, -1:] - hs + ridge) - gs[:, -1:] ** 2 / (hs[:, -1:] + ridge)
                 gain = gain[:, : len(c)]
                 k = gain.argmax(axis=1)
@@ -301,12 +308,28 @@ def decode(page: Page, margin: list[float]) -> list[bool]:
 # Training pages
 
 
-def _page(rng: np.random.Generator, kinds: list[str] | None = None) -> tuple[str, list[str]]:
-    """A page and its article's blocks; ``kinds`` names the kinds of article to choose from (all by default)."""
+@functools.lru_cache(maxsize=1)
+def _words(n: int = 30_000) -> list[str]:
+    """Words of one to three syllables."""
+    rng = np.random.default_rng(1)
     syllables = "ba ke lo mi nu ra se to vi za el or an ist ung tion que ment ado ing".split()
+    return ["".join(syllables[j] for j in js[:k]) for js, k in zip(rng.integers(len(syllables), size=(n, 3)).tolist(), rng.integers(1, 4, n).tolist())]
+
+
+def _page(rng: np.random.Generator, kinds: list[str] | None = None, mixed: bool = True) -> tuple[str, list[str]]:
+    """A page and its article's blocks; ``kinds`` names the kinds of article to choose from (all by default).
+
+    ``mixed`` pages also have lists of other kinds, larger tables, articles of one such part, controls inside lines, and names that mislead.
+    """
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
-    phrase = lambda a, b: " ".join(word() for _ in range(int(rng.integers(a, b))))
+    pool = _words()
+    word = lambda: pick(pool)
+
+    def phrase(a: int, b: int) -> str:
+        """Words from anywhere in the pool on."""
+        n, at = rng.integers((a, 0), (b, len(pool) - 20)).tolist()
+        return " ".join(pool[at : at + n])
+
     chance = lambda p: rng.random() < p
     sentence = lambda: phrase(3, 20).capitalize() + pick([".", ".", ".", "!", "?", "", "***", "%%%"])
     prose = lambda a, b: " ".join(sentence() for _ in range(int(rng.integers(a, b))))
@@ -317,6 +340,9 @@ def _page(rng: np.random.Generator, kinds: list[str] | None = None) -> tuple[str
 
     def said(tag: str, text: str, a: str = "") -> str:
         truth.append(text)
+        if mixed and chance(0.01):
+            # A control inside its line is left out of it.
+            return f"<{tag}{a}>{text} {control()}</{tag}>"
         inner = text if chance(0.8) else re.sub(r"^(\S+)", r"<b>\1</b>", text) if chance(0.5) else re.sub(r"(\S+)$", r'<a href="/x">\1</a>', text)
         return f"<{tag}{a}>{inner}</{tag}>"
 
@@ -336,6 +362,14 @@ def _page(rng: np.random.Generator, kinds: list[str] | None = None) -> tuple[str
     def form() -> str:
         return f"<form{attr('search', 'login', 'signup', 'newsletter-form')}><label>{phrase(1, 4)}</label><input type=text>{pick(['', f'<p>{sentence()}</p>'])}<button>{word()}</button></form>"
 
+    def control() -> str:
+        return pick(["<button>", "<button type=button>"]) + word() + "</button>"
+
+    def misled() -> str:
+        """A name that speaks of what the page has beside the article, or of a part of it."""
+        part = pick("comments sidebar header footer menu nav ads share related banner widget comment breadcrumb newsletter social tools".split())
+        return pick([f"{pick(['has', 'no', 'with', 'without', 'hide', 'show', 'is'])}-{part}", f"{part}-{pick(['off', 'on', 'closed', 'open', 'hidden', 'left', 'enabled'])}", f"{pick(['post', 'article', 'content', 'entry', 'page'])}-{part}-{word()}"])
+
     def share() -> str:
         return pick([links(3, a=f' class="{pick(["share", "social", "sharing", "tags", "social-links"])}"'), f'<div class="{pick(["share", "social", "byline-share", "tools"])}"><a href="#">{word()}</a> <a href="#">{word()}</a></div>'])
 
@@ -345,7 +379,7 @@ def _page(rng: np.random.Generator, kinds: list[str] | None = None) -> tuple[str
 
     def comments() -> str:
         each = "".join(f'<{(t := pick(["div", "li", "article"]))} class="{pick(["comment", "reply", "comment-body"])}"><p>{pick(["", "<b>" + word() + "</b> "])}{prose(1, 5)}</p></{t}>' for _ in range(int(rng.integers(1, 8))))
-        return f'<{(t := pick(["div", "section", "ol"]))} {pick(["class", "id"])}="{pick(["comments", "comment-list", "discussion", "responses", "disqus", "replies"])}"><h3>{phrase(1, 3)}</h3>{each}</{t}>'
+        return f'<{(t := pick(["div", "section", "ol", "ul"]))} {pick(["class", "id"])}="{pick(["comments", "comment-list", "discussion", "responses", "disqus", "replies"])}"><h3>{phrase(1, 3)}</h3>{each}</{t}>'
 
     def head() -> str:
         inner = pick(["", f"<h1>{phrase(1, 4)}</h1>", f'<a href="/">{phrase(1, 3)}</a>']) + pick(["", f"<p>{sentence()}</p>"]) + pick(["", menu()])
@@ -376,8 +410,10 @@ def _page(rng: np.random.Generator, kinds: list[str] | None = None) -> tuple[str
             return pick([body, f"<div>{body}</div>", f"<main>{body}</main>", f"<center>{body}</center>"])
         if chance(0.8):
             parts.append(pick([lambda: said("h1", phrase(1, 12)), lambda: "<header>" + said("h1", phrase(1, 12)) + "</header>"])())
-        for _ in range(int(rng.integers(1, 16))):
-            r = rng.random()
+        # An article may be a list, a table or a few lines from end to end.
+        only = pick([0.78, 0.79, 0.81, 0.87, 0.885]) if mixed and chance(0.08) else 0.0
+        for _ in range(1 if only and chance(0.6) else int(rng.integers(1, 16))):
+            r = only or rng.random()
             if r < 0.6:
                 parts.append(said("p", prose(1, pick([2, 2, 8, 12]))))
             elif r < 0.7:
@@ -386,12 +422,23 @@ def _page(rng: np.random.Generator, kinds: list[str] | None = None) -> tuple[str
                 parts.append(f"<p><b>{text}<br>")
             elif r < 0.76:
                 parts.append(said(pick(["h2", "h3"]), phrase(1, 8)))
-            elif r < 0.82:
+            elif r < 0.82 and not mixed:
                 parts.append("<ul>" + "".join(said("li", phrase(2, 15)) for _ in range(int(rng.integers(2, 6)))) + "</ul>")
+            elif r < 0.80:
+                item = pick([lambda: phrase(2, 15), lambda: prose(1, 3)])
+                wrapped = chance(0.2)
+                each = "".join("<li>" + said("p", item()) + "</li>" if wrapped else said("li", item()) for _ in range(int(rng.integers(2, 8))))
+                parts.append(f"<{(t := pick(['ul', 'ol', 'ol']))}>{each}</{t}>")
+            elif r < 0.82:
+                parts.append("<dl>" + "".join(said("dt", phrase(1, 5)) + said("dd", prose(1, 3)) for _ in range(int(rng.integers(2, 5)))) + "</dl>")
             elif r < 0.86:
                 parts.append("<blockquote>" + said("p", prose(1, 4)) + "</blockquote>")
-            elif r < 0.89:
+            elif r < 0.89 and not mixed:
                 parts.append("<table><tr>" + "".join(said("td", phrase(1, 5)) for _ in range(4)) + "</tr></table>")
+            elif r < 0.88:
+                parts.append("<table>" + "".join("<tr>" + "".join(said(pick(["td", "td", "th"]), phrase(1, 5)) for _ in range(3)) + "</tr>" for _ in range(int(rng.integers(1, 5)))) + "</table>")
+            elif r < 0.89:
+                parts.append(f'<div class="{pick([misled(), "header-block", "post-header", "entry-header", "article-header", "intro", "lead"])}">' + said("p", prose(1, 6)) + said("p", prose(1, 4)) + "</div>")
             elif r < 0.91:
                 parts.append("<figure><img src=x>" + said("figcaption", sentence()) + "</figure>")
             elif r < 0.93:
@@ -409,12 +456,14 @@ def _page(rng: np.random.Generator, kinds: list[str] | None = None) -> tuple[str
             name = "" if kind == "plain" else f' class="{word()}-{word()}"' if chance(0.5) else f' id="{word()}"'
             inner = inner if kind == "bare" else f"<div{name}>{inner}</div>"
             return inner if chance(0.7) or kind == "bare" else f"<div>{inner}</div>"
+        more = f" {misled()}" if mixed and chance(0.2) else ""
         if chance(0.6):
-            inner = f"<article{attr('post', 'article', 'story', 'entry', 'h-entry') if chance(0.4) else ''}>{inner}</article>"
+            name = attr("post", "article", "story", "entry", "h-entry") if chance(0.4) else ""
+            inner = f"<article{name[:-1] + more + name[-1:] if name else f' class={chr(34)}{more.strip()}{chr(34)}' if more else ''}>{inner}</article>"
         else:
-            inner = f"<{(t := pick(['div', 'div', 'section']))} {pick(['class', 'class', 'id'])}=\"{pick(['content', 'post', 'entry-content', 'article-body', 'story', 'main-text', 'post-content', 'body-text', 'article', 'text'])}\">{inner}</{t}>"
+            inner = f"<{(t := pick(['div', 'div', 'section']))} {pick(['class', 'class', 'id'])}=\"{pick(['content', 'post', 'entry-content', 'article-body', 'story', 'main-text', 'post-content', 'body-text', 'article', 'text'])}{more}\">{inner}</{t}>"
         if chance(0.3):
-            inner = f"<main>{inner}</main>"
+            inner = f"<main{f' class={chr(34)}{misled()}{chr(34)}' if mixed and chance(0.25) else ''}>{inner}</main>"
         return inner
 
     before = [f() for f in (menu, head, advert, notice, form, share) if chance(0.45)]
@@ -422,12 +471,12 @@ def _page(rng: np.random.Generator, kinds: list[str] | None = None) -> tuple[str
     if chance(0.7):
         after.append(foot())
     rng.shuffle(before)
-    furnished = chance(0.88)
+    furnished = chance(0.8)
     if not furnished:
         before, after = [], []
     middle = [article()] if chance(0.96) or not furnished else []
     if chance(0.2):
-        middle = [f'<div class="{pick(["wrapper", "container", "page", "row", "columns"])}">', *middle, *([sidebar()] if chance(0.5) else []), "</div>"]
+        middle = [f'<div class="{pick(["wrapper", "container", "page", "row", "columns"])}{" " + misled() if mixed and chance(0.3) else ""}">', *middle, *([sidebar()] if chance(0.5) else []), "</div>"]
     return "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join([*before, *middle, *after]) + "</body></html>", truth
 
 
@@ -437,8 +486,8 @@ def train(pages: int = 1200, seed: int = 5) -> tuple[dict[str, float], Trees]:
     rng = np.random.default_rng(seed)
     made = []
     for _ in range(pages):
-        source, truth = _page(rng)
-        page, wanted, good = Page(source), 0, [False] * 0
+        source, truth = _page(rng, mixed=rng.random() < 0.5)
+        page, wanted = Page(source), 0
         good = [False] * len(page.tags)
         for k, t in page.runs:
             if wanted < len(truth) and t == " ".join(html.unescape(truth[wanted]).split()):
@@ -452,9 +501,13 @@ def train(pages: int = 1200, seed: int = 5) -> tuple[dict[str, float], Trees]:
     no: dict[str, float] = defaultdict(float)
     for page, good in made:
         for k in range(1, len(page.tags)):
-            for t in {"<" + page.tags[k], *page.tokens[k][1:]}:
+            for t in {"<" + page.tags[k], *(t for name in page.tokens[k][1:] for t in name)}:
                 (yes if good[k] else no)[t] += 1
-    odds = {t: float(np.log((yes[t] + 1) / (no[t] + 1))) for t in {*yes, *no}}
+    odds = {t: float(np.log((yes[t] + 1) / (no[t] + 1))) for t in sorted({*yes, *no})}
+    # Some pages lose names of what is kept at random, so that no good name is needed.
+    for page, good in made:
+        if rng.random() < 0.3:
+            page.tokens = [t[:1] if g and rng.random() < 0.6 else t for t, g in zip(page.tokens, good)]
     x = np.concatenate([features(p, odds)[1:] for p, _ in made])
     y = np.concatenate([np.array(g[1:], dtype=float) for _, g in made])
     return odds, boost(x, y)
