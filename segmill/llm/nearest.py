@@ -9,7 +9,7 @@ double precision from the original vectors and go through a heap; the tiles' hea
 In a block, of vectors that are equal only the k + 1 smallest ids can be among a query's k
 nearest, so a very common vector costs one column.
 
-Defined results: vectors null, zero, empty or with null or non-finite components take no part, as query or
+Defined results: an empty table gives no rows; equal distances go by ascending id; vectors null, zero, empty or with null or non-finite components take no part, as query or
 candidate; only vectors of one dimension are compared; repeated rows count once; rows of one id but
 different vectors are candidates of their own, and aren't candidates of that id's queries; a null id
 takes no part; other columns are ignored.

@@ -14,8 +14,8 @@ so the plan is made on the driver in space that doesn't grow with the corpus:
 All four steps work on (length, how many) runs. Pieces are then numbered within their
 length, without a group in one task, and joined to the plan's runs.
 
-Defined results: a null text is empty (its piece is the end id alone); repeated rows are
-pieces of their own; an empty table packs into none; other columns are ignored.
+Defined results: a null text is empty (its piece is the end id alone); very long texts are tokenised whole and cut into
+full pieces and a rest; a null doc_id stays null; repeated rows are pieces of their own; an empty table packs into none; other columns are ignored.
 """
 
 from __future__ import annotations

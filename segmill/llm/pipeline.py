@@ -27,7 +27,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the limit; a null doc_id's rows are judged by their own scores."""
+    """Documents whose score stays below the limit; a null doc_id's rows are judged by their own scores.
+
+    Labels are the folder's ``labels`` table; ``toxicity.clean`` takes any.
+    """
     ship(spark)
     return clean(_documents(docs), table(spark, sf_dir, "labels"))
 

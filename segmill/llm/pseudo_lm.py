@@ -11,13 +11,13 @@ The counts are a distributed table of one row a word, so it grows with the vocab
 words go along with the tasks; every other word's count is joined. The network reads hashed context words, and
 the number of these inputs follows the vocabulary, from ``INPUTS`` to ``SLOTS``.
 
-All documents take part in counting and training. Every task trains its own copy on the positions of its
-documents that are due in the round; copies are averaged, weighted by their tokens, and go through a
-second round on the other positions, so that the rounds together predict every token once. The driver gets
-sums of bounded size.
+All documents take part in counting and training. Texts are turned into slots once, two bytes a token, equal ones counted; a hash of the text and of the
+copy's number deals them to parts of about ``PART`` tokens, in the order of that hash, so that neither files nor their splitting matter and copies of one text
+are dealt to many parts. Every part trains its own copy of the network on the positions that are due in the round; copies are averaged, weighted by their tokens, and
+go through a second round on the other positions, so that the rounds together predict every token once. The driver gets sums of bounded size.
 
-Defined results: null and empty texts have no tokens, a sum and mean of 0; a corpus without words trains on nothing;
-repeated rows give a row each; a null doc_id stays null; other columns are ignored.
+Defined results: null and empty texts have no tokens, a sum and mean of 0; a corpus without words trains on nothing, an empty table gives no rows;
+very long texts are read whole; repeated rows give a row each, with equal scores; a null doc_id stays null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 from .pieces import utf8_column
 from .words import lower_table, word_hashes, word_spans
 
@@ -37,6 +37,8 @@ SLOT_BITS, INPUT_BITS = 16, 13
 SLOTS, INPUTS, WIDE, CLASSES = 1 << SLOT_BITS, 1 << INPUT_BITS, 16, 64
 PLACES = (-2, -1, 1, 2)
 HEAD = 1 << 17
+#: Tokens of a training part, about.
+PART = 4_000_000
 BLOCK = 1 << 15
 #: Logarithms of counts are summed as integers, so that reruns agree.
 FINE = 1 << 30
@@ -225,18 +227,38 @@ def head_of(words: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]
     return found[order], n[order]
 
 
+def _slot_batches(batches):
+    """(key, data): every text's slots as 16-bit numbers."""
+    for part, texts in _groups(batches):
+        found, bounds = slots(texts)
+        size = np.diff(bounds)
+        offsets = np.r_[0, np.cumsum(size)] * 2
+        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(found.astype("<u2").tobytes())])
+        yield pa.RecordBatch.from_arrays([part.column("key"), data.cast(pa.binary())], ["key", "data"]).filter(pa.array(size > 0))
+
+
+def slot_table(texts: DataFrame) -> DataFrame:
+    """(key, data, copies): the slots of every text, equal texts once."""
+    keyed = texts.filter("text IS NOT NULL").select(F.xxhash64("text").alias("key"), "text")
+    return materialise(keyed.mapInArrow(_slot_batches, "key long, data binary").groupBy("key", "data").agg(F.count(F.lit(1)).alias("copies")), "slots")
+
+
 def _train_batches(batches, v: np.ndarray, label: np.ndarray, turn: int, rounds: int = 2, batch: int = 1024):
     p = shaped(v)
     memory = {k: np.full_like(x, 0.01) for k, x in p.items()}
-    tokens, waiting = 0, []
-    for _, texts in _groups(batches):
-        found, bounds = slots(texts)
-        some = due(bounds, turn, rounds)
-        waiting.append((windows(found, bounds, len(p["E"]))[some], label[found[some]]))
-        tokens += len(found)
-        if sum(len(x) for x, _ in waiting) >= 8 * batch:
-            _pass(p, memory, waiting, batch)
-            waiting = []
+    tokens, waiting, ready = 0, [], 0
+    for group in batches:
+        lists = group.column("data").to_pylist()
+        for at in range(0, len(lists), 200):
+            some_texts = [np.frombuffer(x, dtype="<u2") for x in lists[at : at + 200]]
+            found, bounds = np.concatenate(some_texts).astype(np.int32), np.r_[0, np.cumsum([len(x) for x in some_texts])]
+            some = due(bounds, turn, rounds)
+            waiting.append((windows(found, bounds, len(p["E"]))[some], label[found[some]]))
+            tokens += len(found)
+            ready += len(some)
+            if ready >= 8 * batch:
+                _pass(p, memory, waiting, batch)
+                waiting, ready = [], 0
     _pass(p, memory, waiting, batch)
     if tokens:
         out = flat(p)
@@ -303,8 +325,10 @@ def _score_batches(batches, v: np.ndarray, label: np.ndarray, inside: np.ndarray
             row = (_part() << 40) + seen + np.arange(len(texts))
             more = [pa.array(row), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(words[rare].view(np.int64)))]
             seen += len(texts)
-        upto = np.r_[0.0, np.cumsum(logs)]
-        sums, n = upto[bounds[1:]] - upto[bounds[:-1]], np.diff(bounds)
+        # Each text's numbers are added up by themselves, so that the sum doesn't depend on its company.
+        n, sums = np.diff(bounds), np.zeros(len(texts))
+        full = np.flatnonzero(n)
+        sums[full] = np.add.reduceat(logs, bounds[:-1][full]) if len(full) else 0.0
         out = [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, sums, 0.0))]
         yield pa.RecordBatch.from_arrays(out + (more or [pa.array(np.where(n > 0, sums / np.maximum(n, 1), 0.0))]), names)
 
@@ -337,7 +361,6 @@ def _part() -> int:
 
 def fit(docs: DataFrame, words: DataFrame, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Parameters, classes, log P(slot | class) and the slots' counts, from all documents and their vocabulary."""
-    texts = docs.select("text")
     counts, size = np.zeros(SLOTS), 0
     # At most ``SLOTS`` rows.
     for r in words.groupBy(F.shiftrightunsigned("word", 64 - SLOT_BITS).alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
@@ -346,12 +369,16 @@ def fit(docs: DataFrame, words: DataFrame, rounds: int = 2) -> tuple[np.ndarray,
     label, inside = classes_of(counts)
     v = flat(start(size=inputs_for(size)))
     kind = "block int, part int, weight double, data binary"
+    stored = slot_table(docs.select("text"))
+    each = stored.select("key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "data")
+    dealt = each.repartition(max(1, -(-int(counts.sum()) // PART)), F.xxhash64("key", "copy")).sortWithinPartitions("key", "copy", "data").select("data")
     for turn in range(rounds):
-        copies = texts.mapInArrow(lambda b, v=v, t=turn: _train_batches(b, v, label, t, rounds), kind)
+        copies = dealt.mapInArrow(lambda b, v=v, t=turn: _train_batches(b, v, label, t, rounds), kind)
         some = copies.groupBy("block", (F.col("part") % 64).alias("salt")).applyInArrow(_mean, kind)
         found = some.groupBy("block").applyInArrow(_mean, kind).orderBy("block").collect()
         if found:
             v = np.concatenate([np.frombuffer(r["data"], dtype="<f4") for r in found])
+    release(stored)
     return v, label, inside, counts
 
 

@@ -15,7 +15,7 @@ each tile; a tile emits a forest of its links, never all its pairs.
 Words are split at the bytes 09-0D and 20; h is XXH64 with seed 42. Defined results: a
 null or wordless text has fingerprint zero and is linked like any other; repeated rows
 stay, and share a component; a null doc_id is no candidate for a smallest one, and a component
-of such rows alone has a null id; other columns are ignored.
+of such rows alone has a null id; very long texts are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 4) -> DataFrame:
 
 
 def representatives(docs: DataFrame, threshold: int = 4) -> DataFrame:
-    """One row of each component, all its columns: that of the smallest doc_id (null last), then of the smallest hash of the text."""
+    """One row of each component, all its columns: that of the smallest doc_id (null last), then of the smallest hash of the text, then the first as JSON."""
     prints, named = _grouped(docs, threshold)
     mine = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
     gone = prints.join(named, "fp").filter(~mine.eqNullSafe(F.col("first"))).select("doc_id", "key").distinct()
@@ -258,5 +258,7 @@ def representatives(docs: DataFrame, threshold: int = 4) -> DataFrame:
 
     kept = join(packed, gone, "left_anti")
     if not again.isEmpty():
-        kept = join(kept, again, "left_anti").unionByName(join(kept, again, "left_semi").dropDuplicates(["id", "hash"]))
+        # Of rows that differ in other columns only, the first in their order as JSON.
+        one = join(kept, again, "left_semi").groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row", "id", "hash")
+        kept = join(kept, again, "left_anti").unionByName(one)
     return kept.select("row.*")

@@ -10,7 +10,7 @@ boundary or the tokens disagree, the document goes through again with a wider ov
 at last as one chunk.
 
 Defined results: a null text counts as empty (0 tokens, 0 bytes); repeated rows give a
-row each; a null doc_id stays null; other columns are ignored.
+row each; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ on windows at random, it is its highest window that learns the label, and a clea
 Words of a single training text have no vector of their own, so that few labels teach words, not texts; a vector's first number starts
 from the word's share of toxic texts. Scores are probabilities for classes of equal weight; their scale comes from networks that haven't seen the texts.
 
-Defined results: null and empty texts have one empty window and get its score; very long texts are read whole, part by part; a null doc_id isn't held out; labels that
+Defined results: an empty table of documents gives no rows; null and empty texts have one empty window and get its score; very long texts are read whole, part by part; a null doc_id isn't held out; labels that
 disagree count as toxic; null labels don't count; without labelled documents of both classes every score is
 (toxic + 1) / (labelled + 2); repeated rows give a row each; other columns are ignored.
 """

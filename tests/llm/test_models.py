@@ -212,7 +212,9 @@ def test_rounds_train_on_every_position(monkeypatch):
     found, bounds = lm.slots([t.encode() for t in texts])
     seen = []
     monkeypatch.setattr(lm, "train_step", lambda p, memory, at, label, rate=0.08: seen.append(np.c_[at, label]))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    keyed = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+    batch = pa.Table.from_batches(lm._slot_batches(iter([keyed]))).combine_chunks().to_batches()[0]
+    assert batch.num_rows == 300
     for turn in range(2):
         assert list(lm._train_batches(iter([batch]), lm.flat(lm.start()), np.arange(lm.SLOTS), turn))
     want = np.c_[lm.windows(found, bounds), found]
@@ -221,6 +223,15 @@ def test_rounds_train_on_every_position(monkeypatch):
         assert sorted(np.concatenate([lm.due(bounds, t, rounds) for t in range(rounds)])) == list(range(len(found)))
 
 
+def test_scores_do_not_depend_on_files(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART", 500)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.5, 40) % 500)) for i in range(80)] + [(200 + i, "the same text again and again") for i in range(60)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted(map(tuple, lm.score(docs.repartition(n)).collect())) for n in (2, 5))
+    assert one == two and len({r[2] for r in one if 200 <= r[0] < 260}) == 1
+
+
 def test_words_of_one_slot_are_told_apart(spark, monkeypatch):
     names, by = (f"w{i}" for i in range(10**6)), {}
     while True:
