@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import LARGE_AREA, MEDIUM_AREA, size_bin
+from ..session import materialise
 
 
 def per_image(images: DataFrame, anns: DataFrame) -> DataFrame:
@@ -15,25 +18,36 @@ def per_image(images: DataFrame, anns: DataFrame) -> DataFrame:
     return ids.join(counts, "image_id", "full_outer").select("image_id", F.coalesce("n", F.lit(0)).alias("n_masks"))
 
 
+def with_spans(df: DataFrame, column: str, by: list[str], spans: int = 64) -> DataFrame:
+    """df (a row per distinct value) with ``__span``: which of ``spans`` runs of about equally many rows of its group holds the value.
+
+    The bounds are quantiles from a sketch, written to a table so that all readers see the same ones. They only deal rows out: what
+    is counted over spans is exact.
+    """
+    some = df.groupBy(*by).agg(F.percentile_approx(column, F.array(*[F.lit(k / spans) for k in range(1, spans)]), 10_000).alias("__bounds"))
+    some = materialise(some, "span-bounds")
+    place = reduce(Column.__add__, [(F.col(column) > F.col("__bounds")[k]).cast("int") for k in range(spans - 1)])
+    return (df.join(some, by) if by else df.crossJoin(F.broadcast(some))).withColumn("__span", place).drop("__bounds")
+
+
 def median(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """(by, median): the exact median of whole or rounded values through counts, so that no task holds all values.
 
-    Distinct values are counted (which combines before the shuffle), spans of values are summed, and only the spans that hold the middle are
-    looked into. Nulls don't count; a group without values has no row, and the whole without values a null.
+    Distinct values are counted (which combines before the shuffle) and written once, spans of equally many values are summed, and only the spans that hold
+    the middle are looked into. Nulls don't count; a group without values has no row, and the whole without values a null.
     """
     keys = by or []
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    ends = counts.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__all"))
-    join = lambda a, b: a.join(b, keys) if keys else a.crossJoin(b)
-    span = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 4095)).otherwise(0)
-    spans = join(counts, ends).withColumn("__span", span)
-    upto = Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    sums = spans.groupBy(*keys, "__span").agg(F.sum("__n").alias("__m"), F.first("__all").alias("__all")).withColumn("__before", F.coalesce(F.sum("__m").over(upto), F.lit(0)))
+    spans = with_spans(materialise(counts, "median-counts"), "__v", keys)
+    whole = Window.partitionBy(*keys, *([] if keys else [F.lit(0)]))
+    upto = whole.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spans.groupBy(*keys, "__span").agg(F.sum("__n").alias("__m"))
+    sums = sums.withColumns({"__before": F.coalesce(F.sum("__m").over(upto), F.lit(0)), "__all": F.sum("__m").over(whole)})
     # The middle's places, from 0: one of an odd number, two of an even one.
     low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
-    held = sums.filter((F.col("__before") <= high) & (F.col("__before") + F.col("__m") > low)).select(*keys, "__span", "__before")
+    held = sums.filter((F.col("__before") <= high) & (F.col("__before") + F.col("__m") > low)).select(*keys, "__span", "__before", "__all")
     inner = Window.partitionBy(*keys, "__span").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    near = spans.join(held, [*keys, "__span"]).withColumn("__at", F.col("__before") + F.coalesce(F.sum("__n").over(inner), F.lit(0)))
+    near = spans.join(F.broadcast(held) if not keys else held, [*keys, "__span"]).withColumn("__at", F.col("__before") + F.coalesce(F.sum("__n").over(inner), F.lit(0)))
     at = lambda place: F.max(F.when((F.col("__at") <= place) & (F.col("__at") + F.col("__n") > place), F.col("__v")))
     return near.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
 

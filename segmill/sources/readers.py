@@ -34,20 +34,25 @@ def coco(spark: SparkSession, path: str, swap_wh: bool = False) -> dict[str, Dat
 
 
 def bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A bundle written a record to a line (``sinks.write_bundle``), read line by line: images, annotations, categories."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^,", "")).alias("value")).filter(F.startswith("value", F.lit('{"id"')))
-    kinds = {f.name: f.dataType.elementType for f in spark.range(0).select(F.from_json(F.lit("{}"), BUNDLE).alias("b")).schema["b"].dataType.fields if hasattr(f.dataType, "elementType")}
-    # What only one kind of record has.
-    marks = {"images": '"file_name":', "annotations": '"image_id":', "categories": '"supercategory":'}
-    return {k: lines.filter(F.contains("value", F.lit(m))).select(F.from_json("value", kinds[k]).alias("r")).select("r.*") for k, m in marks.items()}
+    """A bundle written a record to a line (``sinks.write_bundle``), read line by line: images, annotations, categories.
+
+    A record's keys, in any order, tell what it is; a record of no kind raises an error.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"^\s*,", "").alias("value"))
+    keys = F.json_object_keys("value")
+    has = lambda k: F.array_contains("keys", k)
+    kind = F.when(has("supercategory"), "categories").when(has("image_id"), "annotations").when(has("file_name"), "images")
+    found = lines.withColumn("keys", keys).filter("keys IS NOT NULL").withColumn("kind", kind.otherwise(F.raise_error(F.concat(F.lit("no record of a bundle: "), "value"))))
+    schema = spark.range(0).select(F.from_json(F.lit("{}"), BUNDLE).alias("b")).schema["b"].dataType
+    return {k: found.filter(F.col("kind") == k).select(F.from_json("value", schema[k].dataType.elementType).alias("r")).select("r.*") for k in ("images", "annotations", "categories")}
 
 
 def image_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, class, name, length, modified) of root/class[/images]/file; the bytes aren't read."""
+    """(path, class, name, length, modified) of root/class[/images]/file, sorted by path; the bytes aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     parts = F.split("path", "/")
     folder = F.element_at(parts, -2)
-    return files.select("path", F.when(folder == "images", F.element_at(parts, -3)).otherwise(folder).alias("class"), F.element_at(parts, -1).alias("name"), "length", "modificationTime")
+    return files.select("path", F.when(folder == "images", F.element_at(parts, -3)).otherwise(folder).alias("class"), F.element_at(parts, -1).alias("name"), "length", "modificationTime").orderBy("path")
 
 
 def hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise, release
+
 
 def coco_document(images: DataFrame, anns: DataFrame, categories: DataFrame, info: str = "") -> DataFrame:
     """One row with the whole bundle as JSON. For bundles that one reader takes whole; tables go out by :func:`write_split`."""
@@ -23,23 +26,26 @@ def write_coco(path: str, images: DataFrame, anns: DataFrame, categories: DataFr
 def write_bundle(path: str, images: DataFrame, anns: DataFrame, categories: DataFrame, info: str = "", parts: int = 0) -> None:
     """A bundle of any size as a folder of text parts, a record to a line; the parts in the order of their names are one JSON document.
 
-    Lines are sorted by ranges of (section, id), so no task holds more than its part.
+    Lines are sorted by ranges of (section, id, row), nulls first, so no task holds more than its part. Null fields are written as null; repeated and null ids
+    are records like others.
     """
     spark = images.sparkSession
     # Fixed values of the format: the sections' names in their order.
     sections = (("images", images), ("annotations", anns), ("categories", categories))
-    out = None
+    records, marks = [], []
     for k, (name, df) in enumerate(sections):
-        lead = F.lit("{" + f'"info":{{"description":{json.dumps(info)}}},"licenses":[],"images":[' if not k else f'],"{name}":[')
-        open_ = spark.range(1).select(F.lit(k).alias("k"), F.lit(None).cast("long").alias("id"), lead.alias("value"))
-        first = df.agg(F.min("id").alias("__first"))
-        rows = df.select(F.lit(k).alias("k"), F.col("id").cast("long").alias("id"), F.to_json(F.struct(*df.columns)).alias("value")).crossJoin(F.broadcast(first))
-        rows = rows.select("k", "id", F.when(F.col("id") == F.col("__first"), F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))).alias("value"))
-        both = open_.unionByName(rows)
-        out = both if out is None else out.unionByName(both)
-    out = out.unionByName(spark.range(1).select(F.lit(len(sections)).alias("k"), F.lit(None).cast("long").alias("id"), F.lit("]}").alias("value")))
+        value = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        records.append(df.select(F.lit(k).alias("k"), F.col("id").cast("long").alias("id"), value.alias("value")))
+        marks.append("{" + f'"info":{{"description":{json.dumps(info)}}},"licenses":[],"images":[' if not k else f'],"{name}":[')
+    # Rows get numbers of their own, as ids may be null or repeated: just one record of a section is its first.
+    written = materialise(reduce(DataFrame.unionByName, records).withColumn("n", F.monotonically_increasing_id()), "bundle")
+    first = written.groupBy("k").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "n"))["n"].alias("first"))
+    rows = written.join(F.broadcast(first), "k").select("k", F.lit(1).alias("o"), "id", "n", F.when(F.col("n") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    lead = spark.createDataFrame([(k, 0, None, None, text) for k, text in enumerate([*marks, "]}"])], "k int, o int, id long, n long, value string")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out.repartitionByRange(parts, F.asc_nulls_first("k"), F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("k"), F.asc_nulls_first("id")).select("value").write.mode("overwrite").text(path)
+    order = ["k", "o", F.asc_nulls_first("id"), "n"]
+    rows.unionByName(lead).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+    release(written)
 
 
 def write_split(path: str, anns: DataFrame) -> None:
@@ -48,8 +54,24 @@ def write_split(path: str, anns: DataFrame) -> None:
 
 
 def append_checkpoint(path: str, anns: DataFrame, by: str = "class") -> None:
-    """Adds finished classes, so that a run that stops has what it finished."""
-    anns.write.mode("append").partitionBy(by).parquet(path)
+    """Writes finished classes: those in ``anns`` replace what the folder has of them, others stay. Writing a class again, or a run's repeat, doubles nothing."""
+    anns.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def finished(spark: SparkSession, path: str, by: str = "class") -> DataFrame:
+    """The classes that a checkpoint folder holds; none if it isn't there yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path).select(F.col(by).cast("string").alias(by)).distinct()
+    except AnalysisException:
+        return spark.createDataFrame([], f"{by} string")
+
+
+def resume(path: str, anns: DataFrame, by: str = "class") -> DataFrame:
+    """The rows of classes that aren't finished: what a run that stopped has still to do."""
+    done = finished(anns.sparkSession, path, by).withColumnRenamed(by, "__done")
+    return anns.join(F.broadcast(done), F.col(by).cast("string").eqNullSafe(F.col("__done")), "left_anti")
 
 
 def debug_records(candidates: DataFrame) -> DataFrame:
