@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .stats import median
+from ..session import materialise
+from .areas import covered_pixels
+from .stats import median, with_spans
 
 
 def pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -56,23 +58,18 @@ def duplicate_rate(gt: DataFrame, pred: DataFrame, at: float = 0.5) -> DataFrame
 def fragment_rate(gt: DataFrame, pred: DataFrame, at: float = 0.5) -> DataFrame:
     """True objects no single prediction covers, but all that overlap together do.
 
-    The union's IoU needs areas of unions of boxes, which come from sweeping the boxes' own edges.
+    The union's IoU needs areas of unions of boxes, which come from tables over the boxes' own edges.
     """
-    from .windows import coverage
-
     a = gt.select("image_id", F.col("ann_id").alias("gt_id"), "l", "t", "r", "b", "area")
     c = pred.select(F.col("image_id").alias("other"), F.struct("l", "t", "r", "b").alias("c"))
     met = a.join(c, (F.col("image_id") == F.col("other")) & g.boxes_overlap(F.struct("l", "t", "r", "b"), F.col("c")))
     met = met.withColumn("iou", g.box_iou(F.struct("l", "t", "r", "b"), F.col("c")))
-    per = met.groupBy("image_id", "gt_id", "l", "t", "r", "b").agg(F.max("iou").alias("best"), F.collect_list("c").alias("cs")).filter(F.col("best") < at)
-    # Each object stands for an image of its own, so that only its predictions count.
-    key = F.concat_ws("/", "image_id", "gt_id")
-    boxes = per.select(key.alias("image_id"), F.explode("cs").alias("c")).select("image_id", "c.l", "c.t", "c.r", "c.b")
-    mine = per.select(key.alias("image_id"), "l", "t", "r", "b")
-    hull = boxes.groupBy("image_id").agg(F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
-    inside = coverage(mine, boxes).select("image_id", ((F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))).alias("own"), F.col("covered_pixels").alias("both"))
-    whole = coverage(hull, boxes).select("image_id", F.col("covered_pixels").alias("union"))
-    parts = inside.join(whole, "image_id").filter(F.col("both") / (F.col("own") + F.col("union") - F.col("both")) >= at)
+    hull = F.struct(F.min("c.l").alias("l"), F.min("c.t").alias("t"), F.max("c.r").alias("r"), F.max("c.b").alias("b"))
+    per = met.groupBy("image_id", "gt_id", "l", "t", "r", "b").agg(F.max("iou").alias("best"), F.collect_list("c").alias("cs"), hull.alias("hull")).filter(F.col("best") < at)
+    # What the predictions cover together of the object, and at all.
+    per = per.withColumn("px", covered_pixels("cs", F.array(F.struct("l", "t", "r", "b"), "hull")))
+    own, both, union = (F.col("r") - F.col("l")) * (F.col("b") - F.col("t")), F.col("px")[0], F.col("px")[1]
+    parts = per.filter(both / (own + union - both) >= at)
     n = gt.agg(F.count(F.lit(1)).alias("n_gt"))
     return parts.agg(F.count(F.lit(1)).alias("fragmented")).crossJoin(n).withColumn("fragment_rate", F.when(F.col("n_gt") > 0, F.col("fragmented") / F.col("n_gt")).otherwise(0.0))
 
@@ -133,10 +130,8 @@ def average_precision(gt: DataFrame, pred: DataFrame, at: float = 0.5) -> DataFr
     marked = ranked.join(hits, ["image_id", "pred_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
     # By distinct score, so that the running counts need no row order among equals.
     steps = marked.groupBy("score").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
-    # Running counts in two levels: over equal spans of the score, then inside each, so that no task holds all scores.
-    ends = steps.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("hi") - F.col("score")) / (F.col("hi") - F.col("lo")) * 1023)).otherwise(0)
-    steps = steps.crossJoin(ends).select("score", "tp", "n", place.alias("span"))
+    # Running counts in two levels: over spans of equally many scores, highest first, then inside each, so that no task holds all scores.
+    steps = with_spans(materialise(steps, "ap-steps"), "score", []).select("score", "tp", "n", (-F.col("__span")).alias("span"))
     sums = steps.groupBy("span").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
     before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("span", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
@@ -157,12 +152,12 @@ THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 CLASSES = {"all": (0, 10**10), "small": (0, 32**2), "medium": (32**2, 96**2), "large": (96**2, 10**10)}
 
 
-def coco_ap(gt: DataFrame, pred: DataFrame) -> DataFrame:
+def coco_ap(gt: DataFrame, pred: DataFrame, most: int = 100) -> DataFrame:
     """COCO's six figures: AP (mean over IoU .50 to .95), AP50, AP75, APs, APm and APl, by the 101-point envelope.
 
     A size class ignores true objects of other sizes: a prediction takes one only if no free object of the class
     reaches the IoU, and then counts neither way, as does one of another size that takes nothing. A class without
-    true objects has a null. All predictions of an image count, without COCO's cut at 100.
+    true objects has a null. As COCO has it, an image's ``most`` best predictions count (all for 0).
     """
     spark = gt.sparkSession
     classes = spark.createDataFrame([(c, lo, hi) for c, (lo, hi) in CLASSES.items()], "size string, lo long, hi long")
@@ -170,6 +165,7 @@ def coco_ap(gt: DataFrame, pred: DataFrame) -> DataFrame:
     key = ["size", "at"]
     outside = lambda area: ((F.col(area) < F.col("lo")) | (F.col(area) > F.col("hi"))).cast("int")
     ranked = pred.select("image_id", F.col("ann_id").alias("pred_id"), "score", F.col("area").alias("pred_area"), F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "ord")).alias("rank"))
+    ranked = ranked.filter(F.col("rank") <= most) if most > 0 else ranked
     met = pairs(gt, pred).filter(F.col("iou") >= min(THRESHOLDS)).join(gt.select("image_id", F.col("ann_id").alias("gt_id"), F.col("area").alias("gt_area")), ["image_id", "gt_id"])
     cand = met.join(ranked.select("image_id", "pred_id", "rank"), ["image_id", "pred_id"]).crossJoin(variants).filter("iou >= at")
     option = F.struct(outside("gt_area").alias("x"), (-F.col("iou")).alias("i"), F.col("gt_id").alias("g"))
@@ -186,9 +182,7 @@ def coco_ap(gt: DataFrame, pred: DataFrame) -> DataFrame:
     marked = ranked.crossJoin(variants).join(hits, ["image_id", "pred_id", *key], "left").filter(F.coalesce("x", outside("pred_area")) == 0)
     steps = marked.groupBy(*key, "score").agg(F.count("x").alias("tp"), F.count(F.lit(1)).alias("n"))
     # Running counts in two levels, as in average_precision.
-    ends = steps.groupBy(*key).agg(F.min("score").alias("low"), F.max("score").alias("high"))
-    place = F.when(F.col("high") > F.col("low"), F.floor((F.col("high") - F.col("score")) / (F.col("high") - F.col("low")) * 1023)).otherwise(0)
-    steps = steps.join(F.broadcast(ends), key).select(*key, "score", "tp", "n", place.alias("span"))
+    steps = with_spans(materialise(steps, "ap-steps"), "score", key).select(*key, "score", "tp", "n", (-F.col("__span")).alias("span"))
     sums = steps.groupBy(*key, "span").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
     before = Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*key, "span", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))

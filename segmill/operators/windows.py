@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import scoring as s
+from .areas import box_gradients, covered_pixels
 from .greedy import fold, ordered_lists, top_per_group
 
 
@@ -99,31 +100,26 @@ def edge_density(pixels: DataFrame, by: list[str], value: str = "v") -> DataFram
     return steps.groupBy(*by).agg(F.coalesce(F.avg(size), F.lit(0.0)).alias("edge"))
 
 
+def _with_boxes(windows: DataFrame, masks: DataFrame) -> DataFrame:
+    """(image_id, ws, boxes): each image's windows, all their columns, and the boxes of its masks."""
+    rest = [c for c in windows.columns if c != "image_id"]
+    boxes = masks.groupBy("image_id").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in "ltrb"])).alias("boxes"))
+    return windows.groupBy("image_id").agg(F.collect_list(F.struct(*rest)).alias("ws")).join(boxes, "image_id", "left")
+
+
+def _places(ws: Column | str) -> Column:
+    return F.transform(ws, lambda w: F.struct(*[w[c].cast("long").alias(c) for c in "ltrb"]))
+
+
 def coverage(windows: DataFrame, masks: DataFrame) -> DataFrame:
-    """windows with ``covered``: the share of a window under the union of its image's boxes.
+    """windows with ``covered``: the share of a window under the union of its image's boxes, and ``covered_pixels``.
 
-    The union's area comes from the boxes' own grid lines, so it costs boxes squared, not pixels.
+    A summed-area table of each image over the boxes' edges is read at a window's four corners, so windows cost the same however many boxes there are.
     """
-    boxes = masks.groupBy("image_id").agg(F.collect_list(F.struct("l", "t", "r", "b")).alias("boxes"))
-    w = windows.join(boxes, "image_id", "left").withColumn("boxes", F.coalesce("boxes", F.filter(F.array(F.struct(*[F.lit(0).alias(c) for c in "ltrb"])), lambda x: F.lit(False))))
-    me = F.struct("l", "t", "r", "b")
-    cut = F.filter(F.transform("boxes", lambda x: g.box(F.greatest(x["l"], me["l"]), F.greatest(x["t"], me["t"]), F.least(x["r"], me["r"]), F.least(x["b"], me["b"]))), lambda x: (x["l"] < x["r"]) & (x["t"] < x["b"]))
-    w = w.withColumn("cut", cut)
-    xs = F.array_sort(F.array_distinct(F.concat(F.transform("cut", lambda x: x["l"]), F.transform("cut", lambda x: x["r"]))))
-    w = w.withColumn("xs", xs)
-
-    def column(x0: Column, x1: Column) -> Column:
-        spans = F.array_sort(F.transform(F.filter("cut", lambda x: (x["l"] <= x0) & (x["r"] >= x1)), lambda x: F.struct(x["t"].alias("t"), x["b"].alias("b"))))
-        start = F.struct(F.lit(0).alias("sum"), F.lit(-1).alias("end"))
-        return F.aggregate(
-            spans, start,
-            lambda a, x: F.struct((a["sum"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["t"], a["end"]))).alias("sum"), F.greatest(a["end"], x["b"]).alias("end")),
-        )["sum"] * (x1 - x0)
-
-    strips = F.transform(F.slice("xs", F.lit(1), F.greatest(F.lit(0), F.size("xs") - 1)), lambda x, i: column(x, F.get("xs", i + 1)))
-    pixels = F.aggregate(strips, F.lit(0), lambda a, x: a + x)
+    found = _with_boxes(windows, masks).withColumn("px", covered_pixels("boxes", _places("ws")))
+    out = found.select("image_id", F.inline(F.arrays_zip("ws", "px"))).select("image_id", "ws.*", F.col("px").alias("covered_pixels"))
     area = F.greatest(F.lit(1), (F.col("r") - F.col("l")) * (F.col("b") - F.col("t")))
-    return w.withColumn("covered_pixels", pixels).withColumn("covered", F.col("covered_pixels") / area).drop("boxes", "cut", "xs")
+    return out.withColumn("covered", F.col("covered_pixels") / area)
 
 
 def coverage_skip(windows: DataFrame, masks: DataFrame, width: int, height: int, most: float = 0.9) -> DataFrame:
@@ -167,18 +163,18 @@ def rescue_cells(centres: DataFrame, images: DataFrame, cells: DataFrame | None
 
 def box_terms(boxes: DataFrame, key: list[str], covered: DataFrame | None = None, pixels: DataFrame | None = None) -> DataFrame:
     """boxes (image_id, ``key``, l, t, r, b) with ``cover``, their share under ``covered`` (image_id and box), and ``edge``, the mean
-    gradient of ``pixels`` (image_id, y, x, v) cut to the box; 0 where a table isn't given or has nothing of the image.
+    gradient of ``pixels`` (image_id, y, x, v, a full grid) cut to the box; 0 where a table isn't given or has nothing of the image. Both come
+    from summed-area tables of the image.
     """
     out = boxes.withColumns({"cover": F.lit(0.0), "edge": F.lit(0.0)})
     if covered is not None:
         found = coverage(boxes.select("image_id", *key, "l", "t", "r", "b"), covered.select("image_id", "l", "t", "r", "b"))
         out = out.drop("cover").join(found.select("image_id", *key, F.col("covered").alias("cover")), ["image_id", *key])
     if pixels is not None:
-        p = pixels.select(F.col("image_id").alias("__i"), F.col("y").alias("__y"), F.col("x").alias("__x"), F.col("v").alias("__v"))
-        inside = (F.col("__x") >= F.col("l")) & (F.col("__x") < F.col("r")) & (F.col("__y") >= F.col("t")) & (F.col("__y") < F.col("b"))
-        cut = boxes.join(p, (F.col("image_id") == F.col("__i")) & inside).select("image_id", *key, F.col("__y").alias("y"), F.col("__x").alias("x"), F.col("__v").alias("v"))
-        found = edge_density(cut, ["image_id", *key])
-        out = out.drop("edge").join(found, ["image_id", *key], "left").withColumn("edge", F.coalesce("edge", F.lit(0.0)))
+        p = pixels.groupBy("image_id").agg(F.collect_list(F.struct("y", "x", "v")).alias("pixels"))
+        lists = boxes.groupBy("image_id").agg(F.collect_list(F.struct(*key, "l", "t", "r", "b")).alias("ws")).join(p, "image_id", "left")
+        found = lists.withColumn("edge", box_gradients("pixels", _places("ws"))).select("image_id", F.inline(F.arrays_zip("ws", "edge")))
+        out = out.drop("edge").join(found.select("image_id", *[f"ws.{k}" for k in key], "edge"), ["image_id", *key])
     return out
 
 
