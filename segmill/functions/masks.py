@@ -1,7 +1,4 @@
-"""Binary masks as row-major arrays of 0 and 1 with a known width, all in the JVM.
-
-Run lengths, as in COCO, go down the columns and start with the zeros.
-"""
+"""Binary masks as row-major arrays of 0 and 1 with a known width, all in the JVM. Masks of real sizes are run lengths: ``operators.runs``."""
 
 from __future__ import annotations
 
@@ -137,28 +134,3 @@ def border_metrics(counts: Column, pixels: Column, on_image_border: dict[str, Co
     sides = sum((F.when(free[s] & (counts[s] > 0), 1).otherwise(0) for s in free), F.lit(0))
     touch = F.least(F.lit(1.0), on_edge / F.greatest(F.lit(1.0), F.sqrt(pixels)))
     return F.struct(F.when(pixels > 0, touch).otherwise(0.0).alias("touch"), F.when(pixels > 0, sides).otherwise(0).alias("sides"))
-
-
-def rle_counts(m: Column, width: int) -> Column:
-    """Run lengths down the columns, zeros first (a leading 0 where the mask starts with a 1)."""
-    n = F.size(m)
-    height = F.floor(n / width).cast("int")
-    column_major = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(m, (i % height) * width + F.floor(i / height).cast("int")).cast("int"))
-    start = F.struct(F.array(F.lit(0)).alias("runs"), F.lit(0).alias("value"))
-    folded = F.aggregate(
-        column_major,
-        start,
-        lambda s, x: F.struct(
-            F.when(x == s["value"], F.concat(F.slice(s["runs"], F.lit(1), F.size(s["runs"]) - 1), F.array(F.element_at(s["runs"], -1) + 1)))
-            .otherwise(F.concat(s["runs"], F.array(F.lit(1)))).alias("runs"),
-            x.alias("value"),
-        ),
-    )
-    return folded["runs"]
-
-
-def rle_decode(counts: Column, height: Column, width: int) -> Column:
-    """Row-major pixels of run lengths."""
-    runs = F.transform(counts, lambda n, i: F.array_repeat((i % 2).cast("tinyint"), n))
-    column_major = F.flatten(runs)
-    return F.transform(F.sequence(F.lit(0), height * width - 1), lambda i: F.get(column_major, (i % width) * height + F.floor(i / width).cast("int")))

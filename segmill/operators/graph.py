@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..session import materialise, release
+from . import runs as rn
 from .windows import dot, l2_normalise
 
 
@@ -35,37 +36,27 @@ def second_vector(a: np.ndarray) -> np.ndarray:
 
 
 def flood(mask: np.ndarray, seed: int) -> np.ndarray:
-    """The 4-connected part of a mask that holds the seed; empty if the seed is outside."""
-    out = np.zeros_like(mask, dtype=bool)
-    out.flat[seed] = mask.flat[seed]
-    while True:
-        grown = out.copy()
-        grown[1:] |= out[:-1]
-        grown[:-1] |= out[1:]
-        grown[:, 1:] |= out[:, :-1]
-        grown[:, :-1] |= out[:, 1:]
-        grown &= mask.astype(bool)
-        if (grown == out).all():
-            return out
-        out = grown
-
-
-def fill_holes(mask: np.ndarray) -> np.ndarray:
-    """The mask with the background that can't reach the border."""
-    outside = np.pad(~mask.astype(bool), 1, constant_values=True)
-    return ~flood(outside, 0)[1:-1, 1:-1]
+    """The 4-connected part of a mask that holds the seed; empty if the seed is outside. By union of column runs, so it costs runs, not steps."""
+    height, width = mask.shape
+    flat = np.concatenate([[False], mask.astype(bool).ravel(order="F"), [False]])
+    edges = np.flatnonzero(flat[1:] != flat[:-1])
+    none = np.zeros(len(edges) // 2, dtype=np.int64)
+    row, x, y0, y1 = rn.column_runs(none, edges[::2], edges[1::2], np.array([height]))
+    part = rn.labels(row, x, y0, y1)
+    sy, sx = divmod(seed, width)
+    held = np.flatnonzero((x == sx) & (y0 <= sy) & (y1 > sy))
+    change = np.zeros(height * width + 1, dtype=np.int64)
+    if len(held):
+        mine = part == part[held[0]]
+        np.add.at(change, (x * height + y0)[mine], 1)
+        np.add.at(change, (x * height + y1)[mine], -1)
+    return (np.cumsum(change)[:-1] > 0).reshape((height, width), order="F")
 
 
 def filled(masks: DataFrame, width: int, column: str = "bits") -> DataFrame:
-    """masks with their holes filled, a batch of rows at a time."""
-    rest = [c for c in masks.columns if c != column]
-
-    def run(batches):
-        for df in batches:
-            df[column] = [None if b is None else fill_holes(np.asarray(b, dtype=bool).reshape(-1, width)).ravel().astype(np.int8) for b in df[column]]
-            yield df
-
-    return masks.select(*rest, column).mapInPandas(run, masks.select(*rest, column).schema)
+    """masks with their holes filled: the background that can't reach the border."""
+    height = F.floor(F.size(column) / width)
+    return masks.withColumn(column, rn.to_bits(rn.fill_holes(rn.of_bits(column, width), height), width))
 
 
 def oriented(v: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, int, int]:

@@ -13,11 +13,11 @@ from ..functions import scoring as sc
 from ..operators import candidates as cd
 from ..operators import evaluate as ev
 from ..operators import graph as gr
+from ..operators import runs as rn
 from ..operators import stats as st
 from ..operators import windows as wn
 from ..session import shared_dir, ship, table
 from ..sources import readers as rd
-from ..sources import rle
 from ..sources import sinks as sk
 from . import fixtures as fx
 from . import presets as ps
@@ -122,14 +122,15 @@ def q_split_write(spark, d):
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("anns"), F.sum("area").alias("area"))
 
 
-@query(f"WITH {fx.ANN} SELECT source, flag, count(*) AS anns FROM ann GROUP BY 1, 2")
+@query(f"WITH {fx.ANN} SELECT flag, count(*) AS anns, count(DISTINCT ann_id) AS ids FROM ann GROUP BY 1")
 def q_checkpoint_write(spark, d):
-    """Finished classes are appended one run after the other."""
+    """A run that stops after its first class; another that does what is left; and the first class once more, which doubles nothing."""
     path = _path(spark, "finished")
-    a = fx.annotations(spark, d)
-    for source in ("baseline", "crop"):
-        sk.append_checkpoint(path, a.filter(F.col("source") == source), "flag")
-    return spark.read.parquet(path).groupBy("source", "flag").agg(F.count(F.lit(1)).alias("anns"))
+    a = fx.annotations(spark, d).select("ann_id", "flag")
+    sk.append_checkpoint(path, a.filter("flag = 'A'"), "flag")
+    sk.append_checkpoint(path, sk.resume(path, a, "flag"), "flag")
+    sk.append_checkpoint(path, a.filter("flag = 'A'"), "flag")
+    return spark.read.parquet(path).groupBy("flag").agg(F.count(F.lit(1)).alias("anns"), F.countDistinct("ann_id").alias("ids"))
 
 
 @query(f"""WITH {fx.ANN}, r AS (SELECT image_id, source, ann_id, row_number() OVER (PARTITION BY image_id, source ORDER BY ord) AS rank FROM ann),
@@ -303,14 +304,16 @@ cov_cells AS (SELECT DISTINCT cx.k, x0, x1, y0, y1 FROM cx JOIN cy ON cx.k = cy.
 
 @query(f"""WITH {fx.ANN}, {_GRID}, bx AS (SELECT image_id AS k, l, t, r, b FROM ann WHERE source = 'baseline'), {_CELLS},
 cv AS (SELECT k, ord, sum((least(x1, w.x + w.w) - greatest(x0, w.x)) * (least(y1, w.y + w.w) - greatest(y0, w.y))) AS n FROM cov_cells JOIN win w ON x0 < w.x + w.w AND x1 > w.x AND y0 < w.y + w.w AND y1 > w.y GROUP BY 1, 2),
-ev AS (SELECT o_orderkey AS image_id, w.ord, coalesce(n, 0) / CAST(w.w * w.w AS DOUBLE) AS covered FROM orders CROSS JOIN win w LEFT JOIN cv ON k = o_orderkey AND cv.ord = w.ord WHERE w.w < 160)
-SELECT image_id, ord, round(covered, 6) AS covered FROM ev WHERE covered < 0.5""")
+ev AS (SELECT o_orderkey AS image_id, w.ord, CAST(coalesce(n, 0) AS BIGINT) AS covered_pixels, CAST(w.w * w.w AS BIGINT) AS area FROM orders CROSS JOIN win w LEFT JOIN cv ON k = o_orderkey AND cv.ord = w.ord WHERE w.w < 160)
+SELECT image_id, ord, covered_pixels, area FROM ev WHERE 2 * covered_pixels < area""")
 def q_coverage_skip(spark, d):
     """Windows covered less than half by their image's baseline boxes."""
+    ship(spark)
     a = fx.annotations(spark, d)
     win = wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5]).select("ord", F.col("x").alias("l"), F.col("y").alias("t"), (F.col("x") + F.col("w")).alias("r"), (F.col("y") + F.col("h")).alias("b"))
     every = fx.images(spark, d).select(F.col("id").alias("image_id")).crossJoin(F.broadcast(win))
-    return wn.coverage_skip(every, a.filter("source = 'baseline'"), fx.SIZE, fx.SIZE, 0.5).select("image_id", "ord", r6(F.col("covered")).alias("covered"))
+    area = ((F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))).cast("long").alias("area")
+    return wn.coverage_skip(every, a.filter("source = 'baseline'"), fx.SIZE, fx.SIZE, 0.5).select("image_id", "ord", "covered_pixels", area)
 
 
 _MEET = "x.l < y.r AND y.l < x.r AND x.t < y.b AND y.t < x.b"
@@ -323,29 +326,29 @@ gb AS (SELECT DISTINCT k, gl, gt_, gr, gb, xa FROM bx),
 u AS (SELECT cov_cells.k, xa, sum((x1 - x0) * (y1 - y0)) AS n, sum(greatest(0, least(x1, gr) - greatest(x0, gl)) * greatest(0, least(y1, gb.gb) - greatest(y0, gt_))) AS shared FROM cov_cells JOIN gb ON gb.k = cov_cells.k GROUP BY 1, 2)
 SELECT count(*) FILTER (shared / CAST(xa + n - shared AS DOUBLE) >= 0.5) AS fragmented, (SELECT count(*) FROM gt) AS n_gt, round(count(*) FILTER (shared / CAST(xa + n - shared AS DOUBLE) >= 0.5) / (SELECT count(*) FROM gt), 6) AS fragment_rate FROM u""")
 def q_fragment_rate(spark, d):
+    ship(spark)
     return _rounded(ev.fragment_rate(*_gt_pred(spark, d)))
 
 
 def _canvas(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Boxes, covering boxes and pixels of 20 x 20 images, one for every 25 embeddings."""
-    e = table(spark, d, "embeddings")
-    one = e.filter("vec_id % 25 = 0").select(F.floor(F.col("vec_id") / 25).alias("image_id"), "embedding")
+    """Boxes, covering boxes and pixels of 20 x 20 images, one of every embedding."""
+    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "image_id")
     places = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: F.struct((i / 20).cast("int").alias("y"), (i % 20).alias("x"), F.get("embedding", i % 64).cast("double").alias("v")))
-    pixels = one.select("image_id", F.explode(places).alias("p")).select("image_id", "p.*")
-    k = F.col("vec_id") % 25
-    covering = e.select(F.floor(F.col("vec_id") / 25).alias("image_id"), (F.col("vec_id") * 7 % 13).cast("int").alias("l"), (F.col("vec_id") * 5 % 11).cast("int").alias("t"), k.alias("k"))
-    covering = covering.filter("k < 6").select("image_id", "l", "t", (F.col("l") + 2 + F.col("k")).cast("int").alias("r"), (F.col("t") + 3).cast("int").alias("b"))
+    pixels = e.select("image_id", F.explode(places).alias("p")).select("image_id", "p.*")
+    covering = e.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    covering = covering.select("image_id", ((F.col("image_id") * 7 + F.col("k") * 3) % 13).cast("int").alias("l"), ((F.col("image_id") * 5 + F.col("k") * 4) % 11).cast("int").alias("t"), "k")
+    covering = covering.select("image_id", "l", "t", (F.col("l") + 2 + F.col("k")).cast("int").alias("r"), (F.col("t") + 3).cast("int").alias("b"))
     box = F.struct(*[F.element_at("w", i + 1).alias(c) for i, c in enumerate(("ord", "l", "t", "r", "b"))])
     wins = F.array(*[F.array(*map(F.lit, w)) for w in _WINDOWS])
-    boxes = one.select("image_id", F.explode(wins).alias("w")).select("image_id", box.alias("b")).select("image_id", "b.*")
+    boxes = e.select("image_id", F.explode(wins).alias("w")).select("image_id", box.alias("b")).select("image_id", "b.*")
     return boxes, covering, pixels
 
 
 _WINDOWS = ((1, 0, 0, 10, 10), (2, 5, 5, 15, 15), (3, 10, 0, 20, 10), (4, 0, 10, 10, 20), (5, 0, 0, 20, 20), (6, 10, 10, 20, 20))
 
 
-@query(f"""WITH one AS (SELECT vec_id // 25 AS image_id, embedding FROM embeddings WHERE vec_id % 25 = 0), w AS (SELECT * FROM (VALUES {', '.join(map(str, _WINDOWS))}) v(ord, l, t, r, b)),
-cvr AS (SELECT vec_id // 25 AS image_id, vec_id * 7 % 13 AS l, vec_id * 5 % 11 AS t, vec_id * 7 % 13 + 2 + vec_id % 25 AS r, vec_id * 5 % 11 + 3 AS b FROM embeddings WHERE vec_id % 25 < 6),
+@query(f"""WITH one AS (SELECT vec_id AS image_id, embedding FROM embeddings), w AS (SELECT * FROM (VALUES {', '.join(map(str, _WINDOWS))}) v(ord, l, t, r, b)),
+cvr AS (SELECT image_id, (image_id * 7 + k * 3) % 13 AS l, (image_id * 5 + k * 4) % 11 AS t, (image_id * 7 + k * 3) % 13 + 2 + k AS r, (image_id * 5 + k * 4) % 11 + 3 AS b FROM one, range(6) s(k)),
 pix AS (SELECT image_id, i // 20 AS y, i % 20 AS x, CAST(embedding[i % 64 + 1] AS DOUBLE) AS v FROM one, range(400) s(i)),
 cov AS (SELECT image_id, ord, count(*) AS n FROM (SELECT DISTINCT p.image_id, ord, p.y, p.x FROM pix p JOIN w ON p.x >= w.l AND p.x < w.r AND p.y >= w.t AND p.y < w.b JOIN cvr c ON c.image_id = p.image_id AND p.x >= c.l AND p.x < c.r AND p.y >= c.t AND p.y < c.b) GROUP BY 1, 2),
 gg AS (SELECT image_id, ord, v, lag(v) OVER wy AS uy, lead(v) OVER wy AS dy, lag(v) OVER wx AS ux, lead(v) OVER wx AS dx FROM pix p JOIN w ON p.x >= w.l AND p.x < w.r AND p.y >= w.t AND p.y < w.b
@@ -356,6 +359,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY (1 - cover) *
 SELECT image_id, ord, round(cover, 6) AS cover, round(edge, 6) AS edge, round((1 - cover) * (1 + edge / 128), 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 4""")
 def q_ranked_grid(spark, d):
     """Grid windows with coverage and edge detail, the best four of each image."""
+    ship(spark)
     boxes, covering, pixels = _canvas(spark, d)
     return _rounded(wn.ranked_grid(boxes, covering, pixels, 20, 20, 4, 0.9).select("image_id", "ord", "cover", "edge", "score", "rank"))
 
@@ -407,16 +411,18 @@ ch AS (SELECT mask_id, run, g, chr(CAST(48 + ((x >> (5 * g)) & 31) + CASE WHEN g
 SELECT mask_id, string_agg(c, '' ORDER BY run, g) AS packed, (SELECT string_agg(v, '' ORDER BY y, x) FROM p WHERE p.mask_id = ch.mask_id) AS bits FROM ch GROUP BY 1""")
 def q_rle_packed(spark, d):
     """Packed run lengths, and the mask that unpacking and decoding them gives."""
-    m = fx.masks(spark, d).select("mask_id", rle.pack_counts(mk.rle_counts(F.col("bits"), 8)).alias("packed"))
-    back = mk.rle_decode(rle.unpack_counts(F.col("packed")), F.lit(8), 8)
+    ship(spark)
+    m = fx.masks(spark, d).select("mask_id", rn.pack(rn.of_bits("bits", 8)).alias("packed"))
+    back = rn.to_bits(rn.unpack("packed"), 8)
     return m.select("mask_id", "packed", F.array_join(F.transform(back, lambda v: v.cast("string")), "").alias("bits"))
 
 
 @query(f"WITH {fx.MASKS} SELECT mask_id, CASE WHEN mask_id % 2 = 0 THEN 5.5::DOUBLE ELSE CAST(list_sum(bits) AS DOUBLE) END AS area FROM m")
 def q_ann_area(spark, d):
     """The given area, else that of the run lengths."""
+    ship(spark)
     m = fx.masks(spark, d)
-    return m.select("mask_id", cd.ann_area(F.when(F.col("mask_id") % 2 == 0, 5.5), mk.rle_counts(F.col("bits"), 8)).alias("area"))
+    return m.select("mask_id", cd.ann_area(F.when(F.col("mask_id") % 2 == 0, 5.5), rn.of_bits("bits", 8)).alias("area"))
 
 
 @query(f"""WITH RECURSIVE {fx.PIXELS}, bg AS (SELECT mask_id, y, x FROM p WHERE v = 0),

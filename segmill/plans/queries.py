@@ -15,6 +15,7 @@ from ..operators import evaluate as ev
 from ..operators import graph as gr
 from ..operators import greedy as gd
 from ..operators import merge as mg
+from ..operators import runs as rn
 from ..operators import stats as st
 from ..operators import windows as wn
 from ..session import ship, table
@@ -594,10 +595,11 @@ rn AS (SELECT mask_id, v, sum(step) OVER (PARTITION BY mask_id ORDER BY k) AS ru
 al AS (SELECT mask_id, r.run, coalesce(n, 0) AS n FROM (SELECT DISTINCT mask_id FROM ln) CROSS JOIN (SELECT unnest(range(0, 65)) AS run) r LEFT JOIN ln USING (mask_id, run) WHERE r.run <= (SELECT max(run) FROM ln l2 WHERE l2.mask_id = ln.mask_id) OR (r.run = 0))
 SELECT mask_id, string_agg(n, ',' ORDER BY run) AS counts FROM al GROUP BY 1""")
 def q_rle_runs(spark, d):
-    return fx.masks(spark, d).select("mask_id", F.array_join(F.transform(mk.rle_counts(F.col("bits"), 8), lambda x: x.cast("string")), ",").alias("counts"))
+    ship(spark)
+    return fx.masks(spark, d).select("mask_id", F.array_join(F.transform(rn.of_bits("bits", 8), lambda x: x.cast("string")), ",").alias("counts"))
 
 
-from . import more_queries  # noqa: E402, F401  (adds its own)
+from . import more_queries, run_queries  # noqa: E402, F401  (add their own)
 
 
 def queries():

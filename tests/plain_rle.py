@@ -1,10 +1,8 @@
-"""Compressed run lengths as COCO packs them into strings, and polygons."""
+"""Run lengths mask by mask, as the tests' plain versions."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def pack(counts: list[int]) -> str:
@@ -75,36 +73,3 @@ def decode_any(segmentation, height: int, width: int) -> np.ndarray:
     for polygon in segmentation or ():
         m |= polygon_mask(polygon, height, width)
     return m
-
-
-def pack_counts(counts: Column | str) -> Column:
-    """:func:`pack` in the JVM."""
-    counts = F.col(counts) if isinstance(counts, str) else counts
-    change = F.transform(counts, lambda x, i: (x - F.when(i > 2, F.get(counts, i - 2)).otherwise(0)).cast("int"))
-
-    def said(x: Column) -> Column:
-        n = F.lit(7)
-        for k in range(6, 0, -1):
-            n = F.when(x.between(-(1 << (5 * k - 1)), (1 << (5 * k - 1)) - 1), k).otherwise(n)
-        char = lambda k: F.chr(48 + F.call_function("shiftright", x, 5 * k).bitwiseAND(31) + F.when(k < n - 1, 32).otherwise(0))
-        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), char), "")
-
-    return F.array_join(F.transform(change, said), "")
-
-
-def unpack_counts(text: Column | str) -> Column:
-    """:func:`unpack` in the JVM."""
-    text = F.col(text) if isinstance(text, str) else text
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) - 48)
-    start = F.struct(F.array().cast("array<int>").alias("counts"), F.lit(0).alias("x"), F.lit(0).alias("shift"))
-
-    def step(s: Column, c: Column) -> Column:
-        x = s["x"].bitwiseOR(F.call_function("shiftleft", c.bitwiseAND(31), s["shift"]))
-        shift = s["shift"] + 5
-        value = x - F.when(c.bitwiseAND(16) > 0, F.call_function("shiftleft", F.lit(1), shift)).otherwise(0)
-        # From the third run on, a change against the run two before.
-        value = value + F.when(F.size(s["counts"]) > 2, F.element_at(s["counts"], -2)).otherwise(0)
-        more = c.bitwiseAND(32) > 0
-        return F.struct(F.when(more, s["counts"]).otherwise(F.concat(s["counts"], F.array(value))).alias("counts"), F.when(more, x).otherwise(0).alias("x"), F.when(more, shift).otherwise(0).alias("shift"))
-
-    return F.when(text.isNotNull(), F.aggregate(codes, start, step)["counts"])

@@ -22,8 +22,9 @@ def duck():
 
 
 def plain(v):
+    """Values as they are, up to the last bits of a double: both sides round to the same decimals, so ties must fall alike."""
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5)
+        return None if math.isnan(v) else float(f"{v:.12g}") + 0.0
     return float(v) if type(v).__name__ == "Decimal" else v
 
 
