@@ -74,6 +74,15 @@ def needs_border_retry(touch: Column, sides: Column, touch_at: float = 0.5, side
     return (F.coalesce(touch, F.lit(0.0)) >= touch_at) | (F.coalesce(sides, F.lit(0)) >= sides_at)
 
 
+def quality_gate(
+    area_ratio: Column, score: Column, compactness: Column, aspect: Column, touch: Column, sides: Column, fill: Column, crf_iou: Column, min_ratio: float = 1e-4, max_ratio: float = 0.02,
+    min_score: float = 1.0, min_compact: float = 0.22, max_aspect: float = 2.8, max_touch: float = 0.55, max_sides: int = 1, max_fill: float = 0.9, min_crf: float = 0.5,
+) -> Column:
+    """Whether a candidate may be added to labels that are there already; all bounds are included."""
+    shape = area_ratio.between(min_ratio, max_ratio) & (compactness >= min_compact) & (aspect <= max_aspect)
+    return shape & (score >= min_score) & (touch <= max_touch) & (sides <= max_sides) & (fill <= max_fill) & (crf_iou >= min_crf)
+
+
 def union_valid(pixels: Column, ratio: Column, aspect: Column, compactness: Column, max_ratio: float = 0.02, max_aspect: float = 2.8, min_compactness: float = 0.18) -> Column:
     return (pixels > 0) & (ratio <= max_ratio) & (aspect <= max_aspect) & (compactness >= min_compactness)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masks as mk
 from ..functions import scoring as sc
+from . import runs as rn
 from .greedy import top_per_group
 from .merge import merge_candidates, split_fanout
 
@@ -41,25 +42,25 @@ def max_iou(masks: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def refine(cuts: DataFrame, width: int, canvas_width: int, canvas_height: int, least_iou: float = 0.3) -> DataFrame:
-    """cuts: image_id, window_id, mask_id, raw and refined (of ``width``), left, top, crop_score. Scored candidates on the image's canvas.
+    """cuts: image_id, window_id, mask_id, raw and refined (row-major, of ``width``), left, top, crop_score and perhaps right and bottom.
 
-    Windows of any size are resized to ``width`` before; here a mask is put at its window's corner.
+    Scored candidates on the image's canvas. A mask is resized (nearest) to its window, or as large as it is without right and bottom; what lies beyond the canvas
+    is lost. ``counts`` are the run lengths on the canvas, ``bits`` its pixels. Masks whose refinement changed them too much, and empty ones, are left out.
     """
-    good = stable(cuts, least_iou)
-    bits = mk.paste(F.col("refined"), width, canvas_width, canvas_height, F.col("left"), F.col("top"))
-    good = good.withColumn("bits", bits).withColumn("box", mk.bbox(F.col("bits"), canvas_width)).filter(F.col("box").isNotNull())
-    good = good.withColumns({"counts": mk.border_counts(F.col("refined"), width), "pixels": mk.area(F.col("refined"))})
-    height = F.floor(F.size("refined") / width)
-    edges = {"left": F.col("left") == 0, "top": F.col("top") == 0, "right": F.col("left") + width == canvas_width, "bottom": F.col("top") + height == canvas_height}
-    good = good.withColumn("inner", mk.border_metrics(F.col("counts"), F.col("pixels"), edges))
-    h, w = mk.box_size(F.col("box"))
-    good = good.withColumns({
-        "fill": F.greatest(w / F.lit(width), h / height), "area_ratio": mk.area_ratio(F.col("bits")),
-        "compactness": mk.compactness(F.col("bits"), F.col("box")), "aspect": mk.aspect_ratio(F.col("box")), "touch": F.col("inner.touch"), "sides": F.col("inner.sides"),
-    })
+    right = F.col("right") if "right" in cuts.columns else F.col("left") + width
+    bottom = F.col("bottom") if "bottom" in cuts.columns else F.col("top") + F.floor(F.size("refined") / width).cast("int")
+    crop = F.struct(*[c.cast("int").alias(k) for k, c in zip("ltrb", (F.col("left"), F.col("top"), right, bottom))])
+    good = cuts.withColumn("m", rn.placed("raw", "refined", crop, width, canvas_width, canvas_height)).filter((F.col("m.crf_iou") >= least_iou) & (F.col("m.area") > 0))
+    edges = {"left": F.col("left") == 0, "top": F.col("top") == 0, "right": right == canvas_width, "bottom": bottom == canvas_height}
+    h, w = mk.box_size(F.col("m.box"))
+    good = good.select(
+        "*", F.col("m.crf_iou").alias("crf_iou"), F.col("m.counts").alias("counts"), F.col("m.box").alias("box"), mk.border_metrics(F.col("m.edges"), F.col("m.pixels"), edges).alias("inner"),
+        F.greatest(w / (right - F.col("left")), h / (bottom - F.col("top"))).alias("fill"), (F.col("m.area") / (canvas_width * canvas_height)).alias("area_ratio"),
+        (F.col("m.area") / (h * w)).alias("compactness"), mk.aspect_ratio(F.col("m.box")).alias("aspect"),
+    ).select("*", F.col("inner.touch").alias("touch"), F.col("inner.sides").alias("sides"))
     normal = F.col("normal_iou") if "normal_iou" in cuts.columns else F.lit(0.0)
     score = sc.candidate_score(F.col("area_ratio"), F.col("compactness"), F.col("crop_score"), F.col("aspect"), F.col("touch"), F.col("sides"), F.col("fill"), normal, F.col("crf_iou"))
-    return good.select("image_id", "window_id", "mask_id", "bits", "area_ratio", "compactness", "aspect", "touch", "sides", "fill", "crf_iou", score.alias("score"))
+    return good.select("image_id", "window_id", "mask_id", rn.to_bits("counts", canvas_width).alias("bits"), "counts", "area_ratio", "compactness", "aspect", "touch", "sides", "fill", "crf_iou", score.alias("score"))
 
 
 def choose(candidates: DataFrame, per_window: int = 0, reject_shape: bool = True, fill_at: float = 0.9, touch_at: float = 0.5, sides_at: int = 2) -> DataFrame:

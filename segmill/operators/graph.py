@@ -26,12 +26,55 @@ def degrees(edges: DataFrame, by: str = "image_id") -> DataFrame:
     return edges.groupBy(by, "i").agg(F.sum("w").alias("degree"))
 
 
-def second_vector(a: np.ndarray) -> np.ndarray:
-    """The generalised eigenvector of (D - A) v = s D v with the second smallest s; the first largest entry is positive."""
-    d = a.sum(axis=1)
-    root = 1 / np.sqrt(d)
-    _, v = np.linalg.eigh(root[:, None] * (np.diag(d) - a) * root[None, :])
-    v = v[:, 1] * root
+class Affinity:
+    """The matrix that has 1 where the cosine of two unit rows exceeds tau and eps elsewhere, applied block by block.
+
+    Of the matrix only its bits are held, an eighth of a byte each; a block of rows at a time is unpacked for a product.
+    """
+
+    def __init__(self, unit: np.ndarray, tau: float = 0.2, eps: float = 1e-5, block: int = 256):
+        self.n, self.eps, self.block = len(unit), eps, block
+        self.bits = [np.packbits(unit[i : i + block] @ unit.T > tau, axis=1) for i in range(0, self.n, block)]
+        self.degree = self @ np.ones(self.n)
+
+    def rows(self, k: int) -> np.ndarray:
+        return np.unpackbits(self.bits[k], axis=1, count=self.n)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        linked = np.concatenate([self.rows(k) @ x for k in range(len(self.bits))])
+        return (1 - self.eps) * linked + self.eps * x.sum()
+
+
+def second_vector(a: Affinity, tolerance: float = 1e-11) -> np.ndarray:
+    """The generalised eigenvector of (D - A) v = s D v with the second smallest s; the first largest entry is positive.
+
+    The smallest one is known (a constant), so Lanczos steps run in the space without it, each orthogonal to all before, until the
+    equation holds; at the latest after as many steps as there are rows.
+    """
+    n, root = a.n, 1 / np.sqrt(a.degree)
+    if n < 2:
+        return np.ones(n)
+    known = np.sqrt(a.degree) / np.sqrt(a.degree.sum())
+    # The steps so far, the known vector first.
+    basis = [known]
+    away = lambda x: x - np.array(basis).T @ (np.array(basis) @ x)
+    x = away(away(np.random.default_rng(0).standard_normal(n)))
+    diagonal, beside = [], []
+    size = np.linalg.norm(x)
+    for step in range(1, n):
+        basis.append(x / size)
+        y = root * (a @ (root * basis[-1]))
+        diagonal.append(float(y @ basis[-1]))
+        x = away(away(y))
+        size = np.linalg.norm(x)
+        # The last entry of the small problem's vector times what is left over is the equation's error.
+        if step % 8 == 0 or step == n - 1 or size < 1e-13:
+            small = np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1)
+            _, inner = np.linalg.eigh(small)
+            if abs(inner[-1, -1]) * size < tolerance or step == n - 1 or size < 1e-13:
+                break
+        beside.append(float(size))
+    v = root * (np.array(basis[1:]).T @ inner[:, -1])
     return v * np.sign(v[np.abs(v).argmax()] or 1.0)
 
 
@@ -67,6 +110,17 @@ def oriented(v: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, int, in
     return (~fg, int((-v).argmax()), corners) if turn else (fg, int(v.argmax()), corners)
 
 
+def bipartitions(values: DataFrame) -> DataFrame:
+    """values: image_id, y, x, v. (image_id, bits, seed, corners) as :func:`oriented`, one image's grid at a time."""
+
+    def run(key, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["y", "x"])
+        fg, seed, corners = oriented(df.v.to_numpy(dtype=float), (int(df.y.max()) + 1, int(df.x.max()) + 1))
+        return pd.DataFrame({"image_id": [key[0]], "bits": [fg.ravel().astype(int).tolist()], "seed": [seed], "corners": [corners]})
+
+    return values.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(run, "image_id long, bits array<int>, seed int, corners int")
+
+
 def iterative_cut(feat: np.ndarray, shape: tuple[int, int], tau: float = 0.2, rounds: int = 3, eps: float = 1e-5) -> list[np.ndarray]:
     """Masks of one image's patches [n, dim], a round each; a round that repeats the one before or is tiny is empty."""
     feat, painted = feat.astype(float).copy(), np.zeros(shape, dtype=bool)
@@ -78,7 +132,7 @@ def iterative_cut(feat: np.ndarray, shape: tuple[int, int], tau: float = 0.2, ro
             feat[painted.ravel()] = 0
         norm = np.maximum(np.linalg.norm(feat, axis=1, keepdims=True), 1e-12)
         unit = feat / norm
-        fg, seed, _ = oriented(second_vector(np.where(unit @ unit.T > tau, 1.0, eps)), shape)
+        fg, seed, _ = oriented(second_vector(Affinity(unit, tau, eps)), shape)
         mask = flood(fg, seed)
         if before is not None:
             both, either = (mask & before).sum(), (mask | before).sum()
@@ -112,9 +166,9 @@ def ncut(patches: DataFrame, tau: float = 0.2, eps: float = 1e-5) -> DataFrame:
     def run(key, df: pd.DataFrame) -> pd.DataFrame:
         feat, _ = _grid(df)
         unit = feat / np.maximum(np.linalg.norm(feat, axis=1, keepdims=True), 1e-12)
-        a = np.where(unit @ unit.T > tau, 1.0, eps)
-        v, d = second_vector(a), a.sum(axis=1)
-        lap = (np.diag(d) - a) @ v
+        a = Affinity(unit, tau, eps)
+        v, d = second_vector(a), a.degree
+        lap = d * v - a @ v
         s = (v @ lap) / (v @ (d * v))
         return pd.DataFrame({"image_id": key[0], "i": range(len(v)), "v": v, "residual": np.abs(lap - s * d * v).max()})
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import masks as mk
+from ..functions import scoring as sc
 from .greedy import fold, ordered_lists
 
 FIELDS = ["ann_id", "ord", "l", "t", "r", "b", "area"]
@@ -124,8 +126,8 @@ def merge_candidates_image(m, score, protected, *, iou=0.5, top_k=12, min_ratio=
     return own, kept
 
 
-def conservative_merge_image(m, meta, protected, *, iou=0.5, min_ratio=1e-4, max_ratio=0.02, ios=0.85, expand=0.04, max_aspect=2.8, most=2, min_score=1.0, min_compact=0.22, min_merged=0.18, max_touch=0.55, max_sides=1, max_fill=0.9, min_crf=0.5, dup_iou=0.35, dup_inside=0.70):
-    """[(member indexes, score, reason)] of every candidate or merged one; reason is null for those added.
+def conservative_merge_image(m, meta, protected, *, iou=0.5, min_ratio=1e-4, max_ratio=0.02, ios=0.85, expand=0.04, max_aspect=2.8, most=2, min_score=1.0, min_compact=0.22, min_merged=0.18, max_touch=0.55, max_sides=1, max_fill=0.9, min_crf=0.5, dup_iou=0.35, dup_inside=0.70, passed=None):
+    """[(member indexes, score, reason)] of every candidate or merged one; reason is null for those added. ``passed`` is the gate's answer, if it is known.
 
     Reasons: quality, union (members but the best of an invalid union), duplicate, fragment, budget.
     """
@@ -138,6 +140,7 @@ def conservative_merge_image(m, meta, protected, *, iou=0.5, min_ratio=1e-4, max
     ratio = area / m[0].size
     good = (ratio >= min_ratio) & (ratio <= max_ratio) & (score >= min_score) & (compact >= min_compact) & (aspect <= max_aspect)
     good &= (get("touch", 0.0) <= max_touch) & (get("sides", 0) <= max_sides) & (get("fill", 0.0) <= max_fill) & (get("crf_iou", 1.0) >= min_crf)
+    good = good if passed is None else passed
     out += [([int(i)], float(score[i]), "quality") for i in np.flatnonzero(~good)]
     index = np.flatnonzero(good)
     pool = []
@@ -205,15 +208,21 @@ def merge_candidates(masks: DataFrame, width: int, **options) -> DataFrame:
 def conservative_merge(masks: DataFrame, width: int, **options) -> DataFrame:
     """masks: image_id, mask_id, bits, score, protected and, where known, touch, sides, fill, crf_iou. A row per candidate with its reason."""
 
+    known = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in masks.columns else F.lit(d)
+    bounds = {k: v for k, v in options.items() if k in ("min_ratio", "max_ratio", "min_score", "min_compact", "max_aspect", "max_touch", "max_sides", "max_fill", "min_crf")}
+    box = mk.bbox(F.col("bits"), width)
+    gate = sc.quality_gate(mk.area_ratio(F.col("bits")), F.col("score"), mk.compactness(F.col("bits"), box), mk.aspect_ratio(box), known("touch", 0.0), known("sides", 0), known("fill", 0.0), known("crf_iou", 1.0), **bounds)
+    gated = masks.select("image_id", "mask_id", "bits", "score", "protected", gate.alias("passed"))
+
     def run(key, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("mask_id")
         own, rest = df[df.protected], df[~df.protected].reset_index(drop=True)
-        found = conservative_merge_image(_stack(rest.bits.to_list(), width), rest, _stack(own.bits.to_list(), width), **options)
+        found = conservative_merge_image(_stack(rest.bits.to_list(), width), rest, _stack(own.bits.to_list(), width), passed=rest.passed.to_numpy(dtype=bool), **options)
         ids = rest.mask_id.to_numpy()
         rows = [(key[0], ",".join(str(ids[i]) for i in sorted(members)), score, reason) for members, score, reason in found]
         return pd.DataFrame(rows, columns=["image_id", "mask_ids", "score", "reject_reason"])
 
-    return masks.groupBy("image_id").applyInPandas(run, "image_id long, mask_ids string, score double, reject_reason string")
+    return gated.groupBy("image_id").applyInPandas(run, "image_id long, mask_ids string, score double, reject_reason string")
 
 
 def split_fanout(frames: dict[str, DataFrame]) -> DataFrame:

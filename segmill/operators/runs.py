@@ -361,6 +361,65 @@ def decode(packed: Column | str, counts: Column | str, polygons: Column | str, c
     return F.coalesce(back, coded, of_polygons(polygons, height, width))
 
 
+# Windows
+
+
+def _resized(m: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Nearest pixel by centres."""
+    y, x = (((np.arange(n) + 0.5) * k / n).astype(np.int64) for n, k in ((height, m.shape[0]), (width, m.shape[1])))
+    return m[y[:, None], x]
+
+
+def placed(raw: Column | str, refined: Column | str, window: Column | str, width: int, canvas_width: int, canvas_height: int) -> Column:
+    """What a refined mask of a window is on the image's canvas.
+
+    struct(crf_iou: IoU of raw and refined; pixels and edges (top, bottom, left, right): set places of the window-sized mask, and on its edges; counts, area and
+    inclusive box on the canvas). ``raw`` and ``refined`` are row-major, of ``width``; ``window`` is a struct l, t, r, b.
+    """
+    sides = "top", "bottom", "left", "right"
+    corners = "rmin", "cmin", "rmax", "cmax"
+    ints = lambda names: ",".join(f"{n}:int" for n in names)
+
+    @F.arrow_udf(f"struct<crf_iou:double,pixels:bigint,edges:struct<{ints(sides)}>,counts:array<int>,area:bigint,box:struct<{ints(corners)}>>")
+    def run(a: pa.Array, b: pa.Array, q: pa.Array) -> pa.Array:
+        n = len(b)
+        (arow, av), (brow, bv) = _lists(a), _lists(b)
+        afirst, bfirst = np.searchsorted(arow, np.arange(n + 1)), np.searchsorted(brow, np.arange(n + 1))
+        both = np.bincount(brow, (av > 0) & (bv > 0), n) if len(av) == len(bv) else np.array([((av[i:j] > 0) & (bv[k : k + j - i] > 0)).sum() for i, j, k in zip(afirst, afirst[1:], bfirst)])
+        either = np.bincount(arow, av > 0, n) + np.bincount(brow, bv > 0, n) - both
+        windows = np.stack([q.field(c).to_numpy(zero_copy_only=False) for c in "ltrb"], axis=1).astype(np.int64)
+        pixels, edges, box = np.zeros(n, dtype=np.int64), np.zeros((n, 4), dtype=np.int32), np.zeros((n, 4), dtype=np.int32)
+        rows, starts, stops = [], [], []
+        for i, (l, t, r, e) in enumerate(windows.tolist()):
+            m = bv[bfirst[i] : bfirst[i + 1]].reshape(-1, width) > 0
+            if not m.size or r <= l or e <= t:
+                continue
+            m = _resized(m, e - t, r - l)
+            pixels[i], edges[i] = m.sum(), (m[0].sum(), m[-1].sum(), m[:, 0].sum(), m[:, -1].sum())
+            x0, y0 = max(l, 0), max(t, 0)
+            seen = m[y0 - t : max(0, canvas_height - t), x0 - l : max(0, canvas_width - l)]
+            if not seen.any():
+                continue
+            # Column by column, a row of zeros behind each, so that no run goes on in the next.
+            flat = np.concatenate([[0], np.pad(seen, ((0, 1), (0, 0))).ravel(order="F").astype(np.int8)])
+            on, off = np.flatnonzero(np.diff(flat) > 0), np.flatnonzero(np.diff(flat) < 0)
+            x, y = np.divmod(on, len(seen) + 1)
+            top = (x + x0) * canvas_height + y + y0
+            rows.append(np.full(len(on), i))
+            starts.append(top)
+            stops.append(top + off - on)
+            ys, xs = np.flatnonzero(seen.any(axis=1)), np.flatnonzero(seen.any(axis=0))
+            box[i] = ys[0] + y0, xs[0] + x0, ys[-1] + y0, xs[-1] + x0
+        row, start, stop = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (rows, starts, stops))
+        area = np.bincount(row, stop - start, n).astype(np.int64)
+        counts = _to_lists(*from_spans(row, start, stop, np.full(n, canvas_width * canvas_height)), n)
+        pack_ints = lambda values, names: pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in values.T], list(names))
+        iou_ = np.divide(both, either, out=np.zeros(n), where=either > 0)
+        return pa.StructArray.from_arrays([pa.array(iou_), pa.array(pixels), pack_ints(edges, sides), counts, pa.array(area), pack_ints(box, corners)], ["crf_iou", "pixels", "edges", "counts", "area", "box"])
+
+    return run(raw, refined, window)
+
+
 # Connected parts
 
 

@@ -100,8 +100,8 @@ def collapse_categories(anns: DataFrame, name: str = "object") -> tuple[DataFram
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows by a seeded hash of their key, the same on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """n rows by a seeded hash (MD5, so that other engines can say the same) of their key, the same on every run."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
 def ablation_ratios(rows: DataFrame, baseline: str = "baseline") -> DataFrame:

@@ -433,7 +433,7 @@ def q_fill_holes(spark, d):
     return gr.filled(fx.masks(spark, d).select("mask_id", "bits"), 8).select("mask_id", mk.area(F.col("bits")).alias("area"))
 
 
-@query()
+@query("SELECT o_orderkey AS id, 'c' || o_custkey || '/' || o_orderkey || '.jpg' AS file_name, 160 AS width, 160 AS height FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100")
 def q_sample(spark, d):
     """A seeded sample: the operator's own limit."""
     return st.sample(fx.images(spark, d), "id", 100)

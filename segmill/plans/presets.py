@@ -59,8 +59,9 @@ def class_head(files: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return files.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("place") <= n)
 
 
-#: The class list of the five-class subset.
+#: The class lists of the five-class and the ten-class subset.
 CLASSES_5 = ("n01443537", "n02123045", "n02281406", "n02410509", "n02906734")
+CLASSES_10 = ("n01443537", "n02123045", "n02281406", "n02410509", "n02906734", "n03100240", "n03444034", "n04067472", "n04254777", "n07711569")
 
 
 def class_subset(files: DataFrame, by: str, classes: list[str] | tuple[str, ...] = CLASSES_5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,9 +19,10 @@ from ..operators import merge as mg
 from ..operators import runs as rn
 from ..operators import stats as st
 from ..operators import windows as wn
-from ..session import ship, table
+from ..session import shared_dir, ship, table
 from ..sources import readers as rd
 from . import fixtures as fx
+from . import merge_sql as ms
 from . import presets as ps
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,9 +115,10 @@ cells AS (SELECT a.scale, a.w, a.v AS y, b.v AS x FROM ax a JOIN ax b ON a.scale
 win AS (SELECT CAST(row_number() OVER (ORDER BY scale, y, x) AS INTEGER) AS ord, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, w FROM cells)"""
 
 
-@query(f"WITH {_GRID} SELECT ord, x, y, w, w AS h FROM win")
+@query(f"WITH {_GRID} SELECT o_orderkey AS image_id, ord, x, y, w, w AS h FROM orders CROSS JOIN win")
 def q_grid_windows(spark, d):
-    return wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5])
+    """The windows of every image."""
+    return fx.images(spark, d).select(F.col("id").alias("image_id")).crossJoin(F.broadcast(wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5])))
 
 
 @query(f"""WITH {_GRID}, o AS (SELECT o_orderkey AS id, 50 + o_orderkey % 700 AS ww, 50 + o_custkey % 500 AS hh FROM orders),
@@ -322,7 +325,8 @@ _GATE = "area / 25600.0 BETWEEN 0.0001 AND 0.2 AND score >= 10000 AND discount *
 def q_quality_gate(spark, d):
     a = fx.annotations(spark, d)
     sides, touch, fill = F.col("line") % 4, F.col("discount") * 5, F.col("tax") * 12.5
-    good = (F.col("area") / 25600.0).between(0.0001, 0.2) & (F.col("score") >= 10000) & (touch <= 0.4) & (sides <= 1) & (fill <= 0.9)
+    one = F.lit(1.0)
+    good = sc.quality_gate(F.col("area") / 25600.0, F.col("score"), one, one, touch, sides, fill, one, max_ratio=0.2, min_score=10000.0, max_touch=0.4)
     shaped = sc.crop_shape_reject(fill, touch, sides, F.lit(True))
     return a.groupBy("image_id").agg(F.count_if(good).alias("passed"), F.count_if(~good).alias("rejected"), F.count_if(shaped).alias("crop_shaped"))
 
@@ -407,11 +411,19 @@ def q_affinity_degree(spark, d):
     return _rounded(gr.degrees(gr.affinity(fx.patches(spark, d), 0.2)))
 
 
-@query(f"WITH {fx.PATCHES}, v AS (SELECT image_id, y, x, feat[1] AS v FROM pt), f AS (SELECT *, v > avg(v) OVER (PARTITION BY image_id) AS fg FROM v) SELECT image_id, count(*) FILTER (fg) AS n_fg, count(*) FILTER (fg AND y IN (0, 4) AND x IN (0, 4)) AS corners FROM f GROUP BY 1")
+@query(f"""WITH {fx.PATCHES}, v AS (SELECT image_id, y * 5 + x AS i, feat[1] AS v FROM pt), f AS (SELECT *, v > avg(v) OVER (PARTITION BY image_id) AS fg FROM v),
+g AS (SELECT image_id, count(*) FILTER (fg AND i IN (0, 4, 20, 24)) AS corners, arg_max(fg, abs(v)) AS peak, arg_max(i, v) AS hi, arg_min(i, v) AS lo FROM f GROUP BY 1)
+SELECT image_id, string_agg(CAST(CAST(fg <> (corners >= 3 OR NOT peak) AS INTEGER) AS VARCHAR), '' ORDER BY i) AS bits, CAST(any_value(CASE WHEN corners >= 3 OR NOT peak THEN lo ELSE hi END) AS INTEGER) AS seed, CAST(any_value(corners) AS INTEGER) AS corners
+FROM f JOIN g USING (image_id) GROUP BY 1""")
 def q_bipartition(spark, d):
+    """A value of every patch parted at its mean and turned so that the peak is in front; its seed, and the corners in front before."""
+    ship(spark)
     p = fx.patches(spark, d).select("image_id", "y", "x", F.col("feat")[0].alias("v"))
-    fg = F.col("v") > F.avg("v").over(Window.partitionBy("image_id"))
-    return p.withColumn("fg", fg).groupBy("image_id").agg(F.count_if("fg").alias("n_fg"), F.count_if(F.col("fg") & F.col("y").isin(0, 4) & F.col("x").isin(0, 4)).alias("corners"))
+    return gr.bipartitions(p).select("image_id", _said("bits"), "seed", "corners")
+
+
+def _said(bits: str) -> Column:
+    return F.array_join(F.transform(bits, lambda x: x.cast("string")), "").alias(bits)
 
 
 def _signed(v: str) -> Column:
@@ -430,23 +442,23 @@ def q_ncut(spark, d):
 @query()
 def q_iterative_cut(spark, d):
     ship(spark)
-    return gr.cut_masks(fx.patches(spark, d)).select("image_id", "round", "area")
+    return gr.cut_masks(fx.patches(spark, d)).select("image_id", "round", _said("bits"), "area")
 
 
 def _scored_masks(spark, d):
     return fx.masks(spark, d).select("image_id", "mask_id", "bits", F.round(mk.area_ratio(F.col("bits")) * 3 + (F.col("mask_id") % 7) / 10, 6).alias("score"), (F.col("mask_id") % 25 < 3).alias("protected"))
 
 
-@query()
+@query(f"WITH RECURSIVE {ms.MASKS}, {ms.general('g', True)} SELECT image_id, rank, mask_ids, round(score, 6) AS score, area, protected FROM gout")
 def q_merge_candidates(spark, d):
     ship(spark)
-    return mg.merge_candidates(_scored_masks(spark, d), 8, max_ratio=0.8, iou=0.4, ios=0.7, expand=-0.2)
+    return _rounded(mg.merge_candidates(_scored_masks(spark, d), 8, **ms.OPTIONS))
 
 
-@query()
+@query(f"WITH RECURSIVE {ms.MASKS}, {ms.conservative()} SELECT image_id, mask_ids, round(score, 6) AS score, reject_reason FROM cout")
 def q_conservative_merge(spark, d):
     ship(spark)
-    return mg.conservative_merge(_scored_masks(spark, d), 8, max_ratio=0.8, iou=0.4, ios=0.7, expand=-0.2)
+    return _rounded(mg.conservative_merge(_scored_masks(spark, d), 8, **ms.OPTIONS))
 
 
 @query(f"""WITH {fx.MASKS}, q AS (SELECT a.mask_id, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: z[1] * z[2])) AS i, list_sum(a.bits) AS na, list_sum(b.bits) AS nb FROM m a LEFT JOIN m b ON a.image_id = b.image_id AND b.mask_id % 25 < 3 WHERE a.mask_id % 25 >= 3)
@@ -456,19 +468,39 @@ def q_max_iou(spark, d):
     return _rounded(cd.max_iou(m.filter("mask_id % 25 >= 3"), m.filter("mask_id % 25 < 3")).select("mask_id", "normal_iou"))
 
 
-@query()
+#: Cuts of windows: a raw and a refined mask, and the window's corner on a canvas of 24 x 24.
+_REFINED = f"""{fx.PIXELS}, w AS (SELECT vec_id AS mask_id, vec_id // 25 AS image_id, vec_id % 5 AS window_id, vec_id % 3 * 8 AS lft, vec_id // 3 % 3 * 8 AS top FROM embeddings),
+rf AS (SELECT mask_id, y, x, v AS raw, CASE WHEN (y * 8 + x) % 9 = 4 THEN 0 ELSE v END AS v FROM p),
+fa AS (SELECT mask_id, sum(v) AS area, sum(v) / nullif(sum(raw), 0) AS crf_iou, sum(v) FILTER (y = 0) AS et, sum(v) FILTER (y = 7) AS eb, sum(v) FILTER (x = 0) AS el, sum(v) FILTER (x = 7) AS er,
+  max(y) FILTER (v = 1) - min(y) FILTER (v = 1) + 1 AS h, max(x) FILTER (v = 1) - min(x) FILTER (v = 1) + 1 AS wd FROM rf GROUP BY 1),
+fb AS (SELECT w.*, area, crf_iou, h, wd, CASE WHEN top = 0 THEN 0 ELSE et END AS et, CASE WHEN top = 16 THEN 0 ELSE eb END AS eb, CASE WHEN lft = 0 THEN 0 ELSE el END AS el, CASE WHEN lft = 16 THEN 0 ELSE er END AS er FROM fa JOIN w USING (mask_id) WHERE crf_iou >= 0.3 AND area > 0),
+fc AS (SELECT image_id, window_id, mask_id, area / 576.0::DOUBLE AS area_ratio, area / CAST(h * wd AS DOUBLE) AS compactness, greatest(h, wd) / CAST(least(h, wd) AS DOUBLE) AS aspect, least(1.0::DOUBLE, (et + eb + el + er) / greatest(1.0::DOUBLE, sqrt(area))) AS touch,
+  (et > 0)::INT + (eb > 0)::INT + (el > 0)::INT + (er > 0)::INT AS sides, greatest(h, wd) / 8.0::DOUBLE AS fill, crf_iou FROM fb),
+fs AS (SELECT *, 1.4 * exp(-0.5 * pow((log10(area_ratio) - log10(0.004::DOUBLE)) / 0.65, 2)) + 1.1 * compactness + 0.7 * 0.5 + 0.5 * crf_iou - least(1.0::DOUBLE, greatest(0.0::DOUBLE, (aspect - 3.0) / 4.0)) - 1.2 * greatest(touch, sides / 4.0::DOUBLE)
+  - CASE WHEN sides >= 2 AND fill > 0.75 THEN least(1.0::DOUBLE, (fill - 0.75) / 0.25) ELSE 0 END AS score FROM fc)"""
+
+
+def _cuts(spark, d) -> DataFrame:
+    refined = F.transform("bits", lambda x, i: F.when(i % 9 == 4, 0).otherwise(x).cast("tinyint"))
+    k = F.col("mask_id")
+    return fx.masks(spark, d).select("image_id", (k % 5).alias("window_id"), "mask_id", F.col("bits").alias("raw"), refined.alias("refined"), (k % 3 * 8).cast("int").alias("left"), (F.floor(k / 3) % 3 * 8).cast("int").alias("top"), F.lit(2.0).alias("crop_score"))
+
+
+@query(f"""WITH {_REFINED}, k AS (SELECT *, row_number() OVER (PARTITION BY image_id, window_id ORDER BY score DESC, mask_id) AS n FROM fs WHERE NOT (fill >= 1.01 AND (touch >= 0.5 OR sides >= 2)))
+SELECT image_id, window_id, mask_id, round(area_ratio, 6) AS area_ratio, round(compactness, 6) AS compactness, round(aspect, 6) AS aspect, round(touch, 6) AS touch, CAST(sides AS INTEGER) AS sides, round(fill, 6) AS fill, round(crf_iou, 6) AS crf_iou, round(score, 6) AS score FROM k WHERE n <= 3""")
 def q_refine_candidates(spark, d):
-    m = fx.masks(spark, d)
-    cuts = m.select("image_id", (F.col("mask_id") % 5).alias("window_id"), "mask_id", F.col("bits").alias("raw"), F.transform("bits", lambda x, i: F.when(i % 9 == 4, 0).otherwise(x).cast("tinyint")).alias("refined"),
-                    (F.col("mask_id") % 3 * 8).cast("int").alias("left"), (F.floor(F.col("mask_id") / 3) % 3 * 8).cast("int").alias("top"), F.lit(2.0).alias("crop_score"))
-    return _rounded(cd.choose(cd.refine(cuts, 8, 24, 24), per_window=3, fill_at=1.01).drop("bits"))
+    ship(spark)
+    return _rounded(cd.choose(cd.refine(_cuts(spark, d), 8, 24, 24), per_window=3, fill_at=1.01).drop("bits", "counts"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ms.MASKS}, {ms.general('a', False)}, {ms.general('b', True)}
+SELECT 'multiscale' AS split, image_id, rank, mask_ids, round(score, 6) AS score, area FROM aout UNION ALL SELECT 'combined', image_id, rank, mask_ids, round(score, 6), area FROM bout
+UNION ALL SELECT 'normal', image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY mask_id) AS INTEGER), CAST(mask_id AS VARCHAR), score, CAST(area AS BIGINT) FROM ms WHERE protected
+UNION ALL SELECT 'raw_multiscale', image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, mask_id) AS INTEGER), CAST(mask_id AS VARCHAR), score, CAST(area AS BIGINT) FROM ms WHERE NOT protected""")
 def q_splits(spark, d):
     ship(spark)
     m = _scored_masks(spark, d)
-    return cd.splits(m.filter("NOT protected"), m.filter("protected"), 8, max_ratio=0.8, iou=0.4, ios=0.7, expand=-0.2)
+    return _rounded(cd.splits(m.filter("NOT protected"), m.filter("protected"), 8, **ms.OPTIONS))
 
 
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS stamp, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE replace(o_orderpriority, '_', ' ') END AS label FROM orders")
@@ -513,7 +545,28 @@ def q_overmerge_rate(spark, d):
     return _rounded(ev.overmerge_rate(*_gt_pred(spark, d)))
 
 
-@query()
+#: Every prediction, best first, takes the free true object of highest IoU; those of the class go first.
+_AP = f"""WITH RECURSIVE {fx.ANN}, {_BEST}, vr AS (SELECT size, lo, hi, thr FROM (VALUES ('all', 0, 10000000000), ('small', 0, 1024), ('medium', 1024, 9216), ('large', 9216, 10000000000)) s(size, lo, hi), (SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS thr FROM range(10) r(k))),
+rk AS (SELECT image_id, ann_id AS pred_id, score, area, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) AS n FROM pr),
+op AS (SELECT p.image_id, p.pred_id, list({{'x': CAST(g.area < lo OR g.area > hi AS INTEGER), 'i': -iou, 'g': p.gt_id}} ORDER BY CAST(g.area < lo OR g.area > hi AS INTEGER), -iou, p.gt_id) AS options, size, thr FROM pairs p JOIN gt g ON g.ann_id = p.gt_id JOIN vr ON iou >= thr GROUP BY p.image_id, p.pred_id, size, thr),
+st(image_id, size, thr, n, used, x) AS (
+  SELECT DISTINCT image_id, size, thr, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS INTEGER) FROM op
+  UNION ALL
+  SELECT s.image_id, s.size, s.thr, s.n + 1, CASE WHEN f.o IS NULL THEN s.used ELSE list_append(s.used, f.o.g) END, f.o.x
+  FROM st s JOIN rk ON rk.image_id = s.image_id AND rk.n = s.n + 1 LEFT JOIN op ON op.image_id = s.image_id AND op.size = s.size AND op.thr = s.thr AND op.pred_id = rk.pred_id,
+  LATERAL (SELECT list_filter(op.options, lambda o: NOT list_contains(s.used, o.g))[1] AS o) f
+),
+mk AS (SELECT v.size, v.thr, r.score, coalesce(s.x, CAST(r.area < v.lo OR r.area > v.hi AS INTEGER)) AS x, s.x IS NOT NULL AS hit FROM rk r CROSS JOIN vr v LEFT JOIN st s ON s.image_id = r.image_id AND s.n = r.n AND s.size = v.size AND s.thr = v.thr),
+cu AS (SELECT size, thr, sum(tp) OVER w AS tp, sum(n) OVER w AS n FROM (SELECT size, thr, score, count(*) FILTER (hit) AS tp, count(*) AS n FROM mk WHERE x = 0 GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY size, thr ORDER BY score DESC)),
+ng AS (SELECT size, count(*) AS n_gt FROM gt JOIN (SELECT DISTINCT size, lo, hi FROM vr) ON area >= lo AND area <= hi GROUP BY 1),
+be AS (SELECT size, thr, floor(tp / n_gt * 100 + 1e-9) AS step, max(tp / n) AS p FROM cu JOIN ng USING (size) GROUP BY 1, 2, 3),
+ev AS (SELECT v.size, v.thr, k, (SELECT coalesce(max(p), 0) FROM be WHERE be.size = v.size AND be.thr = v.thr AND be.step >= k) AS p FROM vr v JOIN ng USING (size) CROSS JOIN range(101) r(k)),
+ap AS (SELECT size, thr, avg(p) AS ap FROM ev GROUP BY 1, 2)
+SELECT round(avg(ap) FILTER (size = 'all'), 6) AS AP, round(avg(ap) FILTER (size = 'all' AND thr = 0.5), 6) AS AP50, round(avg(ap) FILTER (size = 'all' AND thr = 0.75), 6) AS AP75,
+  round(avg(ap) FILTER (size = 'small'), 6) AS APs, round(avg(ap) FILTER (size = 'medium'), 6) AS APm, round(avg(ap) FILTER (size = 'large'), 6) AS APl FROM ap"""
+
+
+@query(_AP)
 def q_average_precision(spark, d):
     return _rounded(ev.coco_ap(*_gt_pred(spark, d)))
 
@@ -558,13 +611,19 @@ def q_nice_max(spark, d):
     return table(spark, d, "orders").filter("o_totalprice > 0").select(F.col("o_orderkey").alias("id"), r6(sc.nice_max(F.col("o_totalprice"))).alias("nice"))
 
 
-#: Published rows: variant, full_masks, windows, generated, crop_merged, merged.
-_ROWS = [("baseline", 98, 1200, 1189, 398, 496), ("hp90", 98, 1200, 1189, 398, 496), ("hp80", 98, 1200, 1189, 398, 496), ("topk8", 98, 800, 792, 283, 381), ("tightcrop", 98, 1200, 1195, 719, 816)]
-
-
-@query(f"WITH v(variant, full_masks, windows, generated, crop_merged, merged) AS (VALUES {', '.join(map(str, _ROWS))}) SELECT variant, round(100.0 * crop_merged / greatest(generated, 1), 6) AS keep_ratio, round(100.0 * merged / greatest(windows, 1), 6) AS yield, merged - full_masks AS added, merged - (SELECT merged FROM v WHERE variant = 'baseline') AS delta FROM v")
+@query("""WITH v AS (SELECT o_orderpriority AS variant, count(*) AS windows, count(*) FILTER (o_orderstatus = 'F') AS full_masks, sum(o_custkey % 3) AS generated, count(*) FILTER (o_custkey % 3 = 1) AS crop_merged, count(*) FILTER (o_custkey % 3 > 0) AS merged FROM orders GROUP BY 1)
+SELECT variant, round(100.0::DOUBLE * crop_merged / greatest(generated, 1), 6) AS keep_ratio, round(100.0::DOUBLE * merged / greatest(windows, 1), 6) AS yield, CAST(merged - full_masks AS INTEGER) AS added, CAST(merged - (SELECT merged FROM v WHERE variant = '1-URGENT') AS INTEGER) AS delta FROM v""")
 def q_ablation_ratios(spark, d):
-    return _rounded(st.ablation_ratios(spark.createDataFrame(_ROWS, "variant string, full_masks int, windows int, generated int, crop_merged int, merged int")))
+    """Counters of every variant through a result CSV, and their ratios."""
+    one = lambda c: F.count_if(c)
+    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("variant")).agg(
+        one(F.col("o_orderstatus") == "F").alias("full_masks"), F.count(F.lit(1)).alias("windows"), F.sum(F.col("o_custkey") % 3).alias("generated"),
+        one(F.col("o_custkey") % 3 == 1).alias("crop_merged"), one(F.col("o_custkey") % 3 > 0).alias("merged"),
+    )
+    path = f"{shared_dir(spark)}/segmill/ablation-{uuid.uuid4().hex}"
+    o.write.csv(path, header=True)
+    rows = rd.csv_table(spark, path, "variant STRING, full_masks INT, windows INT, generated INT, crop_merged INT, merged INT")
+    return _rounded(st.ablation_ratios(rows, "1-URGENT"))
 
 
 @query("""WITH p AS (SELECT l_returnflag AS variant, count(*) AS annotations FROM lineitem GROUP BY 1), e AS (SELECT o_orderstatus AS variant, round(avg(o_totalprice), 4) AS ap FROM orders GROUP BY 1)
