@@ -364,6 +364,27 @@ def decode(packed: Column | str, counts: Column | str, polygons: Column | str, c
 # Windows
 
 
+def in_boxes(counts: Column | str, boxes: Column | str, height: int) -> Column:
+    """How many set places lie in each box (l, t, r, b) of an array; 0 for a null mask."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(c: pa.Array, q: pa.Array) -> pa.Array:
+        row, x, y0, y1 = column_runs(*spans(*_lists(c)), np.full(len(c), height))
+        sizes = pc.list_value_length(q).fill_null(0).to_numpy(zero_copy_only=False)
+        items = q.flatten()
+        asked = np.stack([items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in "ltrb"], axis=1).reshape(-1, 4)
+        first, ends, out = np.searchsorted(row, np.arange(len(c) + 1)), np.r_[0, np.cumsum(sizes)], np.zeros(len(asked), dtype=np.int64)
+        for i in np.flatnonzero((sizes > 0) & (np.diff(first) > 0)):
+            mine = slice(first[i], first[i + 1])
+            for k in range(ends[i], ends[i + 1]):
+                l, t, r, b = asked[k]
+                shared = np.minimum(y1[mine], b) - np.maximum(y0[mine], t)
+                out[k] = shared[(shared > 0) & (x[mine] >= l) & (x[mine] < r)].sum()
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
+
+    return run(counts, boxes)
+
+
 def _resized(m: np.ndarray, height: int, width: int) -> np.ndarray:
     """Nearest pixel by centres."""
     y, x = (((np.arange(n) + 0.5) * k / n).astype(np.int64) for n, k in ((height, m.shape[0]), (width, m.shape[1])))

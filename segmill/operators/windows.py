@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import scoring as s
+from . import runs as rn
 from .areas import box_gradients, covered_pixels
 from .greedy import fold, ordered_lists, top_per_group
 
@@ -122,6 +123,16 @@ def coverage(windows: DataFrame, masks: DataFrame) -> DataFrame:
     return out.withColumn("covered", F.col("covered_pixels") / area)
 
 
+def mask_coverage(windows: DataFrame, masks: DataFrame, height: int) -> DataFrame:
+    """As :func:`coverage`, under the union of an image's masks: image_id and run lengths ``counts`` on a canvas of ``height``."""
+    rest = [c for c in windows.columns if c != "image_id"]
+    union = masks.groupBy("image_id").agg(F.collect_list("counts").alias("all")).select("image_id", rn.union("all").alias("under"))
+    lists = windows.groupBy("image_id").agg(F.collect_list(F.struct(*rest)).alias("ws")).join(union, "image_id", "left")
+    found = lists.withColumn("px", rn.in_boxes("under", _places("ws"), height)).select("image_id", F.inline(F.arrays_zip("ws", "px")))
+    out = found.select("image_id", "ws.*", F.col("px").alias("covered_pixels"))
+    return out.withColumn("covered", F.col("covered_pixels") / F.greatest(F.lit(1), (F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))))
+
+
 def coverage_skip(windows: DataFrame, masks: DataFrame, width: int, height: int, most: float = 0.9) -> DataFrame:
     """Windows covered less than ``most``, without the one that is the whole image."""
     whole = (F.col("l") == 0) & (F.col("t") == 0) & (F.col("r") == width) & (F.col("b") == height)

@@ -15,7 +15,7 @@ sp AS (SELECT mask_id, image_id, y * 8 + x AS k FROM p WHERE v = 1),
 ov AS (SELECT a.mask_id AS u, b.mask_id AS w, count(*) AS n FROM sp a JOIN sp b ON a.image_id = b.image_id AND a.k = b.k GROUP BY 1, 2)"""
 
 
-def components(t: str, eligible: str) -> str:
+def components(t: str, eligible: str, side: int = 8) -> str:
     """{t}el: the masks that take part; {t}lb: each one's component, named by its smallest mask."""
     near = " AND ".join(f"a.{d}0 - (a.{d}1 - a.{d}0) * {EXPAND}::DOUBLE < b.{d}1 + (b.{d}1 - b.{d}0) * {EXPAND}::DOUBLE AND b.{d}0 - (b.{d}1 - b.{d}0) * {EXPAND}::DOUBLE < a.{d}1 + (a.{d}1 - a.{d}0) * {EXPAND}::DOUBLE" for d in "yx")
     return f"""{t}el AS (SELECT * FROM ms WHERE {eligible}),
@@ -24,7 +24,7 @@ def components(t: str, eligible: str) -> str:
 {t}rc(u, w) AS (SELECT mask_id, mask_id FROM {t}el UNION SELECT r.u, l.w FROM {t}rc r JOIN {t}lk l ON l.u = r.w),
 {t}lb AS (SELECT u AS mask_id, min(w) AS label FROM {t}rc GROUP BY 1),
 {t}ux AS (SELECT DISTINCT label, k FROM {t}lb JOIN sp USING (mask_id)),
-{t}uf AS (SELECT label, count(*) AS area, max(k // 8) - min(k // 8) + 1 AS h, max(k % 8) - min(k % 8) + 1 AS w FROM {t}ux GROUP BY 1),
+{t}uf AS (SELECT label, count(*) AS area, max(k // {side}) - min(k // {side}) + 1 AS h, max(k % {side}) - min(k % {side}) + 1 AS w FROM {t}ux GROUP BY 1),
 {t}gr AS (SELECT label, any_value(image_id) AS image_id, count(*) AS n, max(score) AS top, arg_max(mask_id, (score, -mask_id)) AS best FROM {t}lb JOIN {t}el USING (mask_id) GROUP BY 1)"""
 
 
@@ -47,19 +47,19 @@ def ios(n: str, a: str, b: str) -> str:
     return f"({n} / CAST(least({a}, {b}) AS DOUBLE))"
 
 
-def general(t: str, own: bool, top_k: int = 12) -> str:
+def general(t: str, own: bool, top_k: int = 12, side: int = 8) -> str:
     """{t}out(image_id, rank, mask_ids, score, area, protected): the general merge, with protected masks or without."""
     blocked = f"pid IN (SELECT pid FROM {t}own WHERE {iou('n', 'area', 'own_area')} > {IOU})" if own else "false"
-    valid = f"area / 64.0 <= {MAX_RATIO} AND greatest(h, w) / CAST(least(h, w) AS DOUBLE) <= 3.0"
+    valid = f"area / {side * side}.0 <= {MAX_RATIO} AND greatest(h, w) / CAST(least(h, w) AS DOUBLE) <= 3.0"
     hits = f"SELECT x.u, x.w FROM {t}px x JOIN {t}po a ON a.pid = x.u JOIN {t}po b ON b.pid = x.w WHERE {iou('x.n', 'a.area', 'b.area')} > {IOU} OR {ios('x.n', 'a.area', 'b.area')} > {IOS}"
-    return f"""{components(t, f"NOT protected AND area / 64.0 BETWEEN 0.0001 AND {MAX_RATIO}")},
+    return f"""{components(t, f"NOT protected AND area / {side * side}.0 BETWEEN 0.0001 AND {MAX_RATIO}", side)},
 {pool(t, valid, 0.03, "true", "area DESC")},
 {t}hit AS ({hits}), {t}bl AS (SELECT pid, {blocked} AS blocked FROM {t}po),
 {t}st(image_id, n, kept) AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM {t}po UNION ALL
   SELECT s.image_id, s.n + 1, CASE WHEN blocked OR len(s.kept) >= {top_k} OR EXISTS (SELECT 1 FROM {t}hit h WHERE h.u = q.pid AND list_contains(s.kept, h.w)) THEN s.kept ELSE list_append(s.kept, q.pid) END
   FROM {t}st s JOIN {t}po q ON q.image_id = s.image_id AND q.n = s.n + 1 JOIN {t}bl USING (pid)),
 {t}fi AS (SELECT image_id, unnest(arg_max(kept, n)) AS pid, generate_subscripts(arg_max(kept, n), 1) AS place FROM {t}st GROUP BY 1),
-{t}ow AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY mask_id) AS rank, mask_id, score, area FROM ms WHERE protected AND area / 64.0 >= 0.0001 AND {str(own).lower()}),
+{t}ow AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY mask_id) AS rank, mask_id, score, area FROM ms WHERE protected AND area / {side * side}.0 >= 0.0001 AND {str(own).lower()}),
 {t}out AS (SELECT image_id, CAST(rank AS INTEGER) AS rank, CAST(mask_id AS VARCHAR) AS mask_ids, score, CAST(area AS BIGINT) AS area, true AS protected FROM {t}ow
   UNION ALL SELECT f.image_id, CAST(place + (SELECT count(*) FROM {t}ow o WHERE o.image_id = f.image_id) AS INTEGER), mask_ids, score, area, false FROM {t}fi f JOIN {t}po USING (pid))"""
 

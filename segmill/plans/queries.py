@@ -376,14 +376,67 @@ def q_heatmap_box_score(spark, d):
     return wn.score_boxes(boxes, heat).select("image_id", "ord", F.round(F.col("score") + 1e-9, 5).alias("score"))
 
 
-def _patch_images(heat: DataFrame) -> DataFrame:
-    return heat.select("image_id").distinct().withColumns({"width": F.lit(fx.SIZE), "height": F.lit(fx.SIZE)})
-
-
-@query()
+def _scored_boxes(t: str) -> str:
+    """SQL: {t}sc, the boxes of {t}bx(image_id, key, l, t, r, b) with cover, edge, mean, peak and score, on images of 40 x 40 with 5 x 5 cells."""
+    return f"""{t}cv AS (SELECT image_id, key, count(*) AS n FROM {t}bx JOIN cpx USING (image_id) WHERE x >= l AND x < r AND y >= t AND y < b GROUP BY 1, 2),
+{t}gg AS (SELECT image_id, key, v, lag(v) OVER wy AS uy, lead(v) OVER wy AS dy, lag(v) OVER wx AS ux, lead(v) OVER wx AS dx FROM {t}bx JOIN pix USING (image_id) WHERE x >= l AND x < r AND y >= t AND y < b
+  WINDOW wy AS (PARTITION BY image_id, key, x ORDER BY y), wx AS (PARTITION BY image_id, key, y ORDER BY x)),
+{t}eg AS (SELECT image_id, key, avg(sqrt(pow(CASE WHEN uy IS NULL THEN dy - v WHEN dy IS NULL THEN v - uy ELSE (dy - uy) / 2 END, 2) + pow(CASE WHEN ux IS NULL THEN dx - v WHEN dx IS NULL THEN v - ux ELSE (dx - ux) / 2 END, 2))) AS edge FROM {t}gg GROUP BY 1, 2),
+{t}bd AS (SELECT *, greatest(0, least(4, floor(l / 40.0 * 5))) AS x1, greatest(0, least(4, floor(t / 40.0 * 5))) AS y1, ceil(r / 40.0 * 5) AS xr, ceil(b / 40.0 * 5) AS yr FROM {t}bx),
+{t}ht AS (SELECT q.image_id, key, avg(heat) AS mean, max(heat) AS peak FROM {t}bd q JOIN h ON h.image_id = q.image_id AND h.x >= x1 AND h.x < greatest(x1 + 1, least(5, xr)) AND h.y >= y1 AND h.y < greatest(y1 + 1, least(5, yr)) GROUP BY 1, 2),
+{t}sc AS (SELECT q.*, coalesce(n, 0) / CAST((r - l) * (b - t) AS DOUBLE) AS cover, edge, mean, peak, 1.5 * mean + peak + 2.0 * mean * (1.0 - coalesce(n, 0) / CAST((r - l) * (b - t) AS DOUBLE)) + 0.5 * edge / 128.0
+  - 0.1::DOUBLE * ((l = 0)::INT + (t = 0)::INT + (r = 40)::INT + (b = 40)::INT) AS score FROM {t}bx q JOIN {t}ht USING (image_id, key) JOIN {t}eg USING (image_id, key) LEFT JOIN {t}cv USING (image_id, key))"""
+
+
+def _kept(t: str, items: str, start: str, budget: str, reason: str) -> str:
+    """SQL: {t}fi(image_id, kept), where each of ``items`` (image_id, n, l, t, r, b, score) that hits none kept is added to what ``start`` (image_id, kept) has."""
+    return f"""{t}st(image_id, n, most, kept) AS (SELECT image_id, CAST(0 AS BIGINT), {budget}, kept FROM {start} UNION ALL
+  SELECT s.image_id, s.n + 1, s.most, CASE WHEN len(s.kept) >= s.most OR len(list_filter(s.kept, lambda k: {_iou('k', 'c')} > 0.4)) > 0 THEN s.kept
+    ELSE list_append(s.kept, {{'l': c.l, 't': c.t, 'r': c.r, 'b': c.b, 'score': c.score, 'reason': '{reason}'}}) END FROM {t}st s JOIN {items} c ON c.image_id = s.image_id AND c.n = s.n + 1),
+{t}fi AS (SELECT image_id, arg_max(kept, n) AS kept FROM {t}st GROUP BY 1)"""
+
+
+def _box_at(cx: str, cy: str, size: str) -> str:
+    lo = lambda c: f"CAST(greatest(0, least(greatest(round_even({c} - {size} / 2.0, 0), 0), 40 - {size})) AS INTEGER)"
+    return f"{lo(cx)} AS l, {lo(cy)} AS t, {lo(cx)} + {size} AS r, {lo(cy)} + {size} AS b"
+
+
+_CELL = "({0} + 0.5) / 5 * 40"
+
+
+@query(f"""WITH RECURSIVE {_CONTRAST}, h AS (SELECT image_id, y, x, round(contrast, 4) AS heat FROM con),
+pix AS (SELECT vec_id // 25 AS image_id, vec_id % 25 // 5 * 8 + i // 8 AS y, vec_id % 5 * 8 + i % 8 AS x, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) s(i)),
+cb AS (SELECT vec_id // 25 AS image_id, vec_id * 7 % 30 AS l, vec_id * 11 % 30 AS t, vec_id * 7 % 30 + 3 + vec_id % 7 AS r, vec_id * 11 % 30 + 2 + vec_id % 5 AS b FROM embeddings),
+cpx AS (SELECT DISTINCT pix.image_id, y, x FROM pix JOIN cb ON cb.image_id = pix.image_id AND x >= l AND x < r AND y >= t AND y < b),
+li AS (SELECT image_id, quantile_cont(heat, 0.85) AS threshold FROM h GROUP BY 1),
+pk AS (SELECT image_id, y, x, heat, threshold, row_number() OVER (PARTITION BY image_id ORDER BY heat DESC, y DESC, x DESC) AS n FROM h JOIN li USING (image_id)),
+sz AS (SELECT * FROM (VALUES (0, 10), (1, 14), (2, 20)) v(k, size)),
+qbx AS (SELECT image_id, n * 16 + k AS key, {_box_at(_CELL.format('x'), _CELL.format('y'), 'size')} FROM pk CROSS JOIN sz WHERE n <= 60 AND (heat >= threshold OR (n - 1) * 3 < 60)),
+{_scored_boxes('q')}, it AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, key) AS n FROM qsc),
+no AS (SELECT DISTINCT image_id, CAST([] AS STRUCT(l INTEGER, t INTEGER, r INTEGER, b INTEGER, score DOUBLE, reason VARCHAR)[]) AS kept FROM h),
+{_kept('f', 'it', 'no', '4', 'heatmap')},
+ce AS (SELECT image_id, (k.l + k.r) / 2.0 AS cx, (k.t + k.b) / 2.0 AS cy FROM (SELECT image_id, unnest(kept) AS k FROM ffi)),
+gd AS (SELECT row, col, CAST(round_even(col * 40 / 3.0, 0) AS INTEGER) AS l, CAST(round_even((col + 1) * 40 / 3.0, 0) AS INTEGER) AS r, CAST(round_even(row * 40 / 3.0, 0) AS INTEGER) AS t, CAST(round_even((row + 1) * 40 / 3.0, 0) AS INTEGER) AS b FROM (SELECT c // 3 AS row, c % 3 AS col FROM range(9) q(c))),
+fr AS (SELECT i.image_id, gd.*, least(0.4::DOUBLE, (SELECT min(sqrt(pow((l + r) / 2.0 - cx, 2) + pow((t + b) / 2.0 - cy, 2))) FROM ce WHERE ce.image_id = i.image_id) / sqrt(3200.0::DOUBLE) * 0.8) AS bonus FROM no i CROSS JOIN gd
+  WHERE NOT EXISTS (SELECT 1 FROM ce WHERE ce.image_id = i.image_id AND cx >= l AND cx < r AND cy >= t AND cy < b)),
+fc AS (SELECT *, floor(l / 40.0 * 5) AS x1, ceil(r / 40.0 * 5) AS x2, floor(t / 40.0 * 5) AS y1, ceil(b / 40.0 * 5) AS y2 FROM fr),
+tp AS (SELECT fc.image_id, row, col, any_value(bonus) AS bonus, max(heat) AS top, arg_max(h.y, (heat, -h.y, -h.x)) AS y, arg_max(h.x, (heat, -h.y, -h.x)) AS x FROM fc JOIN h ON h.image_id = fc.image_id AND h.x >= x1 AND h.x < x2 AND h.y >= y1 AND h.y < y2 GROUP BY 1, 2, 3),
+rbx AS (SELECT image_id, row * 100 + col * 10 + k AS key, {_box_at(_CELL.format('x'), _CELL.format('y'), 'size')}, row, col, bonus, top FROM tp CROSS JOIN sz WHERE k < 2),
+{_scored_boxes('r')}, re AS (SELECT image_id, l, t, r, b, key, score + 0.5 * top + 0.4 * (1.0 - cover) + 0.3 * edge / 128.0 + CASE WHEN row IN (0, 2) OR col IN (0, 2) THEN 0.15::DOUBLE ELSE 0 END + bonus AS score FROM rsc),
+ri AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, key) AS n FROM re),
+{_kept('g', 'ri', 'ffi', 'len(kept) + 2', 'spatial_rescue')}, {_kept('l', 'it', 'gfi', 'greatest(len(kept), 6)', 'heatmap_fill')}
+SELECT image_id, CAST(ord AS INTEGER) AS ord, k.l, k.t, k.r, k.b, round(k.score, 6) AS score, k.reason FROM (SELECT image_id, unnest(kept) AS k, generate_subscripts(kept, 1) AS ord FROM lfi)""")
 def q_heatmap_windows(spark, d):
-    heat = _heat(spark, d)
-    return _rounded(wn.heatmap_windows(heat, _patch_images(heat), [0.25, 0.35, 0.5], top_k=6, rescue=2))
+    """Windows on heat-map peaks and rescue cells, scored with coverage and gradients: an image of 40 x 40 from every 25 embeddings."""
+    ship(spark)
+    heat, e = _heat(spark, d), table(spark, d, "embeddings")
+    image, k = F.floor(F.col("vec_id") / 25).alias("image_id"), F.col("vec_id") % 25
+    pixels = e.select(image, k.alias("k"), F.posexplode("embedding").alias("i", "v"))
+    pixels = pixels.select("image_id", (F.floor(F.col("k") / 5) * 8 + F.floor(F.col("i") / 8)).cast("int").alias("y"), (F.col("k") % 5 * 8 + F.col("i") % 8).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    left, top, n = F.col("vec_id") * 7 % 30, F.col("vec_id") * 11 % 30, F.col("vec_id")
+    covered = e.select(image, *[c.cast("int").alias(s) for s, c in zip("ltrb", (left, top, left + 3 + n % 7, top + 2 + n % 5))])
+    images = heat.select("image_id").distinct().withColumns({"width": F.lit(40), "height": F.lit(40)})
+    return _rounded(wn.heatmap_windows(heat, images, [0.25, 0.35, 0.5], top_k=6, rescue=2, covered=covered, pixels=pixels))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS image_id, o_custkey % 160 AS cx, o_orderkey * 7 % 160 AS cy FROM orders), gd AS (SELECT cell // 3 AS row, cell % 3 AS col FROM range(9) r(cell)),
@@ -658,7 +711,7 @@ def q_rle_runs(spark, d):
     return fx.masks(spark, d).select("mask_id", F.array_join(F.transform(rn.of_bits("bits", 8), lambda x: x.cast("string")), ",").alias("counts"))
 
 
-from . import more_queries, run_queries  # noqa: E402, F401  (add their own)
+from . import generator_queries, more_queries, run_queries  # noqa: E402, F401  (add their own)
 
 
 def queries():
