@@ -103,7 +103,11 @@ def filled(masks: DataFrame, width: int, column: str = "bits") -> DataFrame:
 
 
 def oriented(v: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, int, int]:
-    """(foreground, seed, corners): v above its mean, turned over when three corners or not the peak lie in it."""
+    """(foreground, seed, corners): v above its mean, turned over when three corners or not the peak lie in it.
+
+    Entries that differ in the last bits only count as equal, and the first of them as the peak, so that no solver's noise decides.
+    """
+    v = np.round(v / (np.abs(v).max() or 1.0), 9)
     fg = (v > v.mean()).reshape(shape)
     corners = int(fg[0, 0]) + int(fg[0, -1]) + int(fg[-1, 0]) + int(fg[-1, -1])
     turn = corners >= 3 or not fg.flat[np.abs(v).argmax()]

@@ -115,6 +115,30 @@ def q_hash_scan(spark, d):
     return rd.hashes(spark, path).filter(F.contains("path", F.lit("class="))).select("sha256", "size_bytes")
 
 
+@query("SELECT n_regionkey AS folder, sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS sha256, CAST(sum(length(n_name) + 1) AS BIGINT) AS size_bytes, true AS intact FROM nation GROUP BY 1")
+def q_snapshot_copy(spark, d):
+    """Files copied by tasks, their hashes read from the copies."""
+    path, target = _path(spark, "artifacts"), _path(spark, "snapshot")
+    table(spark, d, "nation").select(F.col("n_regionkey").alias("folder"), F.col("n_name").alias("value")).repartition(1).sortWithinPartitions("folder", "value").write.partitionBy("folder").text(path)
+    found = sk.snapshot_copy(spark, path, target).filter(F.startswith("name", F.lit("folder=")))
+    return found.select(F.regexp_extract("name", r"folder=(\d+)", 1).cast("int").alias("folder"), "sha256", "size_bytes", "intact")
+
+
+@query(f"WITH {fx.ANN} SELECT 'annotations' AS section, count(*) AS records, CAST(sum(area) AS DOUBLE) AS total FROM ann UNION ALL SELECT 'images', count(*), CAST(sum(o_orderkey % 1000) AS DOUBLE) FROM orders UNION ALL SELECT 'categories', 1, 1.0")
+def q_scan_coco_split(spark, d):
+    """One JSON file of all labels, read in splits."""
+    a, images = fx.annotations(spark, d), fx.images(spark, d)
+    box = F.array(*[c.cast("double") for c in (F.col("l"), F.col("t"), F.col("r") - F.col("l"), F.col("b") - F.col("t"))])
+    rle = F.struct(F.array(F.lit(fx.SIZE), F.lit(fx.SIZE)).alias("size"), F.concat(F.lit('}"{\\'), F.col("ord").cast("string")).alias("counts"))
+    anns = a.select(F.col("ann_id").alias("id"), "image_id", F.lit(1).alias("category_id"), F.col("area").cast("double").alias("area"), box.alias("bbox"), rle.alias("segmentation"))
+    cats = spark.range(1).select(F.lit(1).alias("id"), F.lit("object").alias("name"), F.lit("object").alias("supercategory"))
+    path = _path(spark, "coco")
+    sk.write_coco(path, images, anns, cats)
+    found = rd.coco_split(spark, path)
+    one = lambda k, v: found[k].agg(F.lit(k).alias("section"), F.count(F.lit(1)).alias("records"), F.sum(v).cast("double").alias("total"))
+    return one("annotations", F.col("area")).unionByName(one("images", F.col("id") % 1000)).unionByName(one("categories", F.col("id")))
+
+
 @query(f"WITH {fx.ANN} SELECT source AS split, count(*) AS anns, CAST(sum(area) AS BIGINT) AS area FROM ann GROUP BY 1")
 def q_split_write(spark, d):
     path = _path(spark, "splits")

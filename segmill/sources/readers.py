@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise, release
+
 IMAGES = "id BIGINT, file_name STRING, width INT, height INT, date_captured STRING, license INT, coco_url STRING, flickr_url STRING"
 ANNOTATIONS = "id BIGINT, image_id BIGINT, category_id INT, iscrowd INT, area DOUBLE, bbox ARRAY<DOUBLE>, segmentation STRUCT<size: ARRAY<INT>, counts: STRING>, width INT, height INT"
 CATEGORIES = "id INT, name STRING, supercategory STRING"
@@ -33,18 +35,71 @@ def coco(spark: SparkSession, path: str, swap_wh: bool = False) -> dict[str, Dat
     return out
 
 
+def coco_split(spark: SparkSession, path: str, swap_wh: bool = False) -> dict[str, DataFrame]:
+    """As :func:`coco`, for one file of any size: read in splits, each by a task of its own.
+
+    The file is cut at every closing brace, which Hadoop's line reader does at any split's border. Quotes before a piece tell whether it starts inside a string,
+    braces outside strings how deep it ends, and an object that ends at depth 1 is a record; running sums go over splits first, then inside each.
+    Pieces of a record, which may lie in two splits, are put together again. A record's keys tell what it is, as in :func:`bundle`; others are left out.
+    """
+    raw = spark.read.option("lineSep", "}").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("pos"), "value")
+    bare = F.regexp_replace("value", r"\\.", "")
+    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
+    strings = r'"[^"]*("|$)'
+    opened = lambda text: F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    # Change of depth of a piece that starts outside a string, and of one that starts inside.
+    outside = opened(F.regexp_replace(bare, strings, "")) - F.when(quotes % 2 == 0, 1).otherwise(0)
+    inside = opened(F.regexp_replace(F.regexp_replace(bare, r'^[^"]*("|$)', ""), strings, "")) - F.when(quotes % 2 == 1, 1).otherwise(0)
+    raw = materialise(raw.select("*", quotes.alias("quotes"), outside.alias("out"), inside.alias("in")), "pieces")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy("file", "split").orderBy("pos")
+    cut = raw.withColumn("odd", F.coalesce(F.sum("quotes").over(before(local)), F.lit(0)) % 2)
+    # Of every split, how it changes the depth from either start.
+    turns = cut.groupBy("file", "split").agg(
+        F.sum("quotes").alias("q"), F.sum(F.when(F.col("odd") == 0, F.col("out")).otherwise(F.col("in"))).alias("d0"), F.sum(F.when(F.col("odd") == 1, F.col("out")).otherwise(F.col("in"))).alias("d1")
+    )
+    # A row a split from here to the join.
+    over = Window.partitionBy("file").orderBy("split")
+    turns = turns.withColumn("first", F.coalesce(F.sum("q").over(before(over)), F.lit(0)) % 2)
+    turns = turns.withColumn("deep", F.coalesce(F.sum(F.when(F.col("first") == 0, F.col("d0")).otherwise(F.col("d1"))).over(before(over)), F.lit(0)))
+    cut = cut.join(F.broadcast(turns.select("file", "split", "first", "deep")), ["file", "split"])
+    starts = (F.col("odd") + F.col("first")) % 2
+    cut = cut.withColumns({"change": F.when(starts == 0, F.col("out")).otherwise(F.col("in")), "closed": (starts + F.col("quotes")) % 2 == 0})
+    cut = cut.withColumn("depth", F.col("deep") + F.sum("change").over(upto(local)))
+    cut = cut.withColumn("ends", (F.col("closed") & (F.col("depth") == 1)).cast("int"))
+    cut = materialise(cut.withColumn("n", F.coalesce(F.sum("ends").over(before(local)), F.lit(0))).select("file", "split", "pos", "value", "ends", "n"), "pieces")
+    release(raw)
+    many = cut.groupBy("file", "split").agg(F.sum("ends").alias("records")).withColumn("earlier", F.coalesce(F.sum("records").over(before(over)), F.lit(0)))
+    cut = cut.join(F.broadcast(many.select("file", "split", "earlier")), ["file", "split"]).withColumn("record", F.col("n") + F.col("earlier"))
+    whole = cut.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("split", "pos", "value"))).alias("p"), F.max("ends").alias("ends")).filter("ends = 1")
+    text = F.concat(F.array_join(F.transform("p", lambda x: x["value"]), "}"), F.lit("}"))
+    # The document's own brace is in the first record's text.
+    text = F.when(F.col("record") == 0, F.regexp_replace(text, r"^\s*\{", "")).otherwise(text)
+    return _records(materialise(whole.select(F.regexp_replace(text, r"^[^{]*", "").alias("value")), "records"), swap_wh, False)
+
+
+def _records(lines: DataFrame, swap_wh: bool, strict: bool) -> dict[str, DataFrame]:
+    """Images, annotations and categories of JSON objects; one of another kind raises an error if ``strict``."""
+    has = lambda k: F.array_contains("keys", k)
+    kind = F.when(has("supercategory"), "categories").when(has("image_id"), "annotations").when(has("file_name"), "images")
+    kind = kind.otherwise(F.raise_error(F.concat(F.lit("no record of a bundle: "), "value"))) if strict else kind
+    found = lines.withColumn("keys", F.json_object_keys("value")).filter("keys IS NOT NULL").withColumn("kind", kind)
+    schema = lines.sparkSession.range(0).select(F.from_json(F.lit("{}"), BUNDLE).alias("b")).schema["b"].dataType
+    out = {k: found.filter(F.col("kind") == k).select(F.from_json("value", schema[k].dataType.elementType).alias("r")).select("r.*") for k in ("images", "annotations", "categories")}
+    if swap_wh:
+        out["images"] = out["images"].withColumns({"width": F.col("height"), "height": F.col("width")})
+    return out
+
+
 def bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A bundle written a record to a line (``sinks.write_bundle``), read line by line: images, annotations, categories.
 
     A record's keys, in any order, tell what it is; a record of no kind raises an error.
     """
     lines = spark.read.text(path).select(F.regexp_replace("value", r"^\s*,", "").alias("value"))
-    keys = F.json_object_keys("value")
-    has = lambda k: F.array_contains("keys", k)
-    kind = F.when(has("supercategory"), "categories").when(has("image_id"), "annotations").when(has("file_name"), "images")
-    found = lines.withColumn("keys", keys).filter("keys IS NOT NULL").withColumn("kind", kind.otherwise(F.raise_error(F.concat(F.lit("no record of a bundle: "), "value"))))
-    schema = spark.range(0).select(F.from_json(F.lit("{}"), BUNDLE).alias("b")).schema["b"].dataType
-    return {k: found.filter(F.col("kind") == k).select(F.from_json("value", schema[k].dataType.elementType).alias("r")).select("r.*") for k in ("images", "annotations", "categories")}
+    return _records(lines, False, True)
 
 
 def image_tree(spark: SparkSession, root: str) -> DataFrame:

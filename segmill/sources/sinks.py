@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, release
+from .readers import hashes
 
 
 def coco_document(images: DataFrame, anns: DataFrame, categories: DataFrame, info: str = "") -> DataFrame:
@@ -48,6 +50,57 @@ def write_bundle(path: str, images: DataFrame, anns: DataFrame, categories: Data
     release(written)
 
 
+def _store(batches, target: str):
+    """Writes each file below ``target`` under a name of its own first, so that a lost task leaves no half file, and tells the hash of what it read."""
+    import posixpath
+    import uuid
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        names, contents = batch.column("name").to_pylist(), batch.column("content").to_pylist()
+        for name, content in zip(names, contents):
+            system, path = fs.FileSystem.from_uri(f"{target}/{name}" if "://" in target else f"file://{target}/{name}")
+            system.create_dir(posixpath.dirname(path), recursive=True)
+            part = f"{posixpath.dirname(path)}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as f:
+                f.write(content)
+            system.move(part, path)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([hashlib.sha256(c).hexdigest() for c in contents], pa.string())], ["name", "source_sha256"])
+
+
+def snapshot_copy(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Copies the files below ``source`` (any store Spark reads), tasks at a time, to ``target`` (a folder that executors share, or a store that pyarrow writes).
+
+    (name, path, size_bytes, mtime, sha256, intact): what is at the target now, read anew, and whether it is what was read. A file has to fit in a row.
+    """
+    jpath, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
+    at = jpath(source)
+    system = at.getFileSystem(conf)
+    root = system.makeQualified(at).toString()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    named = files.select(F.expr(f"substring(path, {len(root) + 2})").alias("name"), "content")
+    copied = materialise(named.mapInArrow(lambda b: _store(b, target), "name string, source_sha256 string"), "snapshot")
+    mark = target.rstrip("/").rsplit("/", 1)[-1]
+    there = hashes(spark, target).withColumn("name", F.element_at(F.split("path", f"/{mark}/", 2), 2))
+    found = materialise(copied.join(there, "name", "left"), "manifest")
+    release(copied)
+    out = found.select("name", "path", "size_bytes", "mtime", "sha256", F.coalesce(F.col("sha256") == F.col("source_sha256"), F.lit(False)).alias("intact"))
+    # Spark's reader passes over empty files; their names are all there is to copy.
+    empty, listed = [], system.listFiles(at, True)
+    while listed.hasNext():
+        f = listed.next()
+        if not f.getLen():
+            name = f.getPath().toString()[len(root) + 1 :]
+            to = jpath(f"{target}/{name}")
+            there_fs = to.getFileSystem(conf)
+            there_fs.create(to, True).close()
+            status = there_fs.getFileStatus(to)
+            empty.append((name, status.getPath().toString(), status.getLen(), status.getModificationTime() / 1000.0, hashlib.sha256(b"").hexdigest(), status.getLen() == 0))
+    return out.unionByName(spark.createDataFrame(empty, out.schema)) if empty else out
+
+
 def write_split(path: str, anns: DataFrame) -> None:
     """A folder of Parquet per split."""
     anns.write.mode("overwrite").partitionBy("split").parquet(path)
