@@ -69,6 +69,20 @@ def encode_chunk(text: str, first: bool, last: bool, stride: int, overlap: int,
     return {"head_at": head_at, "head_crc": head_crc, "tail_at": tail_at, "tail_crc": tail_crc, "before": begin, "after": end}
 
 
+def cut_batches(batches: Iterator[pa.RecordBatch], stride: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Every text's overlapping chunks, cut in one go; at most some 256 of them leave together."""
+    names = [f.split()[0] for f in _CHUNK.split(", ")]
+    for batch in batches:
+        for row in range(batch.num_rows):
+            doc, key, size = (batch.column(c)[row].as_py() for c in ("doc_id", "key", "n_bytes"))
+            text = batch.column("text")[row].as_py()
+            chunks = max(1, -(-(len(text) - overlap) // stride))
+            for first in range(0, chunks, 256):
+                some = range(first, min(chunks, first + 256))
+                columns = [[doc] * len(some), [key] * len(some), [size] * len(some), list(some), [chunks] * len(some)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([text[k * stride : (k + 1) * stride + overlap] for k in some], pa.string())], names)
+
+
 def chunk_batches(batches: Iterator[pa.RecordBatch], path: str, stride: int, overlap: int) -> Iterator[pa.RecordBatch]:
     t = load(path)
     for batch in batches:
@@ -118,12 +132,10 @@ def token_counts(docs: DataFrame, path: str, chunk_chars: int = 32768, overlap:
     while True:
         left = huge if failed is None else huge.join(failed, "key", "left_semi")
         step, wide = chunk_chars, overlap
-        chunks = F.greatest(F.lit(1), F.ceil((F.length("text") - wide) / step))
-        rows = left.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), chunks.cast("long").alias("chunks"), "text")
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-        rows = rows.select("doc_id", "key", "n_bytes", "chunk", "chunks", F.expr(f"substring(text, CAST(chunk * {step} + 1 AS INT), {step + wide})").alias("text"))
-        # As many parts as the session deals out, which aren't put together again: encoding costs more than bytes tell.
-        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "chunk")
+        sized = left.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+        rows = sized.mapInArrow(lambda b, s=step, w=wide: cut_batches(b, s, w), _CHUNK)
+        # As many parts as the session deals out, which aren't put together again: encoding costs more than bytes tell. Copies of a text go by their ids too.
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "key", "chunk")
         parts = rows.mapInArrow(lambda b, s=step, w=wide: chunk_batches(b, path, s, w), _PART)
         found = materialise(_splice(parts), "token-counts")
         done.append(found.filter("n_tokens IS NOT NULL").select("doc_id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy"))
