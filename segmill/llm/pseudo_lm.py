@@ -12,8 +12,8 @@ words go along with the tasks; every other word's count is joined. The network r
 the number of these inputs follows the vocabulary, from ``INPUTS`` to ``SLOTS``.
 
 All documents take part in counting and training. Texts are turned into slots once, two bytes a token, equal ones counted; a hash of the text and of the
-copy's number deals them to parts of about ``PART`` tokens, in the order of that hash, so that neither files nor their splitting matter and copies of one text
-are dealt to many parts. Every part trains its own copy of the network on the positions that are due in the round; copies are averaged, weighted by their tokens, and
+copy's number deals them to parts of about ``PART`` tokens, which are read in the order of text and copy, so that neither files nor their splitting matter and
+copies of one text are dealt to many parts. Every part trains its own copy of the network on the positions that are due in the round; copies are averaged, weighted by their tokens, and
 go through a second round on the other positions, so that the rounds together predict every token once. The driver gets sums of bounded size.
 
 Defined results: null and empty texts have no tokens, a sum and mean of 0; a corpus without words trains on nothing, an empty table gives no rows;
@@ -37,7 +37,7 @@ SLOT_BITS, INPUT_BITS = 16, 13
 SLOTS, INPUTS, WIDE, CLASSES = 1 << SLOT_BITS, 1 << INPUT_BITS, 16, 64
 PLACES = (-2, -1, 1, 2)
 HEAD = 1 << 17
-#: Tokens of a training part, about.
+#: Tokens of a training part, about; small corpora have up to eight parts of a quarter of that.
 PART = 4_000_000
 BLOCK = 1 << 15
 #: Logarithms of counts are summed as integers, so that reruns agree.
@@ -67,6 +67,17 @@ def inputs_for(words: int) -> int:
     return min(SLOTS, max(INPUTS, 1 << max(0, (words - 1) // 8).bit_length()))
 
 
+def windows_at(some: np.ndarray, found: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
+    """As :func:`windows`, for some tokens only."""
+    text = np.searchsorted(bounds, some, side="right") - 1
+    low, high, out = bounds[text], bounds[text + 1], np.empty((len(some), len(PLACES)), dtype=np.int32)
+    inputs = np.append(found & (size - 1), size)
+    for k, d in enumerate(PLACES):
+        place = some + d
+        out[:, k] = inputs[np.where((place >= low) & (place < high), place, len(found))]
+    return out
+
+
 def windows(found: np.ndarray, bounds: np.ndarray, size: int = INPUTS) -> np.ndarray:
     """Inputs around every token; ``size`` stands for a place outside the text."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -123,21 +134,24 @@ def shaped(v: np.ndarray) -> dict[str, np.ndarray]:
 def _hidden(p: dict[str, np.ndarray], at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     x = [p["E"].take(at[:, k], axis=0, mode="clip") for k in range(len(PLACES))]
     for k in range(len(PLACES)):
-        x[k][at[:, k] == len(p["E"])] = 0
+        none = at[:, k] == len(p["E"])
+        if none.any():
+            x[k][none] = 0
     return x, np.tanh(sum(x[k] @ p["W"][k] for k in range(len(PLACES))) + p["b"])
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
 def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], at: np.ndarray, label: np.ndarray, rate: float = 0.08) -> float:
-    """One Adagrad step on some windows; the mean loss before it."""
+    """One Adagrad step on some windows; the mean loss before it. ``p["E"]`` may have a last row of zeros for places outside texts, which ``memory`` lacks."""
     n = len(at)
     x, h = _hidden(p, at)
-    logp = _log_softmax(h @ p["O"] + p["c"])
-    d = np.exp(logp)
+    z = h @ p["O"] + p["c"]
+    # One number for all rows is enough, unless they are so far apart that a row would vanish.
+    top = z.max()
+    z -= top if top - z.min() < 60 else z.max(axis=1, keepdims=True)
+    d = np.exp(z)
+    total = d.sum(axis=1)
+    loss = float((np.log(total) - z[np.arange(n), label]).mean())
+    d /= total[:, None]
     d[np.arange(n), label] -= 1
     d /= n
     g = {"O": h.T @ d, "c": d.sum(axis=0)}
@@ -147,7 +161,7 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], at: np.n
     index = at.T.ravel()
     d_x = np.concatenate([d_h @ p["W"][k].T for k in range(len(PLACES))])
     # At most ``SLOTS`` inputs, which sixteen bits hold; a stable sort of those is linear.
-    there = np.flatnonzero(index < len(p["E"]))
+    there = np.flatnonzero(index < len(memory["E"]))
     index = index[there]
     order = np.argsort(index.astype(np.uint16), kind="stable")
     index, d_x = index[order], d_x[there[order]]
@@ -158,7 +172,7 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], at: np.n
     for k, v in g.items():
         memory[k] += v**2
         p[k] -= rate * v / (np.sqrt(memory[k]) + 1e-6)
-    return float(-logp[np.arange(n), label].mean())
+    return loss
 
 
 def _groups(batches: Iterator[pa.RecordBatch], size: int = 1 << 20):
@@ -243,33 +257,36 @@ def slot_table(texts: DataFrame) -> DataFrame:
     return materialise(keyed.mapInArrow(_slot_batches, "key long, data binary").groupBy("key", "data").agg(F.count(F.lit(1)).alias("copies")), "slots")
 
 
-def _train_batches(batches, v: np.ndarray, label: np.ndarray, turn: int, rounds: int = 2, batch: int = 1024):
+def _train_part(part: int, t: pa.Table, v: np.ndarray, label: np.ndarray, turn: int, rounds: int = 2, batch: int = 1024) -> pa.Table:
+    """What a part's training changes, in blocks, with its number of tokens as the weight."""
     p = shaped(v)
     memory = {k: np.full_like(x, 0.01) for k, x in p.items()}
+    size = len(p["E"])
+    p["E"] = np.vstack([p["E"], np.zeros((1, WIDE), dtype=np.float32)])
     tokens, waiting, ready = 0, [], 0
-    for group in batches:
-        lists = group.column("data").to_pylist()
-        for at in range(0, len(lists), 200):
-            some_texts = [np.frombuffer(x, dtype="<u2") for x in lists[at : at + 200]]
-            found, bounds = np.concatenate(some_texts).astype(np.int32), np.r_[0, np.cumsum([len(x) for x in some_texts])]
-            some = due(bounds, turn, rounds)
-            waiting.append((windows(found, bounds, len(p["E"]))[some], label[found[some]]))
-            tokens += len(found)
-            ready += len(some)
-            if ready >= 8 * batch:
-                _pass(p, memory, waiting, batch)
-                waiting, ready = [], 0
+    lists = t.sort_by([("key", "ascending"), ("copy", "ascending")]).column("data").to_pylist()
+    for at in range(0, len(lists), 200):
+        texts = [np.frombuffer(x, dtype="<u2") for x in lists[at : at + 200]]
+        found, bounds = np.concatenate(texts).astype(np.int32), np.r_[0, np.cumsum([len(x) for x in texts])]
+        some = due(bounds, turn, rounds)
+        waiting.append((windows_at(some, found, bounds, size), label[found[some]]))
+        tokens += len(found)
+        ready += len(some)
+        if ready >= 8 * batch:
+            _pass(p, memory, waiting, batch)
+            waiting, ready = [], 0
     _pass(p, memory, waiting, batch)
-    if tokens:
-        out = flat(p)
-        edges = range(0, len(out), BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(len(edges)), pa.int32()), pa.array([_part()] * len(edges), pa.int32()),
-                pa.array([float(tokens)] * len(edges)), pa.array([(out[i : i + BLOCK] * np.float32(1)).astype("<f4").tobytes() for i in edges], pa.binary()),
-            ],
-            ["block", "part", "weight", "data"],
-        )
+    # The change alone, which is 0 for inputs that the part doesn't hold.
+    out = flat(p | {"E": p["E"][:-1]}) - v
+    edges = range(0, len(out), BLOCK)
+    return pa.table({
+        "block": pa.array(range(len(edges)), pa.int32()), "part": pa.array([part] * len(edges), pa.int32()), "weight": pa.array([float(tokens)] * len(edges)),
+        "data": pa.array([out[i : i + BLOCK].astype("<f4").tobytes() for i in edges], pa.binary()),
+    })
+
+
+def _trainer(v: np.ndarray, label: np.ndarray, turn: int, rounds: int):
+    return lambda key, t: _train_part(key[0].as_py(), t, v, label, turn, rounds)
 
 
 def _pass(p, memory, waiting, batch: int) -> None:
@@ -281,7 +298,7 @@ def _pass(p, memory, waiting, batch: int) -> None:
 
 
 def _mean(t: pa.Table) -> pa.Table:
-    """Weighted mean of one block, in the order of the tasks, so that reruns agree."""
+    """Weighted mean change of one block, in the order of the tasks, so that reruns agree."""
     t = t.sort_by("part")
     weight = t.column("weight").to_numpy()
     total = sum(w * np.frombuffer(d.as_py(), dtype="<f4").astype(np.float64) for w, d in zip(weight, t.column("data")))
@@ -371,13 +388,14 @@ def fit(docs: DataFrame, words: DataFrame, rounds: int = 2) -> tuple[np.ndarray,
     kind = "block int, part int, weight double, data binary"
     stored = slot_table(docs.select("text"))
     each = stored.select("key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "data")
-    dealt = each.repartition(max(1, -(-int(counts.sum()) // PART)), F.xxhash64("key", "copy")).sortWithinPartitions("key", "copy", "data").select("data")
+    parts = max(1, min(8, -(-4 * int(counts.sum()) // PART)), -(-int(counts.sum()) // PART))
+    dealt = each.withColumn("part", F.pmod(F.xxhash64("key", "copy", F.lit(1)), F.lit(parts)).cast("int"))
     for turn in range(rounds):
-        copies = dealt.mapInArrow(lambda b, v=v, t=turn: _train_batches(b, v, label, t, rounds), kind)
+        copies = dealt.groupBy("part").applyInArrow(_trainer(v, label, turn, rounds), kind)
         some = copies.groupBy("block", (F.col("part") % 64).alias("salt")).applyInArrow(_mean, kind)
         found = some.groupBy("block").applyInArrow(_mean, kind).orderBy("block").collect()
         if found:
-            v = np.concatenate([np.frombuffer(r["data"], dtype="<f4") for r in found])
+            v = v + np.concatenate([np.frombuffer(r["data"], dtype="<f4") for r in found])
     release(stored)
     return v, label, inside, counts
 

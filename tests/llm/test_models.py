@@ -203,20 +203,16 @@ def test_lm_query(spark):
 
 
 def test_rounds_train_on_every_position(monkeypatch):
-    from types import SimpleNamespace
-
-    import pyspark
-
-    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
     texts = [" ".join(f"w{i}x{j}" for j in range(1 + i % 40)) for i in range(300)] + [""]
     found, bounds = lm.slots([t.encode() for t in texts])
     seen = []
     monkeypatch.setattr(lm, "train_step", lambda p, memory, at, label, rate=0.08: seen.append(np.c_[at, label]))
     keyed = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
-    batch = pa.Table.from_batches(lm._slot_batches(iter([keyed]))).combine_chunks().to_batches()[0]
-    assert batch.num_rows == 300
+    rows = pa.Table.from_batches(lm._slot_batches(iter([keyed])))
+    rows = rows.append_column("copy", pa.array([1] * len(rows)))
+    assert rows.num_rows == 300
     for turn in range(2):
-        assert list(lm._train_batches(iter([batch]), lm.flat(lm.start()), np.arange(lm.SLOTS), turn))
+        assert lm._train_part(0, rows, lm.flat(lm.start()), np.arange(lm.SLOTS), turn).num_rows
     want = np.c_[lm.windows(found, bounds), found]
     assert sorted(map(tuple, np.concatenate(seen).tolist())) == sorted(map(tuple, want.tolist()))
     for rounds in (1, 3):
@@ -273,3 +269,12 @@ def test_places_in_the_head():
         for bits in (4, 20):
             got = lm.places(head, bits)(words)
             assert got.tolist() == [{w: i for i, w in enumerate(head.tolist())}.get(w, -1) for w in words.tolist()]
+
+
+def test_some_windows_equal_all():
+    rng = np.random.default_rng(8)
+    bounds = np.array([0, 1, 3, 40, 41])
+    found = rng.integers(0, lm.SLOTS, 41).astype(np.int32)
+    for turn in range(2):
+        some = lm.due(bounds, turn, 2)
+        assert (lm.windows_at(some, found, bounds, lm.INPUTS) == lm.windows(found, bounds)[some]).all()
