@@ -425,7 +425,7 @@ def _page(rng: np.random.Generator, kinds: list[str] | None = None, mixed: bool
             elif r < 0.82 and not mixed:
                 parts.append("<ul>" + "".join(said("li", phrase(2, 15)) for _ in range(int(rng.integers(2, 6)))) + "</ul>")
             elif r < 0.80:
-                item = pick([lambda: phrase(2, 15), lambda: prose(1, 3)])
+                item = pick([lambda: phrase(1, 4), lambda: phrase(2, 15), lambda: prose(1, 3)])
                 wrapped = chance(0.2)
                 each = "".join("<li>" + said("p", item()) + "</li>" if wrapped else said("li", item()) for _ in range(int(rng.integers(2, 8))))
                 parts.append(f"<{(t := pick(['ul', 'ol', 'ol']))}>{each}</{t}>")
@@ -481,7 +481,7 @@ def _page(rng: np.random.Generator, kinds: list[str] | None = None, mixed: bool
 
 
 @functools.lru_cache(maxsize=2)
-def train(pages: int = 1200, seed: int = 5) -> tuple[dict[str, float], Trees]:
+def train(pages: int = 1600, seed: int = 7) -> tuple[dict[str, float], Trees]:
     """Tokens' log-odds and the trees, from generated pages."""
     rng = np.random.default_rng(seed)
     made = []
@@ -539,7 +539,7 @@ def _batches(batches: Iterator[pa.RecordBatch], odds: dict[str, float], trees: T
             )
 
 
-def main_text(pages: DataFrame, training_pages: int = 1200, seed: int = 5) -> DataFrame:
+def main_text(pages: DataFrame, training_pages: int = 1600, seed: int = 7) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     odds, trees = train(training_pages, seed)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")

@@ -76,7 +76,7 @@ def _place(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], lon
             yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names, "pivot", "distance", "reach"])
 
 
-def _number_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def number_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of one dimension and pivot, at most ``size``, make a block."""
     from pyspark import TaskContext
 
@@ -199,7 +199,7 @@ def hard_negatives(
     placed = clean.mapInArrow(lambda b: _place(b, pivots, longest, every), _STORED.rsplit(",", 1)[0])
     key = ["dim", "pivot", "distance", "vec_id"]
     ordered = placed.repartitionByRange(max(1, -(-total // (4 * block_rows))), *key).sortWithinPartitions(*key)
-    stored = materialise(ordered.mapInArrow(lambda b: _number_blocks(b, block_rows), _STORED), "negatives-stored")
+    stored = materialise(ordered.mapInArrow(lambda b: number_blocks(b, block_rows), _STORED), "negatives-stored")
     release(clean)
     blocks = materialise(stored.groupBy("dim", "pivot", "block").agg(F.min("distance").alias("nearest"), F.max("distance").alias("furthest")), "negatives-blocks")
     groups = max(1, -(-(total // every) // group_rows))

@@ -20,11 +20,20 @@ def model():
 def test_held_out_kinds(model, kind, least):
     rng, good = np.random.default_rng(4242), 0
     for _ in range(100):
-        source, truth = ht._page(rng, [kind])
+        source, truth = ht._page(rng, [kind], mixed=False)
         good += ht.extract([source], *model)[0] == "\n".join(" ".join(html.unescape(t).split()) for t in truth)
     assert good >= 100 * least
 
 
+@pytest.mark.parametrize("kind", ["named", "bare", "plain", "odd", "loose"])
+def test_held_out_kinds_with_harder_parts(model, kind):
+    rng, good = np.random.default_rng(4242), 0
+    for _ in range(100):
+        source, truth = ht._page(rng, [kind])
+        good += ht.extract([source], *model)[0] == "\n".join(" ".join(html.unescape(t).split()) for t in truth)
+    assert good >= 90
+
+
 PARAGRAPHS = [f"Paragraph number {i} tells something, and it ends here." for i in range(6)]
 P = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
 MENU = "<ul class=menu><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li><li><a href=/c>Contact</a></li></ul>"
