@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import LARGE_AREA, MEDIUM_AREA, size_bin
@@ -24,10 +22,15 @@ def with_spans(df: DataFrame, column: str, by: list[str], spans: int = 64) -> Da
     The bounds are quantiles from a sketch, written to a table so that all readers see the same ones. They only deal rows out: what
     is counted over spans is exact.
     """
-    some = df.groupBy(*by).agg(F.percentile_approx(column, F.array(*[F.lit(k / spans) for k in range(1, spans)]), 10_000).alias("__bounds"))
+    some = df.groupBy(*by).agg(F.percentile_approx(column, F.array(*[F.lit(k / spans) for k in range(1, spans)]), 1_000).alias("__bounds"))
     some = materialise(some, "span-bounds")
-    place = reduce(Column.__add__, [(F.col(column) > F.col("__bounds")[k]).cast("int") for k in range(spans - 1)])
-    return (df.join(some, by) if by else df.crossJoin(F.broadcast(some))).withColumn("__span", place).drop("__bounds")
+    out = (df.join(some, by) if by else df.crossJoin(F.broadcast(some))).withColumn("__span", F.lit(0))
+    # How many bounds are below the value, by halving; ``spans`` is a power of two.
+    step = spans // 2
+    while step:
+        out = out.withColumn("__span", F.col("__span") + F.when(F.col(column) > F.element_at("__bounds", F.col("__span") + step), step).otherwise(0))
+        step //= 2
+    return out.drop("__bounds")
 
 
 def median(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
