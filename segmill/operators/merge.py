@@ -39,7 +39,7 @@ def combine_labels(baseline: DataFrame, crops: DataFrame, iou: float = 0.5, insi
     return both.withColumn("new_id", new)
 
 
-def renumber(anns: DataFrame, order: list[str], out: str = "new_id", parts: int = 1024) -> DataFrame:
+def renumber(anns: DataFrame, order: list[str | Column], out: str = "new_id", parts: int = 1024) -> DataFrame:
     """Dense ids 1..n in a global order, without a global window: ranges are counted, then numbered inside."""
     from ..session import materialise
 

@@ -50,9 +50,12 @@ def ablation_matrix(spark: SparkSession, images: DataFrame, base: str = "small")
 
 
 def shard_range(folders: DataFrame, column: str, job: int, per_job: int) -> DataFrame:
-    """Folders [job * per_job, (job + 1) * per_job) in their order."""
-    w = Window.orderBy(column)
-    return folders.withColumn("place", F.row_number().over(w) - 1).filter((F.col("place") >= job * per_job) & (F.col("place") < (job + 1) * per_job))
+    """Folders [job * per_job, (job + 1) * per_job) in their order, without a task that holds all."""
+    from ..operators.merge import renumber
+
+    parts = int(folders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = renumber(folders, [column], "place", parts).withColumn("place", (F.col("place") - 1).cast("int"))
+    return placed.filter((F.col("place") >= job * per_job) & (F.col("place") < (job + 1) * per_job))
 
 
 def class_head(files: DataFrame, by: str, order: str, n: int) -> DataFrame:

@@ -183,9 +183,15 @@ def eval_metrics_regex(lines: DataFrame) -> DataFrame:
 
 
 def rank_runs(metrics: DataFrame) -> DataFrame:
-    """Runs that have APs, highest first, ties by name."""
+    """Runs that have APs, highest first, ties by name. Ranks come from ranges that are counted and then numbered inside, so no task holds all runs."""
+    from ..operators.merge import renumber
+
     good = metrics.filter("APs IS NOT NULL")
-    return good.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("APs"), "run")))
+    return renumber(good, [F.desc("APs"), "run"], "rank", _parts(good)).withColumn("rank", F.col("rank").cast("int"))
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:

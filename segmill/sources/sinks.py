@@ -136,7 +136,8 @@ def debug_records(candidates: DataFrame) -> DataFrame:
 
 
 def ranked_csv(path: str, ranked: DataFrame) -> None:
-    ranked.orderBy("rank").coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A folder of CSV parts, each with a header; their names' order is the ranks'."""
+    ranked.orderBy("rank").write.mode("overwrite").csv(path, header=True)
 
 
 def number(c: Column, decimals: int = 2) -> Column:
