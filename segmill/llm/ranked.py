@@ -131,8 +131,20 @@ def term_counts(texts: list[bytes], known: Dictionary) -> tuple[np.ndarray, np.n
     return n, found // size, found % size, np.bincount(back, c, len(found)).astype(np.int64)
 
 
-def _lists(values: np.ndarray, owner: np.ndarray, rows: int, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), pa.array(values, kind))
+def _packed(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
+    """Each row's numbers as 32-bit ones in a byte string, which costs the JVM less than an array."""
+    ends = (np.searchsorted(owner, np.arange(rows + 1)) * 4).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.astype("<i4").tobytes())])
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of packed numbers."""
+    if not len(column):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    found = np.frombuffer(data, dtype="<i4", count=int(ends[-1]))[ends[0] :] if data is not None else np.zeros(0, dtype="<i4")
+    return np.repeat(np.arange(len(column)), np.diff(ends)), found.astype(np.int64)
 
 
 def _forward(batches: Iterator[pa.RecordBatch], known: Dictionary) -> Iterator[pa.RecordBatch]:
@@ -140,16 +152,26 @@ def _forward(batches: Iterator[pa.RecordBatch], known: Dictionary) -> Iterator[p
         for at in range(0, whole.num_rows, 250):
             batch = whole.slice(at, 250)
             n, owner, term, tf = term_counts([t or b"" for t in utf8_column(batch.column("text"))], known)
-            columns = [batch.column("row_id"), batch.column("doc_id"), pa.array(n), _lists(term, owner, len(n), pa.int32()), _lists(tf, owner, len(n), pa.int32())]
+            columns = [batch.column("row_id"), batch.column("doc_id"), pa.array(n), _packed(term, owner, len(n)), _packed(tf, owner, len(n))]
             out = pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "n", "terms", "tfs"])
             yield out.filter(pa.array(n > 0))
 
 
 def _postings(batch: pa.RecordBatch, of: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and value of each posting of a batch."""
-    terms, values = batch.column("terms"), batch.column(of)
-    row = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
-    return row, terms.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(np.int64)
+    row, terms = _numbers(batch.column("terms"))
+    return row, terms, _numbers(batch.column(of))[1]
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of a task hold each term."""
+    total = np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        found = np.bincount(_numbers(batch.column("terms"))[1], minlength=len(total))
+        found[: len(total)] += total
+        total = found
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held].astype(np.int64))], ["term", "df"])
 
 
 def _levels(batches: Iterator[pa.RecordBatch], n_docs: int, total: int) -> Iterator[pa.RecordBatch]:
@@ -172,7 +194,7 @@ def _tiers(batches: Iterator[pa.RecordBatch], n_docs: int, total: int, limits: n
             here = np.unique(row[mine])
             local = np.searchsorted(here, row[mine])
             kept = batch.take(pa.array(here))
-            columns = [pa.array(np.full(len(here), t, dtype=np.int32)), kept.column("row_id"), kept.column("doc_id"), _lists(term[mine], local, len(here), pa.int32()), _lists(value[mine], local, len(here), pa.int32())]
+            columns = [pa.array(np.full(len(here), t, dtype=np.int32)), kept.column("row_id"), kept.column("doc_id"), _packed(term[mine], local, len(here)), _packed(value[mine], local, len(here))]
             yield pa.RecordBatch.from_arrays(columns, ["tier", "row_id", "doc_id", "terms", "values"])
 
 
@@ -331,12 +353,12 @@ def _search_group(docs: DataFrame, items: list, k: int, capacities: tuple[int, .
     pairs = np.array([(i, place[t]) for i, (_, _, ts) in enumerate(items) for t in ts], dtype=np.int64).reshape(-1, 2)
     known = Dictionary(terms)
     source = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "row_id long, doc_id long, n long, terms array<int>, tfs array<int>"
+    schema = "row_id long, doc_id long, n long, terms binary, tfs binary"
     forward = materialise(source.mapInArrow(lambda b: _forward(b, known), schema), "ranked-forward")
     n_docs, total = forward.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = np.zeros(len(terms), dtype=np.int64)
     # At most a row for each term asked for.
-    for t, c in forward.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
+    for t, c in forward.select("terms").mapInArrow(_document_counts, "term int, df long").groupBy("term").agg(F.sum("df")).collect():
         df[t] = c
     weights = np.array([weight(n_docs, int(c)) for c in df], dtype=np.int64)
     asked = Asked(pairs, weights, len(items))
@@ -356,8 +378,8 @@ def _search_group(docs: DataFrame, items: list, k: int, capacities: tuple[int, .
             low, below = row[f"low{t}"], row[f"next{t}"]
             limits[t, row["term"]] = 256 if low is None else low
             residual[t, row["term"]] = 0 if below is None else ((below + 1) << _LEVEL_BITS) - 1
-    listed = forward.filter("doc_id IS NOT NULL AND size(terms) > 0")
-    index = materialise(listed.mapInArrow(lambda b: _tiers(b, n_docs, total, limits), "tier int, row_id long, doc_id long, terms array<int>, values array<int>"), "ranked-index", by="tier")
+    listed = forward.filter("doc_id IS NOT NULL AND octet_length(terms) > 0")
+    index = materialise(listed.mapInArrow(lambda b: _tiers(b, n_docs, total, limits), "tier int, row_id long, doc_id long, terms binary, values binary"), "ranked-index", by="tier")
     out, open_items = [], np.arange(len(items))
     for t in range(len(capacities)):
         part = Asked(pairs[np.isin(pairs[:, 0], open_items)], weights, len(items))
