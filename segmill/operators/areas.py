@@ -1,7 +1,7 @@
 """Areas of unions of boxes and mean gradients in boxes, by summed-area tables.
 
 A table over the boxes' own edges (not over pixels) holds the union's area below and left of every corner; a window reads it at its four corners.
-The tables of all images of a batch are made together, without a Python loop over images.
+The tables of all images of a slice of a batch are made together, without a Python loop over images.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from .runs import arrow_udf
 
 #: Cells of tables held at a time; images with larger tables are cut into strips.
 CELLS = 4_000_000
@@ -122,7 +123,7 @@ def _list_like(values: np.ndarray, rows: np.ndarray, n: int, kind) -> pa.Array:
 def covered_pixels(boxes: Column | str, windows: Column | str) -> Column:
     """For arrays of boxes (l, t, r, b; null for none) and of windows: an array of what of each window the boxes cover together."""
 
-    @F.arrow_udf("array<bigint>")
+    @arrow_udf("array<bigint>")
     def run(b: pa.Array, w: pa.Array) -> pa.Array:
         (image, found), (wimage, asked) = _flat(b, "ltrb"), _flat(w, "ltrb")
         return _list_like(union_pixels(image, found, wimage, asked, len(w)), wimage, len(w), pa.int64())
@@ -159,7 +160,7 @@ def mean_gradients(values: np.ndarray, boxes: np.ndarray) -> np.ndarray:
 def box_gradients(pixels: Column | str, boxes: Column | str) -> Column:
     """For arrays of pixels (y, x, v; a full grid, in any order; null for none) and of boxes: an array of each box's mean gradient."""
 
-    @F.arrow_udf("array<double>")
+    @arrow_udf("array<double>")
     def run(p: pa.Array, q: pa.Array) -> pa.Array:
         (image, place), (bimage, boxes) = _flat(p, "yx"), _flat(q, "ltrb")
         v = p.flatten().field("v").to_numpy(zero_copy_only=False).astype(np.float64) if len(place) else np.zeros(0)

@@ -1,17 +1,42 @@
 """Masks as run lengths, without pixel arrays: areas, overlaps, unions, differences, codecs, polygons, holes and connected parts.
 
 Run lengths are COCO's: down the columns, zeros first. Here they become spans [start, stop) of set places, sorted; set algebra is one sweep over the
-spans' ends of a whole batch of rows, so it costs runs, not pixels. All functions of columns work on Arrow batches.
+spans' ends of many rows, so it costs runs, not pixels. All functions of columns work on Arrow batches, a slice of bounded size at a time.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bytes of a batch's columns that a function takes at a time, so that its arrays don't grow with a batch's rows.
+SLICE = 1 << 19
+
+
+def arrow_udf(kind: str, rows: int | None = None):
+    """Spark's arrow_udf of a function that gets a slice of at most SLICE bytes, and ``rows`` rows, (or a row) of its columns at a time."""
+
+    def add(f):
+        @functools.wraps(f)
+        def run(*columns):
+            def work(first: int, n: int) -> list[pa.Array]:
+                mine = [c.slice(first, n) for c in columns]
+                if n < 2 or (n <= (rows or n) and sum(c.nbytes for c in mine) <= SLICE):
+                    return [f(*mine)]
+                return work(first, n // 2) + work(first + n // 2, n - n // 2)
+
+            parts = work(0, len(columns[0]))
+            return pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
+
+        return F.arrow_udf(run, kind)
+
+    return add
+
 
 def _lists(column: pa.Array, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
     """Each element's row, and the elements."""
@@ -50,7 +75,8 @@ def from_spans(row: np.ndarray, start: np.ndarray, stop: np.ndarray, size: np.nd
         same = (row[1:] == row[:-1]) & (start[1:] == stop[:-1])
         row, start, stop = row[np.r_[True, ~same]], start[np.r_[True, ~same]], stop[np.r_[~same, True]]
     last = np.zeros(len(size), dtype=np.int64)
-    np.maximum.at(last, row, stop)
+    # Spans are sorted, so a row's last one stays.
+    last[row] = stop
     before = np.where(np.diff(row, prepend=-1) != 0, 0, np.roll(stop, 1)) if len(row) else start
     rows = np.concatenate([np.repeat(row, 2), np.flatnonzero((last < size) | (size == 0))])
     values = np.concatenate([np.stack([start - before, stop - start], axis=1).ravel(), (size - last)[(last < size) | (size == 0)]])
@@ -87,7 +113,7 @@ def _totals(row: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 def overlap(a: Column | str, b: Column | str) -> Column:
     """struct(a, b, both): set places of two masks' run lengths, and of both at once."""
 
-    @F.arrow_udf("struct<a:bigint,b:bigint,both:bigint>")
+    @arrow_udf("struct<a:bigint,b:bigint,both:bigint>")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         n, mine, other = len(x), spans(*_lists(x)), spans(*_lists(y))
         row, start, stop, (p, q) = sweep([mine, other], n)
@@ -117,7 +143,7 @@ def inside(o: Column) -> Column:
 
 
 def area(counts: Column | str) -> Column:
-    @F.arrow_udf("bigint")
+    @arrow_udf("bigint")
     def run(c: pa.Array) -> pa.Array:
         row, counts = _lists(c)
         return pa.array(_totals(row, counts * (_number(row) % 2), len(c)), mask=c.is_null().to_numpy(zero_copy_only=False))
@@ -128,7 +154,7 @@ def area(counts: Column | str) -> Column:
 def without(a: Column | str, painted: Column | str) -> Column:
     """Run lengths of a mask minus what is painted already."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         rx, cx = _lists(x)
         row, start, stop, (p, q) = sweep([spans(rx, cx), spans(*_lists(y))], len(x))
@@ -141,7 +167,7 @@ def without(a: Column | str, painted: Column | str) -> Column:
 def union(masks: Column | str) -> Column:
     """Run lengths of the union of an array of masks of one size."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def run(m: pa.Array) -> pa.Array:
         n = len(m)
         outer = np.repeat(np.arange(n), pc.list_value_length(m).fill_null(0).to_numpy(zero_copy_only=False))
@@ -166,8 +192,9 @@ def packed_bytes(row: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     late = np.flatnonzero(_number(row) > 2)
     x[late] -= counts[late - 2]
     n = np.ones(len(x), dtype=np.int64)
-    for k in range(1, 13):
-        n[(x < -(1 << (5 * k - 1))) | (x >= 1 << (5 * k - 1))] = k + 1
+    size = np.where(x < 0, ~x, x)
+    for k in range(1, max(1, (int(size.max(initial=0)).bit_length() + 5) // 5)):
+        n += size >= 1 << (5 * k - 1)
     owner = np.repeat(np.arange(len(x)), n)
     k = _number(owner)
     return row[owner], (48 + (x[owner] >> 5 * k & 31) + np.where(k < n[owner] - 1, 32, 0)).astype(np.uint8)
@@ -185,12 +212,9 @@ def unpacked(row: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     x -= np.where(used[last] & 16, 1 << 5 * size, 0)
     rows = row[last]
     # The runs of a row from the second on are sums of changes, odd ones and even ones apart.
-    place = _number(rows)
-    order = np.lexsort((place, place % 2, place == 0, rows))
-    sorted_rows, sorted_place = rows[order], place[order]
-    chain = np.cumsum(np.diff(sorted_rows, prepend=-1).astype(bool) | np.r_[True, (sorted_place[1:] % 2 != sorted_place[:-1] % 2) | (sorted_place[1:] == 0)])
-    out = np.empty_like(x)
-    out[order] = _restart(x[order], chain)
+    place, out = _number(rows), x.copy()
+    for chain in (place % 2 == 1, (place % 2 == 0) & (place > 0)):
+        out[chain] = _restart(x[chain], rows[chain])
     return rows, out
 
 
@@ -203,7 +227,7 @@ def _characters(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def pack(counts: Column | str) -> Column:
     """COCO's string of run lengths."""
 
-    @F.arrow_udf("string")
+    @arrow_udf("string")
     def run(c: pa.Array) -> pa.Array:
         row, codes = packed_bytes(*_lists(c))
         ends = np.searchsorted(row, np.arange(len(c) + 1)).astype(np.int32)
@@ -217,7 +241,7 @@ def pack(counts: Column | str) -> Column:
 def unpack(text: Column | str) -> Column:
     """Run lengths of COCO's string."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def run(t: pa.Array) -> pa.Array:
         row, counts = unpacked(*_characters(t))
         return _to_lists(row, counts, len(t), null=t.is_null().to_numpy(zero_copy_only=False))
@@ -228,7 +252,7 @@ def unpack(text: Column | str) -> Column:
 def of_bits(bits: Column | str, width: int) -> Column:
     """Run lengths of row-major pixels."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def run(b: pa.Array) -> pa.Array:
         row, value = _lists(b)
         n = np.bincount(row, minlength=len(b))
@@ -249,7 +273,7 @@ def of_bits(bits: Column | str, width: int) -> Column:
 def to_bits(counts: Column | str, width: int) -> Column:
     """Row-major pixels of run lengths."""
 
-    @F.arrow_udf("array<tinyint>")
+    @arrow_udf("array<tinyint>")
     def run(c: pa.Array) -> pa.Array:
         row, counts = _lists(c)
         value = np.repeat((_number(row) % 2).astype(np.int8), counts)
@@ -303,7 +327,7 @@ def polygon_spans(points: np.ndarray, height: int, width: int) -> tuple[np.ndarr
 def of_polygons(polygons: Column | str, height: Column | str, width: Column | str) -> Column:
     """Run lengths of the union of polygons (array<array<double>>) on a canvas; no polygons, an empty mask."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def run(p: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
         rows, starts, stops = [], [], []
         size = [(int(a), int(b)) for a, b in zip(h.to_pylist(), w.to_pylist())]
@@ -325,7 +349,7 @@ def of_polygons(polygons: Column | str, height: Column | str, width: Column | st
 def turned(counts: Column | str, height: Column | str) -> Column:
     """Run lengths of the transposed mask; ``height`` is the given one's."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def run(c: pa.Array, h: pa.Array) -> pa.Array:
         row, counts = _lists(c)
         height, size = h.to_numpy(zero_copy_only=False).astype(np.int64), _totals(row, counts, len(c))
@@ -367,7 +391,7 @@ def decode(packed: Column | str, counts: Column | str, polygons: Column | str, c
 def in_boxes(counts: Column | str, boxes: Column | str, height: int) -> Column:
     """How many set places lie in each box (l, t, r, b) of an array; 0 for a null mask."""
 
-    @F.arrow_udf("array<bigint>")
+    @arrow_udf("array<bigint>")
     def run(c: pa.Array, q: pa.Array) -> pa.Array:
         row, x, y0, y1 = column_runs(*spans(*_lists(c)), np.full(len(c), height))
         sizes = pc.list_value_length(q).fill_null(0).to_numpy(zero_copy_only=False)
@@ -401,7 +425,7 @@ def placed(raw: Column | str, refined: Column | str, window: Column | str, width
     corners = "rmin", "cmin", "rmax", "cmax"
     ints = lambda names: ",".join(f"{n}:int" for n in names)
 
-    @F.arrow_udf(f"struct<crf_iou:double,pixels:bigint,edges:struct<{ints(sides)}>,counts:array<int>,area:bigint,box:struct<{ints(corners)}>>")
+    @arrow_udf(f"struct<crf_iou:double,pixels:bigint,edges:struct<{ints(sides)}>,counts:array<int>,area:bigint,box:struct<{ints(corners)}>>")
     def run(a: pa.Array, b: pa.Array, q: pa.Array) -> pa.Array:
         n = len(b)
         (arow, av), (brow, bv) = _lists(a), _lists(b)
@@ -515,7 +539,7 @@ def _filled(counts: pa.Array, heights: pa.Array) -> pa.Array:
 def fill_holes(counts: Column | str, height: Column | str) -> Column:
     """Run lengths of a mask with the background that can't reach the border."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def run(c: pa.Array, h: pa.Array) -> pa.Array:
         return _filled(c, h)
 
@@ -525,7 +549,7 @@ def fill_holes(counts: Column | str, height: Column | str) -> Column:
 def component_at(counts: Column | str, height: Column | str, y: Column | str, x: Column | str) -> Column:
     """Run lengths of the 4-connected part that holds a pixel; empty where the pixel isn't set."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def run(c: pa.Array, h: pa.Array, ys: pa.Array, xs: pa.Array) -> pa.Array:
         n = len(c)
         row, counts = _lists(c)
