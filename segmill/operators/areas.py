@@ -157,8 +157,25 @@ def mean_gradients(values: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _partial_gradients(values: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """As :func:`mean_gradients`, of a picture whose missing pixels are NaN: a pixel beside one is at an edge, and one between two of them counts not at all."""
+    out = np.zeros(len(boxes))
+    for i, (l, t, r, b) in enumerate(np.maximum(boxes, 0)):
+        v = values[t:b, l:r]
+        if v.size:
+            sides = []
+            for axis in (0, 1):
+                wide = np.pad(v, 1, constant_values=np.nan)
+                before, after = (np.roll(wide, s, axis)[1:-1, 1:-1] for s in (1, -1))
+                sides.append(np.where(np.isnan(before), after - v, np.where(np.isnan(after), v - before, (after - before) / 2)))
+            size = np.hypot(*sides)
+            there = ~np.isnan(size)
+            out[i] = size[there].mean() if there.any() else 0.0
+    return out
+
+
 def box_gradients(pixels: Column | str, boxes: Column | str) -> Column:
-    """For arrays of pixels (y, x, v; a full grid, in any order; null for none) and of boxes: an array of each box's mean gradient."""
+    """For arrays of pixels (y, x, v; in any order; null for none) and of boxes: an array of each box's mean gradient."""
 
     @arrow_udf("array<double>")
     def run(p: pa.Array, q: pa.Array) -> pa.Array:
@@ -170,9 +187,10 @@ def box_gradients(pixels: Column | str, boxes: Column | str) -> Column:
             mine = slice(first[i], first[i + 1])
             if first[i] < first[i + 1]:
                 y, x = place[mine].T
-                grid = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
+                grid = np.full((int(y.max()) + 1, int(x.max()) + 1), np.nan)
                 grid[y, x] = v[mine]
-                out[ends[i] : ends[i + 1]] = mean_gradients(grid, boxes[ends[i] : ends[i + 1]])
+                mean = _partial_gradients if np.isnan(grid).any() else mean_gradients
+                out[ends[i] : ends[i + 1]] = mean(grid, boxes[ends[i] : ends[i + 1]])
         return _list_like(out, bimage, len(q), pa.float64())
 
     return run(pixels, boxes)
