@@ -6,6 +6,8 @@ their last row and column. The two are never mixed. Rounding is half to even.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,16 +66,25 @@ def inclusive(a: Column) -> Column:
     return F.struct(a["t"].alias("rmin"), a["l"].alias("cmin"), (a["b"] - 1).alias("rmax"), (a["r"] - 1).alias("cmax"))
 
 
-def overlap_expanded(a: Column, b: Column, ratio: float = 0.15) -> Column:
-    """Inclusive boxes, each grown by ``ratio`` of its own extent (last minus first), overlap strictly."""
+def grown(x: Column, ratio: float = 0.15) -> Column:
+    """An inclusive box grown by ``ratio`` of its own extent (last minus first) on every side.
+
+    All is multiplied by the ratio's denominator, so whole numbers stay whole (doubles hold them exactly), and boxes that just touch don't overlap by a last bit.
+    """
+    share = Fraction(str(ratio))
+    part, whole = F.lit(float(share.numerator)), F.lit(float(share.denominator))
+    h, w = (x["rmax"] - x["rmin"]) * part, (x["cmax"] - x["cmin"]) * part
+    return F.struct((x["rmin"] * whole - h).alias("rmin"), (x["cmin"] * whole - w).alias("cmin"), (x["rmax"] * whole + h).alias("rmax"), (x["cmax"] * whole + w).alias("cmax"))
 
-    def grown(x: Column) -> tuple[Column, ...]:
-        h, w = (x["rmax"] - x["rmin"]) * ratio, (x["cmax"] - x["cmin"]) * ratio
-        return x["rmin"] - h, x["cmin"] - w, x["rmax"] + h, x["cmax"] + w
 
-    a0, a1, a2, a3 = grown(a)
-    b0, b1, b2, b3 = grown(b)
-    return (a0 < b2) & (b0 < a2) & (a1 < b3) & (b1 < a3)
+def grown_overlap(a: Column, b: Column) -> Column:
+    """Boxes of :func:`grown` overlap strictly. For joins, whose sides grow their boxes once, not once a pair."""
+    return (a["rmin"] < b["rmax"]) & (b["rmin"] < a["rmax"]) & (a["cmin"] < b["cmax"]) & (b["cmin"] < a["cmax"])
+
+
+def overlap_expanded(a: Column, b: Column, ratio: float = 0.15) -> Column:
+    """Inclusive boxes, each grown by ``ratio`` of its own extent (last minus first), overlap strictly."""
+    return grown_overlap(grown(a, ratio), grown(b, ratio))
 
 
 def clip_square(cx: Column, cy: Column, size: Column, width: Column, height: Column) -> Column:

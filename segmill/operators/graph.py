@@ -102,41 +102,58 @@ def filled(masks: DataFrame, width: int, column: str = "bits") -> DataFrame:
     return masks.withColumn(column, rn.to_bits(rn.fill_holes(rn.of_bits(column, width), height), width))
 
 
-def oriented(v: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, int, int]:
+def oriented(v: np.ndarray, shape: tuple[int, int], cells: np.ndarray | None = None) -> tuple[np.ndarray, int, int]:
     """(foreground, seed, corners): v above its mean, turned over when three corners or not the peak lie in it.
 
+    ``cells``: the grid's places that v has, row by row; all if not given. A place without a value is never in front.
     Entries that differ in the last bits only count as equal, and the first of them as the peak, so that no solver's noise decides.
     """
+    cells = np.arange(len(v)) if cells is None else cells
     v = np.round(v / (np.abs(v).max() or 1.0), 9)
-    fg = (v > v.mean()).reshape(shape)
+    front = v > v.mean()
+    fg = np.zeros(shape, dtype=bool)
+    fg.flat[cells] = front
     corners = int(fg[0, 0]) + int(fg[0, -1]) + int(fg[-1, 0]) + int(fg[-1, -1])
-    turn = corners >= 3 or not fg.flat[np.abs(v).argmax()]
-    return (~fg, int((-v).argmax()), corners) if turn else (fg, int(v.argmax()), corners)
+    if corners >= 3 or not front[np.abs(v).argmax()]:
+        fg.flat[cells] = ~front
+        return fg, int(cells[(-v).argmax()]), corners
+    return fg, int(cells[v.argmax()]), corners
 
 
-def bipartitions(values: DataFrame) -> DataFrame:
-    """values: image_id, y, x, v. (image_id, bits, seed, corners) as :func:`oriented`, one image's grid at a time."""
+def _cells(df: pd.DataFrame, shape: tuple[int, int] | None) -> tuple[pd.DataFrame, tuple[int, int], np.ndarray]:
+    """An image's rows in the grid's order, the grid's shape (that of its last row and column if not given), and the rows' places in it."""
+    df = df.sort_values(["y", "x"])
+    shape = shape or (int(df.y.max()) + 1, int(df.x.max()) + 1)
+    return df, shape, df.y.to_numpy(dtype=int) * shape[1] + df.x.to_numpy(dtype=int)
+
+
+def bipartitions(values: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    """values: image_id, y, x, v. (image_id, bits, seed, corners) as :func:`oriented`, one image's grid at a time; bits of the places that have a value."""
 
     def run(key, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["y", "x"])
-        fg, seed, corners = oriented(df.v.to_numpy(dtype=float), (int(df.y.max()) + 1, int(df.x.max()) + 1))
-        return pd.DataFrame({"image_id": [key[0]], "bits": [fg.ravel().astype(int).tolist()], "seed": [seed], "corners": [corners]})
+        df, size, cells = _cells(df, shape)
+        fg, seed, corners = oriented(df.v.to_numpy(dtype=float), size, cells)
+        return pd.DataFrame({"image_id": [key[0]], "bits": [fg.ravel()[cells].astype(int).tolist()], "seed": [seed], "corners": [corners]})
 
     return values.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(run, "image_id long, bits array<int>, seed int, corners int")
 
 
-def iterative_cut(feat: np.ndarray, shape: tuple[int, int], tau: float = 0.2, rounds: int = 3, eps: float = 1e-5) -> list[np.ndarray]:
-    """Masks of one image's patches [n, dim], a round each; a round that repeats the one before or is tiny is empty."""
+def iterative_cut(feat: np.ndarray, shape: tuple[int, int], tau: float = 0.2, rounds: int = 3, eps: float = 1e-5, cells: np.ndarray | None = None) -> list[np.ndarray]:
+    """Masks of one image's patches [n, dim], a round each; a round that repeats the one before or is tiny is empty.
+
+    ``cells``: the grid's places that have a patch, all if not given; the others are in no mask.
+    """
+    cells = np.arange(len(feat)) if cells is None else cells
     feat, painted = feat.astype(float).copy(), np.zeros(shape, dtype=bool)
     masks: list[np.ndarray] = []
     before: np.ndarray | None = None
     for k in range(rounds):
         if before is not None:
             painted |= before
-            feat[painted.ravel()] = 0
+            feat[painted.ravel()[cells]] = 0
         norm = np.maximum(np.linalg.norm(feat, axis=1, keepdims=True), 1e-12)
         unit = feat / norm
-        fg, seed, _ = oriented(second_vector(Affinity(unit, tau, eps)), shape)
+        fg, seed, _ = oriented(second_vector(Affinity(unit, tau, eps)), shape, cells)
         mask = flood(fg, seed)
         if before is not None:
             both, either = (mask & before).sum(), (mask | before).sum()
@@ -148,17 +165,16 @@ def iterative_cut(feat: np.ndarray, shape: tuple[int, int], tau: float = 0.2, ro
     return masks
 
 
-def _grid(df: pd.DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
-    df = df.sort_values(["y", "x"])
-    return np.stack(df.feat.to_list()).astype(float), (int(df.y.max()) + 1, int(df.x.max()) + 1)
+def _features(df: pd.DataFrame) -> np.ndarray:
+    return np.stack(df.feat.to_list()).astype(float)
 
 
-def cut_masks(patches: DataFrame, tau: float = 0.2, rounds: int = 3) -> DataFrame:
-    """(image_id, round, bits, area): the iterative cut of every image, one image's patches at a time."""
+def cut_masks(patches: DataFrame, tau: float = 0.2, rounds: int = 3, shape: tuple[int, int] | None = None) -> DataFrame:
+    """(image_id, round, bits, area): the iterative cut of every image, one image's patches at a time; bits of the whole grid, of ``shape`` or up to the image's last row and column."""
 
     def run(key, df: pd.DataFrame) -> pd.DataFrame:
-        feat, shape = _grid(df)
-        rows = [(key[0], k, m.ravel().astype(int).tolist(), int(m.sum())) for k, m in enumerate(iterative_cut(feat, shape, tau, rounds))]
+        df, size, cells = _cells(df, shape)
+        rows = [(key[0], k, m.ravel().astype(int).tolist(), int(m.sum())) for k, m in enumerate(iterative_cut(_features(df), size, tau, rounds, cells=cells))]
         return pd.DataFrame(rows, columns=["image_id", "round", "bits", "area"])
 
     return patches.select("image_id", "y", "x", "feat").groupBy("image_id").applyInPandas(run, "image_id long, round int, bits array<int>, area long")
@@ -168,7 +184,7 @@ def ncut(patches: DataFrame, tau: float = 0.2, eps: float = 1e-5) -> DataFrame:
     """(image_id, i, v, residual): the cut's vector and its equation's largest error."""
 
     def run(key, df: pd.DataFrame) -> pd.DataFrame:
-        feat, _ = _grid(df)
+        feat = _features(df.sort_values(["y", "x"]))
         unit = feat / np.maximum(np.linalg.norm(feat, axis=1, keepdims=True), 1e-12)
         a = Affinity(unit, tau, eps)
         v, d = second_vector(a), a.degree
@@ -181,10 +197,11 @@ def ncut(patches: DataFrame, tau: float = 0.2, eps: float = 1e-5) -> DataFrame:
 
 def fragment_edges(boxes: DataFrame, iou: float = 0.5, ios: float = 0.85, expand: float = 0.05) -> DataFrame:
     """(image_id, u, v), u < v: boxes of an image that repeat, hold or nearly touch each other."""
-    a = boxes.select("image_id", F.col("ann_id").alias("u"), F.struct("l", "t", "r", "b").alias("a"))
-    c = boxes.select(F.col("image_id").alias("other"), F.col("ann_id").alias("v"), F.struct("l", "t", "r", "b").alias("c"))
-    near = g.overlap_expanded(g.inclusive(F.col("a")), g.inclusive(F.col("c")), expand)
-    linked = (g.box_iou(F.col("a"), F.col("c")) > iou) | (g.box_ios(F.col("a"), F.col("c")) > ios) | near
+    box = F.struct("l", "t", "r", "b")
+    wide = g.grown(g.inclusive(box), expand)
+    a = boxes.select("image_id", F.col("ann_id").alias("u"), box.alias("a"), wide.alias("wide_a"))
+    c = boxes.select(F.col("image_id").alias("other"), F.col("ann_id").alias("v"), box.alias("c"), wide.alias("wide_c"))
+    linked = g.grown_overlap(F.col("wide_a"), F.col("wide_c")) | (g.box_iou(F.col("a"), F.col("c")) > iou) | (g.box_ios(F.col("a"), F.col("c")) > ios)
     return a.join(c, (F.col("image_id") == F.col("other")) & (F.col("u") < F.col("v")) & linked).select("image_id", "u", "v")
 
 

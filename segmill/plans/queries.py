@@ -179,7 +179,10 @@ _GROWN = """(x.t - (x.b - 1 - x.t) * 0.05 < y.b - 1 + (y.b - 1 - y.t) * 0.05 AND
 
 @query(f"WITH {fx.ANN} SELECT x.ann_id, y.ann_id AS ann_id2 FROM ann x JOIN ann y ON x.image_id = y.image_id AND x.ann_id < y.ann_id WHERE {_GROWN}")
 def q_overlap_expanded(spark, d):
-    return _self_pairs(spark, d).filter(g.overlap_expanded(g.inclusive(F.col("x")), g.inclusive(F.col("y")), 0.05)).select("ann_id", "ann_id2")
+    a = fx.annotations(spark, d).select("image_id", "ann_id", g.grown(g.inclusive(_box()), 0.05).alias("x"))
+    c = a.select(F.col("image_id").alias("other"), F.col("ann_id").alias("ann_id2"), F.col("x").alias("y"))
+    near = (F.col("image_id") == F.col("other")) & (F.col("ann_id") < F.col("ann_id2")) & g.grown_overlap(F.col("x"), F.col("y"))
+    return a.join(c, near).select("ann_id", "ann_id2")
 
 
 _FRAGMENT = f"e AS (SELECT x.image_id, x.ann_id AS u, y.ann_id AS v FROM ann x JOIN ann y ON x.image_id = y.image_id AND x.ann_id < y.ann_id WHERE x.source = 'crop' AND y.source = 'crop' AND ({_iou('x', 'y')} > 0.5 OR {_ios('x', 'y')} > 0.85 OR {_GROWN}))"
@@ -435,8 +438,12 @@ def q_heatmap_windows(spark, d):
     pixels = pixels.select("image_id", (F.floor(F.col("k") / 5) * 8 + F.floor(F.col("i") / 8)).cast("int").alias("y"), (F.col("k") % 5 * 8 + F.col("i") % 8).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
     left, top, n = F.col("vec_id") * 7 % 30, F.col("vec_id") * 11 % 30, F.col("vec_id")
     covered = e.select(image, *[c.cast("int").alias(s) for s, c in zip("ltrb", (left, top, left + 3 + n % 7, top + 2 + n % 5))])
+    # The last image may lack patches; what isn't there isn't covered.
+    there = e.select(image, (F.floor(k / 5) * 8).cast("int").alias("y"), (k % 5 * 8).cast("int").alias("x"))
+    at = dict(zip("ltrb", (F.greatest("l", "x"), F.greatest("t", "y"), F.least("r", F.col("x") + 8), F.least("b", F.col("y") + 8))))
+    covered = covered.join(there, "image_id").select("image_id", *[c.alias(s) for s, c in at.items()]).filter("l < r AND t < b")
     images = heat.select("image_id").distinct().withColumns({"width": F.lit(40), "height": F.lit(40)})
-    return _rounded(wn.heatmap_windows(heat, images, [0.25, 0.35, 0.5], top_k=6, rescue=2, covered=covered, pixels=pixels))
+    return _rounded(wn.heatmap_windows(heat, images, [0.25, 0.35, 0.5], top_k=6, rescue=2, covered=covered, pixels=pixels, grid=(5, 5)))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS image_id, o_custkey % 160 AS cx, o_orderkey * 7 % 160 AS cy FROM orders), gd AS (SELECT cell // 3 AS row, cell % 3 AS col FROM range(9) r(cell)),
@@ -472,7 +479,7 @@ def q_bipartition(spark, d):
     """A value of every patch parted at its mean and turned so that the peak is in front; its seed, and the corners in front before."""
     ship(spark)
     p = fx.patches(spark, d).select("image_id", "y", "x", F.col("feat")[0].alias("v"))
-    return gr.bipartitions(p).select("image_id", _said("bits"), "seed", "corners")
+    return gr.bipartitions(p, (5, 5)).select("image_id", _said("bits"), "seed", "corners")
 
 
 def _said(bits: str) -> Column:
@@ -495,7 +502,7 @@ def q_ncut(spark, d):
 @query()
 def q_iterative_cut(spark, d):
     ship(spark)
-    return gr.cut_masks(fx.patches(spark, d)).select("image_id", "round", _said("bits"), "area")
+    return gr.cut_masks(fx.patches(spark, d), shape=(5, 5)).select("image_id", "round", _said("bits"), "area")
 
 
 def _scored_masks(spark, d):

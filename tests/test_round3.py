@@ -4,6 +4,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from segmill.functions import geometry as g
+from segmill.operators import graph as gr
+from segmill.operators import windows as wn
+from segmill.operators.areas import _partial_gradients, mean_gradients
 from segmill.operators import runs as rn
 from segmill.plans.run_queries import _ragged
 from segmill.session import dealt
@@ -40,3 +44,45 @@ def test_dealt_parts_follow_rows(spark):
     assert parts.rdd.getNumPartitions() == 50
     sizes = parts.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert sizes < 200 and dealt(one, 10_000, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_boxes_that_just_touch_when_grown(spark):
+    """In whole numbers: 20 * (rmin - rmax') against the extents, for every gap and extent up to 60."""
+    ab = spark.range(61 * 61).select((F.col("id") % 61).alias("h"), F.floor(F.col("id") / 61).alias("k")).crossJoin(spark.range(8).select(F.col("id").alias("gap")))
+    box = lambda t, h: F.struct(t.alias("rmin"), F.lit(0).alias("cmin"), (t + h).alias("rmax"), F.lit(9).alias("cmax"))
+    x, y = box(F.lit(37), F.col("h")), box(37 + F.col("h") + F.col("gap"), F.col("k"))
+    rows = ab.select("h", "k", "gap", g.overlap_expanded(x, y, 0.05).alias("near")).collect()
+    assert all(r.near == (20 * r.gap < r.h + r.k) for r in rows)
+
+
+def test_bipartition_of_a_grid_with_missing_cells(spark):
+    v = [3.0, 1.0, 1.0, 1.0, 2.5, -0.5]
+    df = spark.createDataFrame([(1, k // 5, k % 5, x) for k, x in enumerate(v)], "image_id int, y int, x int, v double")
+    r = gr.bipartitions(df, (5, 5)).first()
+    assert (list(r.bits), r.seed, r.corners) == ([1, 0, 0, 0, 1, 0], 0, 2)
+
+
+def test_cut_of_a_grid_with_missing_cells(spark):
+    rng = np.random.default_rng(3)
+    feat = [([1.0, 0.0] if k in (0, 1, 5, 6) else [0.0, 1.0]) + rng.normal(0, 0.01, 2).tolist() for k in range(7)]
+    df = spark.createDataFrame([(1, k // 5, k % 5, f) for k, f in enumerate(feat)], "image_id int, y int, x int, feat array<double>")
+    rows = gr.cut_masks(df, rounds=2, shape=(5, 5)).collect()
+    assert all(len(r.bits) == 25 and sum(r.bits) == r.area and not any(r.bits[7:]) for r in rows)
+    assert [k for k, b in enumerate(rows[0].bits) if b] in ([0, 1, 5, 6], [2, 3, 4])
+
+
+def test_boxes_over_no_cell_have_no_score(spark):
+    cells = spark.createDataFrame([(1, 0, x, 0.5) for x in range(3)], "image_id int, y int, x int, heat double")
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 20, 30, 30, 40)], "image_id int, ord int, l int, t int, r int, b int")
+    boxes = boxes.withColumns({"gw": F.lit(5), "gh": F.lit(5), "width": F.lit(40), "height": F.lit(40)})
+    assert [r.ord for r in wn.score_boxes(boxes, cells).collect()] == [1]
+
+
+def test_gradients_beside_missing_pixels():
+    rng = np.random.default_rng(5)
+    full = rng.normal(size=(12, 9))
+    boxes = np.array([[0, 0, 9, 12], [2, 3, 7, 11], [1, 1, 3, 3], [4, 4, 20, 20]])
+    assert np.allclose(_partial_gradients(full, boxes), mean_gradients(full, boxes))
+    cut = full.copy()
+    cut[8:, 4:] = np.nan
+    assert np.isclose(_partial_gradients(cut, np.array([[5, 5, 9, 12]]))[0], mean_gradients(full[:8], np.array([[5, 5, 9, 8]]))[0])
