@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,20 @@ def coco_document(images: DataFrame, anns: DataFrame, categories: DataFrame, inf
 
 
 def write_coco(path: str, images: DataFrame, anns: DataFrame, categories: DataFrame, info: str = "") -> None:
-    coco_document(images, anns, categories, info).write.mode("overwrite").text(path)
+    """A bundle of any size as a folder with one JSON file. Tasks write its parts (:func:`write_bundle`), whose bytes are then put one after the other, a megabyte at a time."""
+    spark = images.sparkSession
+    parts = f"{path.rstrip('/')}-parts-{uuid.uuid4().hex}"
+    write_bundle(parts, images, anns, categories, info)
+    jvm, at = spark.sparkContext._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    system = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.delete(at(path), True)
+    out = system.create(at(f"{path}/part-00000.json"))
+    for name in sorted(f.getPath().getName() for f in system.listStatus(at(parts)) if f.getPath().getName().startswith("part-")):
+        part = system.open(at(f"{parts}/{name}"))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+        part.close()
+    out.close()
+    system.delete(at(parts), True)
 
 
 def write_bundle(path: str, images: DataFrame, anns: DataFrame, categories: DataFrame, info: str = "", parts: int = 0) -> None:

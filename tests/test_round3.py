@@ -1,5 +1,7 @@
 """Work and memory that don't grow with a batch or a part, grids with missing cells, and comparisons at exact borders."""
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from segmill.operators import windows as wn
 from segmill.operators.areas import _partial_gradients, mean_gradients
 from segmill.operators import runs as rn
 from segmill.plans.run_queries import _ragged
+from segmill.sources import sinks as sk
 from segmill.session import dealt
 
 
@@ -86,3 +89,17 @@ def test_gradients_beside_missing_pixels():
     cut = full.copy()
     cut[8:, 4:] = np.nan
     assert np.isclose(_partial_gradients(cut, np.array([[5, 5, 9, 12]]))[0], mean_gradients(full[:8], np.array([[5, 5, 9, 8]]))[0])
+
+
+def test_one_json_file_from_parts(spark, tmp_path, monkeypatch):
+    """No task gets the whole document."""
+    monkeypatch.setattr(sk, "coco_document", None)
+    images = spark.range(500).select("id", F.lit("a").alias("file_name"), F.lit(1).alias("width"), F.lit(1).alias("height"))
+    anns = spark.range(500).select("id", F.col("id").alias("image_id"), F.lit(1).alias("category_id"))
+    cats = spark.range(1).select(F.lit(1).alias("id"), F.lit("x").alias("name"), F.lit("y").alias("supercategory"))
+    path = str(tmp_path / "doc")
+    sk.write_coco(path, images, anns, cats, "t")
+    files = [p for p in (tmp_path / "doc").iterdir() if not p.name.startswith(".")]
+    assert len(files) == 1 and not list(tmp_path.glob("doc-parts*"))
+    doc = json.loads(files[0].read_text())
+    assert [a["id"] for a in doc["annotations"]] == list(range(500)) and len(doc["images"]) == 500 and doc["info"]["description"] == "t"
