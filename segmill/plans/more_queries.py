@@ -16,7 +16,7 @@ from ..operators import graph as gr
 from ..operators import runs as rn
 from ..operators import stats as st
 from ..operators import windows as wn
-from ..session import shared_dir, ship, table
+from ..session import dealt, shared_dir, ship, table
 from ..sources import readers as rd
 from ..sources import sinks as sk
 from . import fixtures as fx
@@ -335,7 +335,8 @@ def q_coverage_skip(spark, d):
     ship(spark)
     a = fx.annotations(spark, d)
     win = wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5]).select("ord", F.col("x").alias("l"), F.col("y").alias("t"), (F.col("x") + F.col("w")).alias("r"), (F.col("y") + F.col("h")).alias("b"))
-    every = fx.images(spark, d).select(F.col("id").alias("image_id")).crossJoin(F.broadcast(win))
+    # Dealt before the windows come, so that an image's windows are made where they are gathered.
+    every = dealt(fx.images(spark, d).select(F.col("id").alias("image_id")), 50_000, "image_id").crossJoin(F.broadcast(win))
     area = ((F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))).cast("long").alias("area")
     return wn.coverage_skip(every, a.filter("source = 'baseline'"), fx.SIZE, fx.SIZE, 0.5).select("image_id", "ord", "covered_pixels", area)
 
