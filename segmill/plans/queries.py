@@ -258,15 +258,18 @@ under AS (SELECT DISTINCT f.image_id, p.x, p.y FROM base f JOIN pix p ON p.x >=
 hit AS (SELECT u.image_id, w.ord, count(*) AS n FROM under u JOIN win w ON u.x >= w.x AND u.x < w.x + w.w AND u.y >= w.y AND u.y < w.y + w.w GROUP BY 1, 2)
 SELECT i.image_id, w.ord, coalesce(h.n, 0) AS covered_points FROM (SELECT DISTINCT image_id FROM base) i CROSS JOIN win w LEFT JOIN hit h ON h.image_id = i.image_id AND h.ord = w.ord""")
 def q_range_join_points(spark, d):
-    """A lattice's points under baseline boxes, by window, of every image: the range join."""
+    """A lattice's points under baseline boxes, by window, of every image: the range join.
+
+    The 64 points are the bits of a number, so an image is one row from the join on: rows of points never gather in a task.
+    """
     base = fx.annotations(spark, d).filter("source = 'baseline'").select("image_id", "l", "t", "r", "b")
     win = wn.grid_windows(spark, fx.SIZE, [1.0, 0.75, 0.5])
-    pix = spark.range(64).select((F.col("id") % 8 * 20).alias("px"), (F.floor(F.col("id") / 8) * 20).alias("py"))
-    inside = win.join(F.broadcast(pix), (F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + F.col("h"))).select("ord", "px", "py")
-    under = base.join(F.broadcast(pix), (F.col("px") >= F.col("l")) & (F.col("px") < F.col("r")) & (F.col("py") >= F.col("t")) & (F.col("py") < F.col("b"))).select("image_id", "px", "py").distinct()
-    hit = under.join(F.broadcast(inside), ["px", "py"]).groupBy("image_id", "ord").agg(F.count("*").alias("n"))
-    every = base.select("image_id").distinct().crossJoin(F.broadcast(win.select("ord")))
-    return every.join(hit, ["image_id", "ord"], "left").select("image_id", "ord", F.coalesce("n", F.lit(0)).alias("covered_points"))
+    pix = spark.range(64).select((F.col("id") % 8 * 20).alias("px"), (F.floor(F.col("id") / 8) * 20).alias("py"), F.expr("shiftleft(1L, CAST(id AS INT))").alias("bit"))
+    in_window = (F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + F.col("h"))
+    inside = win.join(F.broadcast(pix), in_window, "left").groupBy("ord").agg(F.coalesce(F.bit_or("bit"), F.lit(0)).alias("inside"))
+    in_box = (F.col("px") >= F.col("l")) & (F.col("px") < F.col("r")) & (F.col("py") >= F.col("t")) & (F.col("py") < F.col("b"))
+    under = base.join(F.broadcast(pix), in_box, "left").groupBy("image_id").agg(F.coalesce(F.bit_or("bit"), F.lit(0)).alias("under"))
+    return under.crossJoin(F.broadcast(inside)).select("image_id", "ord", F.bit_count(F.col("under").bitwiseAND(F.col("inside"))).cast("long").alias("covered_points"))
 
 
 @query(f"""WITH {fx.PIXELS}, s AS (SELECT mask_id, sum(v) AS area, min(y) FILTER (v = 1) AS rmin, max(y) FILTER (v = 1) AS rmax, min(x) FILTER (v = 1) AS cmin, max(x) FILTER (v = 1) AS cmax, avg(x) FILTER (v = 1) AS mx, avg(y) FILTER (v = 1) AS my FROM p GROUP BY 1)
