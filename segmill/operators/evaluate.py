@@ -163,33 +163,50 @@ def coco_ap(gt: DataFrame, pred: DataFrame, most: int = 100) -> DataFrame:
     classes = spark.createDataFrame([(c, lo, hi) for c, (lo, hi) in CLASSES.items()], "size string, lo long, hi long")
     variants = F.broadcast(classes.crossJoin(spark.createDataFrame([(x,) for x in THRESHOLDS], "at double")))
     key = ["size", "at"]
-    outside = lambda area: ((F.col(area) < F.col("lo")) | (F.col(area) > F.col("hi"))).cast("int")
-    ranked = pred.select("image_id", F.col("ann_id").alias("pred_id"), "score", F.col("area").alias("pred_area"), F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "ord")).alias("rank"))
+    outside = lambda area, lo=F.col("lo"), hi=F.col("hi"): ((area < lo) | (area > hi)).cast("int")
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "ord")).alias("rank")
+    ranked = pred.select("image_id", "score", F.col("area").alias("pred_area"), F.struct("l", "t", "r", "b").alias("c"), rank)
     ranked = ranked.filter(F.col("rank") <= most) if most > 0 else ranked
-    met = pairs(gt, pred).filter(F.col("iou") >= min(THRESHOLDS)).join(gt.select("image_id", F.col("ann_id").alias("gt_id"), F.col("area").alias("gt_area")), ["image_id", "gt_id"])
-    cand = met.join(ranked.select("image_id", "pred_id", "rank"), ["image_id", "pred_id"]).crossJoin(variants).filter("iou >= at")
-    option = F.struct(outside("gt_area").alias("x"), (-F.col("iou")).alias("i"), F.col("gt_id").alias("g"))
-    per = cand.groupBy("image_id", *key, "pred_id", "rank").agg(F.array_sort(F.collect_list(option)).alias("options"))
-    lists = per.groupBy("image_id", *key).agg(F.array_sort(F.collect_list(F.struct("rank", "pred_id", "options"))).alias("items"))
-    none = F.array().cast("array<struct<p:bigint,g:bigint,x:int>>")
+    # One join and one grouping on the image; the variants meet an image's list, not its pairs.
+    true = gt.select("image_id", F.col("ann_id").alias("gt_id"), F.col("area").alias("gt_area"), F.struct("l", "t", "r", "b").alias("a"))
+    met = true.join(ranked, "image_id").filter(g.boxes_overlap(F.col("a"), F.col("c"))).withColumn("iou", g.box_iou(F.col("a"), F.col("c"))).filter(F.col("iou") >= min(THRESHOLDS))
+    option = F.struct((-F.col("iou")).alias("i"), F.col("gt_id").cast("long").alias("g"), F.col("gt_area").alias("area"))
+    per = met.groupBy("image_id", "rank", "score", "pred_area").agg(F.array_sort(F.collect_list(option)).alias("options"))
+    lists = per.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "pred_area", "options"))).alias("items"))
+    taken = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).alias("x"), *[F.lit(0).cast(pred.schema[c].dataType).alias(n) for c, n in (("score", "score"), ("area", "pred_area"))])
 
     def take(used, x):
-        free = F.filter(x["options"], lambda o: ~F.exists(used, lambda u: u["g"] == o["g"]))
-        first = F.get(free, F.lit(0))
-        return F.when(F.size(free) > 0, F.array_append(used, F.struct(x["pred_id"].cast("long").alias("p"), first["g"].cast("long").alias("g"), first["x"].alias("x")))).otherwise(used)
-
-    hits = lists.select("image_id", *key, F.explode(F.aggregate("items", none, take)).alias("m")).select("image_id", *key, F.col("m.p").alias("pred_id"), F.col("m.x").alias("x"))
-    marked = ranked.crossJoin(variants).join(hits, ["image_id", "pred_id", *key], "left").filter(F.coalesce("x", outside("pred_area")) == 0)
-    steps = marked.groupBy(*key, "score").agg(F.count("x").alias("tp"), F.count(F.lit(1)).alias("n"))
-    # Running counts in two levels, as in average_precision.
-    steps = with_spans(materialise(steps, "ap-steps"), "score", key).select(*key, "score", "tp", "n", (-F.col("__span")).alias("span"))
-    sums = steps.groupBy(*key, "span").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    before = Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*key, "span", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    w = Window.partitionBy(*key, "span").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    n_gt = gt.select("area").crossJoin(F.broadcast(classes)).filter(outside("area") == 0).groupBy("size").agg(F.count(F.lit(1)).alias("n_gt"))
-    curve = steps.select(*key, "span", F.sum("tp").over(w).alias("tp"), F.sum("n").over(w).alias("n")).join(sums, [*key, "span"]).join(n_gt, "size")
-    curve = curve.select(*key, ((F.col("tp") + F.col("tp0")) / F.col("n_gt")).alias("recall"), ((F.col("tp") + F.col("tp0")) / (F.col("n") + F.col("n0"))).alias("precision"))
+        free = F.filter(x["options"], lambda o: (-o["i"] >= F.col("at")) & ~F.exists(used, lambda u: u["g"] == o["g"]))
+        first = F.coalesce(F.get(F.filter(free, lambda o: outside(o["area"]) == 0), F.lit(0)), F.get(free, F.lit(0)))
+        return F.when(F.size(free) > 0, F.array_append(used, F.struct(first["g"].alias("g"), outside(first["area"]).alias("x"), x["score"].alias("score"), x["pred_area"].alias("pred_area")))).otherwise(used)
+
+    used = F.aggregate("items", F.filter(F.array(taken), lambda u: F.lit(False)), take)
+    hits = lists.crossJoin(variants).select(*key, "lo", "hi", F.explode(used).alias("m"))
+    # How many predictions of a score count is a number a class, but for those that took something, whose own class doesn't matter.
+    counts = (F.col("m.x") == 0).cast("int")
+    plain = F.coalesce(1 - outside(F.col("m.pred_area")), F.lit(0))
+    hits = hits.groupBy(*key, F.col("m.score").alias("score")).agg(F.sum(counts).alias("tp"), F.sum(counts - plain).alias("more"))
+    hits = materialise(hits, "ap-hits")
+    names = {c: f"n_{c}" for c in CLASSES}
+    steps = ranked.groupBy("score").agg(*[F.sum(F.coalesce(1 - outside(F.col("pred_area"), F.lit(lo), F.lit(hi)), F.lit(0))).alias(names[c]) for c, (lo, hi) in CLASSES.items()])
+    # Running counts in two levels, as in average_precision: of all predictions by score, then of those that took something.
+    steps = with_spans(materialise(steps, "ap-steps"), "score", []).withColumn("span", -F.col("__span"))
+    before = lambda *by: Window.partitionBy(*by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.groupBy("span").agg(*[F.sum(n).alias(n) for n in names.values()])
+    sums = sums.select("span", *[F.coalesce(F.sum(n).over(before(F.lit(0))), F.lit(0)).alias(f"{n}0") for n in names.values()])
+    ran = steps.select("score", "span", *[F.sum(n).over(upto("span")).alias(n) for n in names.values()]).join(F.broadcast(sums), "span")
+    ran = ran.select(F.col("score").alias("__score"), "span", *[(F.col(n) + F.col(f"{n}0")).alias(n) for n in names.values()])
+    own = F.coalesce(*[F.when(F.col("size") == c, F.col(n)) for c, n in names.items()])
+    found = hits.join(ran, F.col("score").eqNullSafe(F.col("__score"))).select(*key, "score", "span", "tp", "more", own.alias("n"))
+    found = materialise(found, "ap-found")
+    sums = found.groupBy(*key, "span").agg(F.sum("tp").alias("tp"), F.sum("more").alias("more"))
+    sums = sums.select(*key, "span", *[F.coalesce(F.sum(c).over(before(*key)), F.lit(0)).alias(f"{c}0") for c in ("tp", "more")])
+    curve = found.select(*key, "span", F.col("tp").alias("own"), "n", *[F.sum(c).over(upto(*key, "span")).alias(c) for c in ("tp", "more")]).join(F.broadcast(sums), [*key, "span"])
+    n_gt = gt.select("area").crossJoin(F.broadcast(classes)).filter(outside(F.col("area")) == 0).groupBy("size").agg(F.count(F.lit(1)).alias("n_gt"))
+    # Where no true object is found the precision only falls, so those scores can't be the best of their step.
+    curve = curve.filter("own > 0").select(*key, (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("n") + F.col("more") + F.col("more0")).alias("n")).join(n_gt, "size")
+    curve = curve.select(*key, (F.col("tp") / F.col("n_gt")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
     best_at = curve.groupBy(*key, F.floor(F.col("recall") * 100 + 1e-9).alias("step")).agg(F.max("precision").alias("p"))
     spine = variants.join(n_gt, "size").select(*key).crossJoin(spark.range(101).select(F.col("id").alias("step")))
     envelope = F.coalesce(F.max("p").over(Window.partitionBy(*key).orderBy("step").rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))

@@ -2,6 +2,7 @@
 
 import re
 
+from segmill.operators import evaluate as ev
 from segmill.plans import queries as qs
 
 D = "/root/testdata/sf0.001"
@@ -14,3 +15,19 @@ def _plan(df):
 def test_points_of_an_image_stay_in_one_row(spark):
     keys = re.findall(r"Aggregate \[([^\]]*)\]", _plan(qs.q_range_join_points(spark, D)))
     assert keys and not any("px#" in k or "py#" in k for k in keys)
+
+
+def test_precision_writes_a_row_a_score(spark, monkeypatch):
+    """Not one for each of the 40 variants of every score."""
+    written = {}
+    keep = ev.materialise
+
+    def spy(df, label, by=None):
+        out = keep(df, label, by)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(ev, "materialise", spy)
+    gt, pred = qs._gt_pred(spark, D)
+    ev.coco_ap(gt, pred).collect()
+    assert written["ap-steps"] == pred.select("score").distinct().count() and len(written) > 1
