@@ -44,10 +44,14 @@ def q_scan_jsonl(spark, d):
 
 @query(f"SELECT 'run=run' || s_suppkey AS run, 'bbox' AS task, {_METRICS} FROM supplier")
 def q_scan_log_tree(spark, d):
-    """Logs in a folder a run, read as whole files."""
+    """Logs in a folder a run, read as whole files.
+
+    A file a run makes small data many files: they are dealt to tasks by their number, and each task puts its own in place.
+    """
     path = _path(spark, "logs")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    fx.log_lines(spark, d).groupBy("run").agg(whole.alias("value")).write.partitionBy("run").text(path)
+    logs = dealt(fx.log_lines(spark, d).groupBy("run").agg(whole.alias("value")), 500, "run", "value")
+    logs.write.partitionBy("run").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     return rd.eval_metrics(rd.log_lines(spark, path, "part-*"))
 
 

@@ -3,6 +3,7 @@
 import re
 
 from segmill.operators import evaluate as ev
+from segmill.plans import more_queries as mq
 from segmill.plans import queries as qs
 
 D = "/root/testdata/sf0.001"
@@ -31,3 +32,10 @@ def test_precision_writes_a_row_a_score(spark, monkeypatch):
     gt, pred = qs._gt_pred(spark, D)
     ev.coco_ap(gt, pred).collect()
     assert written["ap-steps"] == pred.select("score").distinct().count() and len(written) > 1
+
+
+def test_log_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mq, "_path", lambda spark, label: str(tmp_path / label))
+    assert mq.q_scan_log_tree(spark, D).count() == qs.table(spark, D, "supplier").count()
+    files = list((tmp_path / "logs").glob("run=*/part-*"))
+    assert len(files) == qs.table(spark, D, "supplier").count() and len({f.name.split("-")[1] for f in files}) > 1
