@@ -184,14 +184,20 @@ def _stack(bits, width: int) -> np.ndarray:
     return np.stack([np.asarray(b, dtype=bool).reshape(-1, width) for b in bits]) if len(bits) else np.zeros((0, 1, width), dtype=bool)
 
 
+def _drawn(counts, width: int) -> np.ndarray:
+    """As :func:`_stack`, of run lengths."""
+    return np.stack([np.repeat(np.arange(len(c)) % 2 == 1, c).reshape(width, -1).T for c in counts]) if len(counts) else np.zeros((0, 1, width), dtype=bool)
+
+
 def merge_candidates(masks: DataFrame, width: int, **options) -> DataFrame:
-    """masks: image_id, mask_id, bits, score, protected. (image_id, rank, mask_ids, score, area, protected) of the kept."""
+    """masks: image_id, mask_id, bits (row-major) or counts (run lengths), score, protected. (image_id, rank, mask_ids, score, area, protected) of the kept."""
+    pixels = (lambda df: _drawn(df.counts.to_list(), width)) if "counts" in masks.columns else (lambda df: _stack(df.bits.to_list(), width))
 
     def run(key, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("mask_id")
         own, rest = df[df.protected], df[~df.protected]
-        p = _stack(own.bits.to_list(), width)
-        _, kept = merge_candidates_image(_stack(rest.bits.to_list(), width), rest.score.to_numpy(), list(p), **options)
+        p = pixels(own)
+        _, kept = merge_candidates_image(pixels(rest), rest.score.to_numpy(), list(p), **options)
         ids = rest.mask_id.to_numpy()
         rows = []
         low = options.get("min_ratio", 1e-4)

@@ -18,15 +18,18 @@ from pyspark.sql import functions as F
 SLICE = 1 << 19
 
 
-def arrow_udf(kind: str, rows: int | None = None):
-    """Spark's arrow_udf of a function that gets a slice of at most SLICE bytes, and ``rows`` rows, (or a row) of its columns at a time."""
+def arrow_udf(kind: str, rows: int | None = None, cells=None):
+    """Spark's arrow_udf of a function that gets a slice of at most SLICE bytes, and ``rows`` rows, (or a row) of its columns at a time.
+
+    ``cells``, where a result is larger than what it is made of, tells the result's bytes; they are at most SLICE too.
+    """
 
     def add(f):
         @functools.wraps(f)
         def run(*columns):
             def work(first: int, n: int) -> list[pa.Array]:
                 mine = [c.slice(first, n) for c in columns]
-                if n < 2 or (n <= (rows or n) and sum(c.nbytes for c in mine) <= SLICE):
+                if n < 2 or (n <= (rows or n) and sum(c.nbytes for c in mine) <= SLICE and (cells is None or cells(*mine) <= SLICE)):
                     return [f(*mine)]
                 return work(first, n // 2) + work(first + n // 2, n - n // 2)
 
@@ -167,20 +170,20 @@ def without(a: Column | str, painted: Column | str) -> Column:
 def union(masks: Column | str) -> Column:
     """Run lengths of the union of an array of masks of one size."""
 
-    @arrow_udf("array<int>")
-    def run(m: pa.Array) -> pa.Array:
-        n = len(m)
-        outer = np.repeat(np.arange(n), pc.list_value_length(m).fill_null(0).to_numpy(zero_copy_only=False))
-        inner, counts = _lists(m.flatten())
-        row, start, stop = spans(inner, counts)
-        row = outer[row] if len(row) else row
-        order = np.lexsort((start, row))
-        row, start, stop, (depth,) = sweep([(row[order], start[order], stop[order])], n)
-        size = np.zeros(n, dtype=np.int64)
-        np.maximum.at(size, outer, _totals(inner, counts, len(outer)))
-        return _to_lists(*from_spans(row[depth > 0], start[depth > 0], stop[depth > 0], size), n)
+    return arrow_udf("array<int>")(_union)(masks)
+
 
-    return run(masks)
+def _union(m: pa.Array) -> pa.Array:
+    n = len(m)
+    outer = np.repeat(np.arange(n), pc.list_value_length(m).fill_null(0).to_numpy(zero_copy_only=False))
+    inner, counts = _lists(m.flatten())
+    row, start, stop = spans(inner, counts)
+    row = outer[row] if len(row) else row
+    order = np.lexsort((start, row))
+    row, start, stop, (depth,) = sweep([(row[order], start[order], stop[order])], n)
+    size = np.zeros(n, dtype=np.int64)
+    np.maximum.at(size, outer, _totals(inner, counts, len(outer)))
+    return _to_lists(*from_spans(row[depth > 0], start[depth > 0], stop[depth > 0], size), n)
 
 
 # Codecs
@@ -273,7 +276,7 @@ def of_bits(bits: Column | str, width: int) -> Column:
 def to_bits(counts: Column | str, width: int) -> Column:
     """Row-major pixels of run lengths."""
 
-    @arrow_udf("array<tinyint>")
+    @arrow_udf("array<tinyint>", cells=lambda c: pc.sum(c.flatten()).as_py() or 0)
     def run(c: pa.Array) -> pa.Array:
         row, counts = _lists(c)
         value = np.repeat((_number(row) % 2).astype(np.int8), counts)
@@ -393,22 +396,36 @@ def in_boxes(counts: Column | str, boxes: Column | str, height: int) -> Column:
 
     @arrow_udf("array<bigint>")
     def run(c: pa.Array, q: pa.Array) -> pa.Array:
-        row, x, y0, y1 = column_runs(*spans(*_lists(c)), np.full(len(c), height))
-        sizes = pc.list_value_length(q).fill_null(0).to_numpy(zero_copy_only=False)
-        items = q.flatten()
-        asked = np.stack([items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in "ltrb"], axis=1).reshape(-1, 4)
-        first, ends, out = np.searchsorted(row, np.arange(len(c) + 1)), np.r_[0, np.cumsum(sizes)], np.zeros(len(asked), dtype=np.int64)
-        for i in np.flatnonzero((sizes > 0) & (np.diff(first) > 0)):
-            mine = slice(first[i], first[i + 1])
-            for k in range(ends[i], ends[i + 1]):
-                l, t, r, b = asked[k]
-                shared = np.minimum(y1[mine], b) - np.maximum(y0[mine], t)
-                out[k] = shared[(shared > 0) & (x[mine] >= l) & (x[mine] < r)].sum()
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
+        return _in_boxes(c, q, height)
 
     return run(counts, boxes)
 
 
+def union_in_boxes(masks: Column | str, boxes: Column | str, height: int) -> Column:
+    """As :func:`in_boxes`, of the union of an array of masks. One function, as each one of a task has a Python process of its own."""
+
+    @arrow_udf("array<bigint>")
+    def run(m: pa.Array, q: pa.Array) -> pa.Array:
+        return _in_boxes(_union(m), q, height)
+
+    return run(masks, boxes)
+
+
+def _in_boxes(c: pa.Array, q: pa.Array, height: int) -> pa.Array:
+    row, x, y0, y1 = column_runs(*spans(*_lists(c)), np.full(len(c), height))
+    sizes = pc.list_value_length(q).fill_null(0).to_numpy(zero_copy_only=False)
+    items = q.flatten()
+    asked = np.stack([items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in "ltrb"], axis=1).reshape(-1, 4)
+    first, ends, out = np.searchsorted(row, np.arange(len(c) + 1)), np.r_[0, np.cumsum(sizes)], np.zeros(len(asked), dtype=np.int64)
+    for i in np.flatnonzero((sizes > 0) & (np.diff(first) > 0)):
+        mine = slice(first[i], first[i + 1])
+        for k in range(ends[i], ends[i + 1]):
+            l, t, r, b = asked[k]
+            shared = np.minimum(y1[mine], b) - np.maximum(y0[mine], t)
+            out[k] = shared[(shared > 0) & (x[mine] >= l) & (x[mine] < r)].sum()
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
+
+
 def _resized(m: np.ndarray, height: int, width: int) -> np.ndarray:
     """Nearest pixel by centres."""
     y, x = (((np.arange(n) + 0.5) * k / n).astype(np.int64) for n, k in ((height, m.shape[0]), (width, m.shape[1])))

@@ -57,7 +57,7 @@ def _candidates(cuts: DataFrame, s: Settings) -> DataFrame:
     """Refined candidates; ``cuts`` has the windows' columns, mask_id, raw and refined."""
     named = cuts.withColumnsRenamed({"l": "left", "t": "top", "r": "right", "b": "bottom"})
     found = cd.refine(named, s.grid, s.width, s.height, s.least_iou)
-    return found.select("image_id", "window_id", "mask_id", "counts", "bits", "touch", "sides", "fill", "score")
+    return found.select("image_id", "window_id", "mask_id", "counts", "touch", "sides", "fill", "score")
 
 
 def _counted(df: DataFrame, name: str) -> DataFrame:
@@ -115,9 +115,10 @@ def generate(images: DataFrame, cut: Callable[[DataFrame], DataFrame], s: Settin
     counts.append(_counted(both.filter(shaped), "crop_shape_rejected"))
     kept = materialise(cd.choose(both, s.per_window, s.shape_reject, s.fill_at, s.touch_at, s.sides_at), "kept")
     counts += [_counted(kept, n) for n in ("crop_candidates", "scored_candidates")]
-    cols = ["image_id", "mask_id", "bits", "score"]
+    # Run lengths up to here: pixels are drawn for one image at a time, where it is merged.
+    cols = ["image_id", "mask_id", "counts", "score"]
     c, p = kept.select(*cols, F.lit(False).alias("protected")), protected.select(*cols, F.lit(True).alias("protected"))
-    area = F.aggregate("bits", F.lit(0), lambda n, x: n + x.cast("int")).cast("long").alias("area")
+    area = cd.ann_area(F.lit(None).cast("double"), F.col("counts")).cast("long").alias("area")
     plain = lambda df, *order: df.select("image_id", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)).alias("rank"), F.col("mask_id").cast("string").alias("mask_ids"), "score", area)
     splits = split_fanout({
         "normal": plain(p, "mask_id"), "raw_multiscale": plain(c, F.desc("score"), "mask_id"),

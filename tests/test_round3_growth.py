@@ -2,7 +2,13 @@
 
 import re
 
+import pyarrow as pa
+
 from segmill.operators import evaluate as ev
+from segmill.operators import merge as mg
+from segmill.operators import runs as rn
+from segmill.plans import generator as gn
+from segmill.plans import generator_queries as gq
 from segmill.plans import more_queries as mq
 from segmill.plans import queries as qs
 
@@ -39,3 +45,29 @@ def test_log_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert mq.q_scan_log_tree(spark, D).count() == qs.table(spark, D, "supplier").count()
     files = list((tmp_path / "logs").glob("run=*/part-*"))
     assert len(files) == qs.table(spark, D, "supplier").count() and len({f.name.split("-")[1] for f in files}) > 1
+
+
+def test_pixels_are_drawn_a_slice_at_a_time(monkeypatch):
+    seen, keep = [], rn._to_lists
+    monkeypatch.setattr(rn.F, "arrow_udf", lambda f, kind: f)
+    monkeypatch.setattr(rn, "_to_lists", lambda row, *rest: seen.append(len(row)) or keep(row, *rest))
+    got = rn.to_bits(pa.array([[k % 48, 48 * 48 - k % 48] for k in range(3000)] + [None], pa.list_(pa.int32())), 48)
+    assert max(seen) <= rn.SLICE and sum(seen) == 3000 * 48 * 48
+    assert got[-1].as_py() is None and [sum(got[k].as_py()) for k in (0, 5, 2999)] == [48 * 48 - k % 48 for k in (0, 5, 2999)]
+
+
+def test_generator_keeps_run_lengths(spark, monkeypatch):
+    """Pixels of whole canvases aren't stored, shuffled or put in batches."""
+    stored, keep = {}, gn.materialise
+    monkeypatch.setattr(gn, "materialise", lambda df, label, by=None: stored.setdefault(label, df.columns) and keep(df, label, by))
+    gq.q_generator_counters(spark, D)
+    assert {"full-masks", "candidates", "kept"} <= set(stored) and all("bits" not in c for c in stored.values())
+
+
+def test_merge_takes_run_lengths(spark):
+    """The same labels from run lengths as from pixels."""
+    rows = [(1, k, [k % 3, 2 + k % 2, 16 - k % 3 - 2 - k % 2], float(k), k == 5) for k in range(6)]
+    m = spark.createDataFrame(rows, "image_id long, mask_id long, counts array<int>, score double, protected boolean")
+    bits = m.withColumn("bits", rn.to_bits("counts", 4)).drop("counts")
+    got, want = (sorted(map(tuple, mg.merge_candidates(x, 4, max_ratio=1.0).collect())) for x in (m, bits))
+    assert got == want and got
