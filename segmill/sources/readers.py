@@ -82,10 +82,15 @@ def coco_split(spark: SparkSession, path: str, swap_wh: bool = False) -> dict[st
 
 def _records(lines: DataFrame, swap_wh: bool, strict: bool) -> dict[str, DataFrame]:
     """Images, annotations and categories of JSON objects; one of another kind raises an error if ``strict``."""
-    has = lambda k: F.array_contains("keys", k)
-    kind = F.when(has("supercategory"), "categories").when(has("image_id"), "annotations").when(has("file_name"), "images")
-    kind = kind.otherwise(F.raise_error(F.concat(F.lit("no record of a bundle: "), "value"))) if strict else kind
-    found = lines.withColumn("keys", F.json_object_keys("value")).filter("keys IS NOT NULL").withColumn("kind", kind)
+
+    def kind(keys: Column) -> Column:
+        found = F.when(keys.isNull(), None)
+        for key, name in (("supercategory", "categories"), ("image_id", "annotations"), ("file_name", "images")):
+            found = found.when(F.array_contains(keys, key), name)
+        return found.otherwise(F.raise_error(F.concat(F.lit("no record of a bundle: "), "value"))) if strict else found
+
+    # Keys are bound by a lambda: a filter on a column of them would parse the line anew for every test.
+    found = lines.withColumn("kind", F.element_at(F.transform(F.array(F.json_object_keys("value")), kind), 1))
     schema = lines.sparkSession.range(0).select(F.from_json(F.lit("{}"), BUNDLE).alias("b")).schema["b"].dataType
     out = {k: found.filter(F.col("kind") == k).select(F.from_json("value", schema[k].dataType.elementType).alias("r")).select("r.*") for k in ("images", "annotations", "categories")}
     if swap_wh:
@@ -98,7 +103,8 @@ def bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
     A record's keys, in any order, tell what it is; a record of no kind raises an error.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"^\s*,", "").alias("value"))
+    bare = F.when(F.startswith("value", F.lit(",")), F.substr("value", F.lit(2))).otherwise(F.regexp_replace("value", r"^\s*,", ""))
+    lines = spark.read.text(path).select(bare.alias("value"))
     return _records(lines, False, True)
 
 

@@ -11,6 +11,7 @@ from segmill.plans import generator as gn
 from segmill.plans import generator_queries as gq
 from segmill.plans import more_queries as mq
 from segmill.plans import queries as qs
+from segmill.sources import readers as rd
 
 D = "/root/testdata/sf0.001"
 
@@ -71,3 +72,10 @@ def test_merge_takes_run_lengths(spark):
     bits = m.withColumn("bits", rn.to_bits("counts", 4)).drop("counts")
     got, want = (sorted(map(tuple, mg.merge_candidates(x, 4, max_ratio=1.0).collect())) for x in (m, bits))
     assert got == want and got
+
+
+def test_a_line_is_parsed_once_for_its_kind(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"images":[\n{"id":1,"image_id":null}\n,{"id":2,"file_name":"a"}\n  ,{"id":3,"image_id":7,"bbox":[1.0]}\n]}\n')
+    found = rd.bundle(spark, str(tmp_path))
+    assert _plan(found["annotations"]).count("jsonObjectKeys") == 1
+    assert [(r.id, r.image_id) for r in found["annotations"].orderBy("id").collect()] == [(1, None), (3, 7)] and [r.id for r in found["images"].collect()] == [2]
