@@ -131,13 +131,14 @@ def shaped(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _hidden(p: dict[str, np.ndarray], at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    x = [p["E"].take(at[:, k], axis=0, mode="clip") for k in range(len(PLACES))]
-    for k in range(len(PLACES)):
-        none = at[:, k] == len(p["E"])
-        if none.any():
-            x[k][none] = 0
-    return x, np.tanh(sum(x[k] @ p["W"][k] for k in range(len(PLACES))) + p["b"])
+def _hidden(p: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows' inputs, those of all places beside one another, and the hidden layer."""
+    x = p["E"].take(at, axis=0, mode="clip")
+    none = at == len(p["E"])
+    if none.any():
+        x[none] = 0
+    x = x.reshape(len(at), -1)
+    return x, np.tanh(x @ p["W"].reshape(-1, WIDE) + p["b"])
 
 
 def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], at: np.ndarray, label: np.ndarray, rate: float = 0.08) -> float:
@@ -148,18 +149,19 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], at: np.n
     # One number for all rows is enough, unless they are so far apart that a row would vanish.
     top = z.max()
     z -= top if top - z.min() < 60 else z.max(axis=1, keepdims=True)
-    d = np.exp(z)
-    total = d.sum(axis=1)
-    loss = float((np.log(total) - z[np.arange(n), label]).mean())
-    d /= total[:, None]
-    d[np.arange(n), label] -= 1
-    d /= n
+    right = np.arange(n), label
+    mine = z[right]
+    d = np.exp(z, out=z)
+    total = d @ np.ones(CLASSES, dtype=np.float32)
+    loss = float((np.log(total) - mine).mean())
+    d *= (1 / (total * n))[:, None]
+    d[right] -= np.float32(1 / n)
     g = {"O": h.T @ d, "c": d.sum(axis=0)}
     d_h = (d @ p["O"].T) * (1 - h * h)
     g["b"] = d_h.sum(axis=0)
-    g["W"] = np.stack([x[k].T @ d_h for k in range(len(PLACES))])
-    index = at.T.ravel()
-    d_x = np.concatenate([d_h @ p["W"][k].T for k in range(len(PLACES))])
+    g["W"] = (x.T @ d_h).reshape(p["W"].shape)
+    index = at.ravel()
+    d_x = (d_h @ p["W"].reshape(-1, WIDE).T).reshape(-1, WIDE)
     # At most ``SLOTS`` inputs, which sixteen bits hold; a stable sort of those is linear.
     there = np.flatnonzero(index < len(memory["E"]))
     index = index[there]
@@ -167,8 +169,9 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], at: np.n
     index, d_x = index[order], d_x[there[order]]
     first = np.flatnonzero(np.diff(index, prepend=-1))
     rows, sums = index[first], np.add.reduceat(d_x, first, axis=0) if len(first) else d_x
-    memory["E"][rows] += sums**2
-    p["E"][rows] -= rate * sums / (np.sqrt(memory["E"][rows]) + 1e-6)
+    squares = memory["E"].take(rows, axis=0) + sums**2
+    memory["E"][rows] = squares
+    p["E"][rows] -= rate * sums / (np.sqrt(squares) + 1e-6)
     for k, v in g.items():
         memory[k] += v**2
         p[k] -= rate * v / (np.sqrt(memory[k]) + 1e-6)

@@ -278,3 +278,13 @@ def test_some_windows_equal_all():
     for turn in range(2):
         some = lm.due(bounds, turn, 2)
         assert (lm.windows_at(some, found, bounds, lm.INPUTS) == lm.windows(found, bounds)[some]).all()
+
+
+def test_places_of_a_window_are_multiplied_at_once():
+    """One row a window with the inputs of all places, and the same numbers as place by place."""
+    rng = np.random.default_rng(3)
+    p, at = lm.start(), rng.integers(0, lm.INPUTS + 1, (500, len(lm.PLACES))).astype(np.int32)
+    x, h = lm._hidden(p, at)
+    each = [np.where((at[:, k] == lm.INPUTS)[:, None], 0, p["E"][np.minimum(at[:, k], lm.INPUTS - 1)]) for k in range(len(lm.PLACES))]
+    assert x.shape == (500, len(lm.PLACES) * lm.WIDE) and (x == np.concatenate(each, axis=1)).all()
+    assert np.allclose(h, np.tanh(sum(e @ w for e, w in zip(each, p["W"])) + p["b"]), atol=1e-6)
