@@ -228,16 +228,20 @@ def set_sides(left: DataFrame, right: DataFrame) -> DataFrame:
 def resolve_paths(images: DataFrame, files: DataFrame) -> DataFrame:
     """file_name -> path: as it is below the root, or as class/images/file, or the first of its base name.
 
-    ``files`` has ``rel``, paths below the root.
+    ``files`` has ``rel``, paths below the root. Both sides of every join are dealt by the number of rows, so that a task's sorts don't grow with the tables.
     """
+    parts = max(images.sparkSession.sparkContext.defaultParallelism, -(-max(images.count(), files.count()) // 100_000))
     norm = F.replace("file_name", F.lit("\\"), F.lit("/"))
     base = F.element_at(F.split(norm, "/"), -1)
     inner = F.concat(F.element_at(F.split(norm, "/"), 1), F.lit("/images/"), base)
     i = images.select("*", norm.alias("__n"), inner.alias("__i"), base.alias("__b"))
     direct = files.select(F.col("rel").alias("__n"), F.col("rel").alias("p1"))
     nested = files.select(F.col("rel").alias("__i"), F.col("rel").alias("p2"))
-    first = files.groupBy(F.element_at(F.split("rel", "/"), -1).alias("__b")).agg(F.min("rel").alias("p3"))
-    out = i.join(direct, "__n", "left").join(nested, "__i", "left").join(first, "__b", "left")
+    named = files.select(F.element_at(F.split("rel", "/"), -1).alias("__b"), "rel")
+    first = named.repartition(parts, "__b").groupBy("__b").agg(F.min("rel").alias("p3"))
+    out = i
+    for key, side in (("__n", direct.repartition(parts, "__n")), ("__i", nested.repartition(parts, "__i")), ("__b", first)):
+        out = out.repartition(parts, key).join(side, key, "left")
     return out.withColumn("path", F.coalesce("p1", "p2", "p3")).drop("__n", "__i", "__b", "p1", "p2", "p3")
 
 

@@ -79,3 +79,9 @@ def test_a_line_is_parsed_once_for_its_kind(spark, tmp_path):
     found = rd.bundle(spark, str(tmp_path))
     assert _plan(found["annotations"]).count("jsonObjectKeys") == 1
     assert [(r.id, r.image_id) for r in found["annotations"].orderBy("id").collect()] == [(1, None), (3, 7)] and [r.id for r in found["images"].collect()] == [2]
+
+
+def test_paths_are_dealt_by_rows(spark):
+    """Also before base names are grouped, which sorts what a task holds."""
+    plan = _plan(mq.q_resolve_path(spark, D))
+    assert plan.count("RepartitionByExpression") == 6 and re.search(r"Aggregate.*\n[^\n]*RepartitionByExpression", plan)
