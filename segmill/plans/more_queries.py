@@ -362,8 +362,10 @@ def q_fragment_rate(spark, d):
 def _canvas(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Boxes, covering boxes and pixels of 20 x 20 images, one of every embedding."""
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "image_id")
-    places = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: F.struct((i / 20).cast("int").alias("y"), (i % 20).alias("x"), F.get("embedding", i % 64).cast("double").alias("v")))
-    pixels = e.select("image_id", F.explode(places).alias("p")).select("image_id", "p.*")
+    i, v = F.sequence(F.lit(0), F.lit(399)), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("embedding", i).cast("double"))
+    v = F.slice(F.flatten(F.array_repeat(v, 7)), 1, 400)
+    places = F.arrays_zip(F.transform(i, lambda i: (i / 20).cast("int")).alias("y"), F.transform(i, lambda i: i % 20).alias("x"), v.alias("v"))
+    pixels = e.select("image_id", places.alias("pixels"))
     covering = e.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
     covering = covering.select("image_id", ((F.col("image_id") * 7 + F.col("k") * 3) % 13).cast("int").alias("l"), ((F.col("image_id") * 5 + F.col("k") * 4) % 11).cast("int").alias("t"), "k")
     covering = covering.select("image_id", "l", "t", (F.col("l") + 2 + F.col("k")).cast("int").alias("r"), (F.col("t") + 3).cast("int").alias("b"))

@@ -30,12 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *by: str, n: int | None = None) -> DataFrame:
     """df in parts of about ``rows`` rows by a hash of ``by``, however many rows there are, so that a part's work and memory don't grow with the table.
 
-    At least a part for every core is made. ``df`` is counted for it, so it should be a table or little more.
+    At least a part for every core is made. ``df`` is counted for it, so it should be a table or little more; or ``n`` says how many there are.
     """
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-(df.count() if n is None else n) // rows))
     return df.repartition(parts, *by)
 
 

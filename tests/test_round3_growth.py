@@ -3,10 +3,12 @@
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from segmill.operators import evaluate as ev
 from segmill.operators import merge as mg
 from segmill.operators import runs as rn
+from segmill.operators import windows as wn
 from segmill.plans import generator as gn
 from segmill.plans import generator_queries as gq
 from segmill.plans import more_queries as mq
@@ -85,3 +87,26 @@ def test_paths_are_dealt_by_rows(spark):
     """Also before base names are grouped, which sorts what a task holds."""
     plan = _plan(mq.q_resolve_path(spark, D))
     assert plan.count("RepartitionByExpression") == 6 and re.search(r"Aggregate.*\n[^\n]*RepartitionByExpression", plan)
+
+
+def test_pixels_meet_boxes_in_parts_of_bounded_size(spark, monkeypatch):
+    """In one shuffle, dealt by pixels, and not in joins, whose side of pixels Spark broadcasts where the table they are made of is small."""
+    monkeypatch.setattr(wn, "PIXELS", 4_000)
+    boxes, covering, pixels = mq._canvas(spark, D)
+    rows = pixels.select("image_id", F.inline("pixels"))
+    found = [wn.box_terms(boxes, ["ord"], covering, p) for p in (pixels, rows)]
+    for f in found:
+        assert "Join" not in _plan(f) and f.rdd.getNumPartitions() == -(-rows.count() // 4_000) > 4
+    assert sorted(found[0].collect()) == sorted(found[1].collect()) and found[0].count() == boxes.count()
+    assert "Join" not in _plan(mq.q_ranked_grid(spark, D))
+
+
+def test_terms_of_images_that_a_table_lacks(spark):
+    boxes = spark.createDataFrame([(1, 7, 0, 0, 4, 2, "a"), (2, 7, 0, 0, 4, 2, "b"), (3, 8, 0, 0, 4, 2, None), (None, 9, 0, 0, 4, 2, "d")], "image_id int, k int, l int, t int, r int, b int, note string")
+    covered = spark.createDataFrame([(2, 0, 0, 2, 2), (4, 0, 0, 4, 2), (None, 0, 0, 4, 2)], "image_id int, l int, t int, r int, b int")
+    pixels = spark.createDataFrame([(i, y, x, 3.0 * x) for i in (1, 4, None) for y in range(2) for x in range(4)], "image_id int, y int, x int, v double")
+    want = {1: ("a", 0.0, 3.0), 2: ("b", 0.5, 0.0), 3: (None, 0.0, 0.0)}
+    for c, p in ((covered, pixels), (covered, None), (None, pixels), (None, None)):
+        got = {r.image_id: r for r in wn.box_terms(boxes, ["k"], c, p).collect()}
+        for i, (note, cover, edge) in want.items():
+            assert (got[i].note, got[i].r, got[i].cover, got[i].edge) == (note, 4, cover if c else 0.0, edge if p else 0.0)
