@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,3 +78,16 @@ def release(df: DataFrame) -> None:
         jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings are ``values`` inside, and what they were behind."""
+    kept = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import pairwise
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, release
+from ..session import materialise, settings, ship
 
 IMAGES = "id BIGINT, file_name STRING, width INT, height INT, date_captured STRING, license INT, coco_url STRING, flickr_url STRING"
 ANNOTATIONS = "id BIGINT, image_id BIGINT, category_id INT, iscrowd INT, area DOUBLE, bbox ARRAY<DOUBLE>, segmentation STRUCT<size: ARRAY<INT>, counts: STRING>, width INT, height INT"
@@ -35,49 +39,119 @@ def coco(spark: SparkSession, path: str, swap_wh: bool = False) -> dict[str, Dat
     return out
 
 
+def _stretches(batches):
+    """(file, split), bytes: rows of one split that follow each other, at most a batch at a time."""
+    import pyarrow as pa
+
+    for batch in batches:
+        file, split = (batch.column(c).to_numpy() for c in ("file", "split"))
+        borders = np.flatnonzero((np.diff(file) != 0) | (np.diff(split) != 0)) + 1
+        value = batch.column("value").cast(pa.large_binary())
+        for lo, hi in pairwise([0, *borders, len(file)] if len(file) else []):
+            at = np.frombuffer(value.buffers()[1], np.int64)[value.offset + lo : value.offset + hi + 1]
+            yield (int(file[lo]), int(split[lo])), np.frombuffer(value.buffers()[2], np.uint8)[at[0] : at[-1]]
+
+
+def _marks(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of quotes and of braces, and how many quotes lie before each brace. No escape reaches over a piece's border, as ``\\}`` is none."""
+    quotes, slashes = np.flatnonzero(text == ord('"')), np.flatnonzero(text == ord("\\"))
+    if len(slashes):
+        # Behind an odd run of backslashes a quote is a character.
+        last = np.flatnonzero(np.diff(slashes, append=-2) != 1)
+        quotes = np.setdiff1d(quotes, slashes[last[np.diff(last, prepend=-1) % 2 == 1]] + 1, assume_unique=True)
+    braces = np.flatnonzero((text == ord("{")) | (text == ord("}")))
+    return quotes, braces, np.searchsorted(quotes, braces)
+
+
+def _turns(batches):
+    """Of every split its quotes, and how it changes the depth if it starts outside a string and if inside."""
+    import pyarrow as pa
+
+    turns = defaultdict(lambda: [0, 0, 0])
+    for key, text in _stretches(batches):
+        quotes, braces, before = _marks(text)
+        turn, step = turns[key], np.where(text[braces] == ord("{"), 1, -1)
+        odd = (before + turn[0]) % 2
+        turn[:] = turn[0] + len(quotes), turn[1] + int(step[odd == 0].sum()), turn[2] + int(step[odd == 1].sum())
+    names = ("file", "split", "quotes", "outside", "inside")
+    yield pa.RecordBatch.from_pylist([dict(zip(names, (*key, *turn))) for key, turn in turns.items()], pa.schema([(c, pa.int64()) for c in names]))
+
+
+def _cut(batches, starts: dict):
+    """The records of splits, of which ``starts`` tells whether they start in a string and how deep.
+
+    What other splits hold the rest of comes with its file and split, n (0: begun in an earlier split, 1: begun in this one) and whether it ends here.
+    """
+    import pyarrow as pa
+
+    def rows(value, file=None, split=None, n=None, ends=None):
+        columns = [pa.array([x] * len(value), kind) for x, kind in ((file, pa.int64()), (split, pa.int64()), (n, pa.int32()), (ends, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, value.cast(pa.binary())], ["file", "split", "n", "ends", "value"])
+
+    def piece(ends):
+        value = pa.array([b"".join(held)], pa.binary())
+        return rows(value) if begun and ends else rows(value, *now, int(begun), int(ends))
+
+    now, held = None, []
+    for key, text in _stretches(batches):
+        if key != now:
+            if held:
+                yield piece(False)
+            now, held, begun = key, [], False
+            if key not in starts:
+                raise ValueError(f"the file was cut elsewhere in the first pass: {key}")
+            odd, depth = starts[key]
+        quotes, braces, before = _marks(text)
+        braces = braces[(before + odd) % 2 == 0]
+        step = np.where(text[braces] == ord("{"), 1, -1)
+        deep = depth + np.cumsum(step)
+        # Depth changes by one, so the two take turns.
+        first, last = braces[(step == 1) & (deep == 2)], braces[(step == -1) & (deep == 1)] + 1
+        if depth > 1:
+            held.append(text[: last[0] if len(last) else len(text)].tobytes())
+            if len(last):
+                yield piece(True)
+                held, last = [], last[1:]
+        if len(first) > len(last):
+            held, begun, first = [text[first[-1] :].tobytes()], True, first[:-1]
+        odd, depth = (odd + len(quotes)) % 2, int(deep[-1]) if len(deep) else depth
+        if len(first):
+            # Records and what lies between them, by turns.
+            at = np.stack([first, last], 1).astype(np.int64).ravel()
+            both = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(text)])
+            yield rows(both.take(pa.array(np.arange(0, len(at), 2))))
+    if held:
+        yield piece(False)
+
+
 def coco_split(spark: SparkSession, path: str, swap_wh: bool = False) -> dict[str, DataFrame]:
     """As :func:`coco`, for one file of any size: read in splits, each by a task of its own.
 
-    The file is cut at every closing brace, which Hadoop's line reader does at any split's border. Quotes before a piece tell whether it starts inside a string,
-    braces outside strings how deep it ends, and an object that ends at depth 1 is a record; running sums go over splits first, then inside each.
-    Pieces of a record, which may lie in two splits, are put together again. A record's keys tell what it is, as in :func:`bundle`; others are left out.
+    The file is cut at every closing brace, which Hadoop's line reader does at any split's border. A first pass tells of each split how many quotes it holds and
+    how it changes the depth; running sums over splits tell in what state each starts. A second pass cuts out the objects that end at depth 1, the records. No text
+    is shuffled but that of records which lie in several splits; they are put together again. A record's keys tell what it is, as in :func:`bundle`; others are left out.
     """
+    ship(spark)
     raw = spark.read.option("lineSep", "}").text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("pos"), "value")
-    bare = F.regexp_replace("value", r"\\.", "")
-    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
-    strings = r'"[^"]*("|$)'
-    opened = lambda text: F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
-    # Change of depth of a piece that starts outside a string, and of one that starts inside.
-    outside = opened(F.regexp_replace(bare, strings, "")) - F.when(quotes % 2 == 0, 1).otherwise(0)
-    inside = opened(F.regexp_replace(F.regexp_replace(bare, r'^[^"]*("|$)', ""), strings, "")) - F.when(quotes % 2 == 1, 1).otherwise(0)
-    raw = materialise(raw.select("*", quotes.alias("quotes"), outside.alias("out"), inside.alias("in")), "pieces")
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    local = Window.partitionBy("file", "split").orderBy("pos")
-    cut = raw.withColumn("odd", F.coalesce(F.sum("quotes").over(before(local)), F.lit(0)) % 2)
-    # Of every split, how it changes the depth from either start.
-    turns = cut.groupBy("file", "split").agg(
-        F.sum("quotes").alias("q"), F.sum(F.when(F.col("odd") == 0, F.col("out")).otherwise(F.col("in"))).alias("d0"), F.sum(F.when(F.col("odd") == 1, F.col("out")).otherwise(F.col("in"))).alias("d1")
-    )
-    # A row a split from here to the join.
-    over = Window.partitionBy("file").orderBy("split")
-    turns = turns.withColumn("first", F.coalesce(F.sum("q").over(before(over)), F.lit(0)) % 2)
-    turns = turns.withColumn("deep", F.coalesce(F.sum(F.when(F.col("first") == 0, F.col("d0")).otherwise(F.col("d1"))).over(before(over)), F.lit(0)))
-    cut = cut.join(F.broadcast(turns.select("file", "split", "first", "deep")), ["file", "split"])
-    starts = (F.col("odd") + F.col("first")) % 2
-    cut = cut.withColumns({"change": F.when(starts == 0, F.col("out")).otherwise(F.col("in")), "closed": (starts + F.col("quotes")) % 2 == 0})
-    cut = cut.withColumn("depth", F.col("deep") + F.sum("change").over(upto(local)))
-    cut = cut.withColumn("ends", (F.col("closed") & (F.col("depth") == 1)).cast("int"))
-    cut = materialise(cut.withColumn("n", F.coalesce(F.sum("ends").over(before(local)), F.lit(0))).select("file", "split", "pos", "value", "ends", "n"), "pieces")
-    release(raw)
-    many = cut.groupBy("file", "split").agg(F.sum("ends").alias("records")).withColumn("earlier", F.coalesce(F.sum("records").over(before(over)), F.lit(0)))
-    cut = cut.join(F.broadcast(many.select("file", "split", "earlier")), ["file", "split"]).withColumn("record", F.col("n") + F.col("earlier"))
-    whole = cut.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("split", "pos", "value"))).alias("p"), F.max("ends").alias("ends")).filter("ends = 1")
-    text = F.concat(F.array_join(F.transform("p", lambda x: x["value"]), "}"), F.lit("}"))
-    # The document's own brace is in the first record's text.
-    text = F.when(F.col("record") == 0, F.regexp_replace(text, r"^\s*\{", "")).otherwise(text)
-    return _records(materialise(whole.select(F.regexp_replace(text, r"^[^{]*", "").alias("value")), "records"), swap_wh, False)
+    raw = raw.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.concat("value", F.lit("}")).cast("binary").alias("value"))
+    least = "spark.sql.files.minPartitionNum"
+    # Both passes have to cut the file at the same places, also if executors come or go in between.
+    with settings(spark, {least: spark.conf.get(least, None) or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism)}):
+        # A row a split.
+        turns = raw.mapInArrow(_turns, "file long, split long, quotes long, outside long, inside long").collect()
+        starts, state = {}, {}
+        for t in sorted(turns):
+            odd, depth = starts[t.file, t.split] = state.get(t.file, (0, 0))
+            state[t.file] = (odd + t.quotes) % 2, depth + (t.inside if odd else t.outside)
+        found = raw.mapInArrow(lambda b: _cut(b, starts), "file long, split long, n int, ends int, value binary")
+        found = materialise(found.withColumn("value", F.col("value").cast("string")), "records")
+    pieces = found.filter("n IS NOT NULL")
+    # Two rows a split at most.
+    over = Window.partitionBy("file").orderBy("split", "n").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = pieces.select("file", "split", "n", F.coalesce(F.sum("ends").over(over), F.lit(0)).alias("record"))
+    whole = pieces.join(numbered, ["file", "split", "n"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("split", "n", "value"))).alias("p"), F.max("ends").alias("ends")).filter("ends = 1")
+    whole = materialise(whole.select(F.array_join(F.transform("p", lambda x: x["value"]), "").alias("value")), "records")
+    return _records(found.filter("n IS NULL").select("value").unionByName(whole), swap_wh, False)
 
 
 def _records(lines: DataFrame, swap_wh: bool, strict: bool) -> dict[str, DataFrame]:

@@ -10,9 +10,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, release
+from ..session import materialise, release, settings
 from .readers import hashes
 
+#: Shuffle files go when the query that wrote them is done, not when the driver happens to collect garbage.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def coco_document(images: DataFrame, anns: DataFrame, categories: DataFrame, info: str = "") -> DataFrame:
     """One row with the whole bundle as JSON. For bundles that one reader takes whole; tables go out by :func:`write_split`."""
@@ -23,23 +26,28 @@ def coco_document(images: DataFrame, anns: DataFrame, categories: DataFrame, inf
 
 
 def write_coco(path: str, images: DataFrame, anns: DataFrame, categories: DataFrame, info: str = "") -> None:
-    """A bundle of any size as a folder with one JSON file. Tasks write its parts (:func:`write_bundle`), whose bytes are then put one after the other, a megabyte at a time."""
+    """A bundle of any size as a folder with one JSON file. Tasks write its parts (:func:`write_bundle`), whose bytes are then put one after the other, a megabyte at a time.
+
+    The parts are compressed, and each is deleted when it is copied, so the disk holds little more than the file.
+    """
     spark = images.sparkSession
     parts = f"{path.rstrip('/')}-parts-{uuid.uuid4().hex}"
-    write_bundle(parts, images, anns, categories, info)
-    jvm, at = spark.sparkContext._jvm, spark._jvm.org.apache.hadoop.fs.Path
-    system = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    write_bundle(parts, images, anns, categories, info, compression="gzip")
+    jvm, at, conf = spark.sparkContext._jvm, spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
+    system, codecs = at(path).getFileSystem(conf), jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
     system.delete(at(path), True)
     out = system.create(at(f"{path}/part-00000.json"))
     for name in sorted(f.getPath().getName() for f in system.listStatus(at(parts)) if f.getPath().getName().startswith("part-")):
-        part = system.open(at(f"{parts}/{name}"))
+        file = at(f"{parts}/{name}")
+        part = codecs.getCodec(file).createInputStream(system.open(file))
         jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
         part.close()
+        system.delete(file, False)
     out.close()
     system.delete(at(parts), True)
 
 
-def write_bundle(path: str, images: DataFrame, anns: DataFrame, categories: DataFrame, info: str = "", parts: int = 0) -> None:
+def write_bundle(path: str, images: DataFrame, anns: DataFrame, categories: DataFrame, info: str = "", parts: int = 0, compression: str = "none") -> None:
     """A bundle of any size as a folder of text parts, a record to a line; the parts in the order of their names are one JSON document.
 
     Lines are sorted by ranges of (section, id, row), nulls first, so no task holds more than its part. Null fields are written as null; repeated and null ids
@@ -54,13 +62,15 @@ def write_bundle(path: str, images: DataFrame, anns: DataFrame, categories: Data
         records.append(df.select(F.lit(k).alias("k"), F.col("id").cast("long").alias("id"), value.alias("value")))
         marks.append("{" + f'"info":{{"description":{json.dumps(info)}}},"licenses":[],"images":[' if not k else f'],"{name}":[')
     # Rows get numbers of their own, as ids may be null or repeated: just one record of a section is its first.
-    written = materialise(reduce(DataFrame.unionByName, records).withColumn("n", F.monotonically_increasing_id()), "bundle")
+    with settings(spark, DROP_SHUFFLES):
+        written = materialise(reduce(DataFrame.unionByName, records).withColumn("n", F.monotonically_increasing_id()), "bundle")
     first = written.groupBy("k").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "n"))["n"].alias("first"))
     rows = written.join(F.broadcast(first), "k").select("k", F.lit(1).alias("o"), "id", "n", F.when(F.col("n") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
     lead = spark.createDataFrame([(k, 0, None, None, text) for k, text in enumerate([*marks, "]}"])], "k int, o int, id long, n long, value string")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["k", "o", F.asc_nulls_first("id"), "n"]
-    rows.unionByName(lead).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+    with settings(spark, DROP_SHUFFLES):
+        rows.unionByName(lead).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path, compression=compression)
     release(written)
 
 
